@@ -1,7 +1,8 @@
 """Toxicity by Levenshtein automata over a learned lexicon.
 
 The lexicon comes from labelled rows: words that stand in many toxic texts and hardly in
-others, counted once for each family of near copies. Lexicon trie and Levenshtein
+others, counted once for each family of near copies, and stems (ending in ``*``) that
+many such words share. Lexicon trie and Levenshtein
 automaton are intersected into one table-driven automaton, through which numpy drives all
 words of a batch a byte at a time, so misspelled terms are found as well. A hit counts by
 the share of toxic texts among the training texts with that form (an unseen form by that
@@ -16,6 +17,7 @@ labels that are null don't count; several labels of one id all count.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -34,8 +36,14 @@ from .language import fold, sampled
 TRAIN_ROWS = 24_000
 #: Terms kept at most.
 TERMS = 64
-LEAST_TEXTS = 4
-LEAST_SHARE = 0.01
+LEAST_SHARE = 0.005
+#: A term's toxic texts, were they drawn by chance, must be rarer than one in this many words.
+CHANCE = 1e7
+#: Characters of a stem, and the words that share it at least.
+STEMS = (4, 5)
+STEM_WORDS = 5
+#: Bytes of the longest word that a stem accepts.
+STEM_REACH = 48
 LEAST_PRECISION = 0.9
 THRESHOLD = 0.3
 #: Words looked at on each side of a hit.
@@ -54,8 +62,8 @@ for _c in range(128):
 
 
 def edits_allowed(term: bytes) -> int:
-    """0 for the shortest terms, 1 from five bytes, 2 from nine."""
-    return (len(term) >= 5) + (len(term) >= 9)
+    """0 for stems and the shortest terms, 1 from five bytes, 2 from nine."""
+    return 0 if term.endswith(b"*") else (len(term) >= 5) + (len(term) >= 9)
 
 
 @dataclass
@@ -69,18 +77,19 @@ class Automaton:
     distance: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        letters = sorted({b for t in self.terms for b in t})
+        letters = sorted({b for t in self.terms for b in t.removesuffix(b"*")})
         self.classes = np.zeros(256, np.int64)  # class 0: bytes of no term
         for k, b in enumerate(letters):
             self.classes[b] = k + 1
         children: list[dict[int, int]] = [{}]
         depth_left: list[int] = [0]  # edits that the best term below a node allows
         ends: dict[int, int] = {}
+        stems: dict[int, int] = {}
         for k, t in enumerate(self.terms):
             node = 0
             allowed = edits_allowed(t)
             depth_left[0] = max(depth_left[0], allowed)
-            for b in t:
+            for b in t.removesuffix(b"*"):
                 c = int(self.classes[b])
                 if c not in children[node]:
                     children[node][c] = len(children)
@@ -88,7 +97,7 @@ class Automaton:
                     depth_left.append(0)
                 node = children[node][c]
                 depth_left[node] = max(depth_left[node], allowed)
-            ends[node] = k
+            (stems if t.endswith(b"*") else ends)[node] = k
 
         def closed(pairs: dict[int, int]) -> frozenset:
             todo = list(pairs.items())
@@ -106,12 +115,15 @@ class Automaton:
         numbers, queue, rows, accept = {frozenset(): 0, start: 1}, [start], [[0] * (len(letters) + 1)], [(-1, 99)]
         while queue:
             state = queue.pop(0)
-            best = min(((e, ends[n]) for n, e in state if n in ends and e <= edits_allowed(self.terms[ends[n]])), default=(99, -1))
+            whole = [(e, ends[n]) for n, e in state if n in ends and e <= edits_allowed(self.terms[ends[n]])]
+            best = min(whole + [(0, stems[n]) for n, e in state if n in stems and e == 0], default=(99, -1))
             accept.append((best[1], best[0]))
             row = []
             for c in range(len(letters) + 1):
                 after: dict[int, int] = {}
                 for node, e in state:
+                    if node in stems and e == 0:
+                        after[node] = 0  # any ending
                     if e + 1 <= depth_left[node]:
                         after[node] = min(after.get(node, 99), e + 1)
                     for b, child in children[node].items():
@@ -132,7 +144,7 @@ class Automaton:
         """Words that are accepted, with term and distance."""
         if not self.terms:
             return (np.zeros(0, np.int64),) * 3
-        longest = max(map(len, self.terms)) + 2
+        longest = max(STEM_REACH if t.endswith(b"*") else len(t) + 2 for t in self.terms)
         alive = np.flatnonzero(end - start <= longest)
         state = np.ones(len(alive), np.int32)
         words, terms, distances = [], [], []
@@ -236,15 +248,28 @@ def train(docs: DataFrame, labels: DataFrame, terms: int = TERMS) -> Model | Non
         found: dict[str, list[int]] = defaultdict(lambda: [0, 0])
         for piece in arrays.pieces(batches):
             for text, toxic in zip(piece.column("text").to_pylist(), piece.column("toxic").to_pylist()):
-                for w in set(_WORDS.findall(text.lower())):
+                seen = set(_WORDS.findall(text.lower()))
+                for w in seen | {w[:k] + "*" for w in seen for k in STEMS if len(w) > k}:
                     found[w][toxic == 1] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([v[1] for v in found.values()], pa.int64()), pa.array([v[0] for v in found.values()], pa.int64())], names=["word", "toxic", "clean"])
 
     words = rows.mapInArrow(per_word, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     rate = F.col("toxic") / n_toxic
     precise = rate / (rate + F.col("clean") / n_clean) >= LEAST_PRECISION
-    lexicon = words.where((F.col("toxic") >= max(LEAST_TEXTS, LEAST_SHARE * n_toxic)) & precise).orderBy(F.desc("toxic"), "word").limit(terms).collect()
-    automaton = Automaton(sorted(r["word"].encode() for r in lexicon))
+    least = max(LEAST_SHARE * n_toxic, math.log(CHANCE) / math.log((n_toxic + n_clean) / n_toxic))
+    telling = words.where((F.col("toxic") >= least) & precise)
+    stems = telling.where("word like '%*'").select(F.expr("substring(word, 1, length(word) - 1)").alias("stem"), F.col("toxic").alias("stem_toxic"))
+    shared = words.where("word not like '%*' and toxic > clean").select(F.explode(F.array(*(F.substring("word", 1, k) for k in STEMS))).alias("stem")).groupBy("stem").agg(F.count("*").alias("n"), F.max("toxic").alias("most")).where(F.col("n") >= STEM_WORDS)
+    # a stem tells more than its most frequent word
+    stems = stems.join(shared, "stem").where(F.col("stem_toxic") >= 1.5 * F.col("most")).select(F.concat("stem", F.lit("*")).alias("word"))
+    lexicon = telling.where("word not like '%*'").unionByName(telling.join(stems, "word", "left_semi")).orderBy(F.desc("toxic"), "word").limit(8 * terms).collect()
+    chosen: list[str] = []
+    found_stems = tuple(sorted((r["word"][:-1] for r in lexicon if r["word"].endswith("*")), key=len))
+    for r in lexicon:
+        word = r["word"].removesuffix("*")
+        if not any(word.startswith(x) and r["word"] != x + "*" for x in found_stems):
+            chosen.append(r["word"])
+    automaton = Automaton(sorted(w.encode() for w in chosen[:terms]))
     shipped = docs.sparkSession.sparkContext.broadcast(automaton)  # TERMS terms at most
 
     def per_form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
