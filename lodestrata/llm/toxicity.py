@@ -259,7 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, terms: int = TERMS) -> Model | Non
     least = max(LEAST_SHARE * n_toxic, math.log(CHANCE) / math.log((n_toxic + n_clean) / n_toxic))
     telling = words.where((F.col("toxic") >= least) & precise)
     stems = telling.where("word like '%*'").select(F.expr("substring(word, 1, length(word) - 1)").alias("stem"), F.col("toxic").alias("stem_toxic"))
-    shared = words.where("word not like '%*' and toxic > clean").select(F.explode(F.array(*(F.substring("word", 1, k) for k in STEMS))).alias("stem")).groupBy("stem").agg(F.count("*").alias("n"), F.max("toxic").alias("most")).where(F.col("n") >= STEM_WORDS)
+    shared = words.where("word not like '%*' and toxic > clean").select(F.explode(F.array(*(F.substring("word", 1, k) for k in STEMS))).alias("stem"), "toxic").groupBy("stem").agg(F.count("*").alias("n"), F.max("toxic").alias("most")).where(F.col("n") >= STEM_WORDS)
     # a stem tells more than its most frequent word
     stems = stems.join(shared, "stem").where(F.col("stem_toxic") >= 1.5 * F.col("most")).select(F.concat("stem", F.lit("*")).alias("word"))
     lexicon = telling.where("word not like '%*'").unionByName(telling.join(stems, "word", "left_semi")).orderBy(F.desc("toxic"), "word").limit(8 * terms).collect()
