@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import importance, language, media, mixing, toxicity, warc
+from . import importance, language, media, mixing, packing, rules, toxicity, warc
 from .shared import written
 
 
@@ -14,6 +14,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir))
+
+
 def op2_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.telephony_digests(documents(spark, sf_dir))
 
@@ -44,7 +52,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_telephony_audio, op5_warc, op6_mixing, op8_language_id, op9_importance_resampling, op10_toxicity)}
+    return {f.__name__: f for f in (op1_line_frequency, op2_telephony_audio, op3_best_fit_packing, op5_warc, op6_mixing, op8_language_id, op9_importance_resampling, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
