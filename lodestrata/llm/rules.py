@@ -5,8 +5,8 @@ Base counts come from whole texts: words are runs without ASCII white space; see
 of white space as one space, digits as 0) and hashed; for each host (``source``) the
 distinct documents that hold it are counted. Copies are no evidence of boilerplate, so
 documents count as one if the longest other line is the same. Lines in more documents
-than the host's limit are removed; a document is rejected if so little is left of it that
-it has fewer than ten words or a tenth of what it had.
+than the host's limit are removed; a document is rejected if less than a tenth of its words is
+left.
 
 Counting is in two steps, first over (host, line, document family), so that Spark sums
 partly before each shuffle and no key's rows need to meet in one task.
@@ -204,7 +204,7 @@ def judge(docs: DataFrame, with_text: bool = False, line_docs: int = LINE_DOCS,
                     gone |= mine & np.isin(key.view(np.int64), np.array(bad, np.int64))
             left = base["n_words"] - np.bincount(own, words * gone, minlength=n).astype(np.int64)
             failed = (base["n_words"] < LEAST_WORDS) | (100 * base["n_repeat_words"] > MOST_REPEATED * base["n_words"])
-            depleted = (left < LEAST_WORDS) | (left < left_share * base["n_words"])
+            depleted = left < left_share * base["n_words"]
             touched = np.bincount(own[gone], minlength=n) > 0
             texts = pa.nulls(n, pa.string())
             if with_text:
