@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import importance, language, media, minhash, mixing, packing, rules, toxicity, warc
+from . import importance, language, media, minhash, mixing, packing, repeats, rules, toxicity, warc
 from .shared import written
 
 
@@ -35,6 +35,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_suffix_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(documents(spark, sf_dir))
+
+
 def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), width=2)
 
@@ -56,7 +60,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_frequency, op2_telephony_audio, op3_best_fit_packing, op5_warc, op6_mixing, op7_circulant_minhash, op8_language_id, op9_importance_resampling, op10_toxicity)}
+    return {f.__name__: f for f in (op1_line_frequency, op2_telephony_audio, op3_best_fit_packing, op4_suffix_sort_dedup, op5_warc, op6_mixing, op7_circulant_minhash, op8_language_id, op9_importance_resampling, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
