@@ -531,6 +531,7 @@ def report(docs: DataFrame, length: int = LENGTH, famous: tuple[int, int] = (FAM
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows of docs without repeated strings; a character goes only with all its bytes, and texts left empty stay as empty texts."""
+    columns = docs.columns
     rows, doubled = numbered(docs)
     spans = written(repeated_spans(rows.select("id", F.coalesce("text", F.lit("")).alias("text")), length, doubled), "spans")
 
@@ -549,7 +550,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     text = _left(raw, start, end).decode()
                 texts.append(text)
             at = piece.schema.names.index("text")
-            yield piece.set_column(at, "text", pa.array(texts, pa.string())).select(docs.columns)
+            yield piece.set_column(at, "text", pa.array(texts, pa.string())).select(columns)
 
     joined = rows.join(spans.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left").select(*docs.columns, "copy", "starts", "ends")
     return joined.mapInArrow(run, docs.schema)

@@ -177,45 +177,62 @@ def frequent_lines(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: floa
     return lines.join(hosts, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > line_share * F.col("n_docs")).select("host", "line", "n")
 
 
-JUDGED = "doc_id long, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_left long, kept boolean, text string, changed boolean"
-
-
-def judge(docs: DataFrame, with_text: bool = False, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
-    """Base counts, n_left (words outside removed lines), kept; with_text: the text without the removed lines."""
+def _joined(docs: DataFrame, line_docs: int, line_share: float) -> DataFrame:
+    """docs with ``__lines``, the hashes of their host's frequent lines."""
     found = written(frequent_lines(docs, line_docs, line_share), "lines")
-    lists = found.groupBy("host").agg(F.collect_list("line").alias("lines"))
+    lists = found.groupBy("host").agg(F.collect_list("line").alias("__lines")).withColumnRenamed("host", "__host")
     if found.count() <= BROADCAST_LINES:
         lists = F.broadcast(lists)
-    joined = docs.select("doc_id", "source", "text").join(lists, F.col("source").eqNullSafe(F.col("host")), "left").select("doc_id", "source", "text", "lines")
+    return docs.join(lists, docs["source"].eqNullSafe(F.col("__host")), "left").drop("__host")
+
+
+def _verdict(piece: pa.RecordBatch, left_share: float) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, dict[int, set[int]]]:
+    """Base counts, words left, kept, and the numbers of the lines to remove by text."""
+    text, n = piece.column("text"), piece.num_rows
+    base = measure(text)
+    own, key, _, words, number = normal_lines(text)
+    lists = piece.column("__lines")
+    gone = np.zeros(len(own), bool)
+    source = piece.column("source").dictionary_encode()
+    at = np.asarray(pc.fill_null(source.indices, len(source.dictionary)))
+    for h in np.unique(at).tolist():
+        bad = lists[int(np.flatnonzero(at == h)[0])].as_py()
+        if bad:
+            gone |= (at[own] == h) & np.isin(key.view(np.int64), np.array(bad, np.int64))
+    left = base["n_words"] - np.bincount(own, words * gone, minlength=n).astype(np.int64)
+    base["base_failed"] = (base["n_words"] < LEAST_WORDS) | (100 * base["n_repeat_words"] > MOST_REPEATED * base["n_words"])
+    cut: dict[int, set[int]] = {}
+    for o, k in zip(own[gone].tolist(), number[gone].tolist()):
+        cut.setdefault(o, set()).add(k)
+    return base, left, ~base["base_failed"] & (left >= left_share * base["n_words"]), cut
+
+
+JUDGED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_left long, kept boolean"
+
+
+def judge(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
+    """doc_id, base counts, base_failed, n_left (words outside removed lines), kept of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+        for piece in arrays.pieces(batches):
+            base, left, kept, _ = _verdict(piece, left_share)
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(base[c].astype(np.int64)) for c in names), pa.array(base["base_failed"]), pa.array(left), pa.array(kept)], names=["doc_id", *names, "base_failed", "n_left", "kept"])
+
+    return _joined(docs.select("doc_id", "source", "text"), line_docs, line_share).mapInArrow(run, JUDGED)
+
+
+def cleaned(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
+    """The rows of docs that are kept, all their columns, the text without its host's frequent lines."""
+    columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in arrays.pieces(batches):
-            text, n = piece.column("text"), piece.num_rows
-            base = measure(text)
-            own, key, _, words, number = normal_lines(text)
-            gone = np.zeros(len(own), bool)
-            codes = pc.dictionary_encode(pc.fill_null(pc.binary_join_element_wise(pc.fill_null(piece.column("source"), "\0null"), "", ""), ""))
-            at = np.asarray(codes.indices)
-            for h in range(len(codes.dictionary)):
-                rows = np.flatnonzero(at == h)
-                bad = piece.column("lines")[int(rows[0])].as_py()
-                if bad:
-                    mine = at[own] == h
-                    gone |= mine & np.isin(key.view(np.int64), np.array(bad, np.int64))
-            left = base["n_words"] - np.bincount(own, words * gone, minlength=n).astype(np.int64)
-            failed = (base["n_words"] < LEAST_WORDS) | (100 * base["n_repeat_words"] > MOST_REPEATED * base["n_words"])
-            depleted = left < left_share * base["n_words"]
-            touched = np.bincount(own[gone], minlength=n) > 0
-            texts = pa.nulls(n, pa.string())
-            if with_text:
-                cut: dict[int, set[int]] = {}
-                for o, k in zip(own[gone].tolist(), number[gone].tolist()):
-                    cut.setdefault(o, set()).add(k)
-                texts = pa.array(["\n".join(x for j, x in enumerate(t.split("\n")) if j not in cut[k]) if k in cut else t for k, t in enumerate(text.to_pylist())], pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), piece.column("source"), *(pa.array(base[c].astype(np.int64)) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(failed), pa.array(left), pa.array(~failed & ~depleted), texts, pa.array(touched)],
-                names=["doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left", "kept", "text", "changed"],
-            )
-
-    out = joined.mapInArrow(run, JUDGED)
-    return out if with_text else out.drop("text")
+            _, _, kept, cut = _verdict(piece, left_share)
+            texts = piece.column("text").to_pylist()
+            for k, lines in cut.items():
+                texts[k] = "\n".join(x for j, x in enumerate(texts[k].split("\n")) if j not in lines)
+            piece = piece.set_column(piece.schema.names.index("text"), "text", pa.array(texts, pa.string()))
+            yield piece.select(columns).filter(pa.array(kept))
+
+    return _joined(docs, line_docs, line_share).mapInArrow(run, docs.schema)
