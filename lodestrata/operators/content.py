@@ -1,0 +1,63 @@
+"""Full text: tokens, BM25, snippets, and what can be indexed."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+K1, B = 1.2, 0.75
+TOKEN_BYTES = 40
+
+
+def tokens(texts: DataFrame, key: str = "path") -> DataFrame:
+    """key, term, tf: runs of letters and digits in lower case, without those over 40 bytes."""
+    words = F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & (F.octet_length(w) <= TOKEN_BYTES))
+    return texts.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def bm25(postings: DataFrame, terms: list[str], key: str = "path", only: DataFrame | None = None) -> DataFrame:
+    """key, score of the texts with any of the terms; ``only`` (key) restricts the hits, not the statistics."""
+    length = postings.groupBy(key).agg(F.sum("tf").alias("dl"))
+    corpus = length.agg(F.count("*").alias("n_texts"), F.avg("dl").alias("avgdl"))
+    hits = postings.where(F.col("term").isin(terms))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    if only is not None:
+        hits = hits.join(only, key, "left_semi")
+    rows = hits.join(F.broadcast(df), "term").join(length, key).join(F.broadcast(corpus))  # a row for each term, and one row
+    idf = F.log(1 + (F.col("n_texts") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return rows.groupBy(key).agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def snippet(text: Column, terms: list[str], around: int = 5) -> Column:
+    """start_line, lines, highlight line and 1-based byte columns (end exclusive) of the first line with the first term found."""
+    lines = F.split(F.regexp_replace(text, "\n$", ""), "\n")
+    low = F.transform(lines, F.lower)
+    at = F.coalesce(*(F.nullif(F.array_position(F.transform(low, lambda x, t=t: x.contains(t)), True), F.lit(0)) for t in terms))
+    start = F.greatest(at - around, F.lit(1))
+    line = F.element_at(low, at.cast("int"))
+    term = reduce(lambda a, t: F.when(line.contains(t), F.lit(t)).otherwise(a), reversed(terms), F.lit(None).cast("string"))
+    column = F.octet_length(F.split_part(line, term, F.lit(1))) + 1
+    return F.when(at.isNotNull(), F.struct(start.cast("long").alias("start_line"), F.slice(lines, start.cast("int"), (F.least(at + around, F.size(lines)) - start + 1).cast("int")).alias("lines"), at.cast("long").alias("line"), column.cast("long").alias("start_column"), (column + F.octet_length(term)).cast("long").alias("end_column")))
+
+
+#: Kinds of files whose text is not extracted.
+OPAQUE = ("pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "odt", "ods", "odp")
+
+
+def extract_state(kind: Column, extension: Column, size: Column, content: Column, most: int) -> Column:
+    """State of a file's text: unsupported, skipped_too_large, skipped_binary or indexed."""
+    binary = content.contains(F.lit("\0"))
+    return F.when((kind != "file") | extension.isin(*OPAQUE), "unsupported").when(size > most, "skipped_too_large").when(binary, "skipped_binary").otherwise("indexed")
+
+
+def newest(rows: DataFrame, key: str, at: str, n: int) -> DataFrame:
+    """The n newest distinct keys with their last time."""
+    return rows.groupBy(key).agg(F.max(at).alias(at)).orderBy(F.desc(at), key).limit(n)
+
+
+def first_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """One row for each key, the first in order."""
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
