@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Text bytes handled at once inside a task; bounds a Python worker's memory.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 #: The ASCII white space of the word pattern [^\x20\x09-\x0D]+.
 SPACES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)
@@ -118,3 +120,23 @@ def ramps(lengths: np.ndarray) -> np.ndarray:
     """0..length-1 for each length, one after the other."""
     total = int(lengths.sum())
     return np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def packed_texts(rows: DataFrame, key: str = "id") -> DataFrame:
+    """key and ``packed``, the text deflated: what is shuffled where texts have to move."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            yield pa.RecordBatch.from_arrays([piece.column(key), pa.array([zlib.compress((t or "").encode(), 1) for t in piece.column("text").to_pylist()], pa.binary())], names=[key, "packed"])
+
+    return rows.select(key, "text").mapInArrow(run, f"{key} long, packed binary")
+
+
+def unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces with the column ``raw``, the inflated bytes, instead of ``packed``."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 256):
+            part = batch.slice(a, 256)
+            at = part.schema.names.index("packed")
+            raw = pa.array([zlib.decompress(p) for p in part.column(at).to_pylist()], pa.binary())
+            yield from pieces([part.set_column(at, "raw", raw)], "raw")

@@ -28,7 +28,6 @@ their text, and rows alike in both count as one document; a null doc_id comes fi
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,48 +43,60 @@ LENGTH = 100
 #: Bytes of a gram.
 GRAM = 32
 #: Anchors for which a bucket is made, on average.
-BUCKET_ANCHORS = 400_000
+BUCKET_ANCHORS = 150_000
 #: Occurrences, over all and within PIECE_BYTES, from which on a gram is famous.
-FAMOUS, FAMOUS_HERE = 1024, 64
+FAMOUS, FAMOUS_HERE = 1 << 16, 1 << 10
 #: Segment bytes that are sorted together.
 SORT_BYTES = 1 << 20
+#: Bytes whose anchors are found at once.
+BLOCK = 1 << 16
 NULL_ID = -(1 << 63)
 
 
 # ---------------------------------------------------------------- anchors
 
 
-def anchors(data: np.ndarray, off: np.ndarray, prefix: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Position and gram hash of every anchor, and the first and last window that own it.
 
-    A window is named by its first byte. Windows never cross texts.
+    A window is named by its first byte. Windows never cross texts. Bytes are taken in
+    blocks, so that memory doesn't grow with a text.
     """
+    parts = []
+    for a in range(0, max(len(data) - length + 1, 0), BLOCK):
+        position, value, first, last = _block_anchors(data[a : a + BLOCK + length - 1], off, a, length)
+        if parts and len(position) and parts[-1][0][-1] == position[0] and parts[-1][3][-1] == first[0] - 1:
+            parts[-1][3][-1] = last[0]  # a run that goes on from the block before
+            position, value, first, last = position[1:], value[1:], first[1:], last[1:]
+        if len(position):
+            parts.append((position, value, first, last))
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _block_anchors(data: np.ndarray, off: np.ndarray, base: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n, reach = len(data), length - GRAM + 1
-    empty = np.zeros(0, np.int64)
-    if n < length:
-        return empty, np.zeros(0, np.uint64), empty, empty
-    at = np.arange(n - GRAM + 1)
-    value = arrays.mix(arrays.span_hash(prefix, at, at + GRAM))
+    prefix = arrays.prefix_hash(data)
+    _, down = arrays.powers(n + 1)
+    value = arrays.mix((prefix[GRAM:] - prefix[:-GRAM]) * down[: n - GRAM + 1])
     # least value and its leftmost place over windows of 1, 2, 4, ... grams, then of ``reach``
-    low, place, width = value.copy(), at.astype(np.int32), 1
+    low, place, width = value, np.arange(len(value), dtype=np.int32), 1
     while 2 * width <= reach:
         low, place = _lower(low[:-width], place[:-width], low[width:], place[width:])
         width *= 2
     rest = reach - width
     if rest:
         low, place = _lower(low[:-rest], place[:-rest], low[rest:], place[rest:])
-    starts = np.arange(n - length + 1)
-    own = arrays.owner(off, starts)
-    good = starts + length <= off[1:][own]
+    starts = np.arange(base, base + n - length + 1)
+    good = starts + length <= off[1:][np.minimum(arrays.owner(off, starts), len(off) - 2)]
     starts, place = starts[good], place[: n - length + 1][good]
-    if not len(starts):
-        return empty, np.zeros(0, np.uint64), empty, empty
     new = np.ones(len(starts), bool)
     new[1:] = (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(starts)) - 1
+    last = np.append(first[1:], len(starts)) - 1 if len(first) else first
     position = place[first].astype(np.int64)
-    return position, value[position], starts[first], starts[last]
+    return position + base, value[position], starts[first], starts[last]
 
 
 def _lower(a: np.ndarray, pa_: np.ndarray, b: np.ndarray, pb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,26 +232,6 @@ _SPANS = pa.schema([("id", pa.int64()), ("starts", pa.binary()), ("ends", pa.bin
 _GRAM_TYPES = "bucket long, hashes binary, docs binary, sizes binary, places binary, fame binary"
 
 
-def packed_texts(rows: DataFrame) -> DataFrame:
-    """id and the text, deflated: what is shuffled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in arrays.pieces(batches):
-            yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array([zlib.compress(t.encode(), 1) for t in piece.column("text").to_pylist()], pa.binary())], names=["id", "packed"])
-
-    return rows.select("id", "text").mapInArrow(run, "id long, packed binary")
-
-
-def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces with the column ``raw``, the inflated bytes, instead of ``packed``."""
-    for batch in batches:
-        for a in range(0, batch.num_rows, 512):
-            part = batch.slice(a, 512)
-            at = part.schema.names.index("packed")
-            raw = pa.array([None if p is None else zlib.decompress(p) for p in part.column(at).to_pylist()], pa.binary())
-            yield from arrays.pieces([part.set_column(at, "raw", raw)], "raw")
-
-
 def gram_rows(rows: DataFrame, length: int, buckets: int, here: int = FAMOUS_HERE) -> DataFrame:
     """Step 1, in each task: for each bucket the hashes of anchors and where they stand.
 
@@ -252,7 +243,7 @@ def gram_rows(rows: DataFrame, length: int, buckets: int, here: int = FAMOUS_HER
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in arrays.pieces(batches):
             data, off = arrays.utf8(piece.column("text"))
-            position, value, _, _ = anchors(data, off, arrays.prefix_hash(data), length)
+            position, value, _, _ = anchors(data, off, length)
             own = arrays.owner(off, position)
             number = np.arange(len(own)) - np.searchsorted(own, own)
             order = np.argsort(value, kind="stable")
@@ -272,7 +263,7 @@ def gram_rows(rows: DataFrame, length: int, buckets: int, here: int = FAMOUS_HER
             by = np.lexsort((ids[own[sent]], bucket))
             sent, bucket = sent[by], bucket[by]
             low = value[sent].view(np.uint8).reshape(-1, 8)[:, :6]
-            near, few = number[sent].astype(np.int32), np.minimum(fame[sent], here).astype(np.uint8)
+            near, few = number[sent].astype(np.int32), np.minimum(fame[sent], here).astype(np.uint16)
             for a, n in zip(*(x.tolist() for x in arrays.runs(bucket))):
                 part = slice(a, a + n)
                 heads, sizes = arrays.runs(own[sent[part]])
@@ -299,7 +290,7 @@ def repeated_anchors(grams: DataFrame, buckets: int, over_all: int = FAMOUS, her
                 hashes.append(low.view(np.uint64)[:, 0] ^ np.uint64(bucket << 48 & (1 << 64) - 1))
                 owners.append(np.repeat(np.frombuffer(d, np.int64), np.frombuffer(s, np.int32)))
                 places.append(np.frombuffer(p, np.int32))
-                fames.append(np.frombuffer(f, np.uint8))
+                fames.append(np.frombuffer(f, np.uint16))
             if known:
                 yield _batch(known, _ANSWERS)
         if not hashes:
@@ -326,11 +317,11 @@ def segments(marked: DataFrame, length: int) -> DataFrame:
     """Step 2: key, id, start, windows, bytes of the marked anchors' segments; without key and bytes, runs that go already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in unpacked(batches):
+        for piece in arrays.unpacked(batches):
             piece = piece.take(pa.compute.sort_indices(piece.column("id")))
             data, off = arrays.utf8(piece.column("raw"))
             prefix = arrays.prefix_hash(data)
-            position, value, low, high = anchors(data, off, prefix, length)
+            position, value, low, high = anchors(data, off, length)
             begin = np.searchsorted(arrays.owner(off, position), np.arange(piece.num_rows))
             chosen, flags = [], []
             for k, (places, famous) in enumerate(zip(piece.column("places").to_pylist(), piece.column("famous").to_pylist())):
@@ -487,7 +478,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, doubled: bool = False,
     buckets = max(rows.sparkSession.sparkContext.defaultParallelism, int(2 * total / (length - GRAM + 2) / BUCKET_ANCHORS) + 1)
     answers = repeated_anchors(gram_rows(texts, length, buckets, famous[1]), buckets, *famous)
     told = answers.groupBy("id").agg(F.collect_list("places").alias("places"), F.collect_list("famous").alias("famous")).join(copies, "id", "left_anti")
-    marked = packed_texts(texts).join(told, "id").select("id", "packed", "places", "famous")
+    marked = arrays.packed_texts(texts).join(told, "id").select("id", "packed", "places", "famous")
     spans = removed(segments(marked, length), length)
     spans = spans.groupBy("id").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends")).withColumn("copy", F.lit(False))
     none = F.array().cast("array<binary>")
@@ -513,14 +504,14 @@ def report(docs: DataFrame, length: int = LENGTH, famous: tuple[int, int] = (FAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-        for piece in unpacked(batches):
+        for piece in arrays.unpacked(batches):
             out = []
             for doc, raw, copy, starts, ends in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "raw", "copy", "starts", "ends"))):
                 a, b = _cut(len(raw), copy, starts, ends)
                 out.append((doc, len(raw), int((b - a).sum()), len(a), hashlib.sha256(_left(raw, a, b)).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    packed = packed_texts(rows)
+    packed = arrays.packed_texts(rows)
     if doubled:
         packed = packed.withColumnRenamed("id", "new").join(rows.select(F.col("id").alias("new"), "doc_id").distinct(), "new").withColumnRenamed("new", "id")
     else:
