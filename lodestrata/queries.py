@@ -327,13 +327,13 @@ def content_in_dir(spark, sf):
 
 @query(
     r"""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS lines FROM documents),
-a AS (SELECT doc_id, lines, list_position(list_transform(lines, lambda x: contains(lower(x), 'idiot')), true) AS at FROM l)
-SELECT doc_id, greatest(at - 5, 1)::BIGINT AS start_line, lines[greatest(at - 5, 1):least(at + 5, len(lines))] AS lines, at::BIGINT AS line,
-       (strlen(string_split(lower(lines[at]), 'idiot')[1]) + 1)::BIGINT AS start_column, (strlen(string_split(lower(lines[at]), 'idiot')[1]) + 6)::BIGINT AS end_column
-FROM a WHERE at > 0"""
+a AS (SELECT doc_id, lines, list_position(list_transform(lines, lambda x: contains(lower(x), 'idiot')), true) AS pos FROM l)
+SELECT doc_id, greatest(pos - 5, 1)::BIGINT AS start_line, array_to_string(lines[greatest(pos - 5, 1):least(pos + 5, len(lines))], chr(10)) AS lines, pos::BIGINT AS line,
+       (strlen(string_split(lower(lines[pos]), 'idiot')[1]) + 1)::BIGINT AS start_column, (strlen(string_split(lower(lines[pos]), 'idiot')[1]) + 6)::BIGINT AS end_column
+FROM a WHERE pos > 0"""
 )
 def snippet_line(spark, sf):
-    return texts(spark, sf).select("doc_id", content.snippet(F.col("content"), ["idiot"]).alias("s")).where("s is not null").select("doc_id", "s.*")
+    return texts(spark, sf).select("doc_id", content.snippet(F.col("content"), ["idiot"]).alias("s")).where("s is not null").select("doc_id", "s.*").withColumn("lines", F.array_join("lines", "\n"))
 
 
 @query(entries.DOCUMENTS_SQL + " SELECT CASE WHEN kind != 'file' OR extension = 'pdf' THEN 'unsupported' WHEN size_bytes > 5000 THEN 'skipped_too_large' ELSE 'indexed' END AS state, count(*)::BIGINT AS n FROM entries GROUP BY 1")
