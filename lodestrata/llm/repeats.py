@@ -525,6 +525,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # other columns wait under names that no step uses
     others = {c: f"__{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
     docs_in = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(a) for c, a in others.items()))
+    columns = docs_in.columns
     rows, doubled = numbered(docs_in)
     spans = written(repeated_spans(rows.select("id", F.coalesce("text", F.lit("")).alias("text")), length, doubled), "spans")
 
@@ -543,7 +544,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     text = _left(raw, start, end).decode()
                 texts.append(text)
             at = piece.schema.names.index("text")
-            yield piece.set_column(at, "text", pa.array(texts, pa.string())).select(docs_in.columns)
+            yield piece.set_column(at, "text", pa.array(texts, pa.string())).select(columns)
 
-    joined = rows.join(spans.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left").select(*docs_in.columns, "copy", "starts", "ends")
+    joined = rows.join(spans.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left").select(*columns, "copy", "starts", "ends")
     return joined.mapInArrow(run, docs_in.schema).select(*(F.col(others.get(c, c)).alias(c) for c in docs.columns))
