@@ -35,7 +35,11 @@ def snippet(text: Column, terms: list[str], around: int = 5) -> Column:
     """start_line, lines, highlight line and 1-based byte columns (end exclusive) of the first line with the first term found."""
     lines = F.split(F.regexp_replace(text, "\n$", ""), "\n")
     low = F.transform(lines, F.lower)
-    at = F.coalesce(*(F.nullif(F.array_position(F.transform(low, lambda x, t=t: x.contains(t)), True), F.lit(0)) for t in terms))
+
+    def first(term: str) -> Column:
+        return F.nullif(F.array_position(F.transform(low, lambda x: x.contains(term)), True), F.lit(0))
+
+    at = F.coalesce(*map(first, terms))
     start = F.greatest(at - around, F.lit(1))
     line = F.element_at(low, at.cast("int"))
     term = reduce(lambda a, t: F.when(line.contains(t), F.lit(t)).otherwise(a), reversed(terms), F.lit(None).cast("string"))
