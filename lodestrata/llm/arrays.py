@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 #: Text bytes handled at once inside a task; bounds a Python worker's memory.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
+#: Rows of an Arrow batch where the session doesn't say; Spark's own default is for narrow rows.
+BATCH_ROWS, DEFAULT_ROWS = 1000, "10000"
 
 #: The ASCII white space of the word pattern [^\x20\x09-\x0D]+.
 SPACES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)
@@ -27,6 +30,14 @@ _MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_2 = np.uint64(0x94D049BB133111EB)
 
 
+def mapped(rows: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow with batches that are small enough for rows of whole texts."""
+    conf = rows.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == DEFAULT_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return rows.mapInArrow(function, schema)
+
+
 def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose text is about ``limit`` bytes; a longer text stands alone."""
     for batch in batches:
@@ -129,14 +140,14 @@ def packed_texts(rows: DataFrame, key: str = "id") -> DataFrame:
         for piece in pieces(batches):
             yield pa.RecordBatch.from_arrays([piece.column(key), pa.array([zlib.compress((t or "").encode(), 1) for t in piece.column("text").to_pylist()], pa.binary())], names=[key, "packed"])
 
-    return rows.select(key, "text").mapInArrow(run, f"{key} long, packed binary")
+    return mapped(rows.select(key, "text"), run, f"{key} long, packed binary")
 
 
-def unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def unpacked(batches: Iterable[pa.RecordBatch], limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Pieces with the column ``raw``, the inflated bytes, instead of ``packed``."""
     for batch in batches:
         for a in range(0, batch.num_rows, 256):
             part = batch.slice(a, 256)
             at = part.schema.names.index("packed")
             raw = pa.array([zlib.decompress(p) for p in part.column(at).to_pylist()], pa.binary())
-            yield from pieces([part.set_column(at, "raw", raw)], "raw")
+            yield from pieces([part.set_column(at, "raw", raw)], "raw", limit)

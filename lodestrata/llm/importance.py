@@ -62,7 +62,7 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
 
     out = np.zeros(BUCKETS, np.int64)
-    for r in texts.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in texts.select("text").transform(arrays.mapped, count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r["bucket"]] = r["n"]
     return out
 
@@ -84,7 +84,7 @@ def weighted(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
             n = np.bincount(own, minlength=piece.num_rows)
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(REFERENCE * total / np.maximum(n, 1))], names=["doc_id", "log_weight"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, log_weight double")
+    return docs.select("doc_id", "text").transform(arrays.mapped, run, "doc_id long, log_weight double")
 
 
 def gumbel(seed: int) -> Column:

@@ -91,7 +91,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
         for lang, (code, n) in seen.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
-    return rows.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.select("text", "lang").transform(arrays.mapped, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -170,7 +170,7 @@ def predict(docs: DataFrame, filters: Filters | None) -> DataFrame:
             names = [model.languages[b] if a else UNKNOWN for a, b in zip(letter.tolist(), best.tolist())]
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(names, pa.string()), pa.array(np.where(letter, score, 0.0))], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PREDICTED)
+    return docs.select("doc_id", "text").transform(arrays.mapped, run, PREDICTED)
 
 
 def identify(docs: DataFrame, folds: int = 5) -> DataFrame:

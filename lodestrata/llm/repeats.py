@@ -44,7 +44,9 @@ LENGTH = 100
 GRAM = 32
 #: Anchors for which a bucket is made, on average.
 BUCKET_ANCHORS = 150_000
-#: Occurrences, over all and within PIECE_BYTES, from which on a gram is famous.
+#: Text bytes within which strings are told apart before they are sent.
+NEAR_BYTES = 2 << 20
+#: Occurrences, over all and within NEAR_BYTES, from which on a gram is famous.
 FAMOUS, FAMOUS_HERE = 1 << 16, 1 << 10
 #: Segment bytes that are sorted together.
 SORT_BYTES = 1 << 20
@@ -241,7 +243,7 @@ def gram_rows(rows: DataFrame, length: int, buckets: int, here: int = FAMOUS_HER
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in arrays.pieces(batches):
+        for piece in arrays.pieces(batches, limit=NEAR_BYTES):
             data, off = arrays.utf8(piece.column("text"))
             position, value, _, _ = anchors(data, off, length)
             own = arrays.owner(off, position)
@@ -271,7 +273,7 @@ def gram_rows(rows: DataFrame, length: int, buckets: int, here: int = FAMOUS_HER
             for a in range(0, len(out), 2048):
                 yield _batch(out[a : a + 2048], _GRAMS)
 
-    return rows.select("id", "text").mapInArrow(run, _GRAM_TYPES)
+    return rows.select("id", "text").transform(arrays.mapped, run, _GRAM_TYPES)
 
 
 def repeated_anchors(grams: DataFrame, buckets: int, over_all: int = FAMOUS, here: int = FAMOUS_HERE) -> DataFrame:
@@ -310,14 +312,14 @@ def repeated_anchors(grams: DataFrame, buckets: int, over_all: int = FAMOUS, her
             part = edges[x : x + 4097]
             yield _batch([(int(owner[at[a]]), place[at[a:b]].tobytes(), famous[a:b].tobytes()) for a, b in zip(part, part[1:])], _ANSWERS)
 
-    return grams.repartition(buckets, F.coalesce("bucket", F.xxhash64("docs"))).mapInArrow(run, "id long, places binary, famous binary")
+    return grams.repartition(buckets, F.coalesce("bucket", F.xxhash64("docs"))).transform(arrays.mapped, run, "id long, places binary, famous binary")
 
 
 def segments(marked: DataFrame, length: int) -> DataFrame:
     """Step 2: key, id, start, windows, bytes of the marked anchors' segments; without key and bytes, runs that go already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in arrays.unpacked(batches):
+        for piece in arrays.unpacked(batches, NEAR_BYTES):
             piece = piece.take(pa.compute.sort_indices(piece.column("id")))
             data, off = arrays.utf8(piece.column("raw"))
             prefix = arrays.prefix_hash(data)
@@ -361,7 +363,7 @@ def segments(marked: DataFrame, length: int) -> DataFrame:
                 raw = data[np.repeat(start[k], size[k]) + arrays.ramps(size[k])]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[k]), pa.array(ids[k]), pa.array(place[k]), pa.array(windows[k].astype(np.int32)), _binary(raw, size[k])], names=names)
 
-    return marked.mapInArrow(run, "key long, id long, start int, windows int, bytes binary")
+    return marked.transform(arrays.mapped, run, "key long, id long, start int, windows int, bytes binary")
 
 
 def resolve(key: np.ndarray, windows: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -446,7 +448,7 @@ def removed(found: DataFrame, length: int) -> DataFrame:
             yield from solve(held)
 
     placed = found.repartition(F.coalesce("key", F.xxhash64("id", "start"))).sortWithinPartitions("key", "id", "start")
-    return placed.mapInArrow(run, "id long, starts binary, ends binary")
+    return placed.transform(arrays.mapped, run, "id long, starts binary, ends binary")
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
@@ -517,7 +519,7 @@ def report(docs: DataFrame, length: int = LENGTH, famous: tuple[int, int] = (FAM
     else:
         packed = packed.withColumn("doc_id", F.when(F.col("id") != NULL_ID, F.col("id")))
     joined = packed.join(spans, "id", "left").select("doc_id", "packed", "copy", "starts", "ends")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.transform(arrays.mapped, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -547,4 +549,4 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield piece.set_column(at, "text", pa.array(texts, pa.string())).select(columns)
 
     joined = rows.join(spans.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left").select(*columns, "copy", "starts", "ends")
-    return joined.mapInArrow(run, docs_in.schema).select(*(F.col(others.get(c, c)).alias(c) for c in docs.columns))
+    return joined.transform(arrays.mapped, run, docs_in.schema).select(*(F.col(others.get(c, c)).alias(c) for c in docs.columns))

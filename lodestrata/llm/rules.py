@@ -163,7 +163,7 @@ def line_evidence(docs: DataFrame) -> DataFrame:
             family = other_longest(own, key, length)
             yield pa.RecordBatch.from_arrays([piece.column("source").take(pa.array(own)), pa.array(key.view(np.int64)), pa.array(family.view(np.int64))], names=["host", "line", "family"])
 
-    return docs.select("text", "source").mapInArrow(run, LINES)
+    return docs.select("text", "source").transform(arrays.mapped, run, LINES)
 
 
 def frequent_lines(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
@@ -219,7 +219,7 @@ def judge(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_
             base, left, kept, _ = _verdict(piece, left_share)
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(base[c].astype(np.int64)) for c in names), pa.array(base["base_failed"]), pa.array(left), pa.array(kept)], names=["doc_id", *names, "base_failed", "n_left", "kept"])
 
-    return _joined(docs.select("doc_id", "source", "text"), line_docs, line_share).mapInArrow(run, JUDGED)
+    return _joined(docs.select("doc_id", "source", "text"), line_docs, line_share).transform(arrays.mapped, run, JUDGED)
 
 
 def cleaned(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
@@ -235,4 +235,4 @@ def cleaned(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LIN
             piece = piece.set_column(piece.schema.names.index("text"), "text", pa.array(texts, pa.string()))
             yield piece.select(columns).filter(pa.array(kept))
 
-    return _joined(docs, line_docs, line_share).mapInArrow(run, docs.schema)
+    return _joined(docs, line_docs, line_share).transform(arrays.mapped, run, docs.schema)

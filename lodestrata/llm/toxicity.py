@@ -231,7 +231,7 @@ def _families(rows: DataFrame) -> DataFrame:
             key = [min((zlib.crc32(w.encode()) for w in set(_WORDS.findall((t or "").lower())) if len(w) > 5), default=0) for t in piece.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([piece.column("text"), piece.column("toxic"), pa.array(key, pa.int64())], names=["text", "toxic", "family"])
 
-    return rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(family, "text string, toxic int, family long").dropDuplicates(["family", "toxic"])
+    return rows.select("text", F.col("toxic").cast("int").alias("toxic")).transform(arrays.mapped, family, "text string, toxic int, family long").dropDuplicates(["family", "toxic"])
 
 
 def train(docs: DataFrame, labels: DataFrame, terms: int = TERMS) -> Model | None:
@@ -253,7 +253,7 @@ def train(docs: DataFrame, labels: DataFrame, terms: int = TERMS) -> Model | Non
                     found[w][toxic == 1] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([v[1] for v in found.values()], pa.int64()), pa.array([v[0] for v in found.values()], pa.int64())], names=["word", "toxic", "clean"])
 
-    words = rows.mapInArrow(per_word, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    words = rows.transform(arrays.mapped, per_word, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     rate = F.col("toxic") / n_toxic
     precise = rate / (rate + F.col("clean") / n_clean) >= LEAST_PRECISION
     least = max(LEAST_SHARE * n_toxic, math.log(CHANCE) / math.log((n_toxic + n_clean) / n_toxic))
@@ -287,7 +287,7 @@ def train(docs: DataFrame, labels: DataFrame, terms: int = TERMS) -> Model | Non
         keys = list(found)
         yield pa.RecordBatch.from_arrays([pa.array([k[0].decode(errors="replace") for k in keys], pa.string()), *(pa.array([k[j] for k in keys], pa.int64()) for j in (1, 2)), *(pa.array([found[k][j] for k in keys], pa.int64()) for j in (1, 0))], names=["form", "term", "distance", "toxic", "clean"])
 
-    forms = rows.mapInArrow(per_form, "form string, term long, distance long, toxic long, clean long").groupBy("form", "term", "distance").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    forms = rows.transform(arrays.mapped, per_form, "form string, term long, distance long, toxic long, clean long").groupBy("form", "term", "distance").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # forms are words within the automaton's reach of TERMS terms; the most frequent are kept one by one
     known = forms.orderBy(F.desc(F.col("toxic") + F.col("clean")), "form", "term").limit(1 << 16).collect()
     balance = n_clean / n_toxic
@@ -325,7 +325,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 n[own] += 1
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(1 - left), pa.array(n)], names=["doc_id", "score", "n_hits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCORED)
+    return docs.select("doc_id", "text").transform(arrays.mapped, run, SCORED)
 
 
 def detect(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import arrays
+
 #: Compressed bytes after which an archive is closed.
 ARCHIVE_BYTES = 8 << 20
 READ_BYTES = 64 << 10
@@ -94,7 +96,7 @@ def write_archives(pages: DataFrame, least: int = 0) -> DataFrame:
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["content"])
 
-    return joined.select("page_id", "url", "html", refers.alias("refers")).mapInArrow(write, "content binary")
+    return joined.select("page_id", "url", "html", refers.alias("refers")).transform(arrays.mapped, write, "content binary")
 
 
 def members(content: bytes) -> Iterator[bytes]:
@@ -154,4 +156,4 @@ def read_archives(archives: DataFrame, keep_payload: bool = True) -> DataFrame:
                 for a in range(0, len(rows), 512):
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a : a + 512]), kinds)], names=names)
 
-    return archives.select("content").mapInArrow(read, RECORDS)
+    return archives.select("content").transform(arrays.mapped, read, RECORDS)
