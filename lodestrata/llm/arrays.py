@@ -133,11 +133,43 @@ def ramps(lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def packed_texts(rows: DataFrame, key: str = "id") -> DataFrame:
-    """key and ``packed``, the text deflated: what is shuffled where texts have to move."""
+#: Bits of an id filter at most (4 MB); a fuller one only lets more rows through.
+FILTER_BITS = 1 << 25
+
+
+class IdFilter:
+    """A Bloom filter of ids: two bits each, about eight bits of room for each id up to FILTER_BITS."""
+
+    def __init__(self, ids: DataFrame, column: str):
+        self.bits = max(1 << 10, min(FILTER_BITS, 1 << (8 * ids.count() - 1).bit_length())) if not ids.isEmpty() else 1 << 10
+
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = np.unique(np.concatenate(self.places(batch.column(0))))
+                yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.left_shift(1, at & 31))], names=["word", "bit"])
+
+        words = ids.select(column).transform(mapped, places, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+        self.words = np.zeros(self.bits >> 5, np.uint32)
+        self.words[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+
+    def places(self, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        spread = mix(np.asarray(ids.cast(pa.int64()).fill_null(0)).view(np.uint64) + BASE)
+        return tuple((spread >> np.uint64(k) & np.uint64(self.bits - 1)).astype(np.int64) for k in (0, 32))
+
+    def has(self, ids: pa.Array) -> np.ndarray:
+        """Whether each id may be in it; never false for one that is."""
+        one, two = self.places(ids)
+        return (self.words[one >> 5] >> (one & 31).astype(np.uint32) & self.words[two >> 5] >> (two & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+
+def packed_texts(rows: DataFrame, key: str = "id", among: IdFilter | None = None) -> DataFrame:
+    """key and ``packed``, the text deflated: what is shuffled where texts have to move; ``among`` leaves out most rows that a join on the key would drop."""
+    shipped = among and rows.sparkSession.sparkContext.broadcast(among)  # FILTER_BITS at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
+            if shipped:
+                piece = piece.filter(pa.array(shipped.value.has(piece.column(key))))
             yield pa.RecordBatch.from_arrays([piece.column(key), pa.array([zlib.compress((t or "").encode(), 1) for t in piece.column("text").to_pylist()], pa.binary())], names=[key, "packed"])
 
     return mapped(rows.select(key, "text"), run, f"{key} long, packed binary")
