@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Text bytes handled at once inside a task; bounds a Python worker's memory.
@@ -141,7 +142,7 @@ class IdFilter:
     """A Bloom filter of ids: two bits each, about eight bits of room for each id up to FILTER_BITS."""
 
     def __init__(self, ids: DataFrame, column: str):
-        self.bits = max(1 << 10, min(FILTER_BITS, 1 << (8 * ids.count() - 1).bit_length())) if not ids.isEmpty() else 1 << 10
+        self.bits = max(1 << 10, min(FILTER_BITS, 1 << (8 * ids.count()).bit_length()))
 
         def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
