@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Text bytes handled at once inside a task; bounds a Python worker's memory.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 #: Rows of an Arrow batch where the session doesn't say; Spark's own default is for narrow rows.
 BATCH_ROWS, DEFAULT_ROWS = 1000, "10000"
 
@@ -31,12 +32,29 @@ _MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_2 = np.uint64(0x94D049BB133111EB)
 
 
+#: Blocks of at least so many bytes go back to the system when they are freed, and don't stay with a Python worker.
+RETURNED_BYTES = 1 << 20
+
+
+def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function in a worker that gives freed memory back (where the C library has mallopt)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+        if mallopt:
+            mallopt(-3, RETURNED_BYTES)  # M_MMAP_THRESHOLD
+        yield from function(batches)
+
+    return run
+
+
 def mapped(rows: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with batches that are small enough for rows of whole texts."""
     conf = rows.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == DEFAULT_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return rows.mapInArrow(function, schema)
+    return rows.mapInArrow(lean(function), schema)
 
 
 def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -109,8 +127,10 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     """P with P[i] = sum of (data[j] + 1) * BASE**j over j < i: the prefix polynomial hashes."""
     up, _ = powers(len(data))
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=out[1:])
-    return out
+    out[1:] = data
+    out[1:] += np.uint64(1)
+    out[1:] *= up
+    return np.cumsum(out, out=out)
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

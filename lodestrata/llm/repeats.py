@@ -49,7 +49,9 @@ NEAR_BYTES = 2 << 20
 #: Occurrences, over all and within NEAR_BYTES, from which on a gram is famous.
 FAMOUS, FAMOUS_HERE = 1 << 16, 1 << 10
 #: Segment bytes that are sorted together.
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 19
+#: Segments whose bytes are gathered, or compared, at once.
+SENT_ROWS = 1 << 12
 #: Bytes whose anchors are found at once.
 BLOCK = 1 << 16
 NULL_ID = -(1 << 63)
@@ -175,11 +177,11 @@ def suffix_order(data: np.ndarray, prefix: np.ndarray, group: np.ndarray, start:
 def equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Whether data[a:a+n] is data[b:b+n], for each of the (positive) n."""
     out = np.ones(len(a), bool)
-    for k in range(0, len(a), 1 << 13):
-        size = n[k : k + (1 << 13)]
+    for k in range(0, len(a), SENT_ROWS):
+        size = n[k : k + SENT_ROWS]
         step = arrays.ramps(size)
-        differ = data[np.repeat(a[k : k + (1 << 13)], size) + step] != data[np.repeat(b[k : k + (1 << 13)], size) + step]
-        out[k : k + (1 << 13)] = np.add.reduceat(differ, np.cumsum(size) - size, dtype=np.int64) == 0
+        differ = data[np.repeat(a[k : k + SENT_ROWS], size) + step] != data[np.repeat(b[k : k + SENT_ROWS], size) + step]
+        out[k : k + SENT_ROWS] = np.add.reduceat(differ, np.cumsum(size) - size, dtype=np.int64) == 0
     return out
 
 
@@ -358,8 +360,8 @@ def segments(marked: DataFrame, length: int) -> DataFrame:
                 k = again[a : a + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int64()), pa.array(ids[k]), pa.array(place[k]), pa.array(windows[k].astype(np.int32)), pa.nulls(len(k), pa.binary())], names=names)
             sent = np.flatnonzero(sent)
-            for a in range(0, len(sent), 20_000):
-                k = sent[a : a + 20_000]
+            for a in range(0, len(sent), SENT_ROWS):
+                k = sent[a : a + SENT_ROWS]
                 raw = data[np.repeat(start[k], size[k]) + arrays.ramps(size[k])]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[k]), pa.array(ids[k]), pa.array(place[k]), pa.array(windows[k].astype(np.int32)), _binary(raw, size[k])], names=names)
 
