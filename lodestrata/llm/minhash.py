@@ -10,8 +10,10 @@ in pairs whose exact Jaccard similarity is computed, and links are closed to com
 Where a bucket still holds more than one component, the strays outside its least member's
 component get further rounds: each meets the bucket's first stray, and the first of the
 least member's component, in an order that differs between bands and rounds, so that it
-meets many members. Every round makes at most two pairs for each row of a bucket; a link
-is lost only where a document's few partners in a large group are never met.
+meets many members. Every round makes at most two pairs for each row of a bucket. What is
+left is settled exactly: members of buckets that still hold several components go through
+a prefix-filtered set join (``unmet``), which excludes a pair of different components only
+if its sets are too different for a link, and has all others verified.
 
 A class that is the centre of very many pairs is dealt to several groups. No task holds
 more than one pair of sets.
@@ -40,6 +42,10 @@ ROWS, BANDS = 6, 40
 ORDERS = BANDS
 #: Rounds in which strays meet others of their buckets.
 STRAY_ROUNDS = 2
+#: Counters that order the exact join's shingles from rare to frequent; any order is exact, this one is fast.
+COUNTERS = 1 << 18
+#: Postings of one shingle that a task joins with the others' at once; more are dealt to several tasks.
+POSTINGS = 4096
 #: Pairs of one centre that go to the same group.
 GROUP_PAIRS = 256
 #: Shingles whose coordinates are computed at once.
@@ -198,6 +204,76 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
 _SETS = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
 
 
+def _slots(sets: np.ndarray) -> np.ndarray:
+    return (arrays.mix(sets) & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def postings(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """e, id, root, n, pos, inside: the first shingles, rare before frequent, of each set of members (b, fb, root).
+
+    A set of n elements that has a link with one that is not larger shares one of its first
+    n - percent * n / 100 + 1 elements with it; with one that is not smaller, one of the yet
+    fewer that are ``inside``.
+    """
+    texts = arrays.packed_texts(docs, "doc_id", arrays.IdFilter(members, "b")).join(members, F.col("doc_id") == F.col("b"))
+    texts = written(texts.select("doc_id", "fb", "root", "packed"), "unsettled")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        for piece in arrays.unpacked(batches):
+            sets, bounds = shingles(piece.column("raw"), width)
+            good = fingerprints(sets, bounds)[0].view(np.int64) == np.asarray(piece.column("fb"))
+            size = np.diff(bounds)
+            yield sets[np.repeat(good, size)], size[good], np.asarray(piece.column("doc_id"))[good], np.asarray(piece.column("root"))[good]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for sets, *_ in read(batches):
+            total += np.bincount(_slots(sets), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+    counted = texts.transform(arrays.mapped, count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # COUNTERS rows at most
+    often = np.zeros(COUNTERS, np.int64)
+    often[counted["slot"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    shipped = docs.sparkSession.sparkContext.broadcast(often)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sets, size, ids, roots in read(batches):
+            own = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((sets, shipped.value[_slots(sets)], own))
+            pos = arrays.ramps(size)
+            first = size + percent * size // -100 + 1
+            inside = size + 2 * percent * size // -(100 + percent) + 1
+            at = np.flatnonzero(pos < first[own])
+            o = own[at]
+            columns = [sets[order[at]].view(np.int64), ids[o], roots[o], size[o], pos[at], pos[at] < inside[o]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["e", "id", "root", "n", "pos", "inside"])
+
+    return written(texts.transform(arrays.mapped, emit, "e long, id long, root long, n long, pos long, inside boolean"), "postings")
+
+
+def unmet(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: pairs of members of different components, all links among them.
+
+    Of a shingle's postings those of its most frequent component never meet each other; where
+    one is first in common, sizes and places bound what the sets share.
+    """
+    found = postings(docs, members, width, percent)
+    by_root = found.groupBy("e", "root").agg(F.count("*").alias("k"), F.max("inside").alias("some"))
+    heads = by_root.groupBy("e").agg(F.max(F.struct("k", "root")).alias("main"), F.sum("k").alias("total"), F.count("*").alias("roots"), F.max("some").alias("some")).where("roots > 1 and some")
+    heads = heads.select("e", F.col("main.root").alias("main_root"), F.ceil(F.col("total") / POSTINGS).cast("long").alias("parts"))
+    live = written(found.join(heads, "e").select("e", "id", "root", "n", "pos", "inside", "parts", (F.col("root") == F.col("main_root")).alias("main")), "postings")
+    dealt = live.withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+    each = live.where("not main").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    share = F.lit(100 + percent) * F.least(F.expr("x.n - x.pos"), F.expr("y.n - y.pos")) >= F.lit(percent) * F.expr("x.n + y.n")
+    ordered = F.expr(f"y.root != x.root and (y.n < x.n or (y.n = x.n and y.id < x.id)) and 100 * y.n >= {percent} * x.n")
+    out = []
+    for smaller, larger in ((each.where("inside"), dealt), (dealt.where("inside and main"), each)):
+        met = smaller.alias("y").join(larger.alias("x"), F.expr("y.e = x.e and y.part = x.part") & ordered & share)
+        out.append(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")))
+    return out[0].unionByName(out[1]).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; links are pairs with 100 * intersection >= percent * union."""
     sketches = written(sketch(docs, width), "sketches")
@@ -223,8 +299,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     # further rounds: strays of buckets that still hold several components
     met_before = shared.select("a", "b")
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     for turn in range(STRAY_ROUNDS):
-        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: B023, E731
         placed = shared.join(of("b"), "b", "left").join(of("a"), "a", "left")
         stray = F.coalesce("b_root", "b") != F.coalesce("a_root", "a")
         strays = placed.where(stray).select("bucket", "order", F.col("b").alias("x"), F.coalesce("b_root", "b").alias("x_root"))
@@ -243,6 +319,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             continue
         links = links.unionByName(extra)
         roots = written(components(links), "roots")
+
+    # the exact rest: buckets of several components, but for those of two, whose only pair has met
+    placed = shared.join(of("b"), "b", "left").select("bucket", "b", F.coalesce("b_root", "b").alias("root"))
+    open_ = placed.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("size")).where("r1 != r2 and size > 2")
+    unsettled = placed.join(open_.select("bucket"), "bucket", "left_semi").select("b", "root").distinct()
+    unsettled = written(unsettled.join(nodes.select("b", "fb"), "b"), "unsettled")
+    if not unsettled.isEmpty():
+        rest = written(unmet(docs, unsettled, width, percent).join(met_before, ["a", "b"], "left_anti"), "met")
+        extra = written(verified(docs, comparable(rest), width).where(is_link).select("a", "b"), "extra")
+        if not extra.isEmpty():
+            roots = written(components(links.unionByName(extra)), "roots")
     out = members.join(roots, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("root", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -75,6 +75,18 @@ def test_pair_that_shares_little_with_its_buckets_least_member(spark):
     assert out == {k: v[1] for k, v in brute.components(dict(rows), 2).items()}
 
 
+def test_pairs_among_many_texts_of_one_template(spark):
+    """Texts that share a template (0.75) fill the buckets; each template's only pair (0.81) shares no bucket but these."""
+    rows, want = [], {}
+    for g in range(8):
+        for k in range(302):
+            own = 14 if k < 300 else 10
+            rows.append((1000 * g + k, " ".join([f"t{g}x{i}" for i in range(85)] + [f"o{g}x{k}x{i}" for i in range(own)])))
+            want[1000 * g + k] = 1000 * g + min(k, 300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, 2).collect()} == want
+
+
 @pytest.mark.parametrize("famous", [(1 << 16, 1 << 10), (4, 3)])
 @pytest.mark.parametrize("which", ["edges", "sample"])
 def test_repeated_bytes(request, which, famous):
