@@ -4,11 +4,11 @@ Base counts come from whole texts: words are runs without ASCII white space; see
 ``measure``. The method's verdict works on lines. A line is normalised (lower case, runs
 of white space as one space, digits as 0) and hashed; for each host (``source``) the
 distinct documents that hold it are counted. Copies are no evidence of boilerplate, so
-documents count as one if the longest other line is the same. Lines in more documents
-than the host's limit are removed; a document is rejected if less than a tenth of its words is
+documents of the same whole text count as one, here and in the host's total. Lines in more
+documents than the host's limit are removed; a document is rejected if less than a tenth of its words is
 left.
 
-Counting is in two steps, first over (host, line, document family), so that Spark sums
+Counting is in two steps, first over (host, line, text), so that Spark sums
 partly before each shuffle and no key's rows need to meet in one task.
 
 Defined results: null text has no words, fails the base rule and is not kept; a null
@@ -135,44 +135,29 @@ def normal_lines(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return own[first], key, length, words, number[line[first]]
 
 
-def other_longest(own: np.ndarray, key: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """For each line the hash of its text's longest line that differs from it; 0 if there is none."""
-    order = np.lexsort((key, -length, own))
-    o, k = own[order], key[order]
-    new = np.ones(len(o), bool)
-    new[1:] = o[1:] != o[:-1]
-    text = np.cumsum(new) - 1
-    best = k[new][text]
-    differs = np.flatnonzero(k != best)
-    second = np.zeros(int(new.sum()), np.uint64)
-    second[text[differs[::-1]]] = k[differs[::-1]]
-    out = np.empty(len(own), np.uint64)
-    out[order] = np.where(k != best, best, second[text])
-    return out
-
-
-LINES = "host string, line long, family long"
+LINES = "host string, line long, text_key long"
 
 
 def line_evidence(docs: DataFrame) -> DataFrame:
-    """host, line, family of each distinct line of each document."""
+    """host, line, text_key (a hash of the whole text) of each line of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in arrays.pieces(batches):
-            own, key, length, _, _ = normal_lines(piece.column("text"))
-            family = other_longest(own, key, length)
-            yield pa.RecordBatch.from_arrays([piece.column("source").take(pa.array(own)), pa.array(key.view(np.int64)), pa.array(family.view(np.int64))], names=["host", "line", "family"])
+            own, key, _, _, _ = normal_lines(piece.column("text"))
+            at = pa.array(own)
+            yield pa.RecordBatch.from_arrays([piece.column("source").take(at), pa.array(key.view(np.int64)), piece.column("text_key").take(at)], names=["host", "line", "text_key"])
 
-    return docs.select("text", "source").transform(arrays.mapped, run, LINES)
+    return docs.select("text", "source", F.xxhash64("text").alias("text_key")).transform(arrays.mapped, run, LINES)
 
 
 def frequent_lines(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """host, line, n of lines above their host's limit.
+    """host, line, n of lines above their host's limit; n and the host's documents count exact copies once.
 
     A host has at most its documents' mean number of lines divided by ``line_share`` of these.
     """
-    hosts = docs.groupBy(F.col("source").alias("h")).agg(F.count("*").alias("n_docs"))
-    pairs = line_evidence(docs).groupBy("host", "line", "family").agg(F.lit(1).alias("one"))
+    texts = docs.select(F.col("source").alias("h"), F.xxhash64("text").alias("text_key")).groupBy("h", "text_key").agg(F.lit(1).alias("one"))
+    hosts = texts.groupBy("h").agg(F.count("*").alias("n_docs"))
+    pairs = line_evidence(docs).groupBy("host", "line", "text_key").agg(F.lit(1).alias("one"))
     lines = pairs.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > line_docs)
     return lines.join(hosts, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > line_share * F.col("n_docs")).select("host", "line", "n")
 

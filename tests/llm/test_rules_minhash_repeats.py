@@ -53,6 +53,18 @@ def test_copies_are_no_evidence(spark):
     assert all(r["kept"] for r in rules.judge(docs).collect())
 
 
+def test_two_long_boilerplate_lines(spark):
+    """Each is the other's longest line; copies count once in the host's total, too."""
+    header, footer = " ".join(f"header{i}" for i in range(20)), " ".join(f"footer{i}" for i in range(19))
+    word = lambda *x: "".join(chr(97 + int(c, 16)) for c in hashlib.md5(repr(x).encode()).hexdigest()[:6])
+    rows = [(k, "\n".join([header, *(" ".join(word(k, j, i) for i in range(6)) for j in range(3)), footer]), "a") for k in range(60)]
+    rows += [(100 + k, " ".join(word(i) for i in range(20)), "a") for k in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r["doc_id"]: r for r in rules.judge(docs).collect()}
+    assert all(out[k]["kept"] and out[k]["n_left"] == 18 for k in range(60))
+    assert all(out[100 + k]["kept"] and out[100 + k]["n_left"] == 20 for k in range(5000))
+
+
 @pytest.mark.parametrize("width", [2, 5])
 @pytest.mark.parametrize("which", ["edges", "sample"])
 def test_near_duplicates(request, which, width):
