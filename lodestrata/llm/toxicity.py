@@ -1,7 +1,7 @@
 """Toxicity by Levenshtein automata over a learned lexicon.
 
 The lexicon comes from labelled rows: words that stand in many toxic texts and hardly in
-others, counted once for each family of near copies, and stems (ending in ``*``) that
+others, true copies counted once, and stems (ending in ``*``) that
 many such words share. Lexicon trie and Levenshtein
 automaton are intersected into one table-driven automaton, through which numpy drives all
 words of a batch a byte at a time, so misspelled terms are found as well. A hit counts by
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,6 +30,7 @@ from pyspark.sql import functions as F
 
 from . import arrays
 from .language import fold, sampled
+from .shared import written
 
 #: Labelled rows used at most, on average; rows are chosen by a hash of doc_id.
 TRAIN_ROWS = 24_000
@@ -223,22 +223,18 @@ class Model:
 _WORDS = re.compile(r"[^\W\d_]{4,}")
 
 
-def _families(rows: DataFrame) -> DataFrame:
-    """One row for each family of near copies: texts of a label whose smallest hashed long word is the same."""
-
-    def family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in arrays.pieces(batches):
-            key = [min((zlib.crc32(w.encode()) for w in set(_WORDS.findall((t or "").lower())) if len(w) > 5), default=0) for t in piece.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([piece.column("text"), piece.column("toxic"), pa.array(key, pa.int64())], names=["text", "toxic", "family"])
-
-    return rows.select("text", F.col("toxic").cast("int").alias("toxic")).transform(arrays.mapped, family, "text string, toxic int, family long").dropDuplicates(["family", "toxic"])
+def _unlike(rows: DataFrame) -> DataFrame:
+    """text, toxic: one row of each label for texts that are the same but for case and white space, that of the least doc_id."""
+    same = F.sha2(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))), 256)
+    first = F.min(F.struct("doc_id", "text")).alias("first")
+    return rows.groupBy(same.alias("same"), F.col("toxic").cast("int").alias("toxic")).agg(first).select("first.text", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, terms: int = TERMS) -> Model | None:
     """A model from the texts of labelled rows; the labels broadcast are a bounded sample."""
     labels = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic")
     labels = sampled(labels, TRAIN_ROWS, labels.count())
-    rows = _families(docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").where("text is not null"))
+    rows = written(_unlike(docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").where("text is not null")), "labelled")
     counted = {int(r["toxic"] == 1): r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = counted.get(1, 0), counted.get(0, 0)
     if not n_toxic or not n_clean:

@@ -114,3 +114,13 @@ def test_toxicity_edges(spark, docs, labels, edges, doubled, empty):
         out = toxicity.detect(d, labels).collect()
         assert len(out) == d.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in out)
     assert all(r["score"] == 0 for r in toxicity.detect(docs, labels.limit(0)).collect())
+
+
+def test_training_keeps_unlike_texts_and_folds_copies(spark):
+    """Short words only, one long word in all, and copies but for case and white space."""
+    rows = [(k, f"a vile odd row {chr(97 + k % 26)}{k // 26} " + "common" * (k % 2), 1) for k in range(60)]
+    rows += [(100 + k, f"a fine row {chr(97 + k % 26)}{k // 26} " + "common" * (k % 2), 0) for k in range(180)]
+    rows += [(300 + k, ("one same text" if k % 2 else "One  SAME text\n"), 1) for k in range(40)]
+    texts = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    assert toxicity.train(texts, labels).automaton.terms == [b"vile"]
