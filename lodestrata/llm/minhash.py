@@ -15,12 +15,14 @@ left is settled exactly: members of buckets that still hold several components g
 a prefix-filtered set join (``unmet``), which excludes a pair of different components only
 if its sets are too different for a link, and has all others verified.
 
-A class that is the centre of very many pairs is dealt to several groups. No task holds
-more than one pair of sets.
+A class that is the centre of very many pairs is dealt to several groups, and so are the
+joins on it. No task holds more than one pair of sets. Shingles are compared as 64-bit
+hashes: that two of a pair of texts of 10,000 words each collide is a case in 10**11.
 
 Defined results: texts without words (or null) have the empty set and are linked with
-nothing, not even each other; rows that repeat a doc_id count as one document; a row with
-a null doc_id is not linked and is kept, with a null component.
+nothing, not even each other; rows that repeat a doc_id are one document, which links
+what any of its texts links; a row with a null doc_id is not linked and is kept, with a
+null component.
 """
 
 from __future__ import annotations
@@ -32,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import arrays
+from . import arrays, skew
 from .components import components
-from .shared import written
+from .shared import Scratch, aside, picked
 
 #: Coordinates of a band, and bands: at similarity 0.8 a pair shares no band in 5 of a million cases.
 ROWS, BANDS = 6, 40
@@ -46,14 +48,14 @@ STRAY_ROUNDS = 2
 COUNTERS = 1 << 18
 #: Postings of one shingle that a task joins with the others' at once; more are dealt to several tasks.
 POSTINGS = 4096
-#: Pairs of one centre that go to the same group.
+#: Pairs of one centre that go to the same group; more where a centre has over skew.PARTS groups.
 GROUP_PAIRS = 256
 #: Shingles whose coordinates are computed at once.
 CHUNK = 1 << 15
 
 
 def shingles(array: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes (48 bits) of each text, one text after the other, and where each begins."""
+    """Sorted distinct shingle hashes of each text, one text after the other, and where each begins."""
     data, off = arrays.utf8(array)
     n = len(off) - 1
     data = arrays.LOWER_ASCII[data]
@@ -77,12 +79,15 @@ def shingles(array: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
                 one = arrays.mix(one) + word[first[short] + k]
             value = np.concatenate([value, arrays.mix(one + np.uint64(size))])
             owner = np.concatenate([owner, short])
-    key = arrays.mix(value) >> np.uint64(16) | owner.astype(np.uint64) << np.uint64(48)
-    key.sort()
-    if len(key):
-        key = key[np.concatenate(([True], key[1:] != key[:-1]))]
-    bounds = np.searchsorted(key, np.arange(n + 1).astype(np.uint64) << np.uint64(48))
-    return key & np.uint64((1 << 48) - 1), bounds
+    value = arrays.mix(value)
+    order = np.argsort(value)
+    text = owner[order].astype(np.uint16 if n <= 1 << 16 else np.uint32)
+    order = order[np.argsort(text, kind="stable")]
+    value, owner = value[order], owner[order]
+    if len(value):
+        new = np.concatenate(([True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])))
+        value, owner = value[new], owner[new]
+    return value, np.searchsorted(owner, np.arange(n + 1))
 
 
 _SHUFFLE = (np.uint32(0x7FEB352D), np.uint32(0x846CA68B))
@@ -149,10 +154,8 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """a, b, j: the exact Jaccard similarity of pairs (a, fa, b, fb) of documents and digests."""
-    per_centre = pairs.groupBy("a", "fa").agg(F.count("*").alias("n"))
-    dealt = pairs.join(per_centre, ["a", "fa"]).withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / GROUP_PAIRS)).cast("long"))
-    dealt = written(dealt.select("a", "fa", "b", "fb", "part"), "pairs")
+    """a, b, both, either: sizes of intersection and union of pairs (a, fa, b, fb) of documents and digests."""
+    dealt = skew.hot(pairs, ["a"], GROUP_PAIRS).dealt(pairs, "b")
     group = F.struct("a", "fa", "part")
     needs = dealt.select(F.col("b").alias("id"), F.col("fb").alias("f"), group.alias("g"), F.lit(1).alias("role"))
     needs = needs.unionByName(dealt.select(F.col("a").alias("id"), F.col("fa").alias("f"), group.alias("g"), F.lit(0).alias("role")).distinct())
@@ -184,7 +187,7 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, group = np.zeros(0, np.uint64), None
         for batch in batches:
-            found: list[tuple[int, int, float]] = []
+            found: list[tuple[int, int, int, int]] = []
             for a, fa, part, role, doc, elements in zip(*(batch.column(c).to_pylist() for c in ("a", "fa", "part", "role", "doc", "elements"))):
                 mine = np.frombuffer(elements, np.uint64)
                 if role == 0:
@@ -208,7 +211,7 @@ def _slots(sets: np.ndarray) -> np.ndarray:
     return (arrays.mix(sets) & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
-def postings(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+def postings(docs: DataFrame, members: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """e, id, root, n, pos, inside: the first shingles, rare before frequent, of each set of members (b, fb, root).
 
     A set of n elements that has a link with one that is not larger shares one of its first
@@ -216,7 +219,7 @@ def postings(docs: DataFrame, members: DataFrame, width: int, percent: int) -> D
     fewer that are ``inside``.
     """
     texts = arrays.packed_texts(docs, "doc_id", arrays.IdFilter(members, "b")).join(members, F.col("doc_id") == F.col("b"))
-    texts = written(texts.select("doc_id", "fb", "root", "packed"), "unsettled")
+    texts = scratch.written(texts.select("doc_id", "fb", "root", "packed"), "unsettled")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         for piece in arrays.unpacked(batches):
@@ -249,20 +252,20 @@ def postings(docs: DataFrame, members: DataFrame, width: int, percent: int) -> D
             columns = [sets[order[at]].view(np.int64), ids[o], roots[o], size[o], pos[at], pos[at] < inside[o]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["e", "id", "root", "n", "pos", "inside"])
 
-    return written(texts.transform(arrays.mapped, emit, "e long, id long, root long, n long, pos long, inside boolean"), "postings")
+    return scratch.written(texts.transform(arrays.mapped, emit, "e long, id long, root long, n long, pos long, inside boolean"), "postings")
 
 
-def unmet(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+def unmet(docs: DataFrame, members: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """a, b: pairs of members of different components, all links among them.
 
     Of a shingle's postings those of its most frequent component never meet each other; where
     one is first in common, sizes and places bound what the sets share.
     """
-    found = postings(docs, members, width, percent)
+    found = postings(docs, members, width, percent, scratch)
     by_root = found.groupBy("e", "root").agg(F.count("*").alias("k"), F.max("inside").alias("some"))
     heads = by_root.groupBy("e").agg(F.max(F.struct("k", "root")).alias("main"), F.sum("k").alias("total"), F.count("*").alias("roots"), F.max("some").alias("some")).where("roots > 1 and some")
     heads = heads.select("e", F.col("main.root").alias("main_root"), F.ceil(F.col("total") / POSTINGS).cast("long").alias("parts"))
-    live = written(found.join(heads, "e").select("e", "id", "root", "n", "pos", "inside", "parts", (F.col("root") == F.col("main_root")).alias("main")), "postings")
+    live = scratch.written(found.join(heads, "e").select("e", "id", "root", "n", "pos", "inside", "parts", (F.col("root") == F.col("main_root")).alias("main")), "postings")
     dealt = live.withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
     each = live.where("not main").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     share = F.lit(100 + percent) * F.least(F.expr("x.n - x.pos"), F.expr("y.n - y.pos")) >= F.lit(percent) * F.expr("x.n + y.n")
@@ -276,35 +279,46 @@ def unmet(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Data
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; links are pairs with 100 * intersection >= percent * union."""
-    sketches = written(sketch(docs, width), "sketches")
-    linked = sketches.where("n_shingles > 0 and doc_id is not null")
-    classes = written(linked.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    members = sketches.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2"], "left")
-    # one row stands for its class even if rows repeat
+    scratch, result = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    docs = picked(docs, "doc_id", "text")
+    sketches = scratch.written(sketch(docs, width), "sketches")
+    known = sketches.where("doc_id is not null")
+    linked = known.where("n_shingles > 0")
+    classes = scratch.written(linked.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
+    members = known.select("doc_id", "n_shingles", "f1", "f2")
+    members = skew.hot(members, ["f1", "f2"]).joined(members, classes, "doc_id", "left")
+    members = scratch.written(members.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep")), "members")
     firsts = linked.join(classes.select("f1", "f2", F.col("rep").alias("doc_id")), ["f1", "f2", "doc_id"], "left_semi")
-    nodes = firsts.select(F.col("doc_id").alias("b"), F.col("f1").alias("fb"), F.col("n_shingles").alias("n"))
+    if firsts.count() > classes.count():  # rows repeat: one stands for its class
+        firsts = firsts.dropDuplicates(["f1", "f2", "doc_id"])
+    nodes = scratch.written(firsts.select(F.col("doc_id").alias("b"), F.col("f1").alias("fb"), F.col("n_shingles").alias("n")), "nodes")
     rows = firsts.select(F.posexplode("bands").alias("band", "bucket"), F.col("doc_id").alias("b")).select("bucket", "b", F.pmod("band", F.lit(ORDERS)).alias("order"))
     hubs = rows.groupBy("bucket").agg(F.min("b").alias("a"), F.count("*").alias("size")).where("size > 1").select("bucket", "a")
-    shared = written(rows.join(hubs, "bucket"), "buckets")
+    shared = scratch.written(rows.join(hubs, "bucket"), "buckets")
+    centres = skew.hot(shared, ["a"])
 
-    def comparable(pairs: DataFrame) -> DataFrame:
-        """Pairs with digests, without those whose sizes rule a link out."""
+    def linking(pairs: DataFrame, centres: skew.Hot) -> DataFrame:
+        """The links among pairs (a, b), whose hot centres are given."""
         other = nodes.select(F.col("b").alias("a"), F.col("fb").alias("fa"), F.col("n").alias("na"))
-        similar = F.lit(100) * F.least("n", "na") >= F.lit(percent) * F.greatest("n", "na")
-        return pairs.where("a != b").distinct().join(nodes, "b").join(other, "a").where(similar).select("a", "fa", "b", "fb")
-
-    is_link = F.lit(100) * F.col("both") >= F.lit(percent) * F.col("either")
-    links = written(verified(docs, comparable(shared.select("a", "b")), width).where(is_link).select("a", "b"), "links")
-    roots = written(components(links), "roots")
+        similar = F.lit(100) * F.least("n", "na") >= F.lit(percent) * F.greatest("n", "na")  # else sizes rule a link out
+        found = centres.joined(pairs.where("a != b").distinct().join(nodes, "b"), other, "b").where(similar)
+        found = scratch.written(found.select("a", "fa", "b", "fb"), "pairs")
+        is_link = F.lit(100) * F.col("both") >= F.lit(percent) * F.col("either")
+        return scratch.written(verified(docs, found, width).where(is_link).select("a", "b"), "links")
+
+    # a document with several texts ties their classes
+    several = members.groupBy("doc_id").agg(F.min(F.coalesce("rep", "doc_id")).alias("low"), F.max(F.coalesce("rep", "doc_id")).alias("high")).where("low != high")
+    tied = members.join(several, "doc_id").select(F.col("low").alias("a"), F.coalesce("rep", "doc_id").alias("b")).where("a != b").distinct()
+    links = linking(shared.select("a", "b"), centres).unionByName(scratch.written(tied, "tied"))
+    roots = components(links, scratch)
 
     # further rounds: strays of buckets that still hold several components
     met_before = shared.select("a", "b")
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     for turn in range(STRAY_ROUNDS):
-        placed = shared.join(of("b"), "b", "left").join(of("a"), "a", "left")
+        placed = scratch.written(centres.joined(shared.join(of("b"), "b", "left"), of("a"), "b", "left"), "placed")
         stray = F.coalesce("b_root", "b") != F.coalesce("a_root", "a")
         strays = placed.where(stray).select("bucket", "order", F.col("b").alias("x"), F.coalesce("b_root", "b").alias("x_root"))
-        strays = written(strays, "strays")
         if strays.isEmpty():
             break
         place = lambda c: F.struct(F.xxhash64(c, "order", F.lit(turn)).alias("t"), F.col(c).alias("b"))  # noqa: B023, E731
@@ -312,27 +326,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         first_stray = strays.groupBy("bucket").agg(F.min(place("x")).alias("m"), F.min("x_root").alias("r1"), F.max("x_root").alias("r2")).where("r1 != r2")
         met = strays.select("bucket", "x").join(first_main.unionByName(first_stray.select("bucket", "m")).select("bucket", F.col("m.b").alias("y")), "bucket")
         more = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(met_before, ["a", "b"], "left_anti")
-        more = written(more, "met")
+        more = scratch.written(more, "met")
         met_before = met_before.unionByName(more)
-        extra = written(verified(docs, comparable(more), width).where(is_link).select("a", "b"), "extra")
+        extra = linking(more, skew.hot(more, ["a"]))
         if extra.isEmpty():
             continue
         links = links.unionByName(extra)
-        roots = written(components(links), "roots")
+        roots = components(links, scratch)
 
     # the exact rest: buckets of several components, but for those of two, whose only pair has met
     placed = shared.join(of("b"), "b", "left").select("bucket", "b", F.coalesce("b_root", "b").alias("root"))
     open_ = placed.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("size")).where("r1 != r2 and size > 2")
     unsettled = placed.join(open_.select("bucket"), "bucket", "left_semi").select("b", "root").distinct()
-    unsettled = written(unsettled.join(nodes.select("b", "fb"), "b"), "unsettled")
+    unsettled = scratch.written(unsettled.join(nodes.select("b", "fb"), "b"), "unsettled")
     if not unsettled.isEmpty():
-        rest = written(unmet(docs, unsettled, width, percent).join(met_before, ["a", "b"], "left_anti"), "met")
-        extra = written(verified(docs, comparable(rest), width).where(is_link).select("a", "b"), "extra")
+        rest = scratch.written(unmet(docs, unsettled, width, percent, scratch).join(met_before, ["a", "b"], "left_anti"), "met")
+        extra = linking(rest, skew.hot(rest, ["a"]))
         if not extra.isEmpty():
-            roots = written(components(links.unionByName(extra)), "roots")
-    out = members.join(roots, F.col("rep") == F.col("node"), "left")
-    component = F.coalesce("root", "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+            roots = components(links.unionByName(extra), scratch)
+    named = members.withColumn("node", F.coalesce("rep", "doc_id"))
+    out = skew.hot(named, ["node"]).joined(named, roots, "doc_id", "left").withColumn("component_id", F.coalesce("root", "node"))
+    out = out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    nameless = sketches.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    out = out.unionByName(nameless)
+    out = result.written(out, "components")
+    scratch.clear()
+    return out
 
 
 #: Ids that are broadcast at most (about 2 MB); beyond, they are joined.
@@ -341,11 +360,12 @@ BROADCAST_IDS = 1 << 17
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose document is its component's least; rows that repeat a doc_id stay together, one of each text."""
-    decided = written(near_duplicates(docs, width, percent).select("doc_id", "kept"), "decided")
+    docs, back = aside(docs, "doc_id", "text")
+    decided = near_duplicates(docs, width, percent).select("doc_id", "kept")
     gone = decided.where("not kept").select("doc_id").distinct()
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if decided.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+        return back(kept)
+    return back(kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])))

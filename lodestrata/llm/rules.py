@@ -18,16 +18,16 @@ lines without a word are never counted or removed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import arrays
-from .shared import written
+from . import arrays, skew
+from .shared import Scratch, aside, picked
 
 #: The characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -39,7 +39,7 @@ LINE_DOCS = 50
 LINE_SHARE = 0.02
 #: A document is depleted if less than this share of its words is left.
 LEFT_SHARE = 0.1
-#: Frequent lines that are broadcast at most (2 MB); beyond, the lists are joined by host.
+#: Frequent lines that are broadcast at most (2 MB and the hosts' names); beyond, the lists are joined by host.
 BROADCAST_LINES = 1 << 18
 
 _SYMBOL = np.zeros(256, bool)
@@ -162,28 +162,55 @@ def frequent_lines(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: floa
     return lines.join(hosts, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > line_share * F.col("n_docs")).select("host", "line", "n")
 
 
-def _joined(docs: DataFrame, line_docs: int, line_share: float) -> DataFrame:
-    """docs with ``__lines``, the hashes of their host's frequent lines."""
-    found = written(frequent_lines(docs, line_docs, line_share), "lines")
-    lists = found.groupBy("host").agg(F.collect_list("line").alias("__lines")).withColumnRenamed("host", "__host")
-    if found.count() <= BROADCAST_LINES:
-        lists = F.broadcast(lists)
-    return docs.join(lists, docs["source"].eqNullSafe(F.col("__host")), "left").drop("__host")
+def _host(column: str = "source") -> Column:
+    """A host's key: unlike the host itself never null."""
+    return F.coalesce(F.concat(F.lit("="), column), F.lit("-"))
 
 
-def _verdict(piece: pa.RecordBatch, left_share: float) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, dict[int, set[int]]]:
+#: The frequent lines of a piece's hosts: in order of key and line hash, by host's key.
+Lists = Callable[[pa.RecordBatch], dict[str, np.ndarray]]
+
+
+def with_lines(docs: DataFrame, line_docs: int, line_share: float, broadcast: int) -> tuple[DataFrame, Lists]:
+    """docs with ``host``, and what gives the frequent lines of the hosts in a piece of it.
+
+    Few lines go to all tasks once. More are joined to the documents by host, where a host
+    with very many documents is dealt to several tasks.
+    """
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    found = scratch.written(frequent_lines(docs, line_docs, line_share).select(_host("host").alias("host"), "line"), "lines")
+    lists = found.groupBy("host").agg(F.collect_list("line").alias("lines"))
+    docs = docs.withColumn("host", _host())
+    if found.count() <= broadcast:
+        known = {r["host"]: np.sort(np.array(r["lines"], np.int64)) for r in lists.collect()}  # ``broadcast`` numbers at most
+        scratch.clear()
+        shipped = spark.sparkContext.broadcast(known)
+        return docs, lambda piece: shipped.value
+    hosts = docs.select("host", "doc_id")
+    docs = skew.hot(hosts, ["host"]).joined(docs, lists, "text", "left")
+
+    def of(piece: pa.RecordBatch) -> dict[str, np.ndarray]:
+        at = piece.column("host").dictionary_encode()
+        _, first = np.unique(np.asarray(at.indices), return_index=True)
+        lines = piece.column("lines").take(pa.array(first)).to_pylist()
+        return {h: np.array(x or [], np.int64) for h, x in zip(at.dictionary.to_pylist(), lines)}
+
+    return docs, of
+
+
+def _verdict(piece: pa.RecordBatch, lists: dict[str, np.ndarray], left_share: float) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, dict[int, set[int]]]:
     """Base counts, words left, kept, and the numbers of the lines to remove by text."""
     text, n = piece.column("text"), piece.num_rows
     base = measure(text)
     own, key, _, words, number = normal_lines(text)
-    lists = piece.column("__lines")
     gone = np.zeros(len(own), bool)
-    source = piece.column("source").dictionary_encode()
-    at = np.asarray(pc.fill_null(source.indices, len(source.dictionary)))
-    for h in np.unique(at).tolist():
-        bad = lists[int(np.flatnonzero(at == h)[0])].as_py()
-        if bad:
-            gone |= (at[own] == h) & np.isin(key.view(np.int64), np.array(bad, np.int64))
+    host = piece.column("host").dictionary_encode()
+    at = np.asarray(host.indices)
+    for k, name in enumerate(host.dictionary.to_pylist()):
+        bad = lists.get(name)
+        if bad is not None and len(bad):
+            mine = np.flatnonzero(at[own] == k)
+            gone[mine] = np.isin(key[mine].view(np.int64), bad)
     left = base["n_words"] - np.bincount(own, words * gone, minlength=n).astype(np.int64)
     base["base_failed"] = (base["n_words"] < LEAST_WORDS) | (100 * base["n_repeat_words"] > MOST_REPEATED * base["n_words"])
     cut: dict[int, set[int]] = {}
@@ -195,29 +222,32 @@ def _verdict(piece: pa.RecordBatch, left_share: float) -> tuple[dict[str, np.nda
 JUDGED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_left long, kept boolean"
 
 
-def judge(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
+def judge(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE, broadcast: int = BROADCAST_LINES) -> DataFrame:
     """doc_id, base counts, base_failed, n_left (words outside removed lines), kept of each row."""
+    rows, lists = with_lines(picked(docs, "doc_id", "source", "text"), line_docs, line_share, broadcast)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
         for piece in arrays.pieces(batches):
-            base, left, kept, _ = _verdict(piece, left_share)
+            base, left, kept, _ = _verdict(piece, lists(piece), left_share)
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(base[c].astype(np.int64)) for c in names), pa.array(base["base_failed"]), pa.array(left), pa.array(kept)], names=["doc_id", *names, "base_failed", "n_left", "kept"])
 
-    return _joined(docs.select("doc_id", "source", "text"), line_docs, line_share).transform(arrays.mapped, run, JUDGED)
+    return rows.transform(arrays.mapped, run, JUDGED)
 
 
-def cleaned(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
+def cleaned(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE, broadcast: int = BROADCAST_LINES) -> DataFrame:
     """The rows of docs that are kept, all their columns, the text without its host's frequent lines."""
-    columns = docs.columns
+    plain, back = aside(docs, "doc_id", "source", "text")
+    columns, schema = plain.columns, plain.schema
+    rows, lists = with_lines(plain, line_docs, line_share, broadcast)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in arrays.pieces(batches):
-            _, _, kept, cut = _verdict(piece, left_share)
+            _, _, kept, cut = _verdict(piece, lists(piece), left_share)
             texts = piece.column("text").to_pylist()
             for k, lines in cut.items():
                 texts[k] = "\n".join(x for j, x in enumerate(texts[k].split("\n")) if j not in lines)
             piece = piece.set_column(piece.schema.names.index("text"), "text", pa.array(texts, pa.string()))
             yield piece.select(columns).filter(pa.array(kept))
 
-    return _joined(docs, line_docs, line_share).transform(arrays.mapped, run, docs.schema)
+    return back(rows.transform(arrays.mapped, run, schema))

@@ -16,6 +16,26 @@ def base(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(cover)
 
 
+def line_verdicts(rows, line_docs, line_share, left_share=0.1):
+    """(words left, kept, text without frequent lines) of each (text, host)."""
+    normal = lambda line: re.sub("[0-9]", "0", " ".join(WORD.findall(line.lower())))
+    texts, holds = {}, {}
+    for text, host in rows:
+        texts.setdefault(host, set()).add(text)
+        for line in (text or "").split("\n"):
+            if normal(line):
+                holds.setdefault((host, normal(line)), set()).add(text)
+    often = {k for k, v in holds.items() if len(v) > line_docs and len(v) > line_share * len(texts[k[0]])}
+    out = []
+    for text, host in rows:
+        lines = (text or "").split("\n")
+        rest = [x for x in lines if (host, normal(x)) not in often]
+        n, left = (len(WORD.findall("\n".join(x))) for x in (lines, rest))
+        failed = n < 10 or 100 * base(text)[4] > 20 * n
+        out.append((left, not failed and left >= left_share * n, "\n".join(rest)))
+    return out
+
+
 def shingles(text, width):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(words[k : k + width]) for k in range(len(words) - width + 1)} or ({tuple(words)} if words else set())

@@ -1,9 +1,12 @@
 import hashlib
+import random
 
 import brute
 import pytest
 
-from lodestrata.llm import minhash, repeats, rules
+from lodestrata.llm import minhash, repeats, rules, skew
+from lodestrata.llm.components import components
+from lodestrata.llm.shared import Scratch
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -65,6 +68,36 @@ def test_two_long_boilerplate_lines(spark):
     assert all(out[100 + k]["kept"] and out[100 + k]["n_left"] == 20 for k in range(5000))
 
 
+@pytest.mark.parametrize("broadcast", [rules.BROADCAST_LINES, 0])
+@pytest.mark.parametrize("which", ["edges", "doubled", "sample", "lined"])
+def test_verdicts_on_lines(request, which, broadcast):
+    """Limits so low that ordinary tables have frequent lines; both ways to the documents."""
+    docs = request.getfixturevalue(which)
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.select("doc_id", "text", "source").collect()]
+    want = brute.line_verdicts([r[1:] for r in rows], 1, 0.05)
+    assert which == "empty" or any(len(brute.WORD.findall(t or "")) > left for (_, t, _), (left, _, _) in zip(rows, want))
+    got = sorted(str((r["doc_id"], r["n_left"], r["kept"])) for r in rules.judge(docs, 1, 0.05, broadcast=broadcast).collect())
+    assert got == sorted(str((k, left, kept)) for (k, _, _), (left, kept, _) in zip(rows, want))
+    texts = sorted(str((r["doc_id"], r["text"])) for r in rules.cleaned(docs, 1, 0.05, broadcast=broadcast).collect())
+    assert texts == sorted(str((k, rest)) for (k, _, _), (_, kept, rest) in zip(rows, want) if kept)
+
+
+@pytest.fixture(scope="module")
+def lined(spark):
+    """Random pages of few lines; one host has most of them."""
+    rng = random.Random(9)
+    line = lambda k: " ".join(f"w{k * 7 % 50 + i}" for i in range(k % 9 + 1)) + f" {k % 5}"
+    rows = [(k, "\n".join(line(int(rng.expovariate(0.05))) for _ in range(rng.randint(1, 12))), rng.choice(["a", "a", "a", None, "b"])) for k in range(3000)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+def test_columns_named_like_steps(spark):
+    rows = [(k, f"these ten words stand in every text of this table\nand a line {chr(97 + k % 26) * (1 + k // 26)} of its own with some words", "a", k, str(k), k, "x") for k in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __lines long, __host string, host long, `TEXT ` string")
+    out = rules.cleaned(docs)
+    assert out.columns == docs.columns and {(r["doc_id"], r["__lines"], r["host"]) for r in out.collect()} == {(k, k, k) for k in range(70)}
+
+
 @pytest.mark.parametrize("width", [2, 5])
 @pytest.mark.parametrize("which", ["edges", "sample"])
 def test_near_duplicates(request, which, width):
@@ -99,6 +132,36 @@ def test_pairs_among_many_texts_of_one_template(spark):
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, 2).collect()} == want
 
 
+def test_all_links_of_a_larger_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = brute.components(texts_of(docs), 2)
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs, 2).collect()}
+    assert out == want
+
+
+def test_documents_with_several_texts(spark):
+    """Each document is one node, which links what any of its texts links."""
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(3, a), (5, a), (5, b), (9, b), (9, ""), (9, None), (7, None), (4, "alone")] + [(20, a)] * 3 + [(None, a), (None, a)]
+    out = sorted(str((r["doc_id"], r["component_id"], r["kept"])) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect())
+    want = {3: 3, 5: 3, 9: 3, 7: 7, 4: 4, 20: 3, None: None}
+    assert out == sorted(str((k, want[k], k is None or want[k] == k)) for k, _ in rows)
+
+
+def test_hot_centres_are_dealt(spark, monkeypatch):
+    """Joins and components with every key hot."""
+    monkeypatch.setattr(skew, "EACH", 3)
+    edges = [(k, 0) for k in range(1, 40)] + [(k, k - 1) for k in range(101, 140)] + [(300, 139), (300, 39), (500, 501)]
+    root = {k: 0 for k in [*range(1, 40), *range(100, 140), 300]} | {501: 500}
+    scratch = Scratch(spark)
+    out = components(scratch.written(spark.createDataFrame(edges, "a long, b long"), "edges"), scratch)
+    assert {r["node"]: r["root"] for r in out.collect()} == root
+    rows, table = spark.range(100).selectExpr("id", "id % 3 AS k"), spark.createDataFrame([(0, "x"), (1, "y")], "k long, v string")
+    hot = skew.hot(rows, ["k"], 5)
+    assert hot.parts.count() == 3
+    assert sorted(hot.joined(rows, table, "id", "left").collect(), key=lambda r: r["id"]) == sorted(rows.join(table, "k", "left").collect(), key=lambda r: r["id"])
+
+
 @pytest.mark.parametrize("famous", [(1 << 16, 1 << 10), (4, 3)])
 @pytest.mark.parametrize("which", ["edges", "sample"])
 def test_repeated_bytes(request, which, famous):
