@@ -1,8 +1,9 @@
 """Language identification by bit-sliced Bloom filters over character n-grams.
 
-Training counts the 4-byte grams of lower-cased letters per language on a bounded sample
-and keeps, for each of the most frequent grams, the set of languages in which it is about
-as frequent as in its best one. A Bloom filter whose slots hold a bit for each language
+Training counts the n-grams of lower-cased letters (code points, so all scripts are
+alike) per language on a sample that is bounded for each language, and keeps the most
+frequent grams of each; a gram's set holds the languages in which it is about as frequent
+as in its best one. A Bloom filter whose slots hold a bit for each language
 stores the sets: k slots of a gram, and-ed, give all languages that contain it. A text's
 language is the one with most of its grams, after each count is corrected for the false
 positives that the filter's fill predicts.
@@ -10,7 +11,7 @@ positives that the filter's fill predicts.
 Defined results: null, or no letter, is ``und`` with score 0; ties go to the smaller
 language; a text without a known gram gets the most frequent language and score 0; with
 nothing to learn from every text is ``und``; a null doc_id counts as the empty string in
-the fold's checksum.
+the fold's checksum. Of labels beyond LANGUAGES the rarest are not learned.
 """
 
 from __future__ import annotations
@@ -21,23 +22,25 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrays
+from .shared import picked
 
-#: Training rows used at most, on average: rows are chosen by a hash of doc_id.
+#: Training rows used at most, on average, all languages having an equal part: rows are chosen by a hash of doc_id.
 TRAIN_ROWS = 24_000
-#: Grams kept at most.
-GRAMS = 1 << 16
+#: Languages learned at most, and grams kept of all: bounds of the model.
+LANGUAGES, GRAMS = 256, 1 << 17
+#: Code points of a gram.
+GRAM = 3
 SLOTS = 1 << 19
 HASHES = 3
 #: A language contains a gram if its frequency there is at least this share of the best one.
 NEAR = 0.25
 UNKNOWN = "und"
 
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[:128] = [c if chr(c).isalpha() else 32 for c in range(128)]
+_FOLD = np.array([c if chr(c).isalpha() else 32 for c in range(0x10000)], np.uint32)
 
 
 def fold(modulus: int, column: str = "doc_id") -> Column:
@@ -53,23 +56,22 @@ def sampled(rows: DataFrame, limit: int, n_rows: int, key: str = "doc_id") -> Da
 
 
 def grams(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Code and text of each 4-byte gram of folded letters, spaces at both ends of a text."""
-    data, off = arrays.utf8(pc.utf8_lower(pc.fill_null(array, "")))
-    n = len(off) - 1
-    wide = np.full(len(data) + 2 * n + 2, 32, np.uint8)
-    place = np.arange(len(data)) + 2 * np.repeat(np.arange(n), np.diff(off)) + 1
-    wide[place] = _FOLD[data]
-    letter = wide != 32
-    code = wide[:-3].astype(np.uint32)
-    for k in (1, 2, 3):
-        code |= wide[k : len(wide) - 3 + k].astype(np.uint32) << np.uint32(8 * k)
-    own = np.repeat(np.arange(n), np.diff(off) + 2)
-    inside = np.zeros(len(code), bool)
-    m = min(len(code), max(len(own) - 3, 0))
-    inside[:m] = own[:m] == own[3 : 3 + m]
-    inside &= letter[1:-2] | letter[2:-1]
+    """Code and text of each gram of folded letters, with a space at both ends of a text; every gram holds a letter inside."""
+    texts = pc.utf8_lower(pc.fill_null(array, ""))
+    size = np.asarray(pc.utf8_length(texts)).astype(np.int64)
+    point = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32)
+    n = len(size)
+    wide = np.full(len(point) + 2 * n, 32, np.uint32)
+    place = np.arange(len(point)) + 2 * np.repeat(np.arange(n), size) + 1
+    wide[place] = np.where(point < 0x10000, _FOLD[np.minimum(point, 0xFFFF)], point)
+    own = np.repeat(np.arange(n), size + 2)
+    m = max(len(wide) - GRAM + 1, 0)
+    code = np.zeros(m, np.uint64)
+    for k in range(GRAM):
+        code = code << np.uint64(21) | wide[k : k + m]
+    inside = (own[:m] == own[GRAM - 1 :][:m]) & (wide[1 : m + 1] != 32)
     at = np.flatnonzero(inside)
-    return code[at], own[at]
+    return code[at].view(np.int64), own[at]
 
 
 def gram_counts(rows: DataFrame) -> DataFrame:
@@ -89,7 +91,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
                 else:
                     seen[lang] = new, n
         for lang, (code, n) in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
     return rows.select("text", "lang").transform(arrays.mapped, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -118,18 +120,23 @@ def slot(code: np.ndarray, k: int) -> np.ndarray:
 def train(rows: DataFrame) -> Filters | None:
     """Filters from (doc_id, text, lang) rows; at most GRAMS rows reach the driver."""
     rows = rows.where("lang is not null")
-    per_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    found = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    per_lang = {r["lang"]: r["n"] for r in found}
     if not per_lang:
         return None
-    counts = gram_counts(sampled(rows, TRAIN_ROWS, sum(per_lang.values())))
+    part, scale = TRAIN_ROWS / len(per_lang), 1 << 20
+    shares = rows.sparkSession.createDataFrame([(k, int(min(1.0, part / n) * scale)) for k, n in per_lang.items()], "lang string, share int")
+    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(scale)) < F.col("share"))
+    counts = gram_counts(chosen)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     share = counts.join(F.broadcast(totals), "lang").select("gram", "lang", (F.col("n") / F.col("total")).alias("f"))
-    best = share.groupBy("gram").agg(F.max("f").alias("top"), F.collect_list(F.struct("lang", "f")).alias("langs"))
-    found = best.orderBy(F.desc("top"), "gram").limit(GRAMS).select("gram", F.expr(f"transform(filter(langs, x -> x.f >= {NEAR} * top), x -> x.lang)").alias("langs")).collect()
+    best = share.groupBy("gram").agg(F.max("f").alias("top"), F.max_by("lang", F.struct("f", "lang")).alias("first"), F.collect_list(F.struct("lang", "f")).alias("langs"))
+    place = F.row_number().over(Window.partitionBy("first").orderBy(F.desc("top"), "gram"))
+    found = best.withColumn("place", place).where(F.col("place") <= GRAMS // len(per_lang)).select("gram", F.expr(f"transform(filter(langs, x -> x.f >= {NEAR} * top), x -> x.lang)").alias("langs")).collect()
     languages = sorted(per_lang)
     index = {x: k for k, x in enumerate(languages)}
     slots = np.zeros((SLOTS, -(-len(languages) // 64)), np.uint64)
-    code = np.array([r["gram"] for r in found], np.uint32)
+    code = np.array([r["gram"] for r in found], np.int64)
     bits = np.zeros((len(found), slots.shape[1]), np.uint64)
     for k, r in enumerate(found):
         for lang in r["langs"]:
@@ -147,7 +154,7 @@ def predict(docs: DataFrame, filters: Filters | None) -> DataFrame:
     """doc_id, lang_pred, score of each row of (doc_id, text)."""
     if filters is None:
         return docs.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    shipped = docs.sparkSession.sparkContext.broadcast(filters)  # of a fixed size: SLOTS words for each 64 languages
+    shipped = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS words for each 64 of LANGUAGES at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
@@ -175,5 +182,6 @@ def predict(docs: DataFrame, filters: Filters | None) -> DataFrame:
 
 def identify(docs: DataFrame, folds: int = 5) -> DataFrame:
     """The columns of the query: learns from the folds that are not 0, predicts every text."""
-    filters = train(docs.where(fold(folds) != 0).select("doc_id", "text", "lang"))
+    docs = picked(docs, "doc_id", "text", "lang")
+    filters = train(docs.where(fold(folds) != 0))
     return predict(docs, filters).select("doc_id", (fold(folds) == 0).alias("held_out"), "lang_pred", "score")

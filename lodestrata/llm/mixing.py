@@ -6,8 +6,15 @@ target is met by whole passes over the source and then by the first documents in
 order until the remaining words are spent.
 
 The order within a source is a prefix sum that no task sees whole: keys fall into buckets
-of equal probability, buckets are summed and accumulated per source, and rows are ordered
-inside a bucket only. The number of buckets follows the number of documents.
+of equal width on a logarithmic scale, buckets are summed and accumulated per source, and
+rows are ordered inside a bucket only. Whatever its weight, an exponential key falls into
+a given interval of the width d of its natural logarithm with a probability of d / e at
+most, so the width that a source's number of documents calls for bounds every bucket.
+Rows alike in id, source and text are folded before and unfolded after.
+
+Sources may be as many as hosts: they are ranked by range, and the level at which capped
+targets leave the rest is found by sums over all of them, repeated until no further source
+is capped.
 
 Defined results: null text has size 0 and is never taken; a null source is a source of
 its own, last in order; rows with equal keys are ordered by doc_id and then by text, and
@@ -16,9 +23,13 @@ rows alike in all of these are taken together or not at all.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import Scratch, aside, picked, ranked
+
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 #: Weights of the sources in order of code point, repeating.
@@ -26,7 +37,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 #: Documents that a bucket of keys holds on average.
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 10_000
 
 
 def quality(text: Column) -> Column:
@@ -41,63 +52,76 @@ def uniform(*parts: Column) -> Column:
 
 
 def measured(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """doc_id, source, size, weight, digest, key and rank (the key's probability) of each row."""
+    """doc_id, source, size, weight, digest, copies, key of the different rows; copies: how many are alike."""
     text = F.col("text")
     digest = F.md5(F.coalesce(text, F.lit("")))
     out = docs.select("doc_id", "source", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), quality(text).alias("weight"), digest.alias("digest"))
+    out = out.groupBy("doc_id", "source", "digest").agg(F.first("size").alias("size"), F.first("weight").alias("weight"), F.count("*").alias("copies"))
     return out.withColumn("key", -F.log(uniform(F.lit(seed), F.col("doc_id"), F.col("digest"))) / F.col("weight"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """source, source_size, target of each source from (source, source_size).
 
-    A row for each source, so the window over all of them is as small as their number.
-    Sources whose share would exceed ``most`` times their size stop there; in order of
-    size for weight, the capped ones are a prefix, and the rest share what is left.
+    A source whose share would exceed ``most`` times its size stops there and the rest
+    share what is left. That only raises the others' shares, so the set of those that stop
+    grows until it is the right one.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    ranked = sizes.withColumn("w", F.element_at(F.array(*(F.lit(w) for w in weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")))
-    filling = Window.orderBy(F.col("source_size") / F.col("w"), F.col("source").isNull(), F.col("source"))
-    before = filling.rowsBetween(Window.unboundedPreceding, -1)
-    after = filling.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = ranked.withColumn("left", share * F.sum("source_size").over(whole) - most * F.coalesce(F.sum("source_size").over(before), F.lit(0))).withColumn("ws", F.sum("w").over(after)).withColumn("place", F.row_number().over(filling))
-    level = level.withColumn("open", F.col("w") * F.col("left") < most * F.col("source_size") * F.col("ws"))
-    first = F.min(F.when(F.col("open"), F.struct("place", "left", "ws"))).over(whole)
-    level = level.withColumn("first", first)
-    target = F.when(F.col("place") >= F.col("first.place"), F.col("w") * F.col("first.left") / F.col("first.ws")).otherwise((most * F.col("source_size")).cast("double"))
-    return level.select("source", "source_size", target.alias("target"))
+    rows = ranked(sizes.select(F.col("source").isNull().alias("unknown"), "source", "source_size"), "unknown", "source")
+    rows = rows.withColumn("w", F.element_at(F.array(*(F.lit(w) for w in weights)), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int")))
+    is_open, level = F.lit(True), None
+    while True:
+        size = F.coalesce(F.col("source_size"), F.lit(0))
+        total, capped, ws = rows.agg(F.sum(size), F.sum(F.when(is_open, 0).otherwise(size)), F.sum(F.when(is_open, F.col("w")).otherwise(0))).first()
+        left = share * (total or 0) - most * (capped or 0)
+        if not ws or level == (left, ws):
+            break
+        level = (left, ws)
+        is_open = F.col("w") * F.lit(left) < most * F.col("source_size") * F.lit(ws)
+    full = (most * F.col("source_size")).cast("double")
+    target = full if not ws else F.when(is_open, F.col("w") * F.lit(left) / F.lit(ws)).otherwise(full)
+    return rows.select("source", "source_size", target.alias("target"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 0) -> DataFrame:
     """doc_id, size, source, source_size, target, taken, digest of every row."""
-    rows = measured(docs, seed)
-    source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
+    return _plan(docs, weights, share, most, seed).withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
+
+
+#: Of a source's documents this part at most falls, on average, into one octave's share 1 / n of buckets, times n.
+OCTAVE = math.log(2) / math.e
+
+
+def _plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 0) -> DataFrame:
+    """The mixture of the different rows, with their number as ``copies``."""
+    rows = Scratch(docs.sparkSession).written(measured(picked(docs, "doc_id", "source", "text"), seed), "measured")
+    source = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count("*").alias("source_rows"))
     goal = targets(source.select("source", "source_size"), weights, share, most)
     goal = source.join(goal.select(F.col("source").alias("s"), "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    goal = goal.select("source", "source_size", "target", F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0)).alias("epochs"), F.ceil(F.col("source_rows") / BUCKET_ROWS).alias("n_buckets"))
+    goal = goal.select("source", "source_size", "target", F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0)).alias("epochs"), F.ceil(OCTAVE * F.col("source_rows") / BUCKET_ROWS).alias("per_octave"))
     goal = goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    rows = rows.join(goal.select(F.col("source").alias("s"), "n_buckets"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    rows = rows.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * F.col("n_buckets")))
-    buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    rows = rows.join(goal.select(F.col("source").alias("s"), "per_octave"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rows = rows.withColumn("bucket", F.floor(F.log2("key") * F.col("per_octave")))
+    buckets = rows.groupBy("source", "bucket").agg(F.sum(F.col("size") * F.col("copies")).alias("bucket_size"))
     running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(running), F.lit(0)).alias("before"))
-    buckets = buckets.join(goal.drop("n_buckets").withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before", "source_size", "target", "epochs", "rest")
-    rows = rows.drop("n_buckets").join(buckets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
+    buckets = buckets.join(goal.drop("per_octave").withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before", "source_size", "target", "epochs", "rest")
+    rows = rows.drop("per_octave").join(buckets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "digest").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = F.col("before") + F.sum("size").over(inside)
-    # a document that crosses the budget is taken if more than half of it fits
+    all_copies = F.col("size") * F.col("copies")
+    upto = F.col("before") + F.sum(all_copies).over(inside)
+    # rows that cross the budget are taken if more than half of one fits after the others
     fits = F.col("rest") - (upto - F.col("size")) >= F.col("size") / 2
     taken = F.col("size") * (F.col("epochs") + F.when(fits & (F.col("rest") > 0), 1).otherwise(0))
-    return rows.select("doc_id", "size", "source", "source_size", "target", F.least(taken, most * F.col("size")).cast("long").alias("taken"), "digest")
+    return rows.select("doc_id", "size", "source", "source_size", "target", F.least(taken, most * F.col("size")).cast("long").alias("taken"), "digest", "copies")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: each row of docs, all its columns, as many times as it is taken."""
-    plan = mixed(docs, **options).where("taken > 0").select("doc_id", F.col("digest"), (F.col("taken") / F.col("size")).cast("int").alias("times"))
-    plan = plan.groupBy("doc_id", "digest").agg(F.max("times").alias("times")).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.sequence(F.lit(1), F.col("times")).alias("__times"))
-    rows = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.md5(F.coalesce(docs["text"], F.lit(""))) == F.col("__digest")))
-    return rows.withColumn("__pass", F.explode("__times")).select(*(docs[c] for c in docs.columns))
+    plan = _plan(docs, **options).where("taken > 0").select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("digest").alias("p_digest"), F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int")).alias("times"))
+    rows, back = aside(docs, "doc_id", "source", "text")
+    same = F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("p_digest")) & F.col("source").eqNullSafe(F.col("p_source"))
+    return back(rows.join(plan, same).withColumn("times", F.explode("times")))
 
 
 ORACLE = r"""

@@ -8,14 +8,16 @@ its successors until the bitmaps allow it. A bin holds one member of a duplicate
 and at most ``per_source`` pieces of a source (a bit for each place). Pieces come in
 falling size.
 
-Documents are dealt to shards by a hash of their id; a shard's bins are its own. The
-number of shards follows the number of documents, so a task's work is bounded, however
-large a source or a cluster is.
+Documents are dealt to shards by a hash of their id, content and, of rows that are alike,
+their number; a shard's bins are its own. The number of shards follows the number of
+documents, so a task's work is bounded, however large a source, a cluster or a repeated
+row is.
 
 Defined results: a text without words takes no room and joins no bin (bin null, length
-0); a null source is a source of its own; texts with the same words in lower case are one
-cluster unless a ``cluster`` column says otherwise, whose null is in no cluster; rows
-that repeat a doc_id are packed one by one.
+0); a null source is a source of its own; texts with the same words in lower
+case are one cluster unless ``cluster`` names a column of docs, whose null is in no
+cluster; rows that repeat a doc_id are packed one by one, and rows alike in id, source,
+size and cluster are equals, so results don't depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .mixing import WORD
+from .shared import aside
 
 CAPACITY = 2048
 PER_SOURCE = 8
@@ -70,7 +73,7 @@ class Bins:
 
 def pack_shard(rows: pd.DataFrame, capacity: int, per_source: int) -> pd.DataFrame:
     """Pieces of one shard's documents: doc_id, piece, bin, offset, length."""
-    rows = rows.sort_values(["size", "doc_id", "cluster"], ascending=[False, True, True], na_position="last")
+    rows = rows.sort_values(["size", "doc_id", "cluster", "source"], ascending=[False, True, True, True], na_position="last")
     sources = pd.factorize(rows["source"], use_na_sentinel=False)[0].tolist()
     counts = rows["cluster"].value_counts()
     bits = {c: k for k, c in enumerate(sorted(counts.index[counts > 1]))}
@@ -98,18 +101,21 @@ def pack_shard(rows: pd.DataFrame, capacity: int, per_source: int) -> pd.DataFra
 PIECES = "shard long, bin long, doc_id long, piece long, offset long, length long"
 
 
-def packed(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def packed(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_rows: int = SHARD_ROWS, cluster: str | None = None) -> DataFrame:
     """shard, bin, doc_id, piece, offset, length: (shard, bin) is a bin; a document has a row for each piece."""
+    rows = aside(docs, "doc_id", "text", "source", *([cluster] if cluster else []))[0]
     text = F.col("text")
-    cluster = F.col("cluster").cast("string") if "cluster" in docs.columns else F.md5(F.lower(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))))
-    sized = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), cluster.alias("cluster"))
+    group = F.col(cluster).cast("string") if cluster else F.md5(F.lower(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))))
+    sized = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "source", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), group.alias("cluster"))
     shards = max(1, -(-docs.count() // shard_rows))
-    # rows without an id, or that repeat one, are told apart by their content
-    sized = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("shard"), F.when(F.col("doc_id").isNull(), F.col("cluster"))), F.lit(shards)))
+    # alike rows are counted, numbered and so dealt apart
+    alike = sized.groupBy("doc_id", "source", "size", "cluster").agg(F.count("*").alias("copies"))
+    each = alike.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
+    each = each.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("shard"), F.when(F.col("doc_id").isNull(), F.col("cluster")), F.when(F.col("copy") > 1, F.col("copy"))), F.lit(shards)))
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         out = pack_shard(rows, capacity, per_source)
         out.insert(0, "shard", key[0])
         return out[["shard", "bin", "doc_id", "piece", "offset", "length"]]
 
-    return sized.groupBy("shard").applyInPandas(pack, PIECES)
+    return each.groupBy("shard").applyInPandas(pack, PIECES)

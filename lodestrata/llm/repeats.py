@@ -11,14 +11,17 @@ that a segment of at most 2 * length bytes holds. The work is then:
 
 1. Grams: each task sends the hashes of its anchors to buckets, which tell the ones that
    occur again. A hash that is frequent within a few megabytes is sent once and called
-   famous, like one that is frequent over all.
+   famous, like one that is frequent over all. On large tables the most frequent hashes of
+   a sample are told to all tasks and called famous at once; so they fill no bucket.
 2. Segments: documents with repeated anchors send these anchors' segments, equal ones
    of a few megabytes once. The windows of famous grams are sent one by one under their
-   own hash instead, again once, so no group grows with a passage's fame.
+   own hash instead, again once.
 3. Suffix sort: a group's segments are sorted by mergesort whose comparisons find the
    common extension by binary search over prefix polynomial hashes; equal neighbours are
    verified byte by byte. Only the first of equal segments can stay. The windows of the
-   remaining ones are sorted the same way, and all but the first of equal windows go.
+   remaining ones are sorted the same way, and all but the first of equal windows go. A
+   famous window's occurrences are dealt to several tasks, each of which compares them one
+   after the other and passes its first on to a second round.
 4. The removed runs return to their documents.
 
 Defined results: a null text is empty; rows with equal doc_id are ordered by a hash of
@@ -36,8 +39,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import arrays
-from .shared import written
+from . import arrays, skew
+from .shared import Scratch, aside, count_partitions, picked, written
 
 LENGTH = 100
 #: Bytes of a gram.
@@ -48,6 +51,12 @@ BUCKET_ANCHORS = 150_000
 NEAR_BYTES = 2 << 20
 #: Occurrences, over all and within NEAR_BYTES, from which on a gram is famous.
 FAMOUS, FAMOUS_HERE = 1 << 16, 1 << 10
+#: Text bytes from which on the most frequent grams are looked for first, in one of so many documents.
+SAMPLED_BYTES, SAMPLED = 8 << 30, 64
+#: Frequent grams that are told to all tasks at most (half a megabyte).
+HOT_GRAMS = 1 << 16
+#: Text bytes whose segments one task sorts, on average.
+TASK_BYTES = 32 << 20
 #: Segment bytes that are sorted together.
 SORT_BYTES = 1 << 19
 #: Segments whose bytes are gathered, or compared, at once.
@@ -236,13 +245,29 @@ _SPANS = pa.schema([("id", pa.int64()), ("starts", pa.binary()), ("ends", pa.bin
 _GRAM_TYPES = "bucket long, hashes binary, docs binary, sizes binary, places binary, fame binary"
 
 
-def gram_rows(rows: DataFrame, length: int, buckets: int, here: int = FAMOUS_HERE) -> DataFrame:
+def frequent_grams(rows: DataFrame, length: int, sampled: int, least: int) -> np.ndarray:
+    """Sorted hashes of the most frequent grams of one in ``sampled`` documents, of ``least`` occurrences there or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in arrays.pieces(batches, limit=NEAR_BYTES):
+            data, off = arrays.utf8(piece.column("text"))
+            value, count = np.unique(anchors(data, off, length)[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(count)], names=["gram", "n"])
+
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(sampled)) == 0).select("text")
+    found = some.transform(arrays.mapped, run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = found.orderBy(F.desc("n"), "gram").limit(HOT_GRAMS).collect()
+    return np.sort(np.array([r["gram"] for r in found], np.int64).view(np.uint64))
+
+
+def gram_rows(rows: DataFrame, length: int, buckets: int, here: int = FAMOUS_HERE, hot: np.ndarray | None = None) -> DataFrame:
     """Step 1, in each task: for each bucket the hashes of anchors and where they stand.
 
     hashes: 6 bytes each; docs and sizes: ids and how many anchors of each follow; places:
     numbers of the anchors in their documents; fame: occurrences within the piece. A row
-    without a bucket tells a document's anchors that are famous already.
+    without a bucket tells a document's anchors that are famous already, as all of ``hot`` are.
     """
+    shipped = rows.sparkSession.sparkContext.broadcast(np.zeros(0, np.uint64) if hot is None else hot)  # HOT_GRAMS at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in arrays.pieces(batches, limit=NEAR_BYTES):
@@ -256,13 +281,14 @@ def gram_rows(rows: DataFrame, length: int, buckets: int, here: int = FAMOUS_HER
             fame[order] = np.repeat(count, count)
             ids = piece.column("id").to_numpy()
             out: list[tuple] = []
-            famous = np.flatnonzero(fame >= here)
+            told = np.isin(value, shipped.value)
+            famous = np.flatnonzero(told | (fame >= here))
             for a, n in zip(*(x.tolist() for x in arrays.runs(own[famous]))):
                 part = famous[a : a + n]
                 out.append((None, None, ids[own[part[:1]]].tobytes(), None, number[part].astype(np.int32).tobytes(), None))
             sent = fame < here
             sent[order[first]] = True
-            sent = np.flatnonzero(sent)
+            sent = np.flatnonzero(sent & ~told)
             bucket = (value[sent] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
             by = np.lexsort((ids[own[sent]], bucket))
             sent, bucket = sent[by], bucket[by]
@@ -392,44 +418,97 @@ def resolve(key: np.ndarray, windows: np.ndarray, data: np.ndarray, length: int)
     return np.concatenate([np.repeat(later, windows[later]), segment[late]]), np.concatenate([arrays.ramps(windows[later]), step[late]])
 
 
-def removed(found: DataFrame, length: int) -> DataFrame:
-    """id, starts, ends of removed runs, several rows for a document."""
-
-    def spans(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(ids):
-            return
-        order = np.argsort(ids, kind="stable")
-        ids, start, end = ids[order], start[order], end[order]
-        edges = np.append(arrays.runs(ids)[0], len(ids)).tolist()
-        for x in range(0, len(edges) - 1, 4096):
-            part = edges[x : x + 4097]
-            yield _batch([(int(ids[a]), *(s.astype(np.int64).tobytes() for s in _merged(start[a:b], end[a:b]))) for a, b in zip(part, part[1:])], _SPANS)
+def _spans(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Merged runs, a row for each document."""
+    if not len(ids):
+        return
+    order = np.argsort(ids, kind="stable")
+    ids, start, end = ids[order], start[order], end[order]
+    edges = np.append(arrays.runs(ids)[0], len(ids)).tolist()
+    for x in range(0, len(edges) - 1, 4096):
+        part = edges[x : x + 4097]
+        yield _batch([(int(ids[a]), *(s.astype(np.int64).tobytes() for s in _merged(start[a:b], end[a:b]))) for a, b in zip(part, part[1:])], _SPANS)
+
+
+class FirstWindows:
+    """Tells the first of equal windows, which come by key and in order; holds one key's different windows."""
+
+    def __init__(self) -> None:
+        self.key: int | None = None
+        self.seen: set[bytes] = set()
+
+    def later(self, keys: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """Whether each window (a row of bytes) is the same as one before."""
+        first, count = arrays.runs(keys)
+        head = np.repeat(first, count)
+        same = (windows == windows[head]).all(1)
+        out = same & (np.arange(len(keys)) != head)
+        # a key that goes on from the batch before, and unlike windows of one key
+        slow = set(np.unique(head[~same]).tolist())
+        if len(keys) and keys[0] == self.key:
+            slow.add(0)
+        for a in sorted(slow):
+            if keys[a] != self.key:
+                self.key, self.seen = int(keys[a]), set()
+            for k in range(a, a + int(count[np.searchsorted(first, a)])):
+                raw = windows[k].tobytes()
+                out[k] = raw in self.seen
+                self.seen.add(raw)
+        if len(keys) and keys[-1] != self.key:
+            self.key, self.seen = int(keys[-1]), {windows[head[-1]].tobytes()}
+        return out
+
+
+_FOUND = pa.schema([*_SPANS, ("key", pa.int64()), ("start", pa.int32()), ("bytes", pa.binary())])
+_FOUND_TYPES = "id long, starts binary, ends binary, key long, start int, bytes binary"
+
+
+def removed(found: DataFrame, length: int, total: int, scratch: Scratch) -> DataFrame:
+    """id, starts, ends of removed runs, several rows for a document; ``total``: all text bytes."""
 
     def solve(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held)
         data, _ = arrays.utf8(table.column("bytes"))
         segment, offset = resolve(table.column("key").to_numpy(), table.column("windows").to_numpy().astype(np.int64), data, length)
         start = table.column("start").to_numpy().astype(np.int64)[segment] + offset
-        yield from spans(table.column("id").to_numpy()[segment], start, start + length)
+        yield from _spans(table.column("id").to_numpy()[segment], start, start + length)
+
+    def wide(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.nulls(batch.num_rows, f.type) for f in list(_FOUND)[3:])], schema=_FOUND)
+
+    def famous_windows(batch: pa.RecordBatch, firsts: FirstWindows, last: bool) -> Iterator[pa.RecordBatch]:
+        data, _ = arrays.utf8(batch.column("bytes"))
+        late = firsts.later(batch.column("key").to_numpy(), data.reshape(-1, length))
+        start = batch.column("start").to_numpy().astype(np.int64)[late]
+        yield from wide(_spans(batch.column("id").to_numpy()[late], start, start + length))
+        stays = batch.filter(pa.array(~late))
+        if stays.num_rows and not last:
+            none = pa.nulls(stays.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([stays.column("id"), none, none, *(stays.column(c) for c in ("key", "start", "bytes"))], schema=_FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size, last = 0, None
+        size, last_key, firsts = 0, None, FirstWindows()
         for batch in batches:
             known = pa.compute.is_null(batch.column("key"))
             ready = batch.filter(known)
             if ready.num_rows:
                 start = ready.column("start").to_numpy().astype(np.int64)
-                yield from spans(ready.column("id").to_numpy(), start, start + ready.column("windows").to_numpy() + length - 1)
+                yield from wide(_spans(ready.column("id").to_numpy(), start, start + ready.column("windows").to_numpy() + length - 1))
             batch = batch.filter(pa.compute.invert(known))
+            even = batch.column("key").to_numpy() & 1 == 0
+            if even.any():
+                yield from famous_windows(batch.filter(pa.array(even)), firsts, False)
+                batch = batch.filter(pa.array(~even))
             if not batch.num_rows:
                 continue
             # what is sorted together ends where the key changes
             key = batch.column("key").to_numpy()
             cuts = arrays.runs(key)[0]
-            if key[0] == last:
+            if key[0] == last_key:
                 cuts = cuts[1:]
-            last = key[-1]
+            last_key = key[-1]
             before = np.concatenate(([0], np.cumsum(pa.compute.binary_length(batch.column("bytes")).to_numpy(), dtype=np.int64)))
             a = 0
             while True:
@@ -443,14 +522,29 @@ def removed(found: DataFrame, length: int) -> DataFrame:
                 if cuts[k] > a:
                     held.append(batch.slice(a, int(cuts[k]) - a))
                 if held:
-                    yield from solve(held)
+                    yield from wide(solve(held))
                 a, held, size = int(cuts[k]), [], 0
                 cuts = cuts[k + 1 :]
         if held:
-            yield from solve(held)
+            yield from wide(solve(held))
 
-    placed = found.repartition(F.coalesce("key", F.xxhash64("id", "start"))).sortWithinPartitions("key", "id", "start")
-    return placed.transform(arrays.mapped, run, "id long, starts binary, ends binary")
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = FirstWindows()
+        for batch in batches:
+            if batch.num_rows:
+                for rows in famous_windows(batch, firsts, True):
+                    yield rows.select(_SPANS.names)
+
+    spark = found.sparkSession
+    parts = count_partitions(spark, total, TASK_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a famous window is sent once for each NEAR_BYTES: as many tasks take them as rows go to one
+    salts = max(1, int((total / NEAR_BYTES) ** 0.5))
+    place = F.when(F.col("key").isNull(), F.xxhash64("id", "start")).when(F.col("key").bitwiseAND(1) == 1, F.xxhash64("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("id"), F.lit(salts))))
+    first = found.repartition(parts, place).sortWithinPartitions("key", "id", "start").transform(arrays.mapped, run, _FOUND_TYPES)
+    first = scratch.written(first, "removed")
+    windows = first.where("key is not null").select("key", "id", "start", "bytes")
+    late = windows.repartition(parts, "key").sortWithinPartitions("key", "id", "start").transform(arrays.mapped, second, "id long, starts binary, ends binary")
+    return first.where("key is null").select("id", "starts", "ends").unionByName(late)
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
@@ -470,20 +564,21 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
     return rows.withColumn("id", F.col("new")).drop("k", "ident", "new"), True
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, doubled: bool = False, famous: tuple[int, int] = (FAMOUS, FAMOUS_HERE)) -> DataFrame:
+def repeated_spans(rows: DataFrame, scratch: Scratch, length: int = LENGTH, doubled: bool = False, famous: tuple[int, int] = (FAMOUS, FAMOUS_HERE), sampled_bytes: int = SAMPLED_BYTES, sampled: int = SAMPLED) -> DataFrame:
     """id, copy (the whole text stands earlier), starts, ends (lists of int64 arrays) of documents that lose something."""
     texts = rows.select("id", "text").where(F.octet_length("text") >= length)
     if doubled:
         texts = texts.dropDuplicates(["id"])
-    ids = written(texts.select("id", F.md5("text").alias("digest"), F.octet_length("text").alias("n")), "ids")
+    ids = scratch.written(texts.select("id", F.md5("text").alias("digest"), F.octet_length("text").alias("n")), "ids")
     total = ids.agg(F.sum("n")).first()[0] or 0
-    first = ids.groupBy("digest", "n").agg(F.min("id").alias("first"))
-    copies = ids.join(first, ["digest", "n"]).where("id != first").select("id")
+    first = ids.groupBy("digest", "n").agg(F.min("id").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
+    copies = scratch.written(skew.hot(ids, ["digest", "n"]).joined(ids, first, "id").where("id != first").select("id"), "copies")
+    hot = frequent_grams(texts, length, sampled, max(2, famous[0] // sampled)) if total >= sampled_bytes else None
     buckets = max(rows.sparkSession.sparkContext.defaultParallelism, int(2 * total / (length - GRAM + 2) / BUCKET_ANCHORS) + 1)
-    answers = repeated_anchors(gram_rows(texts, length, buckets, famous[1]), buckets, *famous)
+    answers = repeated_anchors(gram_rows(texts, length, buckets, famous[1], hot), buckets, *famous)
     told = answers.groupBy("id").agg(F.collect_list("places").alias("places"), F.collect_list("famous").alias("famous")).join(copies, "id", "left_anti")
     marked = arrays.packed_texts(texts).join(told, "id").select("id", "packed", "places", "famous")
-    spans = removed(segments(marked, length), length)
+    spans = removed(segments(marked, length), length, total, scratch)
     spans = spans.groupBy("id").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends")).withColumn("copy", F.lit(False))
     none = F.array().cast("array<binary>")
     return spans.unionByName(copies.select("id", none.alias("starts"), none.alias("ends"), F.lit(True).alias("copy")))
@@ -501,10 +596,12 @@ def _left(raw: bytes, start: np.ndarray, end: np.ndarray) -> bytes:
     return b"".join(raw[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(raw)]))
 
 
-def report(docs: DataFrame, length: int = LENGTH, famous: tuple[int, int] = (FAMOUS, FAMOUS_HERE)) -> DataFrame:
+def report(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
-    rows, doubled = numbered(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    spans = written(repeated_spans(rows, length, doubled, famous), "spans")
+    rows, doubled = numbered(picked(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))))
+    scratch = Scratch(docs.sparkSession)
+    spans = written(repeated_spans(rows, scratch, length, doubled, **options), "spans")
+    scratch.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
@@ -526,12 +623,12 @@ def report(docs: DataFrame, length: int = LENGTH, famous: tuple[int, int] = (FAM
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows of docs without repeated strings; a character goes only with all its bytes, and texts left empty stay as empty texts."""
-    # other columns wait under names that no step uses
-    others = {c: f"__{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
-    docs_in = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(a) for c, a in others.items()))
-    columns = docs_in.columns
-    rows, doubled = numbered(docs_in)
-    spans = written(repeated_spans(rows.select("id", F.coalesce("text", F.lit("")).alias("text")), length, doubled), "spans")
+    plain, back = aside(docs, "doc_id", "text")
+    columns = plain.columns
+    rows, doubled = numbered(plain)
+    scratch = Scratch(docs.sparkSession)
+    spans = written(repeated_spans(rows.select("id", F.coalesce("text", F.lit("")).alias("text")), scratch, length, doubled), "spans")
+    scratch.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in arrays.pieces(batches):
@@ -550,5 +647,5 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             at = piece.schema.names.index("text")
             yield piece.set_column(at, "text", pa.array(texts, pa.string())).select(columns)
 
-    joined = rows.join(spans.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left").select(*columns, "copy", "starts", "ends")
-    return joined.transform(arrays.mapped, run, docs_in.schema).select(*(F.col(others.get(c, c)).alias(c) for c in docs.columns))
+    joined = rows.join(spans, "id", "left").select(*columns, "copy", "starts", "ends")
+    return back(joined.transform(arrays.mapped, run, plain.schema))

@@ -19,9 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The rows as a Parquet table in the shared folder, read again: cuts the lineage and outlives executors."""
-    return Scratch(df.sparkSession).written(df, name)
+    return Scratch(df.sparkSession).written(df, name, compression)
 
 
 class Scratch:
@@ -31,9 +31,9 @@ class Scratch:
         self.spark = spark
         self.paths: list[str] = []
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
+    def written(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -1,8 +1,11 @@
 """Toxicity by Levenshtein automata over a learned lexicon.
 
-The lexicon comes from labelled rows: words that stand in many toxic texts and hardly in
-others, true copies counted once, and stems (ending in ``*``) that
-many such words share. Lexicon trie and Levenshtein
+The lexicon comes from all labelled rows of a bounded sample: words that stand in many
+toxic texts and hardly in others, and stems (ending in ``*``) that
+many such words share. Near copies are no evidence of their own, so texts are counted by
+family: those whose least 5-word shingle hash is the same count once for each label. A
+stem counts by the number of its words in a text, for stems may stand once anywhere.
+Lexicon trie and Levenshtein
 automaton are intersected into one table-driven automaton, through which numpy drives all
 words of a batch a byte at a time, so misspelled terms are found as well. A hit counts by
 the share of toxic texts among the training texts with that form (an unseen form by that
@@ -10,41 +13,43 @@ of its term and distance), less inside a quotation and less where a word that re
 speech stands near, so that quoting is told from abuse. A text's score is one minus the
 product of what its hits leave.
 
-Defined results: null and empty texts, like all without a hit, get the share of toxic
-texts among training texts without a hit; with nothing to learn from every score is 0;
+Words are runs of letters and digits of the lower-cased text (bytes beyond ASCII count as
+letters), in training as in scoring.
+
+Defined results: null and empty texts, like all without a hit, get the least score; with nothing to learn from every score is 0;
 labels that are null don't count; several labels of one id all count.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
 from .language import fold, sampled
-from .shared import written
+from .minhash import shingles
+from .shared import Scratch, picked
 
 #: Labelled rows used at most, on average; rows are chosen by a hash of doc_id.
 TRAIN_ROWS = 24_000
-#: Terms kept at most.
-TERMS = 64
+#: A term stands in at least this share of the toxic texts.
 LEAST_SHARE = 0.005
 #: A term's toxic texts, were they drawn by chance, must be rarer than one in this many words.
 CHANCE = 1e7
 #: Characters of a stem, and the words that share it at least.
-STEMS = (4, 5)
+STEMS = range(3, 9)
 STEM_WORDS = 5
-#: Bytes of the longest word that a stem accepts.
-STEM_REACH = 48
 LEAST_PRECISION = 0.9
+#: Training texts that a form's own share must outweigh.
+PRIOR_TEXTS = 4
 THRESHOLD = 0.3
 #: Words looked at on each side of a hit.
 WINDOW = 12
@@ -144,40 +149,40 @@ class Automaton:
         """Words that are accepted, with term and distance."""
         if not self.terms:
             return (np.zeros(0, np.int64),) * 3
-        longest = max(STEM_REACH if t.endswith(b"*") else len(t) + 2 for t in self.terms)
-        alive = np.flatnonzero(end - start <= longest)
+        longest = max(len(t.removesuffix(b"*")) for t in self.terms) + 3
+        alive = np.arange(len(start))
         state = np.ones(len(alive), np.int32)
         words, terms, distances = [], [], []
         for k in range(longest + 1):
             done = start[alive] + k >= end[alive]
+            if k == longest:
+                done[:] = True  # only stems are still alive, and accept any ending
             if done.any():
                 found = done & (self.term[state] >= 0)
                 words.append(alive[found])
                 terms.append(self.term[state[found]])
                 distances.append(self.distance[state[found]])
                 alive, state = alive[~done], state[~done]
+            if not len(alive):
+                break
             state = self.table[state, self.classes[data[start[alive] + k]]]
             live = state > 0
             alive, state = alive[live], state[live]
-            if not len(alive):
-                break
         word = np.concatenate(words) if words else np.zeros(0, np.int64)
         order = np.argsort(word, kind="stable")
         return word[order], np.concatenate(terms)[order] if words else word, np.concatenate(distances)[order] if words else word
 
 
 def tokens(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes, and start, end, text of each word without marks at its ends."""
-    data, off = arrays.utf8(array)
-    data = arrays.LOWER_ASCII[data]
-    start, end, own = arrays.words(data, off)
-    if len(start):
-        good = np.flatnonzero(_ALNUM[data])
-        first = np.searchsorted(good, start)
-        last = np.searchsorted(good, end) - 1
-        some = last >= first
-        start, end, own = good[first[some]], good[last[some]] + 1, own[some]
-    return data, start, end, own
+    """Lower-cased bytes, and start, end, text of each word."""
+    data, off = arrays.utf8(pc.utf8_lower(pc.fill_null(array, "")))
+    solid = np.zeros(len(data) + 2, bool)
+    here = solid[1:-1] = _ALNUM[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[off] = True
+    start = np.flatnonzero(here & (~solid[:-2] | edge[:-1]))
+    end = np.flatnonzero(here & (~solid[2:] | edge[1:])) + 1
+    return data, start, end, arrays.owner(off, start)
 
 
 def in_quotes(before: str, after: str) -> bool:
@@ -217,87 +222,163 @@ class Model:
     automaton: Automaton
     forms: dict[bytes, float]
     unseen: dict[tuple[int, int], float]
-    base: float
+    #: Where a step of the score begins, by minus the logarithm of what a text's hits leave, and the score from there.
+    steps: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    scores: np.ndarray = field(default_factory=lambda: np.zeros(1))
+
+    def evidence(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Minus the logarithm of what each text's hits leave, and their number."""
+        total, n = np.zeros(len(array)), np.zeros(len(array), np.int64)
+        for own, form, term, distance, factor in hits(array, self.automaton):
+            total[own] -= math.log(1 - factor * self.forms.get(form, self.unseen.get((term, distance), 0.5)))
+            n[own] += 1
+        return total, n
+
+    def fit(self, evidence: np.ndarray, toxic: np.ndarray) -> None:
+        """The rising step function that is closest to the labels, pooled until no step falls."""
+        order = np.argsort(evidence, kind="stable")
+        first, count = arrays.runs(evidence[order])
+        pools: list[list[float]] = []
+        for at, n, y in zip(evidence[order][first].tolist(), count.tolist(), np.add.reduceat(toxic[order], first).tolist()):
+            pools.append([at, n, y])
+            while len(pools) > 1 and pools[-2][2] * pools[-1][1] >= pools[-1][2] * pools[-2][1]:
+                _, n, y = pools.pop()
+                pools[-1][1] += n
+                pools[-1][2] += y
+        self.steps = np.array([p[0] for p in pools])
+        self.scores = np.array([(y + toxic.mean()) / (n + 1) for _, n, y in pools])
+
+    def score(self, evidence: np.ndarray) -> np.ndarray:
+        return self.scores[np.maximum(np.searchsorted(self.steps, evidence, side="right") - 1, 0)]
+
+
+def _families(rows: DataFrame) -> DataFrame:
+    """text, toxic, family of labelled rows: the least hash of a text's 5-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in arrays.pieces(batches):
+            sets, bounds = shingles(piece.column("text"), 5)
+            family = np.zeros(piece.num_rows, np.int64)
+            some = np.flatnonzero(np.diff(bounds))
+            if len(some):
+                family[some] = np.minimum.reduceat(arrays.mix(sets), bounds[:-1][some]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([piece.column("text"), piece.column("toxic"), pa.array(family)], names=["text", "toxic", "family"])
+
+    return rows.select("text", F.when(F.col("toxic") == 1, 1).otherwise(0).cast("long").alias("toxic")).transform(arrays.mapped, run, "text string, toxic long, family long")
+
+
+def _words_of(texts: pa.Array) -> list[set[bytes]]:
+    """The words of each text that hold more than digits."""
+    data, start, end, own = tokens(texts)
+    out: list[set[bytes]] = [set() for _ in range(len(texts))]
+    raw = data.tobytes()
+    for o, a, b in zip(own.tolist(), start.tolist(), end.tolist()):
+        out[o].add(raw[a:b])
+    return [{w for w in x if not w.isdigit()} for x in out]
+
 
+def _stems_of(word: bytes) -> list[bytes]:
+    text = word.decode()
+    return [(text[:k] + "*").encode() for k in STEMS if len(text) > k]
 
-_WORDS = re.compile(r"[^\W\d_]{4,}")
 
+def _occurrences(rows: DataFrame, among: set[bytes] | None = None) -> DataFrame:
+    """word, n, m: families that hold each word, or words of a stem (of ``among``), and the sum of how many they hold."""
 
-def _unlike(rows: DataFrame) -> DataFrame:
-    """text, toxic: one row of each label for texts that are the same but for case and white space, that of the least doc_id."""
-    same = F.sha2(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))), 256)
-    first = F.min(F.struct("doc_id", "text")).alias("first")
-    return rows.groupBy(same.alias("same"), F.col("toxic").cast("int").alias("toxic")).agg(first).select("first.text", "toxic")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[bytes, int], int] = {}
+        for piece in arrays.pieces(batches):
+            for words, family in zip(_words_of(piece.column("text")), piece.column("family").to_pylist()):
+                counts = Counter(x for w in words for x in (w, *_stems_of(w)) if among is None or x in among)
+                for w, k in counts.items():
+                    seen[w, family] = max(k, seen.get((w, family), 0))
+        if seen:
+            word, family = zip(*seen)
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(family, pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["word", "family", "k"])
+
+    pairs = rows.select("text", "family").transform(arrays.mapped, run, "word binary, family long, k long").groupBy("word", "family").agg(F.max("k").alias("k"))
+    return pairs.groupBy("word").agg(F.count("*").alias("n"), F.sum("k").alias("m"))
 
 
-def train(docs: DataFrame, labels: DataFrame, terms: int = TERMS) -> Model | None:
+def lexicon(rows: DataFrame) -> list[bytes]:
+    """Terms of (text, toxic, family): words, and stems that tell more than their most frequent word.
+
+    The words of the sample's toxic texts that reach the driver are bounded by the sample.
+    """
+    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.countDistinct("family").alias("n")).collect()}
+    n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
+    if not n_toxic or not n_clean:
+        return []
+    least = max(LEAST_SHARE * n_toxic, math.log(CHANCE) / math.log((n_toxic + n_clean) / n_toxic))
+    toxic = {bytes(r["word"]): (r["n"], r["m"]) for r in _occurrences(rows.where("toxic = 1")).collect()}
+    often = {w for w, (n, _) in toxic.items() if n >= least}
+    family = {w for w in toxic if not w.endswith(b"*") and any(x in often for x in _stems_of(w))}
+    clean = {bytes(r["word"]): (r["n"], r["m"]) for r in _occurrences(rows.where("toxic = 0"), often | family).collect()}
+
+    def telling(w: bytes) -> bool:
+        rate, other = toxic[w][1] / n_toxic, clean.get(w, (0, 0))[1] / n_clean
+        return rate >= LEAST_PRECISION * (rate + other)
+
+    members = defaultdict(list)
+    for w in family:
+        if toxic[w][0] > clean.get(w, (0, 0))[0]:
+            for x in _stems_of(w):
+                members[x].append(toxic[w][0])
+    known = {w for w in often if telling(w)}
+    stems = {x for x in known if x.endswith(b"*") and len(members[x]) >= STEM_WORDS and toxic[x][1] >= 1.5 * max(members[x])}
+    terms = {w for w in known if not w.endswith(b"*") and not any(x in stems for x in _stems_of(w))}
+    shortest = {x for x in stems if not any(y != x and x.startswith(y[:-1]) for y in stems)}
+    return sorted(terms | shortest)
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model from the texts of labelled rows; the labels broadcast are a bounded sample."""
+    scratch = Scratch(docs.sparkSession)
     labels = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic")
     labels = sampled(labels, TRAIN_ROWS, labels.count())
-    rows = written(_unlike(docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").where("text is not null")), "labelled")
-    counted = {int(r["toxic"] == 1): r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n_toxic, n_clean = counted.get(1, 0), counted.get(0, 0)
-    if not n_toxic or not n_clean:
+    rows = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").where("text is not null")
+    rows = scratch.written(_families(rows), "labelled")
+    if rows.select("toxic").distinct().count() < 2:
+        scratch.clear()
         return None
-
-    def per_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        for piece in arrays.pieces(batches):
-            for text, toxic in zip(piece.column("text").to_pylist(), piece.column("toxic").to_pylist()):
-                seen = set(_WORDS.findall(text.lower()))
-                for w in seen | {w[:k] + "*" for w in seen for k in STEMS if len(w) > k}:
-                    found[w][toxic == 1] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([v[1] for v in found.values()], pa.int64()), pa.array([v[0] for v in found.values()], pa.int64())], names=["word", "toxic", "clean"])
-
-    words = rows.transform(arrays.mapped, per_word, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    rate = F.col("toxic") / n_toxic
-    precise = rate / (rate + F.col("clean") / n_clean) >= LEAST_PRECISION
-    least = max(LEAST_SHARE * n_toxic, math.log(CHANCE) / math.log((n_toxic + n_clean) / n_toxic))
-    telling = words.where((F.col("toxic") >= least) & precise)
-    stems = telling.where("word like '%*'").select(F.expr("substring(word, 1, length(word) - 1)").alias("stem"), F.col("toxic").alias("stem_toxic"))
-    shared = words.where("word not like '%*' and toxic > clean").select(F.explode(F.array(*(F.substring("word", 1, k) for k in STEMS))).alias("stem"), "toxic").groupBy("stem").agg(F.count("*").alias("n"), F.max("toxic").alias("most")).where(F.col("n") >= STEM_WORDS)
-    # a stem tells more than its most frequent word
-    stems = stems.join(shared, "stem").where(F.col("stem_toxic") >= 1.5 * F.col("most")).select(F.concat("stem", F.lit("*")).alias("word"))
-    lexicon = telling.where("word not like '%*'").unionByName(telling.join(stems, "word", "left_semi")).orderBy(F.desc("toxic"), "word").limit(8 * terms).collect()
-    chosen: list[str] = []
-    found_stems = tuple(sorted((r["word"][:-1] for r in lexicon if r["word"].endswith("*")), key=len))
-    for r in lexicon:
-        word = r["word"].removesuffix("*")
-        if not any(word.startswith(x) and r["word"] != x + "*" for x in found_stems):
-            chosen.append(r["word"])
-    automaton = Automaton(sorted(w.encode() for w in chosen[:terms]))
-    shipped = docs.sparkSession.sparkContext.broadcast(automaton)  # TERMS terms at most
+    automaton = Automaton(lexicon(rows))
+    shipped = docs.sparkSession.sparkContext.broadcast(automaton)  # of a lexicon that the sample bounds
 
     def per_form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[bytes, int, int], list[int]] = defaultdict(lambda: [0, 0])
+        found: set[tuple[bytes, int, int, int, int]] = set()
         for piece in arrays.pieces(batches):
-            toxic = piece.column("toxic").to_pylist()
             seen = defaultdict(set)
             for own, form, term, distance, _ in hits(piece.column("text"), shipped.value):
                 seen[own].add((form, term, distance))
-            for own, label in enumerate(toxic):
+            for own, (toxic, family) in enumerate(zip(piece.column("toxic").to_pylist(), piece.column("family").to_pylist())):
                 exact = any(d == 0 for _, _, d in seen[own])
                 for form, term, distance in seen[own] or {(b"", -1, -1)}:
                     if distance <= 0 or not exact:  # beside an exact hit a near one proves nothing
-                        found[form, term, distance][label == 1] += 1
-        keys = list(found)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0].decode(errors="replace") for k in keys], pa.string()), *(pa.array([k[j] for k in keys], pa.int64()) for j in (1, 2)), *(pa.array([found[k][j] for k in keys], pa.int64()) for j in (1, 0))], names=["form", "term", "distance", "toxic", "clean"])
-
-    forms = rows.transform(arrays.mapped, per_form, "form string, term long, distance long, toxic long, clean long").groupBy("form", "term", "distance").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # forms are words within the automaton's reach of TERMS terms; the most frequent are kept one by one
-    known = forms.orderBy(F.desc(F.col("toxic") + F.col("clean")), "form", "term").limit(1 << 16).collect()
-    balance = n_clean / n_toxic
-    base, model, groups = 0.0, Model(automaton, {}, {}, 0.0), defaultdict(lambda: [0.0, 0.0])
-    for r in known:
-        if r["term"] < 0:
-            base = (r["toxic"] + 0.5) / (r["toxic"] + r["clean"] + 1)
-        else:
-            toxic = r["toxic"] * min(balance, 10.0)
-            model.forms[r["form"].encode()] = (toxic + 0.5) / (toxic + r["clean"] + 1)
-            groups[r["term"], r["distance"]][0] += toxic
-            groups[r["term"], r["distance"]][1] += r["clean"]
-    model.unseen = {k: (t + 1) / (t + c + 2) for k, (t, c) in groups.items()}
-    model.base = min(base, THRESHOLD / 2)
+                        found.add((form, term, distance, toxic, family))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.binary(), *(pa.int64(),) * 4))], names=["form", "term", "distance", "toxic", "family"])
+
+    forms = rows.transform(arrays.mapped, per_form, "form binary, term long, distance long, toxic long, family long").distinct()
+    forms = forms.groupBy("form", "term", "distance").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.countDistinct("family").alias("n")).collect()}
+    balance = min(sizes[0] / sizes[1], 10.0)
+    known = {(bytes(r["form"]), r["term"], r["distance"]): (r["toxic"] * balance, r["clean"]) for r in forms.where("term >= 0").collect()}  # forms of the sample
+    groups = defaultdict(lambda: [1.0, 1.0])
+    for (_, term, distance), (toxic, clean) in known.items():
+        groups[term, distance][0] += toxic
+        groups[term, distance][1] += clean
+    model = Model(automaton, {}, {k: t / (t + c) for k, (t, c) in groups.items()})
+    for (form, term, distance), (toxic, clean) in known.items():
+        model.forms[form] = (toxic + PRIOR_TEXTS * model.unseen[term, distance]) / (toxic + clean + PRIOR_TEXTS)
+    learned = docs.sparkSession.sparkContext.broadcast(model)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in arrays.pieces(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(learned.value.evidence(piece.column("text"))[0]), piece.column("toxic")], names=["evidence", "toxic"])
+
+    seen = rows.transform(arrays.mapped, weigh, "evidence double, toxic long").toPandas()  # a row for each of the sample
+    model.fit(seen["evidence"].to_numpy(), seen["toxic"].to_numpy(float))
+    scratch.clear()
     return model
 
 
@@ -308,24 +389,19 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, score, n_hits of each row of (doc_id, text)."""
     if model is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_hits"))
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # TERMS terms and their forms at most
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # lexicon and forms of a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
         for piece in arrays.pieces(batches):
-            left = np.full(piece.num_rows, 1 - m.base)
-            n = np.zeros(piece.num_rows, np.int64)
-            for own, form, term, distance, factor in hits(piece.column("text"), m.automaton):
-                weight = m.forms.get(form, m.unseen.get((term, distance), 0.5))
-                left[own] *= 1 - factor * weight
-                n[own] += 1
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(1 - left), pa.array(n)], names=["doc_id", "score", "n_hits"])
+            evidence, n = shipped.value.evidence(piece.column("text"))
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(shipped.value.score(evidence)), pa.array(n)], names=["doc_id", "score", "n_hits"])
 
     return docs.select("doc_id", "text").transform(arrays.mapped, run, SCORED)
 
 
 def detect(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     """The columns of the query: learns from labels outside the held fold, scores every text."""
-    model = train(docs, labels.where(fold(folds) != held))
+    docs = picked(docs, "doc_id", "text")
+    model = train(docs, picked(labels, "doc_id", "toxic").where(fold(folds) != held))
     out = score(docs, model)
     return out.select("doc_id", (fold(folds) == held).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_hits")

@@ -4,9 +4,10 @@ An archive is a row of a table with a binary column ``content``: the table may b
 ``write_archives`` returned or ``spark.read.format("binaryFile")`` over .warc.gz files.
 
 Defined results: null html counts as no bytes; payloads are equal when their bytes are;
-of equal payloads of at least ``least`` bytes that with the smallest page_id is the
-response (rows that repeat this page_id are responses too), the others are revisits; a
-null page_id comes after all others and its record carries no id.
+of equal payloads of at least ``least`` bytes one row is the response, that with the
+smallest page_id (where rows repeat it, the smallest url, then any of those alike), and
+the others are revisits; a null page_id comes after all others and its record carries no
+id, so where the response has none its revisits refer to nothing.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import arrays
+from . import arrays, skew
+from .shared import Scratch, picked
 
 #: Compressed bytes after which an archive is closed.
 ARCHIVE_BYTES = 8 << 20
@@ -48,9 +50,8 @@ def header_value(text: str | None) -> str | None:
     return None if text is None else " ".join(text.splitlines())
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, refers: int | None) -> bytes:
+def page_record(page_id: int | None, url: str | None, payload: bytes, revisit: bool = False, refers: int | None = None) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    revisit = refers is not None
     block = http if revisit else http + payload
     return record(
         [
@@ -59,7 +60,7 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, refers: in
             ("WARC-Target-URI", header_value(url)),
             ("WARC-Date", "2020-01-01T00:00:00Z"),
             ("WARC-Profile", PROFILE if revisit else None),
-            ("WARC-Refers-To", f"<urn:page:{refers}>" if revisit else None),
+            ("WARC-Refers-To", f"<urn:page:{refers}>" if refers is not None else None),
             ("WARC-Payload-Digest", f"sha1:{base32_sha1(payload)}"),
             ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"),
             ("WARC-Payload-Length", str(len(payload))),
@@ -72,23 +73,31 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, refers: in
 def write_archives(pages: DataFrame, least: int = 0) -> DataFrame:
     """A table of archives (content binary) with a record for each row of pages(page_id, url, html).
 
-    Only the digests are grouped; a page meets its group's smallest page_id in an
-    equi-join on the digest, which Spark splits where a payload is very common.
+    Only ids and digests are grouped. A page meets its payload's response in a join on the
+    digest, where a very common payload is dealt to several tasks.
     """
-    page = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    page = picked(pages, "page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit("")))
     page = page.withColumn("digest", F.sha1(F.encode("html", "utf-8"))).withColumn("size", F.octet_length("html"))
-    first = page.where(F.col("size") >= least).groupBy("digest", "size").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-    first = first.where("n > 1").select("digest", "size", "first_id")
-    joined = page.join(first, ["digest", "size"], "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
+    key, place = ["digest", "size"], F.struct(F.col("page_id").isNull().alias("unknown"), "page_id", "url")
+    known = Scratch(pages.sparkSession).written(page.select(*key, "page_id", "url"), "pages")
+    first = known.where(F.col("size") >= least).groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(*key, "first")
+    # of rows alike one alone can be the response: they are folded and numbered
+    alike = known.groupBy(*key, "page_id", "url").agg(F.count("*").alias("n")).where("n > 1")
+    if alike.isEmpty():
+        page = page.withColumn("copy", F.lit(1))
+    else:
+        folded = page.groupBy("page_id", "url", "html", *key).agg(F.count("*").alias("n"))
+        page = folded.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
+    joined = skew.hot(known.select(*key, "page_id"), key).joined(page, first, "page_id", "left")
+    is_first = F.col("first").isNull() | (place.eqNullSafe(F.col("first")) & (F.col("copy") == 1))
+    refers = F.when(~is_first, F.col("first.page_id"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[bytes] = []
         held = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers"))):
-                page_id, url, html, refer = row
-                parts.append(member(page_record(page_id, url, html.encode(), refer)))
+            for page_id, url, html, revisit, refer in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "revisit", "refers"))):
+                parts.append(member(page_record(page_id, url, html.encode(), revisit, refer)))
                 held += len(parts[-1])
                 if held >= ARCHIVE_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["content"])
@@ -96,7 +105,7 @@ def write_archives(pages: DataFrame, least: int = 0) -> DataFrame:
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["content"])
 
-    return joined.select("page_id", "url", "html", refers.alias("refers")).transform(arrays.mapped, write, "content binary")
+    return joined.select("page_id", "url", "html", (~is_first).alias("revisit"), refers.alias("refers")).transform(arrays.mapped, write, "content binary")
 
 
 def members(content: bytes) -> Iterator[bytes]:

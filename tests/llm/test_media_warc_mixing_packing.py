@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrata.llm import media, mixing, packing, warc
 
@@ -45,6 +46,62 @@ def test_audio_round_trip(request, which):
     assert out == sorted(expected)
 
 
+def plain_features(payload):
+    """Sample by sample: what the features, the file and the PCM of a payload are."""
+
+    def sign_turns(x):
+        return sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+
+    def mu(c):
+        c ^= 255
+        size = ((c % 16 * 2 + 33) << c // 16 % 8) - 33
+        return (-size if c >= 128 else size) * 4
+
+    def a_law(c):
+        c ^= 0x55
+        low, high = c % 16, c // 16 % 8
+        size = 16 * low + 8 if high == 0 else (16 * low + 264) << high - 1
+        return size if c >= 128 else -size
+
+    def adpcm(block):
+        value = int.from_bytes(bytes(block[:2]), "little", signed=True)
+        index, out = min(block[2], 88), [value]
+        for byte in block[4:]:
+            for code in (byte % 16, byte // 16):
+                step = int(media.STEPS[index])
+                move = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+                value = max(-32768, min(32767, value - move if code & 8 else value + move))
+                index = max(0, min(88, index + int(media.INDEX_MOVES[code & 7])))
+                out.append(value)
+        return out
+
+    parts = []
+    for table in (mu, a_law):
+        pcm = [table(c) for c in payload]
+        parts += [sum(x * x for x in pcm) // len(pcm), sign_turns(pcm)]
+    blocks = [adpcm(payload[k : k + 192]) for k in range(0, len(payload), 192)]
+    power = sum(x * x for b in blocks for x in b) // sum(map(len, blocks))
+    pcm = [mu(c) for c in payload]
+    wide = [y for k, x in enumerate(pcm) for y in (x, (x + pcm[min(k + 1, len(pcm) - 1)]) >> 1)]
+    check = zlib.crc32(b"".join(x.to_bytes(2, "little", signed=True) for x in wide))
+    return f"mu={parts[0]}/{parts[1]};a={parts[2]}/{parts[3]};adpcm={power};pcm16k={check:08x}", wide
+
+
+def test_stored_form_and_features_sample_by_sample(spark):
+    texts = [None, "", "short", "Ünïcode 日本語 " * 40, "x" * 192, "plain words and more of them " * 30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stored = {r["doc_id"]: r for r in media.store(docs).collect()}
+    for r in media.telephony_digests(docs).collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+        n = len(payload).to_bytes(4, "little")
+        body = b"WAVEfmt \x12\0\0\0\x07\0\x01\0" + (8000).to_bytes(4, "little") * 2 + b"\x01\0\x08\0\0\0fact\x04\0\0\0" + n + b"data" + n + payload
+        file = b"RIFF" + len(body).to_bytes(4, "little") + body
+        feature, pcm = plain_features(payload)
+        assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(file), hashlib.sha256(file).hexdigest(), feature)
+        assert stored[r["doc_id"]]["media"] == file and np.frombuffer(stored[r["doc_id"]]["pcm"], np.int16).tolist() == pcm
+
+
 def pages_of(spark, docs):
     return docs.selectExpr("doc_id AS page_id", "concat('http://x/', doc_id) AS url", "text AS html", "size", "n AS digest")
 
@@ -67,11 +124,25 @@ def test_archives(request, spark, which):
 
 def test_archives_with_repeated_rows(spark, doubled):
     pages = pages_of(spark, doubled)
-    assert warc.read_archives(warc.write_archives(pages)).count() == pages.count()
+    rows = sorted(((r["page_id"] is None, r["page_id"] or 0, r["url"] or "", r["html"] or "") for r in pages.collect()))
+    first, want = {}, []
+    for unknown, k, url, html in rows:
+        raw = html.encode()
+        kind, refers = ("revisit", first[html]) if html in first else ("response", None)
+        first.setdefault(html, None if unknown else k)
+        want.append((None if unknown else k, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), kind, refers))
+    out = warc.read_archives(warc.write_archives(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(str, map(tuple, out))) == sorted(map(str, want))
+
+
+def test_small_payloads_are_all_responses(spark):
+    pages = spark.createDataFrame([(1, "u", "same"), (2, "u", "same"), (3, "u", "longer"), (4, "u", "longer")], "page_id long, url string, html string")
+    out = {r["page_id"]: r["record_type"] for r in warc.read_archives(warc.write_archives(pages, least=5)).collect()}
+    assert out == {1: "response", 2: "response", 3: "response", 4: "revisit"}
 
 
 def test_damaged_archives_are_errors():
-    good = warc.member(warc.page_record(1, "http://x", b"payload", None))
+    good = warc.member(warc.page_record(1, "http://x", b"payload"))
     assert [warc.parse(m)[0]["warc-type"] for m in warc.members(good + good)] == ["response"] * 2
     with pytest.raises(ValueError):
         list(warc.members(good[:-5]))
@@ -110,8 +181,32 @@ def test_targets_fill_like_water(spark):
 
 
 def test_mixture_with_repeated_rows(doubled):
-    assert mixing.mixed(doubled).count() == doubled.count()
-    assert mixing.mixed_documents(doubled).columns == doubled.columns
+    con = duckdb.connect()
+    con.register("documents", doubled.select("doc_id", "text", "source").toArrow())
+    want = sorted(str((r[0], r[1], r[2], r[4])) for r in con.execute(mixing.ORACLE).fetchall())
+    out = mixing.mixed(doubled).collect()
+    assert sorted(str((r["doc_id"], r["size"], r["source_size"], r["taken"])) for r in out) == want
+    taken = mixing.mixed_documents(doubled)
+    assert taken.columns == doubled.columns
+    assert sorted(str(r["doc_id"]) for r in taken.select("doc_id").collect()) == sorted(str(r["doc_id"]) for r in out for _ in range(r["taken"] // max(r["size"], 1)))
+
+
+def test_buckets_hold_few_rows_whatever_the_weights(spark):
+    """Texts that are nearly all symbols have weights near 0.05."""
+    rows = [(k, f"{'#$' * 40} {k}" if k % 3 else f"plain words {k}", "a") for k in range(20000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    per_octave = 50
+    sizes = [r["n"] for r in mixing.measured(docs).groupBy(F.floor(F.log2("key") * per_octave).alias("b")).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 1.3 * mixing.OCTAVE * len(rows) / per_octave
+
+
+def test_many_sources(spark):
+    """More sources than a partition holds, targets as with few."""
+    docs = spark.createDataFrame([(k, "word " * (k % 7 + 1), f"host{k % 500}") for k in range(3000)], "doc_id long, text string, source string")
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    want = sorted((r[0], r[4]) for r in con.execute(mixing.ORACLE).fetchall())
+    assert sorted((r["doc_id"], r["taken"]) for r in mixing.mixed(docs).collect()) == want
 
 
 def test_best_fit_is_the_tightest_compatible_bin():
@@ -126,10 +221,22 @@ def test_best_fit_is_the_tightest_compatible_bin():
     assert [p[0] for p in pieces] == sorted((p[0] for p in pieces), reverse=True)
 
 
+def test_packing_does_not_depend_on_the_order_of_rows(doubled):
+    rows = lambda d: sorted(map(str, packing.packed(d, capacity=256).collect()))
+    assert rows(doubled) == rows(doubled.repartition(5, "n")) == rows(doubled.orderBy("text"))
+
+
+def test_only_the_named_column_is_the_cluster(spark):
+    docs = spark.createDataFrame([(k, f"some words of text {k}", "s", "one") for k in range(6)], "doc_id long, text string, source string, cluster string")
+    assert packing.packed(docs).select("bin").distinct().count() == 1
+    assert packing.packed(docs, cluster="cluster").select("bin").distinct().count() == 6
+
+
 @pytest.mark.parametrize("which", ["edges", "doubled", "empty"])
 def test_packed(request, which):
     docs = request.getfixturevalue(which)
     out = packing.packed(docs, capacity=256).toPandas()
+    assert len(out) >= docs.count()
     words = sum(len(brute.WORD.findall(r["text"] or "")) for r in docs.select("text").collect())
     assert out["length"].sum() == words
     if len(out):

@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import brute
 import numpy as np
@@ -74,7 +76,7 @@ def test_automaton_is_the_edit_distance():
     rng = random.Random(3)
     terms = [b"moron", b"stupidest", b"idiot", b"abcd", b"idi*"]
     automaton = toxicity.Automaton(sorted(terms))
-    words = list(terms[:4]) + [b"idi", b"idiomatic", b"zzz"]
+    words = list(terms[:4]) + [b"idi", b"idiomatic", b"zzz", b"idi" + b"x" * 200, b"zidi" + b"x" * 200]
     for t in terms[:4]:
         for _ in range(150):
             w = bytearray(t)
@@ -123,4 +125,108 @@ def test_training_keeps_unlike_texts_and_folds_copies(spark):
     rows += [(300 + k, ("one same text" if k % 2 else "One  SAME text\n"), 1) for k in range(40)]
     texts = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
-    assert toxicity.train(texts, labels).automaton.terms == [b"vile"]
+    assert b"vile" in toxicity.lexicon(toxicity._families(texts.join(labels, "doc_id")))
+    copies = texts.join(labels, "doc_id").where("doc_id >= 300")
+    assert toxicity._families(copies).select("family").distinct().count() == 1
+
+
+def plain_score(text, model):
+    """Words by regular expression, edit distances cell by cell, context word by word."""
+    low = (text or "").lower()
+    found = [(m.start(), m.end()) for m in re.finditer(r"[0-9a-z\x80-\U0010ffff]+", low)]
+    total = 0.0
+    for k, (a, b) in enumerate(found):
+        word, best = low[a:b].encode(), None
+        for t, term in enumerate(model.automaton.terms):
+            d = 0 if term.endswith(b"*") and word.startswith(term[:-1]) else 99 if term.endswith(b"*") else brute.distance(word, term) if abs(len(word) - len(term)) < 3 else 99
+            if d <= toxicity.edits_allowed(term) and (best is None or (d, t) < best):
+                best = d, t
+        if best is None:
+            continue
+        near = found[max(k - toxicity.WINDOW, 0) : k + toxicity.WINDOW + 1]
+        before, after = low[max(near[0][0] - (near[0][0] > 0), 0) : a], low[b : near[-1][1] + 2]
+        opened = 0
+        for c in before:
+            opened = 1 if c in toxicity.OPENING else 0 if c in toxicity.CLOSING else opened ^ (c in toxicity.EITHER)
+        factor = toxicity.QUOTED if opened and any(c in (*toxicity.CLOSING, *toxicity.EITHER) for c in after) else 1.0
+        if factor == 1.0 and {low[x:y].encode() for x, y in found[max(k - 4, 0) : k]} & toxicity.REPORTING and any(c in before[-3:] for c in (*toxicity.OPENING, *toxicity.EITHER, "'")):
+            factor = toxicity.REPORTED
+        total -= np.log(1 - factor * model.forms.get(word, model.unseen.get((best[1], best[0]), 0.5)))
+    steps = [y for x, y in zip(model.steps, model.scores) if x <= total + 1e-12]
+    return steps[-1] if steps else model.scores[0]
+
+
+def test_scores_are_the_plain_ones(spark, docs, labels):
+    model = toxicity.train(docs, labels)
+    texts = [None, "", "You idiot, you i-d-i-o-t and idoit", 'She said "what an idiot" of him', "scum/trash and STUPID", "said 'idiot' then", "a moron " * 30, "“pathetic” loser", "Ünïcode idiöt idiot’s"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(docs.where("doc_id between 100 and 160").select("doc_id", "text"))
+    known = {r["doc_id"]: r["text"] for r in rows.collect()}
+    out = {r["doc_id"]: r["score"] for r in toxicity.score(rows, model).collect()}
+    assert set(out) == set(known) and len({round(x, 6) for x in out.values()}) > 1
+    for k, t in known.items():
+        assert out[k] == pytest.approx(plain_score(t, model), abs=1e-9), t
+
+
+def test_steps_rise_and_fit(spark):
+    model = toxicity.Model(toxicity.Automaton([]), {}, {})
+    model.fit(np.array([0, 0, 0, 1, 1, 2, 3, 3.0]), np.array([0, 0, 1, 0, 0, 1, 1, 1.0]))
+    assert model.steps.tolist() == [0, 2] and (np.diff(model.scores) > 0).all()
+    assert model.score(np.array([0, 1.5, 2, 9])).tolist() == [model.scores[0]] * 2 + [model.scores[1]] * 2
+
+
+def test_scores_do_not_depend_on_partitions(docs, labels):
+    one, two = ({r["doc_id"]: r["score"] for r in toxicity.detect(d, m).collect()} for d, m in ((docs, labels), (docs.repartition(7, "text"), labels.repartition(3))))
+    assert one == two
+
+
+def test_log_weights_are_the_plain_ones(spark):
+    good, raw = ["good texts talk like this", "and so on, like this one"], ["bad zzz qqq", "xx", "", None]
+    rows = list(enumerate(good + raw))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 1), (2, 0)], "doc_id long, quality int")
+
+    def counts(texts):
+        out = Counter()
+        for t in texts:
+            b = (t or "").encode()
+            for k in range(len(b) - 2):
+                out[((b[k] | b[k + 1] << 8 | b[k + 2] << 16) * 0x9E3779B1 & 0xFFFFFFFF) >> 17] += 1
+        return out
+
+    t, r, m = counts(good), counts(x for _, x in rows), importance.BUCKETS
+    total = {n: sum(c.values()) + 0.5 * m for n, c in (("t", t), ("r", r))}
+    ratio = lambda g: np.log((t[g] + 0.5) / total["t"]) - np.log((r[g] + 0.5) / total["r"])
+    out = {x["doc_id"]: x["log_weight"] for x in importance.resampled(docs, labels).collect()}
+    for k, text in rows:
+        grams = list(counts([text]).elements())
+        assert out[k] == pytest.approx(importance.REFERENCE * np.mean([ratio(g) for g in grams]) if grams else 0.0)
+
+
+def test_language_is_the_plain_one(spark, docs):
+    """The filters' answers one gram and one language at a time."""
+    filters = language.train(docs.select("doc_id", "text", "lang"))
+    rows = docs.where("doc_id % 25 = 0").select("doc_id", "text")
+    out = {r["doc_id"]: r for r in language.predict(rows, filters).collect()}
+    for r in rows.collect():
+        low = " " + "".join(c if c.isalpha() else " " for c in (r["text"] or "").lower()) + " "
+        codes = [sum(ord(c) << 21 * (2 - k) for k, c in enumerate(low[j : j + 3])) for j in range(len(low) - 2) if low[j + 1] != " "]
+        count = [0.0] * len(filters.languages)
+        for code in codes:
+            slots = [filters.slots[int(language.slot(np.array([code]), k)[0])] for k in range(language.HASHES)]
+            for n in range(len(count)):
+                count[n] += all(int(s[n // 64]) >> n % 64 & 1 for s in slots)
+        right = [max(0.0, (c - len(codes) * p) / (1 - p)) for c, p in zip(count, filters.false_positive)]
+        got = out[r["doc_id"]]
+        if codes:
+            assert got["lang_pred"] == filters.languages[int(np.argmax(right))]
+            assert got["score"] == pytest.approx(min(1.0, max(right) / len(codes)))
+
+
+def test_rare_languages_and_other_scripts(spark):
+    rng = random.Random(8)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(4))
+    rows = [(k, " ".join(word("abcdefgh") for _ in range(20)), "common") for k in range(3000)]
+    rows += [(5000 + k, " ".join(word("日本語漢字仮名文書") for _ in range(20)), "rare") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = language.identify(docs).join(docs, "doc_id").where("held_out and lang = 'rare'").collect()
+    assert out and all(r["lang_pred"] == "rare" for r in out)

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import brute
+import numpy as np
 import pytest
 
 from lodestrata.llm import minhash, repeats, rules, skew
@@ -162,13 +163,14 @@ def test_hot_centres_are_dealt(spark, monkeypatch):
     assert sorted(hot.joined(rows, table, "id", "left").collect(), key=lambda r: r["id"]) == sorted(rows.join(table, "k", "left").collect(), key=lambda r: r["id"])
 
 
-@pytest.mark.parametrize("famous", [(1 << 16, 1 << 10), (4, 3)])
+@pytest.mark.parametrize("famous, sampled", [((1 << 16, 1 << 10), 1 << 62), ((4, 3), 1 << 62), ((4, 3), 0)])
 @pytest.mark.parametrize("which", ["edges", "sample"])
-def test_repeated_bytes(request, which, famous):
+def test_repeated_bytes(request, which, famous, sampled):
+    """Also with ordinary grams called famous, and with the famous ones of a sample told beforehand."""
     docs = request.getfixturevalue(which)
     texts = texts_of(docs)
     want = brute.covered(texts, 100)
-    for r in repeats.report(docs, famous=famous).collect():
+    for r in repeats.report(docs, famous=famous, sampled_bytes=sampled, sampled=2).collect():
         raw, flags = (texts[r["doc_id"]] or "").encode(), want[r["doc_id"]]
         left = bytes(b for b, f in zip(raw, flags) if not f)
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(raw), sum(flags), len(brute.runs(flags)), hashlib.sha256(left).hexdigest())
@@ -197,9 +199,31 @@ def test_repeated_rows_and_empty_tables(request, which):
     found = minhash.near_duplicates(docs, 2).collect()
     assert len(found) == n and all(r["kept"] and r["component_id"] is None for r in found if r["doc_id"] is None)
     assert minhash.deduplicated(docs).columns == docs.columns
-    report = repeats.report(docs).collect()
-    assert len(report) == n
-    alike = {}
-    for r in report:
-        alike.setdefault((r["doc_id"], r["n_bytes"], r["n_removed"]), set()).add(r["kept_sha256"])
     assert repeats.deduplicated(docs).count() == n
+
+
+def test_repeated_rows_lose_what_stood_earlier(spark):
+    """Rows of one id are ordered by a hash of their text; rows alike in both are one document."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, a), (2, b + a), (2, c), (None, c), (None, c), (3, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ranks = {(r["doc_id"], r["text"]): r["h"] for r in docs.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()}
+    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, ranks[r]))
+    want = brute.covered({k: t for k, (_, t) in enumerate(order)}, 100)
+    removed = {r: sum(want[k]) for k, r in enumerate(order)}
+    out = sorted(str((r["doc_id"], r["n_bytes"], r["n_removed"])) for r in repeats.report(docs).collect())
+    assert out == sorted(str((r[0], len(r[1]), removed[r])) for r in rows)
+
+
+def test_first_windows_across_batches_and_collisions():
+    rng = random.Random(7)
+    rows = sorted((k, rng.choice([b"aaaa", b"bbbb", b"cccc"]) if k == 4 else bytes([k] * 4)) for k in [rng.randrange(8) * 2 for _ in range(300)])
+    rows = [(k, w) for k in sorted({k for k, _ in rows}) for _, w in rng.sample([r for r in rows if r[0] == k], sum(r[0] == k for r in rows))]
+    firsts, seen, got, want = repeats.FirstWindows(), set(), [], []
+    for a in range(0, len(rows), 7):
+        part = rows[a : a + 7]
+        got += firsts.later(np.array([k for k, _ in part]), np.array([list(w) for _, w in part], np.uint8)).tolist()
+    for r in rows:
+        want.append(r in seen)
+        seen.add(r)
+    assert got == want
