@@ -52,7 +52,7 @@ def hot(rows: DataFrame, keys: list[str], each: int | None = None) -> Hot:
     total = rows.count()
     if total <= each:
         return Hot(keys, None)
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > max(each, total / HOT_KEYS))
-    found = counts.select(*keys, F.least(F.ceil(F.col("n") / each), F.lit(PARTS)).cast("long").alias("parts"))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("hot_rows")).where(F.col("hot_rows") > max(each, total / HOT_KEYS))
+    found = counts.select(*keys, F.least(F.ceil(F.col("hot_rows") / each), F.lit(PARTS)).cast("long").alias("parts"))
     some = found.collect()  # HOT_KEYS rows at most
     return Hot(keys, rows.sparkSession.createDataFrame(some, found.schema) if some else None)

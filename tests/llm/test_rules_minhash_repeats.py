@@ -163,6 +163,16 @@ def test_hot_centres_are_dealt(spark, monkeypatch):
     assert sorted(hot.joined(rows, table, "id", "left").collect(), key=lambda r: r["id"]) == sorted(rows.join(table, "k", "left").collect(), key=lambda r: r["id"])
 
 
+def test_operators_with_every_key_hot(edges, monkeypatch):
+    monkeypatch.setattr(skew, "EACH", 2)
+    monkeypatch.setattr(minhash, "GROUP_PAIRS", 2)
+    texts = texts_of(edges)
+    want = brute.components(texts, 2)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(edges, 2).collect()} == want
+    flags = brute.covered(texts, 100)
+    assert {r["doc_id"]: r["n_removed"] for r in repeats.report(edges).collect()} == {k: sum(v) for k, v in flags.items()}
+
+
 @pytest.mark.parametrize("famous, sampled", [((1 << 16, 1 << 10), 1 << 62), ((4, 3), 1 << 62), ((4, 3), 0)])
 @pytest.mark.parametrize("which", ["edges", "sample"])
 def test_repeated_bytes(request, which, famous, sampled):
