@@ -161,8 +161,8 @@ FILTER_BITS = 1 << 25
 class IdFilter:
     """A Bloom filter of ids: two bits each, about eight bits of room for each id up to FILTER_BITS."""
 
-    def __init__(self, ids: DataFrame, column: str):
-        self.bits = max(1 << 10, min(FILTER_BITS, 1 << (8 * ids.count()).bit_length()))
+    def __init__(self, ids: DataFrame, column: str, most: int):
+        self.bits = max(1 << 10, min(FILTER_BITS, 1 << (8 * most).bit_length()))  # most: how many ids there can be
 
         def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -36,14 +36,14 @@ from pyspark.sql import functions as F
 
 from . import arrays, skew
 from .components import components
-from .shared import Scratch, aside, picked
+from .shared import Scratch, aside, picked, tidy
 
 #: Coordinates of a band, and bands: at similarity 0.8 a pair shares no band in 5 of a million cases.
 ROWS, BANDS = 6, 40
 #: Orders, by band, in which the second round looks for a bucket's first member.
 ORDERS = BANDS
-#: Rounds in which strays meet others of their buckets.
-STRAY_ROUNDS = 2
+#: Rounds in which strays meet others of their buckets, before the exact join.
+STRAY_ROUNDS = 1
 #: Counters that order the exact join's shingles from rare to frequent; any order is exact, this one is fast.
 COUNTERS = 1 << 18
 #: Postings of one shingle that a task joins with the others' at once; more are dealt to several tasks.
@@ -161,7 +161,7 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     needs = needs.unionByName(dealt.select(F.col("a").alias("id"), F.col("fa").alias("f"), group.alias("g"), F.lit(0).alias("role")).distinct())
     needs = needs.groupBy("id", "f").agg(F.collect_list(F.struct("g.a", "g.fa", "g.part", "role")).alias("roles"))
     ids = dealt.select(F.col("a").alias("id")).distinct().unionByName(dealt.select(F.col("b").alias("id")).distinct())
-    wanted = arrays.IdFilter(ids, "id")
+    wanted = arrays.IdFilter(ids, "id", 2 * pairs.count())
     texts = arrays.packed_texts(docs, "doc_id", wanted).join(needs, F.col("doc_id") == F.col("id")).select("doc_id", "f", "roles", "packed")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +218,7 @@ def postings(docs: DataFrame, members: DataFrame, width: int, percent: int, scra
     n - percent * n / 100 + 1 elements with it; with one that is not smaller, one of the yet
     fewer that are ``inside``.
     """
-    texts = arrays.packed_texts(docs, "doc_id", arrays.IdFilter(members, "b")).join(members, F.col("doc_id") == F.col("b"))
+    texts = arrays.packed_texts(docs, "doc_id", arrays.IdFilter(members, "b", members.count())).join(members, F.col("doc_id") == F.col("b"))
     texts = scratch.written(texts.select("doc_id", "fb", "root", "packed"), "unsettled")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -280,6 +280,7 @@ def unmet(docs: DataFrame, members: DataFrame, width: int, percent: int, scratch
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; links are pairs with 100 * intersection >= percent * union."""
     scratch, result = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    tidy(docs.sparkSession)
     docs = picked(docs, "doc_id", "text")
     sketches = scratch.written(sketch(docs, width), "sketches")
     known = sketches.where("doc_id is not null")

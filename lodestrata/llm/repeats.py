@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays, skew
-from .shared import Scratch, aside, count_partitions, picked, written
+from .shared import Scratch, aside, count_partitions, picked, tidy, written
 
 LENGTH = 100
 #: Bytes of a gram.
@@ -48,7 +48,7 @@ GRAM = 32
 #: Anchors for which a bucket is made, on average.
 BUCKET_ANCHORS = 150_000
 #: Text bytes within which strings are told apart before they are sent.
-NEAR_BYTES = 2 << 20
+NEAR_BYTES = 1 << 20
 #: Occurrences, over all and within NEAR_BYTES, from which on a gram is famous.
 FAMOUS, FAMOUS_HERE = 1 << 16, 1 << 10
 #: Text bytes from which on the most frequent grams are looked for first, in one of so many documents.
@@ -566,6 +566,7 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
 
 def repeated_spans(rows: DataFrame, scratch: Scratch, length: int = LENGTH, doubled: bool = False, famous: tuple[int, int] = (FAMOUS, FAMOUS_HERE), sampled_bytes: int = SAMPLED_BYTES, sampled: int = SAMPLED) -> DataFrame:
     """id, copy (the whole text stands earlier), starts, ends (lists of int64 arrays) of documents that lose something."""
+    tidy(rows.sparkSession)
     texts = rows.select("id", "text").where(F.octet_length("text") >= length)
     if doubled:
         texts = texts.dropDuplicates(["id"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -46,6 +47,12 @@ class Scratch:
         self.paths = []
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffles and broadcasts of steps that are done, which it does when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def picked(docs: DataFrame, *names: str) -> DataFrame:
     """These columns alone, whatever the others are called."""
     return aside(docs, *names)[0].select(*names)

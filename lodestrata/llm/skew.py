@@ -1,8 +1,9 @@
 """Joins on keys of which one may hold a third of all rows.
 
-Keys above a share of all rows are few, whatever the table's size, so their list is
-broadcast. Their rows are dealt to several tasks by a hash of another column, and the
-other table's row of such a key goes to each of them.
+The most frequent keys, a bounded number of them, are told to all tasks. Their rows are
+dealt to several tasks by a hash of another column, and the other table's row of such a
+key goes to each of them. A key that is not among them holds less than one in HOT_KEYS of
+all rows.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key that is dealt holds more than one in so many of all rows: there are fewer such keys than this.
+#: Keys that are dealt at most.
 HOT_KEYS = 1 << 16
 #: Tasks that a key is dealt to at most.
 PARTS = 1 << 12
@@ -47,12 +48,9 @@ class Hot:
 
 
 def hot(rows: DataFrame, keys: list[str], each: int | None = None) -> Hot:
-    """The hot keys of rows, which are read twice: a written table, or a cheap view of one."""
+    """The hot keys of rows, the most frequent HOT_KEYS at most; rows are read once more: a written table, or a cheap view of one."""
     each = each or EACH
-    total = rows.count()
-    if total <= each:
-        return Hot(keys, None)
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("hot_rows")).where(F.col("hot_rows") > max(each, total / HOT_KEYS))
-    found = counts.select(*keys, F.least(F.ceil(F.col("hot_rows") / each), F.lit(PARTS)).cast("long").alias("parts"))
-    some = found.collect()  # HOT_KEYS rows at most
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("hot_rows")).where(F.col("hot_rows") > each)
+    found = counts.orderBy(F.desc("hot_rows"), *keys).limit(HOT_KEYS).select(*keys, F.least(F.ceil(F.col("hot_rows") / each), F.lit(PARTS)).cast("long").alias("parts"))
+    some = found.collect()
     return Hot(keys, rows.sparkSession.createDataFrame(some, found.schema) if some else None)
