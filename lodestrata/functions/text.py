@@ -30,13 +30,7 @@ def short_title(title: Column, most: int = 48, head: int = 24, tail: int = 20) -
     return F.when(F.length(title) > most, F.concat(F.substring(title, 1, head), F.lit("…"), F.right(title, F.lit(tail)))).otherwise(title)
 
 
-#: Commands that never run, and those that need a strong confirmation.
-BLOCKED = ("rm -rf /", "mkfs", "format c:", ":(){:|:&};:", "shutdown", "reboot")
-STRONG = ("rm ", "del ", "sudo ", "chmod ", "chown ", "kill ", "git reset --hard", "git clean")
-
-
 def command_safety(command: Column) -> Column:
-    """blocked, strong or allow."""
-    text = F.lower(F.trim(command))
-    holds = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
-    return F.when(holds(BLOCKED), "blocked").when(holds(STRONG), "strong").otherwise("allow")
+    """blocked (removes the root), strong (needs a second confirmation) or allow."""
+    text = F.lower(F.regexp_replace(command, r"^\s+|\s+$", ""))
+    return F.when(text.rlike(r"^rm -rf /($| |\*)"), "blocked").when(text.rlike(r"^sudo |(^| )(mkfs|diskpart)"), "strong").otherwise("allow")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .content import first_of
+from ..functions.paths import path_key
+from .rows import first_of
 
 
 def latest(batches: DataFrame) -> DataFrame:
@@ -56,8 +57,11 @@ def usage(opened: DataFrame) -> DataFrame:
     return opened.groupBy("path").agg(F.count("*").alias("open_count"), F.max("ts").alias("last_opened"))
 
 
-def digest(entries: DataFrame) -> DataFrame:
-    """root, rows and an order-free digest of a batch's rows; sums stay partial until one row for each root."""
-    key = F.concat_ws("|", "path_key", "kind", F.coalesce(F.col("modified_ms").cast("string"), F.lit("")), F.coalesce(F.col("size_bytes").cast("string"), F.lit("")))
-    part = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
-    return entries.groupBy("root").agg(F.count("*").alias("n"), F.sum(part).alias("digest"))
+def unique_keys(rows: DataFrame) -> DataFrame:
+    """n: how many different keys the paths have."""
+    return rows.select(path_key(F.col("path")).alias("path_key")).distinct().agg(F.count("*").alias("n"))
+
+
+def roots(rows: DataFrame) -> DataFrame:
+    """The distinct roots that are not empty."""
+    return rows.select("root").where("root != ''").distinct()

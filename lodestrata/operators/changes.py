@@ -6,19 +6,26 @@ joined on equality, so the cost is a row's depth.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from .content import first_of
+from .rows import first_of
 
 
 def normalised(events: DataFrame) -> DataFrame:
-    """seq, path, action of each event (seq, op, path, to_path): a rename removes one path and changes another."""
-    action = F.when(F.col("op") == "remove", "remove").otherwise("change")
+    """seq, path, action of each event (seq, op, path, to_path).
+
+    A rename removes one path and changes another; of those seen from one side only,
+    ``rename_from`` removes and ``rename_to`` changes; a rename to nowhere known calls for a rescan.
+    """
+    op = F.col("op")
+    action = F.when(op.isin("remove", "rename_from"), "remove").when((op == "rename") & F.col("to_path").isNull(), "rescan").otherwise("change")
     both = F.array(F.struct(F.col("path").alias("path"), F.lit("remove").alias("action")), F.struct(F.col("to_path").alias("path"), F.lit("change").alias("action")))
     one = F.array(F.struct(F.col("path").alias("path"), action.alias("action")))
-    steps = F.when((F.col("op") == "rename") & F.col("to_path").isNotNull(), both).otherwise(one)
+    steps = F.when((op == "rename") & F.col("to_path").isNotNull(), both).otherwise(one)
     return events.select("seq", F.posexplode(steps).alias("step", "e")).select("seq", "step", "e.path", "e.action")
 
 
@@ -46,27 +53,46 @@ def collapsed(removals: DataFrame) -> DataFrame:
 
 
 def layered(baseline: DataFrame, deltas: DataFrame) -> DataFrame:
-    """The visible entries: deltas (generation, op, path_key, subtree, and the entry's columns) over a baseline.
+    """The visible entries: deltas (generation, op, path_key, and the entry's columns, kind among them) over a baseline.
 
-    Inside a generation removals come before upserts. A removal hides what an earlier
-    generation put at its key, and below it if it is a subtree's.
+    Inside a generation removals come before upserts. A removal hides what earlier
+    generations put at its key and below; an upsert of anything but a directory hides what
+    they put below its key, for it takes a directory's place.
     """
     columns = baseline.columns
     ups = first_of(deltas.where("op = 'upsert'"), ["path_key"], [F.desc("generation")])
-    removals = deltas.where("op = 'remove'")
-    below = removals.where("subtree").groupBy(F.col("path_key").alias("above")).agg(F.max("generation").alias("gone"))
-    exact = removals.groupBy(F.col("path_key").alias("above")).agg(F.max("generation").alias("gone"))
+    removed, hides = F.col("op") == "remove", (F.col("op") == "remove") | (F.col("kind") != "directory")
+    gone = deltas.where(hides).groupBy(F.col("path_key").alias("above")).agg(F.max("generation").alias("below"), F.max(F.when(removed, F.col("generation"))).alias("here"))
 
     def alive(rows: DataFrame) -> DataFrame:
-        held = with_ancestors(rows.select("path_key", "generation")).join(below, "above").select("path_key", "gone", "generation")
-        held = held.unionByName(rows.select("path_key", "generation").join(exact, F.col("path_key") == F.col("above")).select("path_key", "gone", "generation"))
-        return rows.join(held.where("gone > generation").select("path_key").distinct(), "path_key", "left_anti")
+        held = with_ancestors(rows.select("path_key", "generation")).join(gone, "above")
+        dead = held.where("generation < if(above = path_key, here, below)").select("path_key").distinct()
+        return rows.join(dead, "path_key", "left_anti")
 
     over = alive(ups)
     base = alive(baseline.withColumn("generation", F.lit(0).cast("long"))).join(ups.select("path_key"), "path_key", "left_anti")
     return base.select(*columns).unionByName(over.select(*columns))
 
 
+def applied(entries: DataFrame, deltas: DataFrame) -> DataFrame:
+    """entries of a stored batch after deltas, in the order of generations.
+
+    Unlike in ``layered`` a removal reaches below its key only if the row stored there by
+    then is a directory's, and an upsert hides nothing.
+    """
+    columns = entries.columns
+    stored = entries.select("path_key", F.lit(0).cast("long").alias("generation"), F.lit("upsert").alias("op"), "kind")
+    before = Window.partitionBy("path_key").orderBy("generation")
+    last = F.lag(F.struct("op", "kind")).over(before)
+    steps = stored.unionByName(deltas.select("path_key", "generation", "op", "kind")).withColumn("was", last)
+    gone = steps.where("op = 'remove'").groupBy(F.col("path_key").alias("above")).agg(F.max("generation").alias("here"), F.max(F.when((F.col("was.op") == "upsert") & (F.col("was.kind") == "directory"), F.col("generation"))).alias("below"))
+    ups = first_of(deltas.where("op = 'upsert'"), ["path_key"], [F.desc("generation")])
+    rows = entries.withColumn("generation", F.lit(0).cast("long")).join(ups.select("path_key"), "path_key", "left_anti").select(*columns, "generation").unionByName(ups.select(*columns, "generation"))
+    held = with_ancestors(rows.select("path_key", "generation")).join(gone, "above")
+    dead = held.where("generation < if(above = path_key, here, below)").select("path_key").distinct()
+    return rows.join(dead, "path_key", "left_anti").select(*columns)
+
+
 def snapshot_diff(known: DataFrame, current: DataFrame) -> DataFrame:
     """path_key, change: upsert where a file is new or its time or size changed, remove where it is gone."""
     k = known.select("path_key", F.struct("modified_ms", "size_bytes").alias("k"))
@@ -129,29 +155,52 @@ def longest_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 #: Directory names that are never scanned.
-FORCED = ("node_modules", "target", "dist", "build", ".git", "__pycache__", ".cache", "venv")
+FORCED = (".git", "node_modules", "target", "$recycle.bin", "system volume information", "windows", "recovery", "appdata", ".cache", "__pycache__", ".venv", "venv")
 
 
 def excluded(rows: DataFrame, root: str, names: tuple[str, ...] = FORCED, patterns: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of which a directory below the root, or the row itself, has an excluded name or matches a pattern."""
+    """Rows of which a directory below the root, or the row itself, has an excluded name or matches a pattern, and those inside an application."""
     inner = F.slice(P.segments(F.expr(f"substring(path_key, {len(root) + 1})")), 1, 1 << 20)
     named = F.exists(inner, lambda s: F.lower(s).isin(*names))
-    glob = F.lit(False)
+    glob = F.exists(F.slice(inner, F.lit(1), F.greatest(F.size(inner) - 1, F.lit(0))), lambda s: F.lower(s).rlike(r"\.(app|exe|lnk|desktop)$"))
     for p in patterns:
         glob = glob | F.lower("path_key").rlike(P.glob_regex(p.lower() if "/" in p else "**/" + p.lower()))
     return rows.where(named | glob)
 
 
+def ignore_regex(pattern: str) -> str:
+    """A regular expression for paths below an ignore file's directory: * and ? stay inside a name, ** crosses names, a slash but at the end anchors."""
+    body = pattern.rstrip("/")
+    out = "" if "/" in body else "(?:.*/)?"
+    for token in re.findall(r"^/|\*\*/|/\*\*$|\*+|\?|\[!?[^\]]+\]|\\\\.|.", body):
+        out += {"**/": "(?:.*/)?", "/**": "/.*", "?": "[^/]"}.get(token) or ("[^/]*" if token[0] == "*" else "" if token == "/" and not out else token.replace("[!", "[^") if token[0] == "[" else re.escape(token.lstrip("\\")))
+    return f"^{out}$"
+
+
+def ignore_rules(files: DataFrame) -> DataFrame:
+    """dir_key, strength, line, regex, negated, only_dirs of the lines of ignore files (dir_key, source, line, text).
+
+    source: ignore, gitignore, exclude or global, the strongest first.
+    """
+    strength = F.when(F.col("source") == "ignore", 4).when(F.col("source") == "gitignore", 3).when(F.col("source") == "exclude", 2).otherwise(1)
+    text = F.regexp_replace("text", r"(?<!\\)\s+$", "")
+    lines = files.select("dir_key", strength.alias("strength"), "line", text.alias("text")).where((F.col("text") != "") & ~F.col("text").startswith("#"))
+    negated = F.col("text").startswith("!")
+    to_regex = F.udf(ignore_regex)  # a call for each line of an ignore file
+    return lines.select("dir_key", "strength", "line", to_regex(F.regexp_replace("text", "^!", "")).alias("regex"), negated.alias("negated"), F.col("text").endswith("/").alias("only_dirs"))
+
+
 def ignore_decisions(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """path_key, ignored: rules (dir_key, source, line, name, negated) on the segments of each path.
+    """path_key, ignored of rows (path_key, kind) under rules as ``ignore_rules`` gives them.
 
-    A rule holds for segments of its name below its directory. For each ancestor the rule of
-    the strongest source, then the deepest directory, then the last line decides; a path is
+    A row and its ancestors meet the rules of the directories above them; for each the
+    strongest source, then the deepest directory, then the last line decides; a path is
     ignored if it or any ancestor is.
     """
-    strength = F.when(F.col("source") == "ignore", 3).when(F.col("source") == "gitignore", 2).otherwise(1)
-    each = with_ancestors(rows.select("path_key").distinct()).withColumn("name", P.base_name(F.col("above")))
-    ruled = each.join(rules.select("dir_key", strength.alias("strength"), "line", "name", "negated"), "name").where(P.covers(F.col("dir_key"), F.col("above")) & (F.col("dir_key") != F.col("above")))
-    decided = ruled.groupBy("path_key", "above").agg(F.max_by(~F.col("negated"), F.struct("strength", F.length("dir_key").alias("depth"), "line")).alias("no"))
+    each = with_ancestors(rows.select("path_key", "kind").distinct())
+    is_dir = (F.col("kind") == "directory") | (F.col("above") != F.col("path_key"))
+    each = each.select("path_key", F.col("above").alias("item"), is_dir.alias("is_dir"), F.explode(P.ancestors(F.col("above"))).alias("dir_key"))
+    ruled = each.join(rules, "dir_key").where("item != dir_key and (is_dir or not only_dirs) and substring(item, length(dir_key) + 2) rlike regex")
+    decided = ruled.groupBy("path_key", "item").agg(F.max_by(~F.col("negated"), F.struct("strength", F.length("dir_key").alias("depth"), "line")).alias("no"))
     final = decided.groupBy("path_key").agg(F.bool_or("no").alias("no"))
     return rows.select("path_key").join(final, "path_key", "left").select("path_key", F.coalesce("no", F.lit(False)).alias("ignored"))

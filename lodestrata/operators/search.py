@@ -2,16 +2,22 @@
 
 A result is in the candidates of every constraint and passes the matcher; rows are cut at
 the limit in entry order (name hits first where one plain term allows it) and ranked only
-then. Everything is column expressions and equi-joins.
+then.
+
+Which directory names qualify for a term depends on all of them, so a first pass gathers
+the distinct directories' names, few beside the entries. The ones that qualify are then
+tested in the same scan as the matcher; only where they are very many do entries meet
+them in a join.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -27,6 +33,7 @@ class FileQuery:
     types: tuple[str, ...] = ()
     names: tuple[str, ...] = ()
     dirs: tuple[str, ...] = ()
+    contents: tuple[str, ...] = ()
 
     @property
     def text(self) -> str:
@@ -54,10 +61,10 @@ def term_matches(term: str) -> Column:
         return F.lit(True)
     name = P.ascii_lower(F.col("name"))
     hit = lambda s: F.startswith(s, F.lit(term)) | fuzzy_segment(term, s)
-    found = name.contains(term) | F.exists(F.split(name, ALNUM_SPLIT), hit)
+    found = name.contains(term) | F.exists(F.split(name, ALNUM_SPLIT), hit) | F.exists(P.segments(P.ascii_lower(F.col("path"))), hit)
     if re.search(r"[/\\]", term):
         return found | F.lower("path").contains(term.lower())
-    return found | F.exists(P.segments(P.ascii_lower(F.col("path"))), hit)
+    return found
 
 
 def type_matches(extension: str) -> Column:
@@ -90,15 +97,14 @@ def directory_segments() -> Column:
 
 
 def segment_table(entries: DataFrame) -> DataFrame:
-    """segment (lower case) and written, its spelling in the first entry that has it."""
-    seen = entries.select("path_key", "path", F.explode(directory_segments()).alias("written"))
-    return seen.groupBy(P.ascii_lower(F.col("written")).alias("segment")).agg(F.min_by("written", F.struct("path_key", "path")).alias("written"))
-
+    """segment (lower case) and written, its spelling in the first entry that has it.
 
-def _precise(term: str, table: DataFrame) -> Column:
-    """Equal segments if there is one anywhere, else those that begin with the term."""
-    exact = table.agg(F.coalesce(F.max((F.col("segment") == term).cast("int")), F.lit(0)).alias("found")).scalar()
-    return F.when(exact == 1, F.col("segment") == term).otherwise(F.startswith("segment", F.lit(term)))
+    Entries of one directory have the same segments, so their first one stands for it.
+    """
+    filed = F.when(F.col("kind") == "directory", F.col("path")).otherwise(F.regexp_replace("path", r"[^/\\]*$", ""))
+    dirs = entries.groupBy(filed.alias("dir")).agg(F.min(F.struct("path_key", "path")).alias("first"))
+    parts = F.transform(P.segments(F.col("dir")), lambda s: F.regexp_replace(s, ":+$", ""))
+    return dirs.select("first", F.explode(parts).alias("written")).groupBy(P.ascii_lower(F.col("written")).alias("segment")).agg(F.min_by("written", "first").alias("written"))
 
 
 def _fuzzy(term: str) -> Column:
@@ -107,45 +113,70 @@ def _fuzzy(term: str) -> Column:
     return F.startswith("written", F.lit(term[:1])) & reduce(lambda a, b: a & b, (F.col("segment").contains(c) for c in letters), F.lit(True))
 
 
-def _under(entries: DataFrame, segments: DataFrame) -> DataFrame:
-    """path_key of entries filed under any of the segments."""
-    filed = entries.select("path_key", F.explode(F.array_distinct(F.transform(directory_segments(), P.ascii_lower))).alias("segment"))
-    return filed.join(segments.select("segment"), "segment", "left_semi").select("path_key").distinct()
+#: Segments that are tested in the scan at most; more are joined.
+SEGMENTS = 4096
 
 
-def term_candidates(entries: DataFrame, term: str) -> DataFrame:
-    """path_key of the candidates of a plain term."""
-    term = _lower(term)
-    if re.search(r"[/\\]", term):
-        exact = entries.where(P.ascii_lower(F.col("path")) == term)
-        some = exact.agg((F.count("*") > 0).alias("some")).scalar()
-        return entries.where(~some | (P.ascii_lower(F.col("path")) == term)).select("path_key").distinct()
-    table = segment_table(entries)
-    named = entries.where(P.ascii_lower(F.col("name")).contains(term[:3])).select("path_key")
-    return named.unionByName(_under(entries, table.where(_precise(term, table) | _fuzzy(term)))).distinct()
-
+def qualifying(entries: DataFrame, terms: list[str], dirs: list[str]) -> list[DataFrame]:
+    """Per term, and per directory constraint, the segments that qualify.
 
-def dir_candidates(entries: DataFrame, part: str) -> DataFrame:
-    """path_key of the candidates of a directory constraint: precise ones if there are any, else fuzzy ones."""
-    part = _lower(part)
+    A term takes equal segments if there is one anywhere, else those that begin with it,
+    and fuzzy ones; a directory constraint takes fuzzy ones only where there are no others.
+    """
     table = segment_table(entries)
-    precise = table.where(_precise(part, table))
-    none = precise.agg((F.count("*") == 0).alias("none")).scalar()
-    return _under(entries, precise.select("segment").unionByName(table.where(_fuzzy(part) & none).select("segment")))
-
-
-def search(entries: DataFrame, query: FileQuery, limit: int = 20, visible: Column | None = None) -> DataFrame:
+    sought = terms + dirs
+    rows = table.select("segment", *(c.alias(f"{kind}{k}") for k, t in enumerate(sought) for kind, c in (("begins", F.startswith("segment", F.lit(t))), ("fuzzy", _fuzzy(t)))))
+    rows = rows.where(reduce(lambda a, b: a | b, (F.col(f"{kind}{k}") for k in range(len(sought)) for kind in ("begins", "fuzzy"))))
+    # what is sought is known on the driver, so are the two facts about all segments
+    facts = rows.agg(*(f for k, t in enumerate(sought) for f in (F.coalesce(F.bool_or(F.col("segment") == t), F.lit(False)), F.coalesce(F.bool_or(f"begins{k}"), F.lit(False))))).first()
+    out = []
+    for k, t in enumerate(sought):
+        exact, begins = facts[2 * k], facts[2 * k + 1]
+        precise = F.col("segment") == t if exact else F.col(f"begins{k}")
+        keep = precise | F.col(f"fuzzy{k}") if k < len(terms) or not begins else precise
+        out.append(rows.where(keep).select("segment"))
+    return out
+
+
+def filed_under(entries: DataFrame, segments: DataFrame, most: int = SEGMENTS) -> tuple[DataFrame, Column]:
+    """entries, and whether each is filed under any of the segments."""
+    some = [r["segment"] for r in segments.limit(most + 1).collect()]
+    lower = F.transform(directory_segments(), P.ascii_lower)
+    if not some:
+        return entries, F.lit(False)
+    if len(some) <= most:
+        return entries, F.exists(lower, lambda s: s.isin(*some))
+    name = f"under{uuid.uuid4().hex}"
+    filed = entries.select("path_key", "path", F.explode(F.array_distinct(lower)).alias("segment")).join(segments, "segment", "left_semi").select("path_key", "path", F.lit(True).alias(name)).distinct()
+    return entries.join(filed, ["path_key", "path"], "left"), F.coalesce(name, F.lit(False))
+
+
+def candidates(entries: DataFrame, query: FileQuery, most: int = SEGMENTS) -> tuple[DataFrame, Column]:
+    """entries, and whether each is a candidate of all constraints."""
+    test = F.lit(True)
+    terms = [t for t in map(_lower, query.terms) if not re.search(r"[/\\]", t)]
+    dirs = [d for d in map(_lower, query.dirs) if not re.search(r"[*?\[]", d)]
+    columns = entries.columns
+    for k, segments in enumerate(qualifying(entries, terms, dirs) if terms or dirs else []):
+        entries, under = filed_under(entries, segments, most)
+        test &= (P.ascii_lower(F.col("name")).contains(terms[k][:3]) | under) if k < len(terms) else under
+    for t in map(_lower, query.terms):
+        if re.search(r"[/\\]", t):  # a whole path hides what only contains it
+            whole = P.ascii_lower(F.col("path")) == t
+            test &= whole | ~F.lit(bool(not entries.select(*columns).where(whole).isEmpty()))
+    return entries, test
+
+
+def search(entries: DataFrame, query: FileQuery, limit: int = 20, visible: Column | None = None, most: int = SEGMENTS) -> DataFrame:
     """Entries that the query finds, cut at the limit in entry order; a visibility filter comes before the cut."""
     if limit <= 0 or query == FileQuery():
         return entries.limit(0)
-    found = entries.where(matches(query))
+    columns = entries.columns
+    rows, candidate = candidates(entries, query, most)
+    found = rows.where(candidate & matches(query))
     if visible is not None:
         found = found.where(visible)
-    for term in query.terms:
-        found = found.join(term_candidates(entries, term), "path_key", "left_semi")
-    for part in query.dirs:
-        if not re.search(r"[*?\[]", part):
-            found = found.join(dir_candidates(entries, part), "path_key", "left_semi")
+    found = found.select(*columns)
     order = [F.col("path_key"), F.col("path")]
     if len(query.terms) == 1 and not any(re.search(r"[*?\[]", d) for d in query.dirs):
         order.insert(0, ~P.ascii_lower(F.col("name")).contains(_lower(query.terms[0])[:3]))
@@ -153,7 +184,7 @@ def search(entries: DataFrame, query: FileQuery, limit: int = 20, visible: Colum
 
 
 def regex_search(entries: DataFrame, pattern: str, limit: int = 20) -> DataFrame:
-    """Entries whose name or path matches, case-sensitive and unanchored, in entry order."""
+    """Entries whose name or path matches, case-sensitive and unanchored, in entry order; raises re.error for a bad pattern."""
     re.compile(pattern)
     return entries.where(F.col("name").rlike(pattern) | F.col("path").rlike(pattern)).orderBy("path_key", "path").limit(limit)
 
@@ -184,3 +215,34 @@ def results(found: DataFrame) -> DataFrame:
     """The display record of each entry: identity, title, detail, actions."""
     more = F.when(F.col("kind") == "directory", F.array(F.lit("open_terminal"), F.lit("copy_path"))).otherwise(F.array(F.lit("reveal"), F.lit("copy_path"), F.lit("open_with")))
     return found.select(F.concat(F.lit("path:"), "path").alias("id"), F.col("name").alias("title"), F.col("path").alias("detail"), "kind", F.lit("open").alias("action"), more.alias("more_actions"))
+
+
+RESULT = "id string, title string, detail string, kind string, action string, more_actions array<string>"
+
+
+def feedback(spark: SparkSession, name: str, title: str, detail: str) -> DataFrame:
+    """One row that tells why there are no results."""
+    return spark.createDataFrame([(f"feedback:{name}", title, detail, "feedback", "copy", [])], RESULT)
+
+
+def regex_results(entries: DataFrame, pattern: str, limit: int = 20) -> DataFrame:
+    """The display records of a pattern's entries, or feedback on a bad pattern."""
+    try:
+        return results(regex_search(entries, pattern, limit))
+    except re.error as error:
+        return feedback(entries.sparkSession, "invalid-regex", "not a regular expression", str(error))
+
+
+def layered_results(baseline: DataFrame, overlay: DataFrame, query: FileQuery, budget: int) -> DataFrame:
+    """Results of two layers of a catalog: ``budget`` of each, the baseline's first, one for each id, twice the budget at most.
+
+    What the overlay hides is no part of ``baseline``.
+    """
+    order = ["layer", "place"]
+    parts = []
+    for layer, entries in enumerate((baseline, overlay)):
+        found = search(entries, query, budget)
+        parts.append(results(found).withColumn("layer", F.lit(layer)).withColumn("place", F.monotonically_increasing_id()))
+    both = parts[0].unionByName(parts[1])  # twice the budget at most
+    once = both.groupBy("id").agg(F.min_by(F.struct(*both.columns), F.struct(*order)).alias("r")).select("r.*")
+    return once.orderBy(*order).limit(2 * budget).drop(*order)

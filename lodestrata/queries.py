@@ -2,46 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import paths as P
 from .functions import text as T
-from .operators import catalog, changes, content, entries, postings, search
+from .operators import catalog, changes, entries, fulltext, journal, postings, rows, search
+from .operators.requests import file_query
 from .operators.search import FileQuery
+from .registry import ORACLES, QUERIES, docs, lines, parts, query, table
 from .streaming import debounce
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, name: str | None = None):
-    def add(f):
-        QUERIES[name or f.__name__] = f
-        if sql:
-            ORACLES[name or f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def parts(spark, sf):
-    return entries.of_parts(table(spark, sf, "part"))
-
-
-def docs(spark, sf):
-    return entries.of_documents(table(spark, sf, "documents"))
-
-
-def lines(spark, sf):
-    return entries.of_lineitems(table(spark, sf, "lineitem"))
-
+__all__ = ["ORACLES", "QUERIES"]
 
 ALNUM = r"[^\p{L}\p{N}]+"
 
@@ -82,7 +54,7 @@ def shown(found: DataFrame) -> DataFrame:
     return found.select("path", "kind")
 
 
-RING = FileQuery(terms=("ring",), types=("md",))
+RING = file_query("ring type: .MD")
 RING_SQL = found_sql(entries.PARTS_SQL, f"{term_sql('ring')} AND extension = 'md' AND {candidate_sql('ring')}", "NOT contains(lower(name), 'rin'), path_key")
 
 
@@ -178,9 +150,18 @@ def result_projection(spark, sf):
 # ---------------------------------------------------------------- paths
 
 
-@query("SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', '/web/'), '/+$', '') AS path_key FROM pages")
+@query(r"SELECT page_id, CASE WHEN page_id % 7 = 0 THEN '/' ELSE regexp_replace(regexp_replace(url, '^[a-z]+://', '/web/'), '/+$', '') END AS path_key FROM pages")
 def path_normalize(spark, sf):
-    return table(spark, sf, "pages").select("page_id", P.path_key(F.regexp_replace("url", "^[a-z]+://", "/web\\\\")).alias("path_key"))
+    slashed = F.concat(F.regexp_replace("url", "^[a-z]+://", "/web/"), F.when(F.col("page_id") % 3 == 0, "//").otherwise(""))
+    typed = F.when(F.col("page_id") % 7 == 0, "\\").when(F.col("page_id") % 2 == 0, F.replace(slashed, F.lit("/"), F.lit("\\"))).otherwise(slashed)
+    return table(spark, sf, "pages").select("page_id", P.path_key(typed).alias("path_key"))
+
+
+@query(r"SELECT page_id, lower(regexp_replace(regexp_replace(url, '^[a-z]+://', '/'), '/+$', '')) AS path_key FROM pages")
+def windows_keys(spark, sf):
+    rest = F.regexp_replace("url", "^[a-z]+://", "")
+    prefix = F.when(F.col("page_id") % 2 == 0, "\\\\?\\").otherwise("\\\\")
+    return table(spark, sf, "pages").select("page_id", F.regexp_replace(P.windows_key(F.concat(prefix, F.replace(rest, F.lit("/"), F.lit("\\\\")))), "^/*", "/").alias("path_key"))
 
 
 @query(entries.PARTS_SQL + " SELECT above, count(*)::BIGINT AS n FROM (SELECT unnest(list_transform(range(1, len(seg) + 1), lambda i: '/' || array_to_string(seg[:i], '/'))) AS above FROM entries) GROUP BY above")
@@ -215,21 +196,29 @@ def roots_compress(spark, sf):
     return changes.covered_roots(parts(spark, sf).where("kind = 'directory' and path_key != '/parts'").select("path_key"))
 
 
-@query(entries.PARTS_SQL + " SELECT path_key FROM entries WHERE len(list_filter(seg[2:], lambda s: lower(s) IN ('brand-3', 'brand-7'))) > 0 OR regexp_matches(lower(path_key), '/[^/]*bolt[^/]*\\.pdf$')")
+_SCANNED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(path_key, '/Brand-3(/|$)', '/Node_Modules\\1'), '/Brand-7(/|$)', '/AppData\\1'), '/Brand-12(/|$)', '/Tool.app\\1'), '/Brand-21(/|$)', '/dist\\1')"
+
+
+@query(entries.PARTS_SQL + f" SELECT path_key FROM (SELECT {_SCANNED} AS path_key FROM entries) WHERE regexp_matches(lower(path_key), '/(node_modules|appdata)(/|$)') OR contains(path_key, '/Tool.app/') OR regexp_matches(lower(path_key), '/[^/]*bolt[^/]*[.]pdf$')")
 def exclude_rules(spark, sf):
-    return changes.excluded(parts(spark, sf), "/parts", ("brand-3", "brand-7"), ("*bolt*.pdf",)).select("path_key")
+    key = F.col("path_key")
+    for brand, name in (("3", "Node_Modules"), ("7", "AppData"), ("12", "Tool.app"), ("21", "dist")):
+        key = F.regexp_replace(key, f"/Brand-{brand}(/|$)", f"/{name}$1")
+    return changes.excluded(parts(spark, sf).select(key.alias("path_key")), "/parts", patterns=("*bolt*.pdf",)).select("path_key")
 
 
 @query(
     entries.PARTS_SQL
-    + """, rules AS (SELECT * FROM (VALUES ('/parts', 2, 1, 'Brand-1', false), ('/parts/SMALL', 2, 1, 'Brand-1', true), ('/parts', 3, 1, 'ECONOMY', false), ('/parts', 2, 9, 'ECONOMY', true)) t(dir_key, strength, line, name, negated)),
-each AS (SELECT path_key, unnest(list_transform(range(1, len(seg) + 1), lambda i: '/' || array_to_string(seg[:i], '/'))) AS above FROM entries),
-d AS (SELECT path_key, above, arg_max(NOT negated, (strength, length(dir_key), line)) AS no FROM each JOIN rules ON regexp_extract(above, '([^/]*)$', 1) = name AND starts_with(above, dir_key || '/') GROUP BY 1, 2)
+    + r""", rules AS (SELECT * FROM (VALUES ('/parts', 3, 1, '^(.*/)?Brand-1[^/]*$', false, true), ('/parts/SMALL', 3, 1, '^(.*/)?Brand-1$', true, false), ('/parts', 4, 1, '^ECONOMY$', false, false), ('/parts', 3, 9, '^ECONOMY$', true, false),
+  ('/parts', 3, 3, '^MEDIUM/(.*/)?[^/]*bolt[^/]*[.]md$', false, false), ('/parts', 1, 1, '^(.*/)?[^/]*[.]app$', false, true)) t(dir_key, strength, line, regex, negated, only_dirs)),
+each AS (SELECT path_key, kind, unnest(list_transform(range(1, len(seg) + 1), lambda i: '/' || array_to_string(seg[:i], '/'))) AS above FROM entries),
+d AS (SELECT path_key, above, arg_max(NOT negated, (strength, length(dir_key), line)) AS no FROM each JOIN rules ON starts_with(above, dir_key || '/') AND regexp_matches(substr(above, length(dir_key) + 2), regex) AND (NOT only_dirs OR kind = 'directory' OR above != path_key) GROUP BY 1, 2)
 SELECT e.path_key, coalesce(bool_or(no), false) AS ignored FROM entries e LEFT JOIN d USING (path_key) GROUP BY 1"""
 )
 def ignore_rules(spark, sf):
-    rules = spark.createDataFrame([("/parts", "gitignore", 1, "Brand-1", False), ("/parts/SMALL", "gitignore", 1, "Brand-1", True), ("/parts", "ignore", 1, "ECONOMY", False), ("/parts", "gitignore", 9, "ECONOMY", True)], "dir_key string, source string, line int, name string, negated boolean")
-    return changes.ignore_decisions(parts(spark, sf), rules)
+    lines_ = [("/parts", "gitignore", 1, "Brand-1*/"), ("/parts/SMALL", "gitignore", 1, "!Brand-1"), ("/parts", "ignore", 1, "/ECONOMY"), ("/parts", "gitignore", 9, "!/ECONOMY"), ("/parts", "gitignore", 2, "# a remark"), ("/parts", "gitignore", 3, "MEDIUM/**/*bolt*.md"), ("/parts", "global", 1, "*.app/")]
+    files = spark.createDataFrame(lines_, "dir_key string, source string, line int, text string")
+    return changes.ignore_decisions(parts(spark, sf), changes.ignore_rules(files))
 
 
 # ---------------------------------------------------------------- postings
@@ -282,7 +271,7 @@ def usage_counts(spark, sf):
 
 @query(f"SELECT text, max(ts) AS ts FROM ({_OPENED}) GROUP BY text ORDER BY ts DESC, text LIMIT 15")
 def history_top15(spark, sf):
-    return content.newest(opened(spark, sf), "text", "ts", 15)
+    return rows.newest(opened(spark, sf), "text", "ts", 15)
 
 
 @query(RING_SQL + f", u AS (SELECT path, (length(path) % 7)::BIGINT AS open_count FROM entries WHERE length(path) % 2 = 0) SELECT found.path, name, kind, {score_sql('ring', 'coalesce(open_count, 0)').replace('|| path', '|| found.path')} AS score FROM found LEFT JOIN u ON found.path = u.path")
@@ -311,34 +300,55 @@ def texts(spark, sf):
 
 @query(f"SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS n FROM ({_TOK}) GROUP BY term")
 def tokenize_tf(spark, sf):
-    return content.tokens(texts(spark, sf), "doc_id").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
+    return fulltext.tokens(texts(spark, sf), "doc_id").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
 
 
 @query(f"WITH {_BM} SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT 50")
 def bm25_top(spark, sf):
-    return content.bm25(content.tokens(texts(spark, sf), "doc_id"), ["lorem", "the", "idiot"], "doc_id").orderBy(F.desc("score"), "doc_id").limit(50)
+    return fulltext.bm25(texts(spark, sf), fulltext.content_query("lorem the idiot"), "doc_id").orderBy(F.desc("score"), "doc_id").limit(50)
 
 
 @query(f"WITH {_BM} SELECT doc_id, score FROM s WHERE doc_id IN (SELECT doc_id FROM documents WHERE source = 'src3') ORDER BY score DESC, doc_id LIMIT 10")
 def content_in_dir(spark, sf):
     t = texts(spark, sf)
-    return content.bm25(content.tokens(t, "doc_id"), ["lorem", "the", "idiot"], "doc_id", t.where("source = 'src3'").select("doc_id")).orderBy(F.desc("score"), "doc_id").limit(10)
+    return fulltext.bm25(t, fulltext.content_query("lorem the idiot"), "doc_id", t.where("source = 'src3'").select("doc_id")).orderBy(F.desc("score"), "doc_id").limit(10)
+
+
+@query(
+    r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x != '' AND strlen(x) <= 40) AS ws FROM documents),
+c AS (SELECT doc_id, len(ws) AS dl, len(list_filter(range(1, len(ws)), lambda i: ws[i] = 'of' AND ws[i + 1] = 'the')) AS p, len(list_filter(ws, lambda x: x = 'idiot')) AS i, len(list_filter(ws, lambda x: x = 'trash')) AS t, list_contains(ws, 'of') AS f, list_contains(ws, 'the') AS h, list_contains(ws, 'worthless') AS no FROM w),
+n AS (SELECT count(*) AS n, avg(dl) AS a, count(*) FILTER (f) AS df, count(*) FILTER (h) AS dh, count(*) FILTER (i > 0) AS di, count(*) FILTER (t > 0) AS dt FROM c),
+k AS (SELECT ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) + ln(1 + (n - dh + 0.5::DOUBLE) / (dh + 0.5::DOUBLE)) AS kp, ln(1 + (n - di + 0.5::DOUBLE) / (di + 0.5::DOUBLE)) AS ki, ln(1 + (n - dt + 0.5::DOUBLE) / (dt + 0.5::DOUBLE)) AS kt, a FROM n),
+s AS (SELECT doc_id, 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / a) AS norm, p, i, t, kp, ki, kt FROM c, k WHERE (p > 0 OR (i > 0 AND t > 0)) AND NOT no)
+SELECT doc_id, round(kp * p * 2.2::DOUBLE / (p + norm) + ki * i * 2.2::DOUBLE / (i + norm) + kt * t * 2.2::DOUBLE / (t + norm), 6) AS score FROM s"""
+)
+def bm25_boolean(spark, sf):
+    return fulltext.bm25(texts(spark, sf), fulltext.content_query('"of the" OR idiot AND trash -worthless'), "doc_id")
+
+
+_MARKS = """list_transform(range(1, len(string_split(lower(shown[j]), '{t}'))), lambda i: (start_line + j - 1) || ':' || (strlen(array_to_string(string_split(lower(shown[j]), '{t}')[1:i], '{t}')) + 1) || '-' || (strlen(array_to_string(string_split(lower(shown[j]), '{t}')[1:i], '{t}')) + 1 + {n}) || substr(shown[j], length(array_to_string(string_split(lower(shown[j]), '{t}')[1:i], '{t}')) + 1, {n}))"""
+_OF = lambda t: f"flatten(list_transform(range(1, len(shown) + 1), lambda j: {_MARKS.format(t=t, n=len(t))}))"
 
 
 @query(
-    r"""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS lines FROM documents),
-a AS (SELECT doc_id, lines, list_position(list_transform(lines, lambda x: contains(lower(x), 'idiot')), true) AS pos FROM l)
-SELECT doc_id, greatest(pos - 5, 1)::BIGINT AS start_line, array_to_string(lines[greatest(pos - 5, 1):least(pos + 5, len(lines))], chr(10)) AS lines, pos::BIGINT AS line,
-       (strlen(string_split(lower(lines[pos]), 'idiot')[1]) + 1)::BIGINT AS start_column, (strlen(string_split(lower(lines[pos]), 'idiot')[1]) + 6)::BIGINT AS end_column
-FROM a WHERE pos > 0"""
+    rf"""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+a AS (SELECT doc_id, lines, coalesce(nullif(list_position(list_transform(lines, lambda x: contains(lower(x), 'idiot')), true), 0), nullif(list_position(list_transform(lines, lambda x: contains(lower(x), 'pathetic')), true), 0)) AS pos FROM l),
+b AS (SELECT doc_id, greatest(pos - 5, 1)::BIGINT AS start_line, lines[greatest(pos - 5, 1):least(pos + 5, len(lines))] AS shown FROM a WHERE pos > 0)
+SELECT doc_id, start_line, array_to_string(shown, chr(10)) AS lines, array_to_string(list_concat({_OF('idiot')}, {_OF('pathetic')}), ' ') AS marks FROM b"""
 )
 def snippet_line(spark, sf):
-    return texts(spark, sf).select("doc_id", content.snippet(F.col("content"), ["idiot"]).alias("s")).where("s is not null").select("doc_id", "s.*").withColumn("lines", F.array_join("lines", "\n"))
+    found = texts(spark, sf).select("doc_id", fulltext.snippet(F.col("content"), "Idiot: (pathetic)").alias("s")).where("s is not null")
+    marks = F.transform("s.highlights", lambda h: F.concat(h["line"].cast("string"), F.lit(":"), h["start_column"].cast("string"), F.lit("-"), h["end_column"].cast("string"), h["matched_text"]))
+    return found.select("doc_id", "s.start_line", F.array_join("s.lines", "\n").alias("lines"), F.array_join(marks, " ").alias("marks"))
 
 
-@query(entries.DOCUMENTS_SQL + " SELECT CASE WHEN kind != 'file' OR extension = 'pdf' THEN 'unsupported' WHEN size_bytes > 5000 THEN 'skipped_too_large' ELSE 'indexed' END AS state, count(*)::BIGINT AS n FROM entries GROUP BY 1")
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 6 OR doc_id % 7 = 5 THEN 'unsupported' WHEN strlen(coalesce(text, '')) > 5000 THEN 'skipped_too_large' WHEN doc_id % 11 = 0 OR contains(text, chr(0)) THEN 'skipped_binary' ELSE 'indexed' END AS state FROM documents")
 def extract_state(spark, sf):
-    return docs(spark, sf).groupBy(content.extract_state(F.col("kind"), F.col("extension"), F.col("size_bytes"), F.lit(""), 5000).alias("state")).agg(F.count("*").alias("n"))
+    d = table(spark, sf, "documents")
+    extension = entries.picked(F.col("doc_id"))
+    content = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 11 == 0, "\0").otherwise(""))
+    kind = F.when(extension == "app", "application").otherwise("file")
+    return d.select("doc_id", fulltext.extract_state(kind, extension, F.octet_length(F.coalesce("text", F.lit(""))), content, 5000).alias("state"))
 
 
 # ---------------------------------------------------------------- changes
@@ -367,28 +377,46 @@ def event_fold(spark, sf):
 
 
 def deltas(spark, sf):
-    """Changes of the parts catalog from events: generation by event number, subtree removals of brand directories."""
+    """Changes of the parts catalog from events: generation by event number, removals of brand directories, new files, and now and then a file in a brand directory's place."""
     e = table(spark, sf, "events")
-    number = F.col("event_id")
-    key = F.when(F.col("event_type") == "error", F.concat(F.lit("/parts/SMALL/Brand-"), (F.col("user_id") % 25).cast("string"))).otherwise(F.concat(F.lit("/parts/SMALL/Brand-"), (F.col("user_id") % 25).cast("string"), F.lit("/new-"), (number % 97).cast("string"), F.lit(".md")))
-    return e.where("event_id % 5 = 0").select((F.floor(number / 100) + 1).cast("long").alias("generation"), number.alias("ordinal"), F.when(F.col("event_type") == "error", "remove").otherwise("upsert").alias("op"), key.alias("path_key"), (F.col("event_type") == "error").alias("subtree"), F.col("user_id").alias("size_bytes"))
+    number, brand = F.col("event_id"), F.concat(F.lit("/parts/SMALL/Brand-"), (F.col("user_id") % 25).cast("string"))
+    gone, over = F.col("event_type") == "error", number % 40 == 3
+    key = F.when(gone | over, brand).otherwise(F.concat(brand, F.lit("/new-"), (number % 97).cast("string"), F.lit(".md")))
+    return e.select((F.floor(number / 100) + 1).cast("long").alias("generation"), number.alias("ordinal"), F.when(gone, "remove").otherwise("upsert").alias("op"), key.alias("path_key"), F.lit("file").alias("kind"), F.col("user_id").alias("size_bytes"))
+
+
+def last_deltas(spark, sf):
+    """One change of a key in a generation: the last."""
+    return rows.first_of(deltas(spark, sf), ["generation", "path_key"], [F.desc("ordinal")])
 
 
 _DELTA = """d0 AS (SELECT floor(event_id / 100)::BIGINT + 1 AS generation, event_id AS ordinal, CASE WHEN event_type = 'error' THEN 'remove' ELSE 'upsert' END AS op,
-  '/parts/SMALL/Brand-' || (user_id % 25) || CASE WHEN event_type = 'error' THEN '' ELSE '/new-' || (event_id % 97) || '.md' END AS path_key, user_id AS size_bytes FROM events WHERE event_id % 5 = 0)"""
-_LAYERED = """ups AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path_key ORDER BY generation DESC, ordinal DESC) AS n FROM d0 WHERE op = 'upsert') WHERE n = 1),
-gone AS (SELECT path_key, max(generation) AS g FROM d0 WHERE op = 'remove' GROUP BY 1),
-hid AS (SELECT p.path_key FROM (SELECT path_key, 0 AS generation FROM entries UNION ALL SELECT path_key, generation FROM ups) p, gone WHERE (p.path_key = gone.path_key OR starts_with(p.path_key, gone.path_key || '/')) AND gone.g > p.generation),
-hid_up AS (SELECT u.path_key FROM ups u, gone WHERE (u.path_key = gone.path_key OR starts_with(u.path_key, gone.path_key || '/')) AND gone.g > u.generation),
-hid_base AS (SELECT e.path_key FROM entries e, gone WHERE e.path_key = gone.path_key OR starts_with(e.path_key, gone.path_key || '/'))"""
+  '/parts/SMALL/Brand-' || (user_id % 25) || CASE WHEN event_type = 'error' OR event_id % 40 = 3 THEN '' ELSE '/new-' || (event_id % 97) || '.md' END AS path_key, user_id AS size_bytes FROM events),
+d1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY generation, path_key ORDER BY ordinal DESC) AS k FROM d0) WHERE k = 1)"""
+_UPS = "ups AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path_key ORDER BY generation DESC) AS n FROM d1 WHERE op = 'upsert') WHERE n = 1)"
+_LAYERED = f"""{_UPS},
+gone AS (SELECT path_key AS a, max(generation) AS below, max(generation) FILTER (op = 'remove') AS here FROM d1 GROUP BY 1),
+alive AS (SELECT p.path_key, p.generation, p.size_bytes FROM (SELECT path_key, 0 AS generation, size_bytes FROM entries UNION ALL SELECT path_key, generation, size_bytes FROM ups) p
+  WHERE NOT EXISTS (SELECT 1 FROM gone WHERE (p.path_key = a AND p.generation < here) OR (starts_with(p.path_key, a || '/') AND p.generation < below)))"""
 
 
-@query(f"{entries.PARTS_SQL}, {_DELTA}, {_LAYERED} SELECT path_key, size_bytes FROM entries WHERE path_key NOT IN (SELECT path_key FROM hid_base) AND path_key NOT IN (SELECT path_key FROM ups) UNION ALL SELECT path_key, size_bytes FROM ups WHERE path_key NOT IN (SELECT path_key FROM hid_up)")
+@query(f"{entries.PARTS_SQL}, {_DELTA}, {_LAYERED} SELECT path_key, size_bytes FROM alive WHERE generation > 0 OR path_key NOT IN (SELECT path_key FROM ups)")
 def apply_delta_view(spark, sf):
-    base = parts(spark, sf).select("path_key", "size_bytes")
-    d = deltas(spark, sf)
-    last = content.first_of(d, ["generation", "path_key", "op"], [F.desc("ordinal")])
-    return changes.layered(base, last)
+    base = parts(spark, sf).select("path_key", "kind", "size_bytes")
+    return changes.layered(base, last_deltas(spark, sf)).select("path_key", "size_bytes")
+
+
+@query(
+    f"""{entries.PARTS_SQL}, {_DELTA}, {_UPS},
+steps AS (SELECT path_key, 0 AS generation, 'upsert' AS op, kind FROM entries UNION ALL SELECT path_key, generation, op, 'file' FROM d1),
+was AS (SELECT *, lag(op) OVER w AS was_op, lag(kind) OVER w AS was_kind FROM steps WINDOW w AS (PARTITION BY path_key ORDER BY generation)),
+gone AS (SELECT path_key AS a, max(generation) AS here, max(generation) FILTER (was_op = 'upsert' AND was_kind = 'directory') AS below FROM was WHERE op = 'remove' GROUP BY 1),
+r AS (SELECT path_key, 0 AS generation, size_bytes FROM entries WHERE path_key NOT IN (SELECT path_key FROM ups) UNION ALL SELECT path_key, generation, size_bytes FROM ups)
+SELECT path_key, size_bytes FROM r WHERE NOT EXISTS (SELECT 1 FROM gone WHERE (r.path_key = a AND r.generation < here) OR (starts_with(r.path_key, a || '/') AND r.generation < below))"""
+)
+def apply_delta_stored(spark, sf):
+    base = parts(spark, sf).select("path_key", "kind", "size_bytes")
+    return changes.applied(base, last_deltas(spark, sf)).select("path_key", "size_bytes")
 
 
 @query(f"{entries.PARTS_SQL}, {_DELTA} SELECT e.path_key FROM entries e WHERE EXISTS (SELECT 1 FROM d0 WHERE op = 'remove' AND (e.path_key = d0.path_key OR starts_with(e.path_key, d0.path_key || '/')))")
@@ -446,20 +474,28 @@ def manifest_from_entries(spark, sf):
     return changes.manifest_of(parts(spark, sf)).select("path_key", "parent_key")
 
 
-@query(entries.PARTS_SQL + " SELECT path_key, 'missing_parent' AS fault FROM entries WHERE kind = 'directory' AND parent = '/parts/SMALL' AND path_key != '/parts/SMALL'")
+@query(
+    entries.PARTS_SQL
+    + """, m AS (SELECT path_key, CASE WHEN path_key = '/parts' THEN '/x' WHEN path_key = '/parts/ECONOMY/Brand-1' THEN '/parts' WHEN path_key != '/parts' THEN parent END AS parent_key, CASE WHEN path_key = '/parts/LARGE' THEN '/other' ELSE '/parts' END AS root FROM entries WHERE kind = 'directory' AND path_key != '/parts/SMALL')
+SELECT path_key, CASE WHEN path_key != root AND NOT starts_with(path_key, root || '/') THEN 'outside_root' WHEN path_key = root THEN 'root_with_parent' ELSE 'wrong_parent' END AS fault FROM m
+  WHERE (path_key != root AND NOT starts_with(path_key, root || '/')) OR (path_key = root AND parent_key IS NOT NULL) OR (path_key != root AND parent_key IS DISTINCT FROM regexp_extract(path_key, '^(.*)/[^/]*$', 1))
+UNION ALL SELECT path_key, 'missing_parent' FROM m WHERE parent_key IS NOT NULL AND parent_key NOT IN (SELECT path_key FROM m)"""
+)
 def manifest_validate(spark, sf):
-    m = changes.manifest_of(parts(spark, sf))
-    return changes.manifest_faults(m.where("path_key != '/parts/SMALL'"))
+    key = F.col("path_key")
+    m = changes.manifest_of(parts(spark, sf)).where(key != "/parts/SMALL")
+    m = m.withColumn("parent_key", F.when(key == "/parts", "/x").when(key == "/parts/ECONOMY/Brand-1", "/parts").otherwise(F.col("parent_key"))).withColumn("root", F.when(key == "/parts/LARGE", "/other").otherwise(F.col("root")))
+    return changes.manifest_faults(m)
 
 
 # ---------------------------------------------------------------- catalog versions
 
-_GEN = """g AS (SELECT o_orderkey AS id, '/root-' || (o_custkey % 40) AS root, CASE o_orderstatus WHEN 'F' THEN 'obsolete' WHEN 'O' THEN 'building' ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'active' ELSE 'prepared' END END AS state, epoch_ms(o_orderdate) AS updated_at_ms, o_totalprice FROM orders WHERE o_orderkey % 10 = 0)"""
+_GEN = """g AS (SELECT o_orderkey AS id, '/root-' || (o_custkey % 40) AS root, CASE o_orderstatus WHEN 'F' THEN 'obsolete' WHEN 'O' THEN 'building' ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'active' ELSE 'prepared' END END AS state, epoch_ms(o_orderdate) AS updated_at_ms, o_totalprice FROM orders)"""
 _PENDING = "p AS (SELECT root, id, state FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY CASE state WHEN 'prepared' THEN 0 ELSE 1 END, updated_at_ms DESC, id DESC) AS n FROM g WHERE state IN ('prepared', 'building')) WHERE n = 1)"
 
 
 def generations(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 10 = 0")
+    o = table(spark, sf, "orders")
     state = F.when(F.col("o_orderstatus") == "F", "obsolete").when(F.col("o_orderstatus") == "O", "building").when(F.col("o_orderkey") % 3 == 0, "active").otherwise("prepared")
     return o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("/root-"), (F.col("o_custkey") % 40).cast("string")).alias("root"), state.alias("state"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("updated_at_ms"))
 
@@ -498,9 +534,14 @@ def storage_estimate(spark, sf):
     return catalog.storage_estimate(parts(spark, sf))
 
 
-@query(entries.LINEITEMS_SQL + " SELECT '/orders' AS root, count(*)::BIGINT AS n, sum(('0x' || substr(md5(path_key || '|' || kind || '|' || coalesce(modified_ms::VARCHAR, '') || '|' || coalesce(size_bytes::VARCHAR, '')), 1, 8))::BIGINT)::BIGINT AS digest FROM entries")
+_DIGESTED = ("path_key", "kind", "extension", "modified_ms", "size_bytes")
+_MARKED = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in _DIGESTED)
+_SUMS = ", ".join(f"sum(('0x' || substr(h, {15 * k + 1}, 15))::BIGINT)::VARCHAR" for k in range(4))
+
+
+@query(entries.LINEITEMS_SQL + f" SELECT '/orders' AS root, count(*)::BIGINT AS n, concat_ws('-', {_SUMS}) AS digest FROM (SELECT sha256({_MARKED}) AS h FROM entries)")
 def batch_digest(spark, sf):
-    return catalog.digest(lines(spark, sf))
+    return journal.digests(lines(spark, sf), ["root"], list(_DIGESTED))
 
 
 @query("SELECT event_type, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
@@ -527,7 +568,14 @@ def search_urls(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.search_url("https://example.org/?q={query}", F.concat("p_name", F.lit("~"))).alias("url"))
 
 
-@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'blocked' WHEN 'purchase' THEN 'strong' ELSE 'allow' END AS safety FROM events")
+#: Commands on the borders of the rule, and what they are.
+COMMANDS = (("rm -rf /", "blocked"), (" RM -rf / ", "blocked"), ("rm -rf /*", "blocked"), ("rm -rf / tmp", "blocked"), ("rm -rf /home/x", "allow"), ("farm x", "allow"), ("shutdown now", "allow"), ("sudo ls", "strong"), ("sudo", "allow"), ("mkfs.ext4 /dev/sda", "strong"), ("echo mkfs", "strong"), ("xmkfs", "allow"), ("DiskPart /s", "strong"), ("cd && diskpart", "strong"), ("ls -l", "allow"))
+
+
+@query("SELECT event_id, (" + str([x for _, x in COMMANDS]) + f")[event_id % {len(COMMANDS)} + 1] AS safety FROM events")
 def command_safety(spark, sf):
-    command = F.when(F.col("event_type") == "error", F.concat(F.lit(" RM -rf / "), F.col("user_id").cast("string"))).when(F.col("event_type") == "purchase", "sudo ls").otherwise("ls -l")
+    command = entries.picked(F.col("event_id"), tuple(c for c, _ in COMMANDS))
     return table(spark, sf, "events").select("event_id", T.command_safety(command).alias("safety"))
+
+
+from . import queries_more  # noqa: E402, F401  # registers its queries

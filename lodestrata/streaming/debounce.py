@@ -1,8 +1,7 @@
 """Debounced batches of events: a batch closes after a quiet time, or a longest time after its first event.
 
-The batch form cuts each key's events at quiet gaps with windows and folds only inside
-what is left; the streaming form keeps first, last and paths of the open batch as state
-and gives the same batches.
+The batch form folds each key's sorted events; the streaming form keeps first, last and
+number of the open batch as state and gives the same batches.
 """
 
 from __future__ import annotations
@@ -11,40 +10,45 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "key string, first_ms long, last_ms long, n_events long"
 
 
-def _cut(ms: np.ndarray, cap: int) -> np.ndarray:
-    """Batch number of each of a session's times: a new one where the cap since the batch's first is reached."""
-    out, first, number = np.zeros(len(ms), np.int64), None, -1
-    k = 0
-    while k < len(ms):
-        number += 1
-        end = int(np.searchsorted(ms, ms[k] + cap))
-        out[k:end] = number
-        k = max(end, k + 1)
-    return out
+def batches(events: DataFrame, quiet_ms: int = 5_000, cap_ms: int = 10_000) -> DataFrame:
+    """key, first_ms, last_ms, n_events of each batch of (key, ms).
 
+    Events come sorted; a task holds the open batch of one key and a slice of events.
+    """
 
-def batches(events: DataFrame, quiet_ms: int = 5_000, cap_ms: int = 10_000) -> DataFrame:
-    """key, first_ms, last_ms, n_events of each batch of (key, ms)."""
-    order = Window.partitionBy("key").orderBy("ms")
-    gap = F.col("ms") - F.lag("ms").over(order) >= quiet_ms
-    sessions = events.withColumn("session", F.sum(F.coalesce(gap, F.lit(True)).cast("int")).over(order))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        ms = np.sort(rows["ms"].to_numpy())
-        found = pd.DataFrame({"ms": ms, "b": _cut(ms, cap_ms)}).groupby("b")["ms"].agg(["min", "max", "size"])
-        return pd.DataFrame({"key": rows["key"].iloc[0], "first_ms": found["min"], "last_ms": found["max"], "n_events": found["size"]})
-
-    span = sessions.groupBy("key", "session").agg(F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"), F.count("*").alias("n_events"))
-    long_ = span.where(F.col("last_ms") - F.col("first_ms") >= cap_ms)
-    short = span.where(F.col("last_ms") - F.col("first_ms") < cap_ms).select("key", "first_ms", "last_ms", "n_events")
-    return short.unionByName(sessions.join(long_.select("key", "session"), ["key", "session"], "left_semi").groupBy("key", "session").applyInPandas(fold, OUT))
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first, last, n = None, 0, 0, 0
+        for part in parts:
+            out: list[tuple] = []
+            names = part.column("key").dictionary_encode()
+            code, ms = np.asarray(names.indices), np.asarray(part.column("ms"))
+            new = np.ones(len(ms), bool)
+            new[1:] = (code[1:] != code[:-1]) | (ms[1:] - ms[:-1] >= quiet_ms)
+            starts = np.append(np.flatnonzero(new), len(ms))
+            for a, b in zip(starts.tolist(), starts[1:].tolist()):  # events of one key without a quiet time
+                name = names.dictionary[int(code[a])].as_py()
+                while a < b:
+                    if key != name or ms[a] >= min(last + quiet_ms, first + cap_ms):
+                        out += [(key, first, last, n)] if n else []
+                        key, first, n = name, int(ms[a]), 0
+                    end = max(a + 1, a + int(np.searchsorted(ms[a:b], first + cap_ms)))
+                    last, n, a = int(ms[end - 1]), n + end - a, end
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], names=_NAMES)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((key, first, last, n), _TYPES)], names=_NAMES)
+
+    return events.select("key", "ms").where("key is not null and ms is not null").repartition("key").sortWithinPartitions("key", "ms").mapInArrow(fold, OUT)
+
+
+_NAMES, _TYPES = ("key", "first_ms", "last_ms", "n_events"), (pa.string(), pa.int64(), pa.int64(), pa.int64())
 
 
 def stream(events: DataFrame, quiet_ms: int = 5_000, cap_ms: int = 10_000) -> DataFrame:
