@@ -88,30 +88,35 @@ def content_query(text: str) -> ContentQuery:
     return ContentQuery(tuple(map(tuple, groups)), tuple(must), tuple(never))
 
 
-def _times(clause: tuple[str, ...]) -> Column:
-    """How often a phrase stands in the column ``words``."""
+def _times(found: Column, clause: tuple[str, ...]) -> Column:
+    """How often a phrase stands in an array of words."""
     if len(clause) == 1:
-        return F.size(F.filter("words", lambda w: w == clause[0]))
-    n, phrase = len(clause), F.array(*map(F.lit, clause))
-    starts = F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(starts, lambda k: F.slice("words", k, F.lit(n)) == phrase))
+        return F.size(F.filter(found, lambda w: w == clause[0]))
+    starts = F.when(F.size(found) >= len(clause), F.sequence(F.lit(0), F.size(found) - len(clause))).otherwise(F.array().cast("array<int>"))
+    return F.size(F.filter(starts, lambda k: reduce(lambda a, b: a & b, (F.get(found, k + j) == w for j, w in enumerate(clause)))))
 
 
 def bm25(texts: DataFrame, query: ContentQuery, key: str = "path", only: DataFrame | None = None) -> DataFrame:
     """key, score of the texts (key, content) that the query finds; ``only`` (key) restricts the hits, not the statistics."""
     singles = list(dict.fromkeys(w for c in query.positive for w in c))
     clauses = list(query.clauses)
-    spread = texts.select(key, words(F.col("content")).alias("words"))
-    counted = spread.select(key, F.size("words").alias("dl"), *(_times(c).alias(f"c{k}") for k, c in enumerate(clauses)), *(F.when(F.array_contains("words", w), 1).otherwise(0).alias(f"t{k}") for k, w in enumerate(singles)))
-    n, average, *df = counted.agg(F.count("*"), F.avg("dl"), *(F.sum(f"t{k}") for k in range(len(singles)))).first()
+
+    def counts(found: Column) -> Column:
+        """All that is told of a text, so that it is cut into words once."""
+        tf = {c: _times(found, c) for c in clauses}
+        holds = lambda cs: reduce(lambda a, b: a & b, (tf[c] > 0 for c in cs), F.lit(True))
+        some = reduce(lambda a, b: a | b, map(holds, query.groups), F.lit(not query.groups))
+        none = reduce(lambda a, b: a | b, (tf[c] > 0 for c in query.never), F.lit(False))
+        return F.struct(F.size(found).alias("dl"), (some & holds(query.must) & ~none).alias("found"), *(tf[c].alias(f"c{k}") for k, c in enumerate(clauses)), *(F.when(F.array_contains(found, w), 1).otherwise(0).alias(f"t{k}") for k, w in enumerate(singles)))
+
+    counted = texts.select(key, F.transform(F.array(words(F.col("content"))), counts)[0].alias("n"))
+    n, average, *df = counted.agg(F.count("*"), F.avg("n.dl"), *(F.sum(f"n.t{k}") for k in range(len(singles)))).first()
     idf = {w: F.log(1 + (F.lit(float(n)) - (d or 0) + 0.5) / ((d or 0) + 0.5)) for w, d in zip(singles, df)}
-    tf = {c: F.col(f"c{k}") for k, c in enumerate(clauses)}
-    holds = lambda cs: reduce(lambda a, b: a & b, (tf[c] > 0 for c in cs), F.lit(True))
-    some = reduce(lambda a, b: a | b, map(holds, query.groups), F.lit(not query.groups))
-    hits = counted.where(some & holds(query.must) & ~reduce(lambda a, b: a | b, (tf[c] > 0 for c in query.never), F.lit(False)))
+    hits = counted.where("n.found")
     if only is not None:
         hits = hits.join(only, key, "left_semi")
-    norm = K1 * (1 - B + B * F.col("dl") / F.lit(average or 1.0))
+    norm = K1 * (1 - B + B * F.col("n.dl") / F.lit(average or 1.0))
+    tf = {c: F.col(f"n.c{k}") for k, c in enumerate(clauses)}
     parts = [reduce(lambda a, b: a + b, (idf[w] for w in c)) * tf[c] * (K1 + 1) / (tf[c] + norm) for c in query.positive]
     return hits.select(key, F.round(reduce(lambda a, b: a + b, parts), 6).alias("score"))
 
