@@ -33,7 +33,7 @@ _MIX_2 = np.uint64(0x94D049BB133111EB)
 
 
 #: Blocks of at least so many bytes go back to the system when they are freed, and don't stay with a Python worker.
-RETURNED_BYTES = 1 << 20
+RETURNED_BYTES = 1 << 17
 
 
 def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = known.select("doc_id", "n_shingles", "f1", "f2")
     members = skew.hot(members, ["f1", "f2"]).joined(members, classes, "doc_id", "left")
     members = scratch.written(members.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep")), "members")
-    firsts = linked.join(classes.select("f1", "f2", F.col("rep").alias("doc_id")), ["f1", "f2", "doc_id"], "left_semi")
+    firsts = linked.join(classes.select("f1", "f2", F.col("rep").alias("doc_id")).hint("merge"), ["f1", "f2", "doc_id"], "left_semi")
     if firsts.count() > classes.count():  # rows repeat: one stands for its class
         firsts = firsts.dropDuplicates(["f1", "f2", "doc_id"])
     nodes = scratch.written(firsts.select(F.col("doc_id").alias("b"), F.col("f1").alias("fb"), F.col("n_shingles").alias("n")), "nodes")
@@ -326,7 +326,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         first_main = placed.where(~stray).join(strays.select("bucket").distinct(), "bucket", "left_semi").groupBy("bucket").agg(F.min(place("b")).alias("m"))
         first_stray = strays.groupBy("bucket").agg(F.min(place("x")).alias("m"), F.min("x_root").alias("r1"), F.max("x_root").alias("r2")).where("r1 != r2")
         met = strays.select("bucket", "x").join(first_main.unionByName(first_stray.select("bucket", "m")).select("bucket", F.col("m.b").alias("y")), "bucket")
-        more = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(met_before, ["a", "b"], "left_anti")
+        more = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(met_before.hint("merge"), ["a", "b"], "left_anti")
         more = scratch.written(more, "met")
         met_before = met_before.unionByName(more)
         extra = linking(more, skew.hot(more, ["a"]))
@@ -341,7 +341,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     unsettled = placed.join(open_.select("bucket"), "bucket", "left_semi").select("b", "root").distinct()
     unsettled = scratch.written(unsettled.join(nodes.select("b", "fb"), "b"), "unsettled")
     if not unsettled.isEmpty():
-        rest = scratch.written(unmet(docs, unsettled, width, percent, scratch).join(met_before, ["a", "b"], "left_anti"), "met")
+        rest = scratch.written(unmet(docs, unsettled, width, percent, scratch).join(met_before.hint("merge"), ["a", "b"], "left_anti"), "met")
         extra = linking(rest, skew.hot(rest, ["a"]))
         if not extra.isEmpty():
             roots = components(links.unionByName(extra), scratch)

@@ -48,7 +48,7 @@ GRAM = 32
 #: Anchors for which a bucket is made, on average.
 BUCKET_ANCHORS = 150_000
 #: Text bytes within which strings are told apart before they are sent.
-NEAR_BYTES = 1 << 20
+NEAR_BYTES = 1 << 19
 #: Occurrences, over all and within NEAR_BYTES, from which on a gram is famous.
 FAMOUS, FAMOUS_HERE = 1 << 16, 1 << 10
 #: Text bytes from which on the most frequent grams are looked for first, in one of so many documents.
@@ -58,7 +58,7 @@ HOT_GRAMS = 1 << 16
 #: Text bytes whose segments one task sorts, on average.
 TASK_BYTES = 32 << 20
 #: Segment bytes that are sorted together.
-SORT_BYTES = 1 << 19
+SORT_BYTES = 1 << 18
 #: Segments whose bytes are gathered, or compared, at once.
 SENT_ROWS = 1 << 12
 #: Bytes whose anchors are found at once.

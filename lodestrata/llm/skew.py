@@ -44,7 +44,8 @@ class Hot:
         """rows with the columns of ``table`` (one row for each of the keys, which are not null)."""
         if self.parts is None:
             return rows.join(table, self.keys, how)
-        return self.dealt(rows, by).join(self.spread(table), [*self.keys, "part"], how).drop("part")
+        # a hash table of several keys takes a whole memory page on every executor, however small it is
+        return self.dealt(rows, by).join(self.spread(table).hint("merge"), [*self.keys, "part"], how).drop("part")
 
 
 def hot(rows: DataFrame, keys: list[str], each: int | None = None) -> Hot:
