@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,7 +75,7 @@ def ranked(rows: DataFrame, *order) -> DataFrame:
     for r in sizes:
         offsets.append((r["part"], before))
         before += r["n"]
-    offsets = rows.sparkSession.createDataFrame(offsets, "part long, before long")
+    offsets = rows.sparkSession.createDataFrame(pa.table({"part": pa.array([x for x, _ in offsets], pa.int64()), "before": pa.array([x for _, x in offsets], pa.int64())}))
     return placed.withColumn("part", part).join(F.broadcast(offsets), "part").withColumn("rank", F.col("before") + F.col("at") - F.shiftleft("part", 33)).drop("part", "at", "before")
 
 

@@ -53,5 +53,6 @@ def hot(rows: DataFrame, keys: list[str], each: int | None = None) -> Hot:
     each = each or EACH
     counts = rows.groupBy(*keys).agg(F.count("*").alias("hot_rows")).where(F.col("hot_rows") > each)
     found = counts.orderBy(F.desc("hot_rows"), *keys).limit(HOT_KEYS).select(*keys, F.least(F.ceil(F.col("hot_rows") / each), F.lit(PARTS)).cast("long").alias("parts"))
-    some = found.collect()
-    return Hot(keys, rows.sparkSession.createDataFrame(some, found.schema) if some else None)
+    some = found.toArrow()
+    # from Arrow, for a list of rows would take Python workers of another kind, which stay beside the operators'
+    return Hot(keys, rows.sparkSession.createDataFrame(some) if some.num_rows else None)
