@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 #: Text bytes handled at once inside a task; bounds a Python worker's memory.
 PIECE_BYTES = 1 << 18
 #: Rows of an Arrow batch where the session doesn't say; Spark's own default is for narrow rows.
-BATCH_ROWS, DEFAULT_ROWS = 1000, "10000"
+BATCH_ROWS, DEFAULT_ROWS = 400, "10000"
 
 #: The ASCII white space of the word pattern [^\x20\x09-\x0D]+.
 SPACES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)

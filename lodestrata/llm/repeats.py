@@ -48,7 +48,7 @@ GRAM = 32
 #: Anchors for which a bucket is made, on average.
 BUCKET_ANCHORS = 150_000
 #: Text bytes within which strings are told apart before they are sent.
-NEAR_BYTES = 1 << 19
+NEAR_BYTES = 1 << 18
 #: Occurrences, over all and within NEAR_BYTES, from which on a gram is famous.
 FAMOUS, FAMOUS_HERE = 1 << 16, 1 << 10
 #: Text bytes from which on the most frequent grams are looked for first, in one of so many documents.
