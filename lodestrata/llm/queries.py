@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import importance, language, lines, media, minhash, mixing, packing, phrases, repeats, rules, toxicity, warc
+from . import alignment, importance, language, lines, media, minhash, mixing, packing, phrases, repeats, rules, toxicity, warc
 from .shared import written
 
 
@@ -59,6 +59,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(documents(spark, sf_dir))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(documents(spark, sf_dir)).drop("k")
 
@@ -68,7 +72,7 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_frequency, op2_telephony_audio, op3_best_fit_packing, op4_suffix_sort_dedup, op5_warc, op6_mixing, op7_circulant_minhash, op8_language_id, op9_importance_resampling, op10_toxicity, op12_collocations, op13_line_dedup)}
+    return {f.__name__: f for f in (op1_line_frequency, op2_telephony_audio, op3_best_fit_packing, op4_suffix_sort_dedup, op5_warc, op6_mixing, op7_circulant_minhash, op8_language_id, op9_importance_resampling, op10_toxicity, op11_token_alignment, op12_collocations, op13_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
