@@ -7,9 +7,9 @@ tabs. A phrase is 2 to 4 words that follow each other in a piece.
    sketch of saturating bytes. Of the merged sketch one bit a cell remains: whether its
    count reaches ``least``. It says "no" only for what is rarer. It has at most CELLS
    cells; a fuller one only lets more phrases pass.
-2. Automata: a shard is a few megabytes of one language's pieces. Its words are coded one
-   character each, its pieces delimited by a character that no phrase holds, so that a
-   match can't begin or end inside a word or run over a piece. Its phrases whose bounds,
+2. Automata: a shard is a few megabytes of one language's pieces. Its words are coded by
+   a few characters each, its pieces delimited by one that no phrase holds, so that a match
+   can't begin or end inside a word or run over a piece. Its phrases whose bounds,
    and whose inner phrases' bounds, reach ``least`` are the candidates; they are compiled
    into an Aho-Corasick automaton that counts all their matches in the shard, overlaps
    included. A shard holds all the candidates that can match in it, so counts summed
@@ -52,7 +52,9 @@ PARTS = 64
 #: Cells of the sketch at most, and text bytes for which one is made.
 CELLS, CELL_BYTES = 1 << 25, 16
 #: Bytes of a shard.
-SHARD = 2 << 20
+SHARD = 4 << 20
+#: Characters of a coded word.
+DIGITS = 3
 
 _CUT = np.zeros(256, bool)
 _CUT[list(CUTS)] = True
@@ -145,12 +147,17 @@ def likely(docs: DataFrame, longest: int, least: int, cells: int) -> np.ndarray:
     return sketches.bits(parts, cells, lambda a, b: np.minimum(a.astype(np.uint16) + b, 255).astype(np.uint8), lambda x: x >= least)
 
 
+def likely_words(shard: Shard, bits: np.ndarray) -> np.ndarray:
+    """Whether each distinct word may be frequent."""
+    return sketches.has(bits, arrays.mix(shard.hashes + np.uint64(1)))  # as phrase_hashes(1)
+
+
 def candidates(shard: Shard, bits: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each n its candidates: a start of each distinct one; and of all starts whether one is there."""
     ids = shard.codes
     if not len(ids):
         return
-    word = sketches.has(bits, arrays.mix(shard.hashes + np.uint64(1)))[ids]  # phrase_hashes(1), by distinct word
+    word = likely_words(shard, bits)[ids]
     likely_at = np.flatnonzero(word)
     yield 1, likely_at[np.unique(ids[word], return_index=True)[1]], word
     before, pair = word, None
@@ -179,20 +186,20 @@ def counted(docs: DataFrame, bits: np.ndarray, longest: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, data in shards(batches):
             shard = Shard(lang, data)
-            names = _names(shard)
+            good = likely_words(shard, shipped.value)
+            names = dict(zip(np.flatnonzero(good).tolist(), (w.decode() for w in shard.words.filter(pa.array(good)).to_pylist())))
+            text, place = _coded(shard, good)
             sizes, phrases, totals = [0], [""], [len(shard.codes)]
             automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            text, place = _coded(shard)
             for n, starts, here in candidates(shard, shipped.value, longest):
                 codes = shard.codes[starts[:, None] + np.arange(n)].tolist()
                 if n == 1:
-                    found = np.bincount(shard.codes[here], minlength=len(names))
-                    totals += found[[c for c, in codes]].tolist() if codes else []
+                    totals += np.bincount(shard.codes[here], minlength=len(good))[shard.codes[starts]].tolist()
                 else:
                     for k, a in enumerate(place[starts].tolist(), len(sizes)):
-                        automaton.add_word(text[a : a + n], k)
+                        automaton.add_word(text[a : a + DIGITS * n], k)
                 sizes += [n] * len(codes)
-                phrases += [" ".join(names[c] for c in row) for row in codes]
+                phrases += [" ".join([names[c] for c in row]) for row in codes]
             matches = np.zeros(len(sizes), np.int64)
             if len(automaton):
                 automaton.make_automaton()
@@ -203,19 +210,27 @@ def counted(docs: DataFrame, bits: np.ndarray, longest: int) -> DataFrame:
     return docs.transform(arrays.mapped, run, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
 
 
-def _names(shard: Shard) -> list[str]:
-    return [w.decode() for w in shard.words.to_pylist()]
+def _coded(shard: Shard, good: np.ndarray) -> tuple[str, np.ndarray]:
+    """The shard's text with DIGITS characters for each likely word, and where each word begins.
 
-
-def _coded(shard: Shard) -> tuple[str, np.ndarray]:
-    """The shard's words as one character each, with a delimiter between pieces, and where each word stands."""
-    ends = np.zeros(len(shard.codes), np.int64)
-    ends[1:] = np.diff(shard.piece) > 0
-    place = np.arange(len(ends)) + np.cumsum(ends)
-    codes = np.zeros(len(ends) + int(ends.sum()), np.uint32)  # 0 delimits
-    code = shard.codes + 1
-    codes[place] = code + (code >= 0xD800) * 0x800  # surrogates are no characters
-    return codes.astype("<u4").tobytes().decode("utf-32-le"), place
+    A delimiter stands between pieces and for any other word. Each digit has characters of
+    its own, so that a match begins with a word's first and ends with a word's last one,
+    and no node of the automaton has many children.
+    """
+    base = 1
+    while base**DIGITS < good.sum():
+        base += 1
+    here = good[shard.codes]
+    before = np.zeros(len(here), np.int64)
+    before[1:] = np.diff(shard.piece) > 0
+    width = before + np.where(here, DIGITS, 1)
+    place = np.cumsum(width) - width + before
+    text = np.zeros(int(width.sum()), np.uint32)  # 0 delimits
+    rest = (np.cumsum(good) - 1)[shard.codes[here]]
+    for digit in range(DIGITS):
+        text[place[here] + digit] = 1 + digit * base + rest % base
+        rest = rest // base
+    return text.astype("<u4").tobytes().decode("utf-32-le"), place
 
 
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, covered: int = COVERED, top: int = TOP, cells: int | None = None) -> DataFrame:
