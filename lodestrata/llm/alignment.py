@@ -31,6 +31,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,9 +42,9 @@ from .shared import Scratch, picked, written
 FOLDER = "/opt/tokenizers"
 A_FILE, B_FILE = f"{FOLDER}/byte_bpe_50k.json", f"{FOLDER}/piece_bpe_32k.model"
 #: Words that a task keeps encoded, twice this at most, and the longest of them.
-KEPT_WORDS, LONGEST_WORD = 60_000, 48
-#: Words that are encoded at once.
-AT_ONCE = 2048
+KEPT_WORDS, LONGEST_WORD = 120_000, 48
+#: Words that are encoded at once, and how many of them as one text.
+AT_ONCE, JOINED = 4096, 64
 #: Groups that are told to all tasks at most (a few megabytes).
 TOLD_GROUPS = 1 << 17
 #: A single space between characters that aren't white space.
@@ -72,36 +73,63 @@ class Tokenizers:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         before = json.loads(self.a.to_str())
+        self.a_size = np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)])
+        self.b_size = np.array([len(x) for x in self.b_bytes])
         split = before["normalizer"] is None and (before["pre_tokenizer"] or {}).get("type") == "ByteLevel" and before["pre_tokenizer"].get("use_regex")
         #: Whether words can be encoded one by one: A cuts before a space, and no piece of B goes on over one.
         self.by_word = bool(split) and not any("▁" in p.lstrip("▁") for p in pieces)
 
-    def encoded(self, words: list[str]) -> Iterator[tuple[str, int, int] | None]:
-        """Groups, number of A and of B tokens of each word (with the space before it); None where bytes differ."""
-        for k in range(0, len(words), AT_ONCE):
-            some = words[k : k + AT_ONCE]
-            a = self.a.encode_batch_fast(some, add_special_tokens=False)
-            b = self.b.encode([w[1:] for w in some], num_threads=1)
-            for word, x, y in zip(some, a, b):
-                yield self.groups(word.encode(), x.ids, y)
-
-    def groups(self, raw: bytes, a: list[int], b: list[int]) -> tuple[str, int, int] | None:
-        x, y = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(y) != raw or b"".join(x) != raw:
-            return None
-        out, i, j = [], 0, 0
-        while i < len(a):
-            first_a, first_b, at_a, at_b = i, j, len(x[i]), len(y[j])
-            i, j = i + 1, j + 1
-            while at_a != at_b:
-                if at_a < at_b:
-                    at_a += len(x[i])
-                    i += 1
+    def encoded(self, words: list[str]) -> dict[str, tuple[str, int, int] | None]:
+        """Groups, number of A and of B tokens of each of the distinct words (with the space before them); None where bytes differ."""
+        out: dict[str, tuple[str, int, int] | None] = {}
+        # words without other white space at their ends are encoded alike when they follow each other
+        alone = [w for w in words if not self.by_word or w[1:2].isspace() or w[-1].isspace()]
+        joint = [w for w in words if self.by_word and not (w[1:2].isspace() or w[-1].isspace())]
+        for k in range(0, len(joint), AT_ONCE):
+            parts = [joint[j : j + JOINED] for j in range(k, min(k + AT_ONCE, len(joint)), JOINED)]
+            texts = ["".join(p) for p in parts]
+            both = zip(parts, texts, (x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)), self.b.encode([t[1:] for t in texts], num_threads=1))
+            good: tuple[list, list, list] = ([], [], [])
+            for part, text, a, b in both:
+                if self._same(text.encode(), a, b):
+                    for held, new in zip(good, (part, a, b)):
+                        held += new
                 else:
-                    at_b += len(y[j])
-                    j += 1
-            out.append(f"{a[first_a]}|{b[first_b]}" if i - first_a == j - first_b == 1 else f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-        return ";".join(out), len(a), len(b)
+                    alone += part
+            if good[0]:
+                out.update(zip(good[0], self._grouped(*good)))
+        for k in range(0, len(alone), AT_ONCE):
+            some = alone[k : k + AT_ONCE]
+            for w, x, b in zip(some, self.a.encode_batch_fast(some, add_special_tokens=False), self.b.encode([w[1:] for w in some], num_threads=1)):
+                out[w] = next(iter(self._grouped([w], x.ids, b))) if self._same(w.encode(), x.ids, b) else None
+        return out
+
+    def _same(self, raw: bytes, a: list[int], b: list[int]) -> bool:
+        return b"".join(map(self.b_bytes.__getitem__, b)) == raw and b"".join(map(self.a_bytes.__getitem__, a)) == raw
+
+    def _grouped(self, words: list[str], a: list[int], b: list[int]) -> Iterator[tuple[str, int, int]]:
+        """Groups and numbers of tokens of words that follow each other, whose tokens are a and b."""
+        a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
+        a_end, b_end = np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])
+        at = np.minimum(np.searchsorted(b_end, a_end), len(b_end) - 1)
+        last_a = np.flatnonzero(b_end[at] == a_end)
+        last_b = at[last_a]
+        first_a, first_b = (np.concatenate(([0], x[:-1] + 1)) for x in (last_a, last_b))
+        single = (first_a == last_a) & (first_b == last_b)
+        pair, number = np.unique(a_ids[first_a[single]] << 32 | b_ids[first_b[single]], return_inverse=True)
+        names = np.empty(len(single), object)
+        names[single] = np.array([f"{x >> 32}|{x & 0xFFFFFFFF}" for x in pair.tolist()], object)[number]
+        names = names.tolist()
+        spans = (x.tolist() for x in (np.flatnonzero(~single), first_a[~single], last_a[~single], first_b[~single], last_b[~single]))
+        for k, a0, a1, b0, b1 in zip(*spans):
+            names[k] = f"{','.join(map(str, a[a0 : a1 + 1]))}|{','.join(map(str, b[b0 : b1 + 1]))}"
+        # each word's last byte ends a group
+        to = np.searchsorted(a_end[last_a], np.cumsum([len(w.encode()) for w in words])) + 1
+        n_a, n_b = (np.diff(x[to - 1], prepend=-1) for x in (last_a, last_b))
+        begin = 0
+        for end, x, y in zip(to.tolist(), n_a.tolist(), n_b.tolist()):
+            yield ";".join(names[begin:end]), x, y
+            begin = end
 
     def links(self, group: str) -> Counter[tuple[int, int]]:
         """How often each id pair is linked in a group."""
@@ -157,10 +185,9 @@ class Words:
                 out[w] = self.new[w] = self.old[w]
             else:
                 missing.append(w)
-        for w, found in zip(missing, self.tokenizers.encoded(missing)):
-            out[w] = found
-            if len(w) <= LONGEST_WORD:
-                self.new[w] = found
+        found = self.tokenizers.encoded(missing)
+        out |= found
+        self.new.update((w, x) for w, x in found.items() if len(w) <= LONGEST_WORD)
         if len(self.new) > self.kept:
             self.old, self.new = self.new, {}
         return out
@@ -179,20 +206,14 @@ def encoded(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE) -> Data
             known = memory.known(dict.fromkeys(chain.from_iterable(split)))
             rows = []
             for doc_id, words in zip(piece.column("doc_id").to_pylist(), split):
-                counted = Counter(words)
-                if not words or any(known[w] is None for w in counted):
+                found = [known[w] for w in words]
+                if not found or None in found:
                     rows.append((doc_id, 0, 0, 0, "", [], []))
                     continue
-                n_a = n_b = 0
-                times: dict[str, int] = {}
-                for w, n in counted.items():
-                    groups, a, b = known[w]
-                    n_a += n * a
-                    n_b += n * b
-                    for g in groups.split(";"):
-                        times[g] = times.get(g, 0) + n
-                digest = hashlib.sha256(";".join([known[w][0] for w in words]).encode()).hexdigest()
-                rows.append((doc_id, n_a, n_b, sum(times.values()), digest, list(times), list(times.values())))
+                groups = ";".join([x[0] for x in found])
+                each = groups.split(";")
+                times = Counter(each)
+                rows.append((doc_id, sum([x[1] for x in found]), sum([x[2] for x in found]), len(each), hashlib.sha256(groups.encode()).hexdigest(), list(times), list(times.values())))
             kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.string()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "groups", "times"])
 
