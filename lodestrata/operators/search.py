@@ -117,16 +117,29 @@ def _fuzzy(term: str) -> Column:
 SEGMENTS = 4096
 
 
-def qualifying(entries: DataFrame, terms: list[str], dirs: list[str]) -> list[DataFrame]:
-    """Per term, and per directory constraint, the segments that qualify.
+def sought_segments(table: DataFrame, sought: list[str]) -> DataFrame:
+    """segment, and for each of what is sought whether it begins with it, or is fuzzily like it; segments that are neither are left out."""
+    rows = table.select("segment", *(c.alias(f"{kind}{k}") for k, t in enumerate(sought) for kind, c in (("begins", F.startswith("segment", F.lit(t))), ("fuzzy", _fuzzy(t)))))
+    return rows.where(reduce(lambda a, b: a | b, (F.col(f"{kind}{k}") for k in range(len(sought)) for kind in ("begins", "fuzzy"))))
+
+
+def kept_segments(rows: list, terms: list[str], dirs: list[str]) -> list[list[str]]:
+    """Per term, and per directory constraint, the segments that qualify, of all the rows of ``sought_segments``.
 
     A term takes equal segments if there is one anywhere, else those that begin with it,
     and fuzzy ones; a directory constraint takes fuzzy ones only where there are no others.
     """
-    table = segment_table(entries)
+    out = []
+    for k, t in enumerate(terms + dirs):
+        precise = {r["segment"] for r in rows if r["segment"] == t} or {r["segment"] for r in rows if r[f"begins{k}"]}
+        both = k < len(terms) or not precise
+        out.append(sorted(precise | ({r["segment"] for r in rows if r[f"fuzzy{k}"]} if both else set())))
+    return out
+
+
+def qualifying(rows: DataFrame, terms: list[str], dirs: list[str]) -> list[DataFrame]:
+    """What ``kept_segments`` gives, as tables of segments, however many they are."""
     sought = terms + dirs
-    rows = table.select("segment", *(c.alias(f"{kind}{k}") for k, t in enumerate(sought) for kind, c in (("begins", F.startswith("segment", F.lit(t))), ("fuzzy", _fuzzy(t)))))
-    rows = rows.where(reduce(lambda a, b: a | b, (F.col(f"{kind}{k}") for k in range(len(sought)) for kind in ("begins", "fuzzy"))))
     # what is sought is known on the driver, so are the two facts about all segments
     facts = rows.agg(*(f for k, t in enumerate(sought) for f in (F.coalesce(F.bool_or(F.col("segment") == t), F.lit(False)), F.coalesce(F.bool_or(f"begins{k}"), F.lit(False))))).first()
     out = []
@@ -138,14 +151,14 @@ def qualifying(entries: DataFrame, terms: list[str], dirs: list[str]) -> list[Da
     return out
 
 
-def filed_under(entries: DataFrame, segments: DataFrame, most: int = SEGMENTS) -> tuple[DataFrame, Column]:
-    """entries, and whether each is filed under any of the segments."""
-    some = [r["segment"] for r in segments.limit(most + 1).collect()]
+def under_any(segments: list[str]) -> Column:
+    """Whether an entry is filed under any of the segments."""
+    return F.exists(F.transform(directory_segments(), P.ascii_lower), lambda s: s.isin(*segments)) if segments else F.lit(False)
+
+
+def filed_under(entries: DataFrame, segments: DataFrame) -> tuple[DataFrame, Column]:
+    """entries, and whether each is filed under any of the segments, which may be very many."""
     lower = F.transform(directory_segments(), P.ascii_lower)
-    if not some:
-        return entries, F.lit(False)
-    if len(some) <= most:
-        return entries, F.exists(lower, lambda s: s.isin(*some))
     name = f"under{uuid.uuid4().hex}"
     filed = entries.select("path_key", "path", F.explode(F.array_distinct(lower)).alias("segment")).join(segments, "segment", "left_semi").select("path_key", "path", F.lit(True).alias(name)).distinct()
     return entries.join(filed, ["path_key", "path"], "left"), F.coalesce(name, F.lit(False))
@@ -157,8 +170,17 @@ def candidates(entries: DataFrame, query: FileQuery, most: int = SEGMENTS) -> tu
     terms = [t for t in map(_lower, query.terms) if not re.search(r"[/\\]", t)]
     dirs = [d for d in map(_lower, query.dirs) if not re.search(r"[*?\[]", d)]
     columns = entries.columns
-    for k, segments in enumerate(qualifying(entries, terms, dirs) if terms or dirs else []):
-        entries, under = filed_under(entries, segments, most)
+    tests = []
+    if terms or dirs:
+        rows = sought_segments(segment_table(entries), terms + dirs)
+        some = rows.limit(most + 1).collect()
+        if len(some) <= most:
+            tests = [under_any(segments) for segments in kept_segments(some, terms, dirs)]
+        else:
+            for segments in qualifying(rows, terms, dirs):
+                entries, under = filed_under(entries, segments)
+                tests.append(under)
+    for k, under in enumerate(tests):
         test &= (P.ascii_lower(F.col("name")).contains(terms[k][:3]) | under) if k < len(terms) else under
     for t in map(_lower, query.terms):
         if re.search(r"[/\\]", t):  # a whole path hides what only contains it

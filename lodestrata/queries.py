@@ -578,4 +578,4 @@ def command_safety(spark, sf):
     return table(spark, sf, "events").select("event_id", T.command_safety(command).alias("safety"))
 
 
-from . import queries_more  # noqa: E402, F401  # registers its queries
+from . import queries_more, queries_stored  # noqa: E402, F401  # register their queries
