@@ -289,10 +289,12 @@ def gram_rows(rows: DataFrame, length: int, buckets: int, here: int = FAMOUS_HER
             sent = fame < here
             sent[order[first]] = True
             sent = np.flatnonzero(sent & ~told)
-            bucket = (value[sent] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            # anchors are least hashes: mixed again, they fall into all buckets alike
+            spread = arrays.mix(value[sent] ^ arrays.BASE)
+            bucket = (spread >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
             by = np.lexsort((ids[own[sent]], bucket))
             sent, bucket = sent[by], bucket[by]
-            low = value[sent].view(np.uint8).reshape(-1, 8)[:, :6]
+            low = spread[by].view(np.uint8).reshape(-1, 8)[:, :6]
             near, few = number[sent].astype(np.int32), np.minimum(fame[sent], here).astype(np.uint16)
             for a, n in zip(*(x.tolist() for x in arrays.runs(bucket))):
                 part = slice(a, a + n)
