@@ -5,16 +5,18 @@ toxic texts and hardly in others, and stems (ending in ``*``) that
 many such words share. Near copies are no evidence of their own, so texts are counted by
 family: those whose least 5-word shingle hash is the same count once for each label. A
 stem counts by the number of its words in a text, for stems may stand once anywhere.
-Lexicon trie and Levenshtein
-automaton are intersected into one table-driven automaton, through which numpy drives all
-words of a batch a byte at a time, so misspelled terms are found as well. A hit counts by
-the share of toxic texts among the training texts with that form (an unseen form by that
-of its term and distance), less inside a quotation and less where a word that reports
-speech stands near, so that quoting is told from abuse. A text's score is one minus the
-product of what its hits leave.
-
-Words are runs of letters and digits of the lower-cased text (bytes beyond ASCII count as
-letters), in training as in scoring.
+Lexicon trie and Levenshtein automaton are intersected into one table-driven automaton,
+through which numpy drives all words of a batch a byte at a time, so misspelled terms are
+found as well; two letters that changed places are one edit. A form counts by the share of
+toxic texts among the training texts with it (an unseen form by that of its term and
+distance), less inside a quotation and less where a word that reports speech stands near, so
+that quoting is told from abuse. The score is a rising step function of what a text's hits
+leave, fitted to the sample; or, if that is more, one minus what the words that tell by
+themselves leave (each once, and less for each edit of a form that training has not seen),
+so that one term is enough.
+
+Words are runs of letters, marks and digits (Unicode's) of the lower-cased text, in training
+as in scoring.
 
 Defined results: null and empty texts, like all without a hit, get the least score; with nothing to learn from every score is 0;
 labels that are null don't count; several labels of one id all count.
@@ -23,6 +25,7 @@ labels that are null don't count; several labels of one id all count.
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -48,22 +51,32 @@ CHANCE = 1e7
 STEMS = range(3, 9)
 STEM_WORDS = 5
 LEAST_PRECISION = 0.9
+#: The share of toxic texts among those that hold a term, were there as many of either kind, below which it tells nothing.
+TERM_PRECISION = 0.95
 #: Training texts that a form's own share must outweigh.
 PRIOR_TEXTS = 4
+#: What is left of a term's share for a form that training has not seen, by its distance.
+MISSPELT = (1.0, 0.7, 0.25)
+#: The most that a form can tell.
+MOST = 0.999
 THRESHOLD = 0.3
 #: Words looked at on each side of a hit.
 WINDOW = 12
-QUOTED = 0.25
+QUOTED = 0.2
 REPORTED = 0.6
 #: Words that report speech.
 REPORTING = frozenset(b"said says say called calls quoted quote wrote writes word term insult slur".split())
 #: Marks that open, close, or do both.
 OPENING, CLOSING, EITHER = ("“", "«", "„"), ("”", "»"), ('"',)
 
-_ALNUM = np.zeros(256, bool)
-_ALNUM[128:] = True
-for _c in range(128):
-    _ALNUM[_c] = chr(_c).isalnum()
+_letters: list[np.ndarray] = []
+
+
+def letters() -> np.ndarray:
+    """Whether each code point is a letter, a mark or a digit; made once a worker."""
+    if not _letters:
+        _letters.append(np.array([unicodedata.category(chr(c))[0] in "LMN" for c in range(0x110000)]))
+    return _letters[0]
 
 
 def edits_allowed(term: bytes) -> int:
@@ -82,9 +95,9 @@ class Automaton:
     distance: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        letters = sorted({b for t in self.terms for b in t.removesuffix(b"*")})
+        letters_ = sorted({b for t in self.terms for b in t.removesuffix(b"*")})
         self.classes = np.zeros(256, np.int64)  # class 0: bytes of no term
-        for k, b in enumerate(letters):
+        for k, b in enumerate(letters_):
             self.classes[b] = k + 1
         children: list[dict[int, int]] = [{}]
         depth_left: list[int] = [0]  # edits that the best term below a node allows
@@ -104,37 +117,46 @@ class Automaton:
                 depth_left[node] = max(depth_left[node], allowed)
             (stems if t.endswith(b"*") else ends)[node] = k
 
-        def closed(pairs: dict[int, int]) -> frozenset:
+        # a place in the trie with what the word must go on with, after two letters that changed places (-1: anything)
+        def closed(pairs: dict[tuple[int, int], int]) -> frozenset:
             todo = list(pairs.items())
             while todo:  # a byte of the term left out
-                node, e = todo.pop()
-                if pairs.get(node, 99) < e:
+                (node, wanted), e = todo.pop()
+                if wanted >= 0 or pairs.get((node, -1), 99) < e:
                     continue
                 for child in children[node].values():
-                    if e + 1 <= depth_left[child] and pairs.get(child, 99) > e + 1:
-                        pairs[child] = e + 1
-                        todo.append((child, e + 1))
+                    if e + 1 <= depth_left[child] and pairs.get((child, -1), 99) > e + 1:
+                        pairs[child, -1] = e + 1
+                        todo.append(((child, -1), e + 1))
             return frozenset(pairs.items())
 
-        start = closed({0: 0})
-        numbers, queue, rows, accept = {frozenset(): 0, start: 1}, [start], [[0] * (len(letters) + 1)], [(-1, 99)]
+        start = closed({(0, -1): 0})
+        numbers, queue, rows, accept = {frozenset(): 0, start: 1}, [start], [[0] * (len(letters_) + 1)], [(-1, 99)]
         while queue:
             state = queue.pop(0)
-            whole = [(e, ends[n]) for n, e in state if n in ends and e <= edits_allowed(self.terms[ends[n]])]
-            best = min(whole + [(0, stems[n]) for n, e in state if n in stems and e == 0], default=(99, -1))
+            whole = [(e, ends[n]) for (n, w), e in state if w < 0 and n in ends and e <= edits_allowed(self.terms[ends[n]])]
+            best = min(whole + [(0, stems[n]) for (n, w), e in state if w < 0 and n in stems and e == 0], default=(99, -1))
             accept.append((best[1], best[0]))
             row = []
-            for c in range(len(letters) + 1):
-                after: dict[int, int] = {}
-                for node, e in state:
+            for c in range(len(letters_) + 1):
+                after: dict[tuple[int, int], int] = {}
+
+                def reached(node: int, cost: int, wanted: int = -1) -> None:
+                    if cost <= depth_left[node]:
+                        after[node, wanted] = min(after.get((node, wanted), 99), cost)  # noqa: B023
+
+                for (node, wanted), e in state:
+                    if wanted >= 0:
+                        if c == wanted:
+                            reached(node, e)
+                        continue
                     if node in stems and e == 0:
-                        after[node] = 0  # any ending
-                    if e + 1 <= depth_left[node]:
-                        after[node] = min(after.get(node, 99), e + 1)
+                        after[node, -1] = 0  # any ending
+                    reached(node, e + 1)
                     for b, child in children[node].items():
-                        cost = e + (b != c)
-                        if cost <= depth_left[child]:
-                            after[child] = min(after.get(child, 99), cost)
+                        reached(child, e + (b != c))
+                        if b != c and c in children[child]:
+                            reached(children[child][c], e + 1, b)
                 new = closed(after)
                 if new not in numbers:
                     numbers[new] = len(numbers)
@@ -173,16 +195,18 @@ class Automaton:
         return word[order], np.concatenate(terms)[order] if words else word, np.concatenate(distances)[order] if words else word
 
 
-def tokens(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes, and start, end, text of each word."""
+def tokens(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, where each text begins, and start, end, text of each word."""
     data, off = arrays.utf8(pc.utf8_lower(pc.fill_null(array, "")))
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    lead = (data & 0xC0) != 0x80
     solid = np.zeros(len(data) + 2, bool)
-    here = solid[1:-1] = _ALNUM[data]
+    here = solid[1:-1] = letters()[points][np.cumsum(lead) - 1]
     edge = np.zeros(len(data) + 1, bool)
     edge[off] = True
     start = np.flatnonzero(here & (~solid[:-2] | edge[:-1]))
     end = np.flatnonzero(here & (~solid[2:] | edge[1:])) + 1
-    return data, start, end, arrays.owner(off, start)
+    return data, off, start, end, arrays.owner(off, start)
 
 
 def in_quotes(before: str, after: str) -> bool:
@@ -200,7 +224,7 @@ def in_quotes(before: str, after: str) -> bool:
 
 def hits(array: pa.Array, automaton: Automaton) -> Iterator[tuple[int, bytes, int, int, float]]:
     """Text, form, term, distance and context's factor of each hit."""
-    data, start, end, own = tokens(array)
+    data, off, start, end, own = tokens(array)
     word, term, distance = automaton.match(data, start, end)
     for w, t, d in zip(word.tolist(), term.tolist(), distance.tolist()):
         a, b = max(w - WINDOW, 0), min(w + WINDOW + 1, len(start))
@@ -208,8 +232,10 @@ def hits(array: pa.Array, automaton: Automaton) -> Iterator[tuple[int, bytes, in
             a += 1
         while own[b - 1] != own[w]:
             b -= 1
-        left = data[start[a] - (start[a] > 0 and a > 0 and own[a - 1] == own[w]) : start[w]].tobytes().decode(errors="replace")
-        right = data[end[w] : end[b - 1] + 2].tobytes().decode(errors="replace")
+        # with all that stands between the window and the next words
+        begin = end[a - 1] if a and own[a - 1] == own[w] else off[own[w]]
+        stop = start[b] if b < len(start) and own[b] == own[w] else off[own[w] + 1]
+        left, right = data[begin : start[w]].tobytes().decode(), data[end[w] : stop].tobytes().decode()
         factor = QUOTED if in_quotes(left, right) else 1.0
         near = {data[start[k] : end[k]].tobytes() for k in range(max(a, w - 4), w)}
         if factor == 1.0 and near & REPORTING and any(c in left[-3:] for c in (*OPENING, *EITHER, "'")):
@@ -220,19 +246,30 @@ def hits(array: pa.Array, automaton: Automaton) -> Iterator[tuple[int, bytes, in
 @dataclass
 class Model:
     automaton: Automaton
+    #: Share of toxic texts of each form, and, by term and distance, of forms that training has not seen.
     forms: dict[bytes, float]
     unseen: dict[tuple[int, int], float]
-    #: Where a step of the score begins, by minus the logarithm of what a text's hits leave, and the score from there.
+    #: What each form of a word that is a term by itself tells, and its unseen ones by distance: 0 nothing, 1 certain.
+    telling: dict[bytes, float] = field(default_factory=dict)
+    telling_unseen: dict[tuple[int, int], float] = field(default_factory=dict)
+    #: The share of toxic texts among those without a hit.
+    base: float = 0.0
+    #: Where a step of the score begins, by a text's evidence, and the score from there.
     steps: np.ndarray = field(default_factory=lambda: np.zeros(1))
     scores: np.ndarray = field(default_factory=lambda: np.zeros(1))
 
-    def evidence(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Minus the logarithm of what each text's hits leave, and their number."""
-        total, n = np.zeros(len(array)), np.zeros(len(array), np.int64)
+    def evidence(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Minus the logarithm of what each text's hits leave, of what its telling terms leave (each once), and the number of hits."""
+        total, sure, n = np.zeros(len(array)), np.zeros(len(array)), np.zeros(len(array), np.int64)
+        told: dict[tuple[int, int], float] = {}
         for own, form, term, distance, factor in hits(array, self.automaton):
-            total[own] -= math.log(1 - factor * self.forms.get(form, self.unseen.get((term, distance), 0.5)))
             n[own] += 1
-        return total, n
+            total[own] -= math.log(1 - factor * self.forms.get(form, self.unseen.get((term, distance), 0.5)))
+            tells = factor * self.telling.get(form, self.telling_unseen.get((term, distance), 0.0))
+            told[own, term] = max(tells, told.get((own, term), 0.0))
+        for (own, _), tells in told.items():
+            sure[own] -= math.log(1 - tells)
+        return total, sure, n
 
     def fit(self, evidence: np.ndarray, toxic: np.ndarray) -> None:
         """The rising step function that is closest to the labels, pooled until no step falls."""
@@ -248,8 +285,10 @@ class Model:
         self.steps = np.array([p[0] for p in pools])
         self.scores = np.array([(y + toxic.mean()) / (n + 1) for _, n, y in pools])
 
-    def score(self, evidence: np.ndarray) -> np.ndarray:
-        return self.scores[np.maximum(np.searchsorted(self.steps, evidence, side="right") - 1, 0)]
+    def score(self, evidence: np.ndarray, sure: np.ndarray) -> np.ndarray:
+        """The step of all evidence, or what the telling terms leave of a text without a hit, whichever says more."""
+        step = self.scores[np.maximum(np.searchsorted(self.steps, evidence, side="right") - 1, 0)]
+        return np.maximum(step, 1 - (1 - self.base) * np.exp(-sure))
 
 
 def _families(rows: DataFrame) -> DataFrame:
@@ -269,7 +308,7 @@ def _families(rows: DataFrame) -> DataFrame:
 
 def _words_of(texts: pa.Array) -> list[set[bytes]]:
     """The words of each text that hold more than digits."""
-    data, start, end, own = tokens(texts)
+    data, _, start, end, own = tokens(texts)
     out: list[set[bytes]] = [set() for _ in range(len(texts))]
     raw = data.tobytes()
     for o, a, b in zip(own.tolist(), start.tolist(), end.tolist()):
@@ -359,17 +398,41 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.binary(), *(pa.int64(),) * 4))], names=["form", "term", "distance", "toxic", "family"])
 
     forms = rows.transform(arrays.mapped, per_form, "form binary, term long, distance long, toxic long, family long").distinct()
-    forms = forms.groupBy("form", "term", "distance").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+    forms = scratch.written(forms, "forms")
+    counts = (F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.countDistinct("family").alias("n")).collect()}
     balance = min(sizes[0] / sizes[1], 10.0)
-    known = {(bytes(r["form"]), r["term"], r["distance"]): (r["toxic"] * balance, r["clean"]) for r in forms.where("term >= 0").collect()}  # forms of the sample
+    known = {(bytes(r["form"]), r["term"], r["distance"]): (r["toxic"] * balance, r["clean"]) for r in forms.where("term >= 0").groupBy("form", "term", "distance").agg(*counts).collect()}  # forms of the sample
+    # texts that hold any form of a term, not its forms: a long text has many
+    texts = {(r["term"], r["distance"]): (r["toxic"], r["clean"]) for r in forms.select("term", "distance", "toxic", "family").distinct().groupBy("term", "distance").agg(*counts).collect()}
+    t, c = texts.pop((-1, -1), (0, 0))
+    base = (t + 1) / (t + c + 2)
+    exact, near = defaultdict(lambda: [1.0, 1.0]), defaultdict(lambda: [0.0, 0.0])
+    for (term, distance), (t, c) in texts.items():
+        group = exact[term] if distance == 0 else near[term, distance]
+        group[0] += t * balance
+        group[1] += c
+
+    def told(toxic: float, clean: float, prior: float) -> float:
+        return (toxic + PRIOR_TEXTS * prior) / (toxic + clean + PRIOR_TEXTS)
+
     groups = defaultdict(lambda: [1.0, 1.0])
     for (_, term, distance), (toxic, clean) in known.items():
         groups[term, distance][0] += toxic
         groups[term, distance][1] += clean
-    model = Model(automaton, {}, {k: t / (t + c) for k, (t, c) in groups.items()})
+    model = Model(automaton, {}, {k: t / (t + c) for k, (t, c) in groups.items()}, base=base)
+    for (form, term, distance), (toxic, clean) in known.items():
+        model.forms[form] = told(toxic, clean, model.unseen[term, distance])
+    # as toxic and clean texts count alike, a share of one half tells nothing
+    tells = lambda share: min(max(2 * share - 1, 0.0), MOST)
+    for term, name in enumerate(automaton.terms):
+        share = exact[term][0] / sum(exact[term])
+        if share >= TERM_PRECISION and not name.endswith(b"*"):
+            for distance, left in enumerate(MISSPELT):
+                model.telling_unseen[term, distance] = tells(share if distance == 0 else told(*near[term, distance], 0.5 + left * (share - 0.5)))
     for (form, term, distance), (toxic, clean) in known.items():
-        model.forms[form] = (toxic + PRIOR_TEXTS * model.unseen[term, distance]) / (toxic + clean + PRIOR_TEXTS)
+        if (term, distance) in model.telling_unseen:
+            model.telling[form] = tells(told(toxic, clean, 0.5 + model.telling_unseen[term, distance] / 2))
     learned = docs.sparkSession.sparkContext.broadcast(model)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,8 +456,8 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in arrays.pieces(batches):
-            evidence, n = shipped.value.evidence(piece.column("text"))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(shipped.value.score(evidence)), pa.array(n)], names=["doc_id", "score", "n_hits"])
+            evidence, sure, n = shipped.value.evidence(piece.column("text"))
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(shipped.value.score(evidence, sure)), pa.array(n)], names=["doc_id", "score", "n_hits"])
 
     return docs.select("doc_id", "text").transform(arrays.mapped, run, SCORED)
 

@@ -6,6 +6,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from lodestrata.llm import importance, language, toxicity
@@ -131,34 +132,64 @@ def test_training_keeps_unlike_texts_and_folds_copies(spark):
 
 
 def plain_score(text, model):
-    """Words by regular expression, edit distances cell by cell, context word by word."""
+    """Words by their Unicode classes, edit distances cell by cell, context word by word."""
     low = (text or "").lower()
-    found = [(m.start(), m.end()) for m in re.finditer(r"[0-9a-z\x80-\U0010ffff]+", low)]
-    total = 0.0
+    found = [m.span() for m in regex.finditer(r"[\p{L}\p{M}\p{N}]+", low)]
+    told, total = {}, 0.0
     for k, (a, b) in enumerate(found):
         word, best = low[a:b].encode(), None
         for t, term in enumerate(model.automaton.terms):
-            d = 0 if term.endswith(b"*") and word.startswith(term[:-1]) else 99 if term.endswith(b"*") else brute.distance(word, term) if abs(len(word) - len(term)) < 3 else 99
+            d = 0 if term.endswith(b"*") and word.startswith(term[:-1]) else 99 if term.endswith(b"*") else swapped_distance(word, term) if abs(len(word) - len(term)) < 3 else 99
             if d <= toxicity.edits_allowed(term) and (best is None or (d, t) < best):
                 best = d, t
         if best is None:
             continue
-        near = found[max(k - toxicity.WINDOW, 0) : k + toxicity.WINDOW + 1]
-        before, after = low[max(near[0][0] - (near[0][0] > 0), 0) : a], low[b : near[-1][1] + 2]
+        first, last = max(k - toxicity.WINDOW, 0), min(k + toxicity.WINDOW, len(found) - 1)
+        before, after = low[found[first - 1][1] if first else 0 : a], low[b : found[last + 1][0] if last + 1 < len(found) else len(low)]
         opened = 0
         for c in before:
-            opened = 1 if c in toxicity.OPENING else 0 if c in toxicity.CLOSING else opened ^ (c in toxicity.EITHER)
-        factor = toxicity.QUOTED if opened and any(c in (*toxicity.CLOSING, *toxicity.EITHER) for c in after) else 1.0
-        if factor == 1.0 and {low[x:y].encode() for x, y in found[max(k - 4, 0) : k]} & toxicity.REPORTING and any(c in before[-3:] for c in (*toxicity.OPENING, *toxicity.EITHER, "'")):
+            opened = 1 if c in "“«„" else 0 if c in "”»" else opened ^ (c == '"')
+        factor = toxicity.QUOTED if opened and any(c in '”»"' for c in after) else 1.0
+        if factor == 1.0 and {low[x:y].encode() for x, y in found[max(k - 4, 0) : k]} & toxicity.REPORTING and any(c in before[-3:] for c in "“«„\"'"):
             factor = toxicity.REPORTED
         total -= np.log(1 - factor * model.forms.get(word, model.unseen.get((best[1], best[0]), 0.5)))
+        told[best[1]] = max(told.get(best[1], 0), factor * model.telling.get(word, model.telling_unseen.get((best[1], best[0]), 0.0)))
     steps = [y for x, y in zip(model.steps, model.scores) if x <= total + 1e-12]
-    return steps[-1] if steps else model.scores[0]
+    return max(steps[-1] if steps else model.scores[0], 1 - (1 - model.base) * np.prod([1 - x for x in told.values()]))
+
+
+def swapped_distance(a, b):
+    """Edit distance in which two neighbours that changed places are one edit."""
+    d = {(i, -1): i + 1 for i in range(-1, len(a))} | {(-1, j): j + 1 for j in range(-1, len(b))}
+    for i in range(len(a)):
+        for j in range(len(b)):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i] != b[j]))
+            if i and j and a[i] == b[j - 1] and a[i - 1] == b[j]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a) - 1, len(b) - 1]
+
+
+def test_swapped_letters_are_one_edit():
+    rng = random.Random(4)
+    terms = [b"idiot", b"pathetic", b"abcde", b"worthless", b"aabba"]
+    automaton = toxicity.Automaton(sorted(terms))
+    words = [*terms, b"idoit", b"diiot", b"idito", b"pathetc", b"ptahetic", b"wrothlses", b"owrthless", b"worthlessxx"]
+    words += [bytes(rng.choice(b"abcdeiot") for _ in range(rng.randint(3, 7))) for _ in range(300)]
+    for w in list(words):
+        k = rng.randrange(len(w))
+        words.append(w[:k] + bytes([rng.choice(b"abidot")]) + w[k + rng.randint(0, 1) :])
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    end = np.cumsum([len(w) + 1 for w in words]) - 1
+    found, term, distance = automaton.match(data, end - [len(w) for w in words], end)
+    got = {int(w): (int(d), int(t)) for w, t, d in zip(found, term, distance)}
+    for k, w in enumerate(words):
+        near = [(swapped_distance(w, t), j) for j, t in enumerate(automaton.terms) if swapped_distance(w, t) <= toxicity.edits_allowed(t)]
+        assert got.get(k) == min(near, default=None), w
 
 
 def test_scores_are_the_plain_ones(spark, docs, labels):
     model = toxicity.train(docs, labels)
-    texts = [None, "", "You idiot, you i-d-i-o-t and idoit", 'She said "what an idiot" of him', "scum/trash and STUPID", "said 'idiot' then", "a moron " * 30, "“pathetic” loser", "Ünïcode idiöt idiot’s"]
+    texts = [None, "", "You idiot, you i-d-i-o-t and idoit", 'She said "what an idiot" of him', "scum/trash and STUPID", "said 'idiot' then", "a moron " * 30, "“pathetic” loser", "Ünïcode idiöt idiot’s", "idiot—moron", "«idiot»", "idiot…", "you，idiot", "idiot\xa0now", "नमस्ते idiot", "“idiot” said he, “what a moron", "idiot_moron"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(docs.where("doc_id between 100 and 160").select("doc_id", "text"))
     known = {r["doc_id"]: r["text"] for r in rows.collect()}
     out = {r["doc_id"]: r["score"] for r in toxicity.score(rows, model).collect()}
@@ -167,11 +198,23 @@ def test_scores_are_the_plain_ones(spark, docs, labels):
         assert out[k] == pytest.approx(plain_score(t, model), abs=1e-9), t
 
 
+def test_abuse_is_told_from_quotation_and_found_misspelled(spark, docs, labels):
+    model = toxicity.train(docs, labels.where(toxicity.fold(4) != 2))
+    texts = ["nothing here", "you are an idiot", "you are an “idiot”, they wrote", 'he wrote "you are an idiot" there', "you are an idoit and so pathetc", "you are an idiott", "you idiot—you", "you，idiot，you", "idiot… now", "an idiot\xa0now", "«you idiot» he wrote"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    score = [r["score"] for r in toxicity.score(rows, model).orderBy("doc_id").collect()]
+    for k in (1, 4, 5, 6, 7, 8, 9):
+        assert score[k] >= toxicity.THRESHOLD, texts[k]
+    for k in (2, 3, 10):
+        assert score[0] < score[k] < toxicity.THRESHOLD, texts[k]
+    assert score[1] > score[5] > score[0]
+
+
 def test_steps_rise_and_fit(spark):
     model = toxicity.Model(toxicity.Automaton([]), {}, {})
     model.fit(np.array([0, 0, 0, 1, 1, 2, 3, 3.0]), np.array([0, 0, 1, 0, 0, 1, 1, 1.0]))
     assert model.steps.tolist() == [0, 2] and (np.diff(model.scores) > 0).all()
-    assert model.score(np.array([0, 1.5, 2, 9])).tolist() == [model.scores[0]] * 2 + [model.scores[1]] * 2
+    assert model.score(np.array([0, 1.5, 2, 9]), np.zeros(4)).tolist() == [model.scores[0]] * 2 + [model.scores[1]] * 2
 
 
 def test_scores_do_not_depend_on_partitions(docs, labels):
@@ -230,3 +273,11 @@ def test_rare_languages_and_other_scripts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     out = language.identify(docs).join(docs, "doc_id").where("held_out and lang = 'rare'").collect()
     assert out and all(r["lang_pred"] == "rare" for r in out)
+
+
+def test_no_share_of_a_sample_is_none():
+    for n in (1, 24_000, 10**8, 7 * 10**9, 10**15):
+        assert language.cells(24_000 / 256 / n) > 0
+    assert language.cells(2.0) == language.CELLS
+    # about as many rows as are wanted, whatever the table's size
+    assert language.cells(24_000 / 7e9) / language.CELLS * 7e9 == pytest.approx(24_000)
