@@ -52,7 +52,16 @@ def sampled(rows: DataFrame, limit: int, n_rows: int, key: str = "doc_id") -> Da
     """About ``limit`` of the rows at most, by a hash of the key."""
     if n_rows <= limit:
         return rows
-    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 20)) < int((1 << 20) * limit / n_rows))
+    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(CELLS)) < cells(limit / n_rows))
+
+
+#: Parts of all rows from which a sample takes some; a share of one in so many is the least.
+CELLS = 1 << 52
+
+
+def cells(share: float) -> int:
+    """How many of CELLS a share is: never none, however large the table."""
+    return max(1, int(CELLS * min(1.0, share)))
 
 
 def grams(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -124,9 +133,9 @@ def train(rows: DataFrame) -> Filters | None:
     per_lang = {r["lang"]: r["n"] for r in found}
     if not per_lang:
         return None
-    part, scale = TRAIN_ROWS / len(per_lang), 1 << 20
-    shares = rows.sparkSession.createDataFrame([(k, int(min(1.0, part / n) * scale)) for k, n in per_lang.items()], "lang string, share int")
-    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(scale)) < F.col("share"))
+    part = TRAIN_ROWS / len(per_lang)
+    shares = rows.sparkSession.createDataFrame([(k, cells(part / n)) for k, n in per_lang.items()], "lang string, share long")
+    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(CELLS)) < F.col("share"))
     counts = gram_counts(chosen)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     share = counts.join(F.broadcast(totals), "lang").select("gram", "lang", (F.col("n") / F.col("total")).alias("f"))
