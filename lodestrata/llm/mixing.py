@@ -17,8 +17,8 @@ targets leave the rest is found by sums over all of them, repeated until no furt
 is capped.
 
 Defined results: null text has size 0 and is never taken; a null source is a source of
-its own, last in order; rows with equal keys are ordered by doc_id and then by text, and
-rows alike in all of these are taken together or not at all.
+its own, last in order; rows with equal keys are ordered by doc_id and then by text; of rows
+alike in all of these as many are taken as fit the budget.
 """
 
 from __future__ import annotations
@@ -85,7 +85,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 0) -> DataFrame:
     """doc_id, size, source, source_size, target, taken, digest of every row."""
-    return _plan(docs, weights, share, most, seed).withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
+    each = _plan(docs, weights, share, most, seed).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return each.withColumn("taken", F.when(F.col("copy") <= F.col("more"), F.col("taken_more")).otherwise(F.col("taken"))).drop("copies", "copy", "more", "taken_more")
 
 
 #: Of a source's documents this part at most falls, on average, into one octave's share 1 / n of buckets, times n.
@@ -93,7 +94,7 @@ OCTAVE = math.log(2) / math.e
 
 
 def _plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 0) -> DataFrame:
-    """The mixture of the different rows, with their number as ``copies``."""
+    """The mixture of the different rows, with their number as ``copies``; ``more`` of these are taken_more words, the others taken."""
     rows = Scratch(docs.sparkSession).written(measured(picked(docs, "doc_id", "source", "text"), seed), "measured")
     source = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count("*").alias("source_rows"))
     goal = targets(source.select("source", "source_size"), weights, share, most)
@@ -109,19 +110,30 @@ def _plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     rows = rows.drop("per_octave").join(buckets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "digest").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     all_copies = F.col("size") * F.col("copies")
-    upto = F.col("before") + F.sum(all_copies).over(inside)
-    # rows that cross the budget are taken if more than half of one fits after the others
-    fits = F.col("rest") - (upto - F.col("size")) >= F.col("size") / 2
-    taken = F.col("size") * (F.col("epochs") + F.when(fits & (F.col("rest") > 0), 1).otherwise(0))
-    return rows.select("doc_id", "size", "source", "source_size", "target", F.least(taken, most * F.col("size")).cast("long").alias("taken"), "digest", "copies")
+    left = F.col("rest") - (F.col("before") + F.sum(all_copies).over(inside) - all_copies)
+    # copies that cross the budget are taken if more than half of one fits after the others
+    fit = F.when(F.col("size") > 0, F.floor(left / F.col("size") + 0.5)).otherwise(0)
+    words = lambda passes: F.least(F.col("size") * passes, most * F.col("size")).cast("long")
+    return rows.select("doc_id", "size", "source", "source_size", "target", words(F.col("epochs")).alias("taken"), "digest", "copies", F.greatest(F.least(fit, "copies"), F.lit(0)).alias("more"), words(F.col("epochs") + 1).alias("taken_more"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: each row of docs, all its columns, as many times as it is taken."""
-    plan = _plan(docs, **options).where("taken > 0").select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("digest").alias("p_digest"), F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int")).alias("times"))
+    passes = lambda taken: (F.col(taken) / F.col("size")).cast("int")
+    plan = _plan(docs, **options).where("size > 0").select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("digest").alias("p_digest"), "copies", "more", passes("taken").alias("fewer"), passes("taken_more").alias("most"))
     rows, back = aside(docs, "doc_id", "source", "text")
     same = F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("p_digest")) & F.col("source").eqNullSafe(F.col("p_source"))
-    return back(rows.join(plan, same).withColumn("times", F.explode("times")))
+    repeated = lambda found, times: found.withColumn("times", times).where("times > 0").withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).select(*rows.columns)
+    # of a source's rows alike, those at the end of its budget are not all taken alike
+    cut = F.col("more").between(1, F.col("copies") - 1)
+    out = repeated(rows.join(plan.where(~cut), same), F.when(F.col("more") > 0, F.col("most")).otherwise(F.col("fewer")))
+    split = Scratch(docs.sparkSession).written(plan.where(cut), "cut")  # a row a source at most
+    if not split.isEmpty():
+        placed = ranked(rows.join(split, same), "p_id", "p_source", "p_digest")
+        begin = placed.groupBy("p_id", "p_source", "p_digest").agg(F.min("rank").alias("begin")).select(F.col("p_id").alias("b_id"), F.col("p_source").alias("b_source"), F.col("p_digest").alias("b_digest"), "begin")
+        placed = placed.join(begin, F.col("p_id").eqNullSafe(F.col("b_id")) & F.col("p_source").eqNullSafe(F.col("b_source")) & (F.col("p_digest") == F.col("b_digest")))
+        out = out.unionByName(repeated(placed, F.when(F.col("rank") - F.col("begin") < F.col("more"), F.col("most")).otherwise(F.col("fewer"))))
+    return back(out)
 
 
 ORACLE = r"""
@@ -143,7 +155,7 @@ t AS (SELECT source, source_size, CASE WHEN p0 IS NOT NULL AND place >= p0 THEN
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM t),
 c AS (
   SELECT doc_id, size, source_size, target, epochs, target - epochs * source_size AS rest,
-         (sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, digest RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS upto
+         (sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS upto
   FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size, source_size, target,
        least(size * (epochs + CASE WHEN rest > 0 AND rest - (upto - size) >= size / 2 THEN 1 ELSE 0 END), 2 * size)::BIGINT AS taken

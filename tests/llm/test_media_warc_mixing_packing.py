@@ -244,3 +244,19 @@ def test_packed(request, which):
         spans = out[out["length"] > 0].sort_values(["shard", "bin", "offset"])
         before = spans.groupby(["shard", "bin"])["length"].cumsum() - spans["length"]
         assert (before == spans["offset"]).all()
+
+
+def test_rows_alike_are_taken_to_the_budget(spark):
+    """5,000 rows alike in one source and 500 others: the words taken come near the target, not only to whole passes."""
+    rows = [(1, "ten words " * 5, "a")] * 5000 + [(10 + k, f"w{k} " * 10, "b") for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    want = sorted((r[0], r[4]) for r in con.execute(mixing.ORACLE).fetchall())
+    out = mixing.mixed(docs).collect()
+    assert sorted((r["doc_id"], r["taken"]) for r in out) == want
+    for source in ("a", "b"):
+        target = next(r["target"] for r in out if r["source"] == source)
+        assert abs(sum(r["taken"] for r in out if r["source"] == source) - target) <= 10
+    taken = mixing.mixed_documents(docs).groupBy("doc_id").count().collect()
+    assert sum(10 * r["count"] for r in taken if r["doc_id"] == 1) == sum(r["taken"] for r in out if r["source"] == "a")
