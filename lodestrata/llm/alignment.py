@@ -33,6 +33,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ from .shared import Scratch, picked, written
 FOLDER = "/opt/tokenizers"
 A_FILE, B_FILE = f"{FOLDER}/byte_bpe_50k.json", f"{FOLDER}/piece_bpe_32k.model"
 #: Words that a task keeps encoded, twice this at most, and the longest of them.
-KEPT_WORDS, LONGEST_WORD = 120_000, 48
+KEPT_WORDS, LONGEST_WORD = 250_000, 48
 #: Words that are encoded at once, and how many of them as one text.
 AT_ONCE, JOINED = 4096, 64
 #: Groups that are told to all tasks at most (a few megabytes).
@@ -151,6 +152,7 @@ class Tokenizers:
 
 
 _loaded: dict[tuple[str, str], Tokenizers] = {}
+_words: dict[tuple[str, str], Words] = {}
 
 
 def tokenizers(a_file: str, b_file: str) -> Tokenizers:
@@ -160,6 +162,13 @@ def tokenizers(a_file: str, b_file: str) -> Tokenizers:
     return _loaded[a_file, b_file]
 
 
+def words(a_file: str, b_file: str) -> Words:
+    """A worker's words, which its tasks go on with."""
+    if (a_file, b_file) not in _words:
+        _words[a_file, b_file] = Words(tokenizers(a_file, b_file))
+    return _words[a_file, b_file]
+
+
 class Words:
     """The words encoded last: when as many new ones have come as are kept, those unused since go."""
 
@@ -200,13 +209,13 @@ def encoded(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE) -> Data
     """doc_id, numbers of tokens and groups, the digest of all groups in order, and the distinct ones with their times of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Words(tokenizers(a_file, b_file))
+        memory = words(a_file, b_file)
         for piece in arrays.pieces(batches):
             split = [memory.split(t) if t else [] for t in piece.column("text").to_pylist()]
             known = memory.known(dict.fromkeys(chain.from_iterable(split)))
             rows = []
-            for doc_id, words in zip(piece.column("doc_id").to_pylist(), split):
-                found = [known[w] for w in words]
+            for doc_id, parts in zip(piece.column("doc_id").to_pylist(), split):
+                found = [known[w] for w in parts]
                 if not found or None in found:
                     rows.append((doc_id, 0, 0, 0, "", [], []))
                     continue
@@ -260,29 +269,27 @@ def report(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, told: in
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each row."""
     found = aligned(docs, a_file, b_file)
     often = found.groups.orderBy(F.desc("frequency"), "group").limit(told).select("group", *SUMS).toArrow()  # ``told`` rows at most
-    shipped = docs.sparkSession.sparkContext.broadcast(dict(zip(often.column("group").to_pylist(), zip(*(often.column(c).to_pylist() for c in SUMS)))))
+    shipped = docs.sparkSession.sparkContext.broadcast((often.column("group").combine_chunks(), [often.column(c).to_numpy() for c in SUMS]))
     plain = ("row", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shipped.value
+        known, sums = shipped.value
         for batch in batches:
-            sums, rest, rest_times = [], [], []
-            for groups, times in zip(batch.column("groups").to_pylist(), batch.column("times").to_pylist()):
-                n_links = n_best = count_sum = 0
-                left, left_times = [], []
-                for g, n in zip(groups, times):
-                    if g in known:
-                        a, b, c = known[g]
-                        n_links += n * a
-                        n_best += n * b
-                        count_sum += n * c
-                    else:
-                        left.append(g)
-                        left_times.append(n)
-                sums.append((n_links, n_best, count_sum))
-                rest.append(left)
-                rest_times.append(left_times)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in plain), *(pa.array(c, pa.int64()) for c in (zip(*sums) if sums else [[]] * 3)), pa.array(rest, pa.list_(pa.string())), pa.array(rest_times, pa.list_(pa.int32()))], names=[*plain, *SUMS, "groups", "times"])
+            lists = batch.column("groups")
+            groups, times = lists.flatten(), batch.column("times").flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(pc.fill_null(lists.value_lengths(), 0)))
+            at = pc.index_in(groups, value_set=known)
+            told = np.asarray(at.is_valid())
+            place, n = np.asarray(at.fill_null(0)), np.asarray(times).astype(np.int64)
+
+            def added(values: np.ndarray) -> pa.Array:
+                out = np.zeros(batch.num_rows, np.int64)  # noqa: B023
+                np.add.at(out, row[told], values[place[told]] * n[told])  # noqa: B023
+                return pa.array(out)
+
+            ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row[~told], minlength=batch.num_rows)))).astype(np.int32))
+            rest = [pa.ListArray.from_arrays(ends, x.filter(pa.array(~told))) for x in (groups, times)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in plain), *map(added, sums), *rest], names=[*plain, *SUMS, "groups", "times"])
 
     schema = "row long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, n_links long, n_best long, count_sum long, groups array<string>, times array<int>"
     summed = written(found.documents.select(*plain, "groups", "times").transform(arrays.mapped, run, schema), "summed", "zstd")
