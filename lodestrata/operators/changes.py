@@ -1,7 +1,8 @@
 """Change data: events to change sets, merge-on-read views, snapshot differences.
 
-Subtree rules never compare prefixes row by row: keys are exploded to their ancestors and
-joined on equality, so the cost is a row's depth.
+Subtree rules never compare prefixes row by row: a key's ancestors are looked up among the
+roots, in the scan where these are few, else exploded and joined on equality, so the cost is
+a row's depth.
 """
 
 from __future__ import annotations
@@ -39,9 +40,24 @@ def with_ancestors(rows: DataFrame, key: str = "path_key") -> DataFrame:
     return rows.select("*", F.explode(P.ancestors(F.col(key))).alias("above"))
 
 
-def under(rows: DataFrame, roots: DataFrame, how: str, strictly: bool = False) -> DataFrame:
-    """Rows (path_key) that are, or are not (``left_semi``, ``left_anti``), at or below one of the roots (path_key)."""
-    hit = with_ancestors(rows.select("path_key").distinct()).join(roots.select(F.col("path_key").alias("above")).distinct(), "above")
+#: Roots that are told to the scan at most; more are joined.
+TOLD_ROOTS = 1024
+
+
+def under(rows: DataFrame, roots: DataFrame, how: str, strictly: bool = False, told: int = TOLD_ROOTS) -> DataFrame:
+    """Rows (path_key) that are, or are not (``left_semi``, ``left_anti``), at or below one of the roots (path_key).
+
+    A few roots are tested in the scan of the rows, which then don't move.
+    """
+    roots = roots.select("path_key").where("path_key is not null").distinct()
+    few = [r["path_key"] for r in roots.limit(told + 1).collect()]
+    if len(few) <= told:
+        above = P.ancestors(F.col("path_key"))
+        if strictly:
+            above = F.filter(above, lambda a: a != F.col("path_key"))
+        hit = F.exists(above, lambda a: a.isin(*few)) if few else F.lit(False)
+        return rows.where(hit) if how == "left_semi" else rows.where(~F.coalesce(hit, F.lit(False)))
+    hit = with_ancestors(rows.select("path_key").distinct()).join(roots.select(F.col("path_key").alias("above")), "above")
     if strictly:
         hit = hit.where("above != path_key")
     return rows.join(hit.select("path_key").distinct(), "path_key", how)

@@ -225,8 +225,5 @@ def _hits(rows: DataFrame, query: ContentQuery, idf: dict[str, float], average:
 
     docs = docs.select("segment", "id", "dl", *(times(c).alias(f"c{k}") for k, c in enumerate(query.clauses)))
     tf = {c: F.col(f"c{k}") for k, c in enumerate(query.clauses)}
-    holds = lambda cs: reduce(lambda a, b: a & b, (tf[c] > 0 for c in cs), F.lit(True))
-    some = reduce(lambda a, b: a | b, map(holds, query.groups), F.lit(not query.groups))
-    none = reduce(lambda a, b: a | b, (tf[c] > 0 for c in query.never), F.lit(False))
-    parts = [F.lit(sum(idf[w] for w in c)) * _weight(tf[c], F.col("dl"), average) for c in query.positive]
-    return docs.where(some & holds(query.must) & ~none).select("segment", "id", F.round(reduce(lambda a, b: a + b, parts), 6).alias("score"))
+    weights = {c: F.lit(sum(idf[w] for w in c)) * _weight(tf[c], F.col("dl"), average) for c in query.positive}
+    return docs.where(query.holds(tf)).select("segment", "id", F.round(query.score(weights, tf), 6).alias("score"))

@@ -44,35 +44,72 @@ class InvalidQuery(ValueError):
 
 @dataclass(frozen=True)
 class ContentQuery:
-    """Groups of clauses, one of which must hold with all its clauses; clauses that must or must not hold. A clause is a phrase."""
+    """Groups of clauses, one of which must hold with all its clauses; clauses that must or must not hold.
 
-    groups: tuple[tuple[tuple[str, ...], ...], ...] = ()
-    must: tuple[tuple[str, ...], ...] = ()
-    never: tuple[tuple[str, ...], ...] = ()
+    A clause is a phrase, or a query of its own (what stands in brackets).
+    """
+
+    groups: tuple[tuple[Clause, ...], ...] = ()
+    must: tuple[Clause, ...] = ()
+    never: tuple[Clause, ...] = ()
 
     @property
-    def positive(self) -> tuple[tuple[str, ...], ...]:
+    def parts(self) -> tuple[Clause, ...]:
+        """The clauses that may add to a score."""
         return tuple(dict.fromkeys([c for g in self.groups for c in g] + list(self.must)))
 
+    @property
+    def positive(self) -> tuple[tuple[str, ...], ...]:
+        """The phrases that may add to a score."""
+        return tuple(dict.fromkeys(p for c in self.parts for p in ((c,) if isinstance(c, tuple) else c.positive)))
+
     @property
     def clauses(self) -> tuple[tuple[str, ...], ...]:
-        return tuple(dict.fromkeys(self.positive + self.never))
+        """All phrases."""
+        return tuple(dict.fromkeys(p for c in self.parts + self.never for p in ((c,) if isinstance(c, tuple) else c.clauses)))
 
+    def holds(self, tf: dict[tuple[str, ...], Column]) -> Column:
+        """Whether a text is found in which each phrase stands so often."""
+        each = lambda c: tf[c] > 0 if isinstance(c, tuple) else c.holds(tf)
+        all_of = lambda cs: reduce(lambda a, b: a & b, map(each, cs), F.lit(True))
+        any_of = lambda tests, none: reduce(lambda a, b: a | b, tests, F.lit(none))
+        return any_of(map(all_of, self.groups), not self.groups) & all_of(self.must) & ~any_of(map(each, self.never), False)
 
-_CLAUSE = re.compile(r'([+-]?)(?:"([^"]*)"|([^\s"]+))')
+    def score(self, weights: dict[tuple[str, ...], Column], tf: dict[tuple[str, ...], Column]) -> Column:
+        """The sum of the phrases' weights; of a query in brackets only where it holds."""
+        each = lambda c: weights[c] if isinstance(c, tuple) else F.when(c.holds(tf), c.score(weights, tf)).otherwise(0.0)
+        return reduce(lambda a, b: a + b, map(each, self.parts))
+
+
+Clause = tuple[str, ...] | ContentQuery
+_CLAUSE = re.compile(r'([+-]?)(?:"([^"]*)"|(\()|([^\s"()]+))|(\))')
 
 
 def content_query(text: str) -> ContentQuery:
-    """Words and quoted phrases: either will do, unless joined by AND or marked + (must) or - or NOT (must not)."""
-    if re.search(r"[()]", text) or text.count('"') % 2:
+    """Words, quoted phrases and queries in brackets: either will do, unless joined by AND or marked + (must) or - or NOT (must not)."""
+    if text.count('"') % 2:
+        raise InvalidQuery(text)
+    items = list(_CLAUSE.finditer(text))
+    found = _query(items, text, False)
+    if items:  # a bracket that nothing opened
         raise InvalidQuery(text)
+    return found
+
+
+def _query(items: list[re.Match], text: str, inside: bool) -> ContentQuery:
+    """The clauses up to the closing bracket, or the end; they are taken from items."""
     groups: list[list] = []
-    must, never, joins, negated = [], [], False, False
-    for sign, phrase, word in _CLAUSE.findall(text):
+    must, never, joins, negated, closed = [], [], False, False, False
+    while items and not closed:
+        sign, phrase, opens, word, closed = items.pop(0).groups()
+        if closed:
+            if not inside:
+                raise InvalidQuery(text)
+            break
         if word in ("AND", "OR", "NOT") and not sign:
             joins, negated = (word == "AND") or (joins and word == "NOT"), word == "NOT"
             continue
-        clause = tuple(w for w in re.split(r"[\W_]+", (phrase or word).lower()) if w and len(w.encode()) <= TOKEN_BYTES)
+        clause = _query(items, text, True) if opens else tuple(w for w in re.split(r"[\W_]+", (phrase or word or "").lower()) if w and len(w.encode()) <= TOKEN_BYTES)
         if clause:
             if negated or sign == "-":
                 never.append(clause)
@@ -83,7 +120,7 @@ def content_query(text: str) -> ContentQuery:
             else:
                 groups.append([clause])
         joins = negated = False
-    if joins or negated or not (groups or must):
+    if joins or negated or inside and not closed or not (groups or must):
         raise InvalidQuery(text)
     return ContentQuery(tuple(map(tuple, groups)), tuple(must), tuple(never))
 
@@ -104,10 +141,7 @@ def bm25(texts: DataFrame, query: ContentQuery, key: str = "path", only: DataFra
     def counts(found: Column) -> Column:
         """All that is told of a text, so that it is cut into words once."""
         tf = {c: _times(found, c) for c in clauses}
-        holds = lambda cs: reduce(lambda a, b: a & b, (tf[c] > 0 for c in cs), F.lit(True))
-        some = reduce(lambda a, b: a | b, map(holds, query.groups), F.lit(not query.groups))
-        none = reduce(lambda a, b: a | b, (tf[c] > 0 for c in query.never), F.lit(False))
-        return F.struct(F.size(found).alias("dl"), (some & holds(query.must) & ~none).alias("found"), *(tf[c].alias(f"c{k}") for k, c in enumerate(clauses)), *(F.when(F.array_contains(found, w), 1).otherwise(0).alias(f"t{k}") for k, w in enumerate(singles)))
+        return F.struct(F.size(found).alias("dl"), query.holds(tf).alias("found"), *(tf[c].alias(f"c{k}") for k, c in enumerate(clauses)), *(F.when(F.array_contains(found, w), 1).otherwise(0).alias(f"t{k}") for k, w in enumerate(singles)))
 
     counted = texts.select(key, F.transform(F.array(words(F.col("content"))), counts)[0].alias("n"))
     n, average, *df = counted.agg(F.count("*"), F.avg("n.dl"), *(F.sum(f"n.t{k}") for k in range(len(singles)))).first()
@@ -117,8 +151,8 @@ def bm25(texts: DataFrame, query: ContentQuery, key: str = "path", only: DataFra
         hits = hits.join(only, key, "left_semi")
     norm = K1 * (1 - B + B * F.col("n.dl") / F.lit(average or 1.0))
     tf = {c: F.col(f"n.c{k}") for k, c in enumerate(clauses)}
-    parts = [reduce(lambda a, b: a + b, (idf[w] for w in c)) * tf[c] * (K1 + 1) / (tf[c] + norm) for c in query.positive]
-    return hits.select(key, F.round(reduce(lambda a, b: a + b, parts), 6).alias("score"))
+    weights = {c: reduce(lambda a, b: a + b, (idf[w] for w in c)) * tf[c] * (K1 + 1) / (tf[c] + norm) for c in query.positive}
+    return hits.select(key, F.round(query.score(weights, tf), 6).alias("score"))
 
 
 # ---------------------------------------------------------------- snippets

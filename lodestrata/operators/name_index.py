@@ -26,6 +26,7 @@ from ..functions import paths as P
 from . import search as S
 from .postings import extensions, name_grams
 from .search import FileQuery
+from .store import numbered
 
 #: Ids of a block.
 BLOCK = 1 << 13
@@ -44,16 +45,7 @@ class NameIndex:
     # ------------------------------------------------------------ writing
 
     def build(self, entries: DataFrame) -> None:
-        order = ["path_key", "path"]
-        placed = entries.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
-        placed.write.parquet(f"{self.place}/placed")
-        placed = self.spark.read.schema(placed.schema).parquet(f"{self.place}/placed")
-        before, offsets = 0, []
-        for r in sorted(placed.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("at")).collect()):  # a row for each partition
-            offsets.append((r["part"], before - r["at"]))
-            before += r["n"]
-        shift = F.broadcast(self.spark.createDataFrame(offsets, "part int, shift long"))
-        ids = placed.join(shift, "part").withColumn("id", F.col("at") + F.col("shift")).drop("part", "at", "shift")
+        ids = numbered(entries, ["path_key", "path"], f"{self.place}/placed")
         rows = ids.withColumn("block", F.floor(F.col("id") / self.block))
         rows.sortWithinPartitions("id").write.parquet(f"{self.place}/entries")
         rows = self.spark.read.schema(rows.schema).parquet(f"{self.place}/entries")
@@ -75,8 +67,8 @@ class NameIndex:
         filed = rows.select("id", "kind", F.explode(steps).alias("s")).where(~F.col("s.own") | (F.col("kind") == "directory"))
         below, own = F.when(~F.col("s.own"), F.col("id")), F.when(F.col("s.own"), F.col("id"))
         dirs = filed.groupBy(F.col("s.dir").alias("dir")).agg(F.min(below).alias("first"), F.max(below).alias("last"), F.min(own).alias("own"), F.min("id").alias("seen"))
-        written = F.regexp_replace(F.element_at(P.segments(F.col("dir")), -1), ":+$", "")
-        return dirs.withColumn("written", written).withColumn("segment", P.ascii_lower(F.col("written")))
+        written = F.regexp_replace(F.try_element_at(P.segments(F.col("dir")), F.lit(-1)), ":+$", "")  # null for a root without a name
+        return dirs.withColumn("written", written).withColumn("segment", P.ascii_lower(F.col("written"))).where("segment is not null")
 
     # ------------------------------------------------------------ reading
 

@@ -127,3 +127,15 @@ def kept(rows: DataFrame, name: str, build: Callable[[str], None]) -> str:
     return _stored[key]
 
 
+def numbered(rows: DataFrame, order: list[str], place: str) -> DataFrame:
+    """rows with ``id``, their place in the order, from 0 without gaps; they are written to ``place`` once, sorted by range."""
+    spark = rows.sparkSession
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__at"))
+    placed.write.parquet(place)
+    placed = spark.read.schema(placed.schema).parquet(place)
+    before, offsets = 0, []
+    for r in sorted(placed.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("at")).collect()):  # a row for each partition
+        offsets.append((r["__part"], before - r["at"]))
+        before += r["n"]
+    shift = F.broadcast(spark.createDataFrame(offsets, "__part int, __shift long"))
+    return placed.join(shift, "__part").withColumn("id", F.col("__at") + F.col("__shift")).drop("__part", "__at", "__shift")

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import entries, fulltext
+from .operators import changes, entries, fulltext, journal_store
+from .operators.catalog_state import CatalogState
 from .operators.content_index import Index
 from .operators.name_index import NameIndex
+from .operators.rows import first_of
 from .operators.search import FileQuery
 from .operators.store import kept
 from .operators.versions import new_place
-from .queries import candidate_sql, dir_sql, found_sql, shown, term_sql
+from .queries import _DELTA, _LAYERED, candidate_sql, deltas, dir_sql, found_sql, shown, term_sql
 from .registry import docs, lines, parts, query, table
 
 # ---------------------------------------------------------------- stored content index
@@ -71,6 +73,24 @@ SELECT path_key, round(kp * p * 2.2::DOUBLE / (p + norm) + ki * i * 2.2::DOUBLE
 def content_index_phrase(spark, sf):
     return corpus_index(spark, sf).top(fulltext.content_query('"of the" OR idiot AND trash -worthless'), 100)
 
+_BRACKETS = rf"""WITH {_TEXTS}, w AS (SELECT path_key, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x != '' AND strlen(x) <= 40) AS ws FROM texts),
+c AS (SELECT path_key, len(ws) AS dl, len(list_filter(range(1, len(ws)), lambda i: ws[i] = 'of' AND ws[i + 1] = 'the')) AS p, {", ".join(f"len(list_filter(ws, lambda x: x = '{x}')) AS {x}" for x in ("idiot", "pathetic", "trash", "loser"))}, list_contains(ws, 'of') AS f, list_contains(ws, 'the') AS h FROM w),
+n AS (SELECT count(*) AS n, avg(dl) AS a, count(*) FILTER (f) AS df, count(*) FILTER (h) AS dh, {", ".join(f"count(*) FILTER ({x} > 0) AS d_{x}" for x in ("idiot", "pathetic", "trash"))} FROM c),
+k AS (SELECT ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) + ln(1 + (n - dh + 0.5::DOUBLE) / (dh + 0.5::DOUBLE)) AS kp, {", ".join(f"ln(1 + (n - d_{x} + 0.5::DOUBLE) / (d_{x} + 0.5::DOUBLE)) AS k_{x}" for x in ("idiot", "pathetic", "trash"))}, a FROM n),
+s AS (SELECT *, 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / a) AS norm FROM c, k WHERE ((idiot > 0 OR pathetic > 0) AND (trash > 0 OR p > 0)) AND NOT (loser > 0 AND trash > 0))
+SELECT path_key, round({" + ".join(f"k_{x} * {x} * 2.2::DOUBLE / ({x} + norm)" for x in ("idiot", "pathetic", "trash"))} + kp * p * 2.2::DOUBLE / (p + norm), 6) AS score FROM s ORDER BY score DESC, path_key LIMIT 100"""
+BRACKETS = '(idiot OR pathetic) AND (trash "of the") -(loser AND trash)'
+
+
+@query(_BRACKETS)
+def content_index_brackets(spark, sf):
+    return corpus_index(spark, sf).top(fulltext.content_query(BRACKETS), 100)
+
+
+@query(_BRACKETS)
+def bm25_brackets(spark, sf):
+    return fulltext.bm25(corpus_texts(spark, sf), fulltext.content_query(BRACKETS), "path_key").orderBy(F.desc("score"), "path_key").limit(100)
+
 
 @query(_scored_sql(_CHANGED, _SOUGHT) + " SELECT path_key, score FROM s ORDER BY score DESC, path_key LIMIT 50")
 def content_index_changed(spark, sf):
@@ -115,3 +135,99 @@ def name_index_fuzzy(spark, sf):
 @query(entries.PARTS_SQL + " SELECT path, (row_number() OVER (ORDER BY path_key, path) - 1)::BIGINT AS id FROM entries QUALIFY path = '/parts/ECONOMY' OR starts_with(path, '/parts/ECONOMY/') OR path = '/parts/SMALL/Brand-1' OR starts_with(path, '/parts/SMALL/Brand-1/')")
 def name_index_scope(spark, sf):
     return name_index(spark, sf, parts, "parts").scope("/parts/ECONOMY", "/parts/SMALL/Brand-1").select("path", "id")
+
+
+# ---------------------------------------------------------------- stored journal
+
+#: Generations of the events' changes.
+GENERATIONS = 6
+_FEW = _DELTA.replace("floor(event_id / 100)::BIGINT + 1 AS generation", f"floor(event_id * {GENERATIONS} / (SELECT max(event_id) + 1 FROM events))::BIGINT + 1 AS generation")
+_ENTRY = "path_key string, kind string, size_bytes long"
+
+
+def few_deltas(spark, sf):
+    """generation, op and entry: the changes of the parts catalog in GENERATIONS generations, the last one of a key in each."""
+    rows = deltas(spark, sf)
+    size = rows.agg(F.max("ordinal")).first()[0] + 1
+    rows = rows.withColumn("generation", (F.floor(F.col("ordinal") * GENERATIONS / size) + 1).cast("long"))
+    return first_of(rows, ["generation", "path_key"], [F.desc("ordinal")]).select("generation", "op", "path_key", "kind", F.col("size_bytes").cast("long").alias("size_bytes"))
+
+
+def small_parts(spark, sf):
+    return parts(spark, sf).select("path_key", "kind", "size_bytes")
+
+
+def stored_catalog(spark, sf) -> journal_store.Catalog:
+    """The parts as baseline 0, and all generations committed on it, the first of them twice."""
+    catalog = journal_store.Catalog(spark, new_place(spark, "catalog"), _ENTRY)
+    changes = few_deltas(spark, sf)
+    wanted = [(0, "install", True), *((g, "commit", "append") for g in range(1, GENERATIONS + 1)), (1, "commit", "done")]
+    for g, step, answer in wanted:
+        found = catalog.install(small_parts(spark, sf), 0) if step == "install" else catalog.commit(g, changes.where(F.col("generation") == g))
+        if found != answer:
+            raise RuntimeError(f"{step} of generation {g}: {found}")
+    return catalog
+
+
+_RECOVERED = f"{entries.PARTS_SQL}, {_FEW}, {_LAYERED} SELECT path_key, size_bytes FROM alive WHERE generation > 0 OR path_key NOT IN (SELECT path_key FROM ups)"
+
+
+@query(_RECOVERED)
+def journal_recovered(spark, sf):
+    return stored_catalog(spark, sf).recover().entries.select("path_key", "size_bytes")
+
+
+@query(_RECOVERED)
+def baseline_replaced(spark, sf):
+    """A baseline of generation 3 in place of the first one; what follows is replayed on it."""
+    catalog = stored_catalog(spark, sf)
+    half = journal_store.C.layered(small_parts(spark, sf), few_deltas(spark, sf).where("generation <= 3"))
+    if not catalog.install(half, 3):
+        raise RuntimeError("the journal after generation 3 has no gap")
+    return catalog.recover().entries.select("path_key", "size_bytes")
+
+
+_COUNTED = " UNION ALL ".join(
+    f"""SELECT {g}::BIGINT AS generation, (SELECT count(*) FROM (WITH d1 AS (SELECT * FROM d1a WHERE generation <= {g}), {_LAYERED} SELECT path_key FROM alive WHERE generation > 0 OR path_key NOT IN (SELECT path_key FROM ups)))::BIGINT AS visible"""
+    for g in range(1, GENERATIONS + 1)
+)
+
+
+@query(f"{entries.PARTS_SQL}, {_FEW.replace('d1 AS', 'd1a AS')} {_COUNTED}")
+def visible_counts(spark, sf):
+    """The visible rows after each generation, each from what it changes alone."""
+    place = new_place(spark, "deltas")
+    few_deltas(spark, sf).write.partitionBy("generation").parquet(place)
+    base, changes = small_parts(spark, sf), spark.read.parquet(place).withColumn("generation", F.col("generation").cast("long"))
+    visible, out = base.count(), []
+    for g in range(1, GENERATIONS + 1):
+        before, delta = changes.where(F.col("generation") < g), changes.where(F.col("generation") == g)
+        visible += journal_store.count_change(base, before, delta)
+        out.append((g, visible))
+    return spark.createDataFrame(out, "generation long, visible long")
+
+
+# ---------------------------------------------------------------- states
+
+
+@query(entries.PARTS_SQL + " SELECT path_key, CASE WHEN path_key != '/parts' THEN parent END AS parent_key, '/parts' AS root, modified_ms FROM entries WHERE kind = 'directory'")
+def manifest_stored(spark, sf):
+    """The manifest of the generation that was prepared when it came; the active one's and a faulty one are refused."""
+    state, rows = CatalogState(spark, new_place(spark, "state")), changes.manifest_of(parts(spark, sf))
+    state.set_state(1, "prepared", 1, "/parts")
+    state.set_state(1, "active", 2)
+    state.set_state(2, "prepared", 3, "/parts")
+    answers = [state.set_manifest(1, rows, 4), state.set_manifest(2, rows.where("path_key != '/parts/SMALL'"), 5), state.set_manifest(2, rows, 6)]
+    if answers != [False, False, True]:
+        raise RuntimeError(f"manifests were taken: {answers}")
+    return state.manifest(2)
+
+
+@query(_scored_sql(_TEXTS, _SOUGHT) + " SELECT path_key, score FROM s WHERE regexp_matches(path_key, '[.](md|txt)$') ORDER BY score DESC, path_key LIMIT 50")
+def content_attached(spark, sf):
+    """What an attached index finds in the files whose text it has; states and index came in one step."""
+    e = docs(spark, sf)
+    state = CatalogState(spark, new_place(spark, "state"))
+    states = e.where("kind = 'file'").select("path_key", F.when(F.col("extension").isin("md", "txt"), "indexed").otherwise("unsupported").alias("state"))
+    state.attach(corpus_index(spark, sf).place, states)
+    return state.content_search(e, fulltext.content_query(SOUGHT), 50)

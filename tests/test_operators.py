@@ -77,7 +77,7 @@ def test_bad_pattern_is_feedback(spark):
     assert search.regex_results(parts(spark, SF), "ring", 3).count() == 3
 
 
-@pytest.mark.parametrize("text", ["(a b)", '"open', "a AND", "NOT", "", "-x", "...."])
+@pytest.mark.parametrize("text", ["(a b", '"open', "a AND", "NOT", "", "-x", "...."])
 def test_invalid_content_queries(text):
     with pytest.raises(fulltext.InvalidQuery):
         fulltext.content_query(text)

@@ -6,7 +6,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.operators import content_index, entries, fulltext, name_index, search, store, versions
+from lodestrata.operators import content_index, changes, entries, fulltext, journal_store, name_index, search, store, versions
 from lodestrata.operators.search import FileQuery
 
 WORDS = ["alpha", "beta", "gamma", "delta", "Ünï", "日本", "x1", "rare"]
@@ -151,3 +151,172 @@ def test_name_index_equals_scan(spark, catalog, block):
         assert sorted(of(index.scope(root))) == want
     plan = index.scope("/pro")._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(path_key,/pro/)" in plan and "Exchange" not in plan
+
+
+# ---------------------------------------------------------------- journal
+
+ENTRY = "path_key string, kind string, size_bytes long"
+
+
+def delta(spark, *rows):
+    return spark.createDataFrame([(op, key, "file" if "." in key else "directory", size) for op, key, size in rows], f"op string, {ENTRY}")
+
+
+def shown(df):
+    return sorted((r.path_key, r.size_bytes) for r in df.collect())
+
+
+def test_journal_is_committed_once(spark):
+    catalog = journal_store.Catalog(spark, versions.new_place(spark, "catalog"), ENTRY)
+    assert catalog.recover().mode == "unavailable"
+    base = spark.createDataFrame([("/a", "directory", 0), ("/a/x.md", "file", 1), ("/b", "directory", 0)], ENTRY)
+    assert catalog.install(base, 4)
+    one = delta(spark, ("upsert", "/a/y.md", 2), ("remove", "/b", 0))
+    assert catalog.commit(5, one) == "append" and catalog.commit(5, one.repartition(3)) == "done"
+    assert catalog.commit(5, delta(spark, ("upsert", "/a/y.md", 3))) == "conflict"
+    assert catalog.commit(6, delta(spark, ("move", "/a", 3))) == "invalid"
+    assert catalog.commit(6, delta(spark, ("upsert", "/a/z.md", 1), ("remove", "/a/z.md", 1))) == "invalid"
+    found = catalog.recover()
+    assert (found.mode, found.generation) == ("replayed", 5)
+    assert shown(found.entries) == [("/a", 0), ("/a/x.md", 1), ("/a/y.md", 2)]
+    # a gap: the baseline alone
+    assert catalog.commit(7, delta(spark, ("remove", "/a", 0))) == "append"
+    found = catalog.recover()
+    assert (found.mode, found.code, found.generation) == ("baseline_only", "journal_gap", 4)
+    assert shown(found.entries) == shown(base)
+    # baselines that would go back, or before a gap, are refused; later ones are put in place
+    assert not catalog.install(base, 4) and not catalog.install(base, 5)
+    assert catalog.commit(6, delta(spark)) == "append"
+    assert catalog.install(base, 6) and shown(catalog.recover().entries) == [("/b", 0)]
+    assert catalog.install(base, 9) and not catalog.install(base, 8)
+    assert shown(catalog.recover().entries) == shown(base)
+
+
+def test_two_writers_of_a_generation(spark):
+    catalog = journal_store.Catalog(spark, versions.new_place(spark, "catalog"), ENTRY)
+    assert catalog.install(delta(spark).drop("op"), 0)
+    answers = {}
+    threads = [threading.Thread(target=lambda k=k: answers.update({k: catalog.commit(1, delta(spark, ("upsert", f"/w{k % 2}.md", k % 2)))})) for k in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(answers.values()) == ["append", "conflict", "conflict", "done"]
+    assert len(shown(catalog.recover().entries)) == 1
+    assert len(catalog.committed()) == 1
+
+
+def test_broken_payload_is_noticed(spark):
+    catalog = journal_store.Catalog(spark, versions.new_place(spark, "catalog"), ENTRY)
+    base = delta(spark, ("", "/a.md", 1)).drop("op")
+    catalog.install(base, 0)
+    catalog.commit(1, delta(spark, ("upsert", "/b.md", 1)))
+    name = catalog.committed()[0]["payload"]
+    catalog.journal().withColumn("size_bytes", F.lit(7).cast("long")).coalesce(1).write.parquet(f"{catalog.place}/other")
+    spark.read.parquet(f"{catalog.place}/other").write.mode("overwrite").parquet(f"{catalog.place}/payloads/{name}")
+    found = catalog.recover()
+    assert (found.mode, found.code) == ("baseline_only", "journal_invalid") and shown(found.entries) == [("/a.md", 1)]
+
+
+def test_counts_of_touched_scopes(spark):
+    rng = random.Random(8)
+    keys = [f"/{a}/{b}" for a in "abc" for b in ("x", "x/1.md", "x/2.md", "y.md")] + ["/a", "/b", "/c"]
+    entry = lambda k: (k, "file" if "." in k else "directory", 1)
+    base = spark.createDataFrame([entry(k) for k in keys if rng.random() < 0.7], ENTRY)
+    journal = spark.createDataFrame([], f"generation long, op string, {ENTRY}")
+    visible = base.count()
+    for g in range(1, 7):
+        some = rng.sample([*keys, "/a/x.md", "/new/z.md"], 3)
+        new = spark.createDataFrame([(g, rng.choice(["upsert", "remove"]), k, rng.choice(["file", "directory"]), g) for k in some], journal.schema)
+        visible += journal_store.count_change(base, journal, new)
+        journal = spark.createDataFrame(journal.unionByName(new).collect(), journal.schema)
+        assert visible == changes.layered(base, journal).count()
+
+
+@pytest.mark.parametrize("strictly", [False, True])
+def test_roots_in_the_scan_and_in_a_join(spark, catalog, strictly):
+    for roots in (["/pro", "/small/ring", None], [], ["/"], ["/nowhere", "/ECONOMY", "/ECONOMY"]):
+        r = spark.createDataFrame([(x,) for x in roots], "path_key string")
+        for how in ("left_semi", "left_anti"):
+            few, many = (sorted(x.path_key for x in changes.under(catalog, r, how, strictly, told).select("path_key").collect()) for told in (100, 0))
+            assert few == many
+    plan = changes.under(catalog, spark.createDataFrame([("/pro",)], "path_key string"), "left_semi")._jdf.queryExecution().toString()
+    assert "Exchange" not in plan.split("InMemoryRelation")[0]
+
+
+@pytest.mark.parametrize("text", ['(alpha OR rare) AND (gamma "beta alpha")', "+(alpha AND x1) -(rare delta)", "NOT (beta OR gamma) alpha", '((alpha)) AND ("alpha beta" OR (delta AND gamma))', "alpha(beta)"])
+def test_brackets(spark, text):
+    """Of nested queries: found where the tree holds, scored by the phrases of the branches that hold."""
+    q = fulltext.content_query(text)
+    texts = texts_of(spark, 9, 150).where("content is not null")
+    index = content_index.Index(spark, versions.new_place(spark, "index"), 16, 2)
+    index.build(texts)
+    rows = {r.path_key: [w for w in r.content.lower().split() if len(w.encode()) <= 40] for r in texts.collect()}
+    has = lambda ws, c: any(tuple(ws[k : k + len(c)]) == c for k in range(len(ws))) if isinstance(c, tuple) else tree(ws, c)
+    tree = lambda ws, c: (not c.groups or any(all(has(ws, x) for x in g) for g in c.groups)) and all(has(ws, x) for x in c.must) and not any(has(ws, x) for x in c.never)
+    scan = fulltext.bm25(texts, q, "path_key").orderBy(F.desc("score"), "path_key").collect()
+    assert {r.path_key for r in scan} == {k for k, ws in rows.items() if tree(ws, q)}
+    assert scored(index.top(q, 1000)) == [(r.path_key, r.score) for r in scan]
+
+
+@pytest.mark.parametrize("text", ["(alpha", "alpha)", "()", "(alpha AND)", "(-alpha)", "alpha AND ()"])
+def test_broken_brackets(text):
+    with pytest.raises(fulltext.InvalidQuery):
+        fulltext.content_query(text)
+
+
+# ---------------------------------------------------------------- catalog state
+
+
+def test_states_of_generations(spark):
+    state = catalog_state.CatalogState(spark, versions.new_place(spark, "state"))
+    rows = spark.createDataFrame([("/r", None, "/r", 1), ("/r/a", "/r", "/r", 2)], catalog_state.MANIFEST)
+    assert not state.set_state(1, "prepared", 1) and not state.set_fingerprint(1, "x") and not state.set_manifest(1, rows, 1)
+    assert state.set_state(1, "building", 1, "/r") and not state.set_manifest(1, rows, 2) and not state.set_state(1, "active", 2)
+    assert state.set_state(1, "prepared", 3) and state.set_manifest(1, rows, 4) and state.set_fingerprint(1, "one")
+    assert not state.set_manifest(1, rows.where("path_key != '/r'"), 5)  # an orphan
+    assert state.active_fingerprint("/r") is None
+    assert state.set_state(1, "active", 6) and state.active_fingerprint("/r") == "one"
+    assert not state.set_manifest(1, rows, 7)
+    assert [r.path_key for r in state.manifest(1).orderBy("path_key").collect()] == ["/r", "/r/a"]
+    assert state.set_state(2, "prepared", 8, "/r") and state.set_state(2, "active", 9)
+    found = state.record()
+    assert (found["generations"]["1"]["state"], found["active"]) == ("obsolete", {"/r": 2})
+    assert state.manifest(2).count() == 0
+    state.save_counters("/r", scanned=5, failed=1)
+    state.save_counters("/r", failed=2)
+    assert state.record()["counters"] == {"/r": {"scanned": 5, "failed": 2}}
+
+
+def test_prepared_at_the_time_of_the_change(spark, monkeypatch):
+    """A generation that is published while its manifest is being written keeps its old one."""
+    state = catalog_state.CatalogState(spark, versions.new_place(spark, "state"))
+    rows = spark.createDataFrame([("/r", None, "/r", 1)], catalog_state.MANIFEST)
+    state.set_state(1, "prepared", 1, "/r")
+    put, other = state.state.put, catalog_state.CatalogState(spark, state.place)
+
+    def late(version, record):
+        monkeypatch.setattr(state.state, "put", put)
+        other.set_state(1, "active", 2)
+        return put(version, record)
+
+    monkeypatch.setattr(state.state, "put", late)
+    assert not state.set_manifest(1, rows, 3) and state.manifest(1).count() == 0
+
+
+def test_attached_index(spark, catalog):
+    state = catalog_state.CatalogState(spark, versions.new_place(spark, "state"))
+    q = fulltext.content_query("alpha")
+    assert state.content_search(catalog, q, 5).count() == 0 and state.detach() is None
+    texts = catalog.where("kind = 'file'").selectExpr("path_key", "'alpha beta' as content")
+    places = []
+    for ext in ("md", "json"):
+        index = content_index.Index(spark, versions.new_place(spark, "index"))
+        index.build(texts)
+        states = catalog.where(f"extension = '{ext}'").selectExpr("path_key", "'indexed' as state")
+        assert state.attach(index.place, states)
+        places.append(index.place)
+        hits = [r.path_key for r in state.content_search(catalog, q, 1000).collect()]
+        assert sorted(hits) == sorted(r.path_key for r in states.collect())
+    assert state.detach() == places[1]
+    assert state.entries(catalog).where("content_index_state = 'indexed'").count() == 0
