@@ -568,14 +568,14 @@ def search_urls(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.search_url("https://example.org/?q={query}", F.concat("p_name", F.lit("~"))).alias("url"))
 
 
-#: Commands on the borders of the rule, and what they are.
-COMMANDS = (("rm -rf /", "blocked"), (" RM -rf / ", "blocked"), ("rm -rf /*", "blocked"), ("rm -rf / tmp", "blocked"), ("rm -rf /home/x", "allow"), ("farm x", "allow"), ("shutdown now", "allow"), ("sudo ls", "strong"), ("sudo", "allow"), ("mkfs.ext4 /dev/sda", "strong"), ("echo mkfs", "strong"), ("xmkfs", "allow"), ("DiskPart /s", "strong"), ("cd && diskpart", "strong"), ("ls -l", "allow"))
+#: What stands before and after a part's name in a command, and what that is.
+COMMANDS = (("rm -rf / ", "", "blocked"), (" RM -rf /*", "", "blocked"), ("rm -rf /", "", "allow"), ("sudo ", "", "strong"), ("echo ", " mkfs", "strong"), ("", "", "allow"), ("DiskPart /", "", "strong"))
 
 
-@query("SELECT event_id, (" + str([x for _, x in COMMANDS]) + f")[event_id % {len(COMMANDS)} + 1] AS safety FROM events")
+@query("SELECT p_partkey, " + str([x for *_, x in COMMANDS]) + f"[p_partkey % {len(COMMANDS)} + 1] AS safety FROM part")
 def command_safety(spark, sf):
-    command = entries.picked(F.col("event_id"), tuple(c for c, _ in COMMANDS))
-    return table(spark, sf, "events").select("event_id", T.command_safety(command).alias("safety"))
+    before, after = (entries.picked(F.col("p_partkey"), tuple(c[k] for c in COMMANDS)) for k in (0, 1))
+    return table(spark, sf, "part").select("p_partkey", T.command_safety(F.concat(before, "p_name", after)).alias("safety"))
 
 
 from . import queries_more, queries_stored  # noqa: E402, F401  # register their queries

@@ -6,24 +6,21 @@ from pyspark.sql import functions as F
 
 from .operators import calibration, catalog, changes, entries, fulltext, journal, requests, rows, search, versions
 from .operators.search import FileQuery
-from .queries import _DELTA, _GEN, _LATER, _TOK, deltas, generations, last_deltas, later_scan, opened
+from .queries import _DELTA, _GEN, _LATER, _LAYERED, _TOK, deltas, generations, last_deltas, later_scan, opened
 from .registry import docs, parts, query, table
 from .streaming import updates
 
 # ---------------------------------------------------------------- what is typed
 
-#: Inputs on the borders of the modes, and mode, prefix and text of each.
-TYPED = (
-    ("re: a.*b ", "regex", None, "a.*b"), ("> ls -l", "command", None, "ls -l"), ("g spark  sql", "web", "g", "spark  sql"), ("ddg:privacy", "web", "ddg", "privacy"), (" g ", "normal", None, "g"),
-    ("plain words", "normal", None, "plain words"), (" bd  x y ", "web", "bd", "x y"), ("gone with", "normal", None, "gone with"), ("re:", "regex", None, ""), ("g:", "web", "g", ""), ("", "normal", None, ""),
-)
-_TYPED_SQL = "[" + ", ".join("{'m': '%s', 'p': %s, 't': '%s'}" % (m, f"'{p}'" if p else "NULL", t) for _, m, p, t in TYPED) + "]"
+#: What is typed around a part's name, and mode, prefix and text of that.
+TYPED = (("re: ", " ", "regex", None, ""), ("> ", "", "command", None, ""), ("g ", "", "web", "g", ""), ("ddg:", " ", "web", "ddg", ""), (" ", "  ", "normal", None, ""), ("gone ", "", "normal", None, "gone "))
+_TYPED_SQL = "CASE p_partkey % 6 " + " ".join(f"WHEN {k} THEN {{'mode': '{m}', 'prefix': {f"'{p}'" if p else 'NULL'}, 'text': '{t}' || p_name}}" for k, (_, _, m, p, t) in enumerate(TYPED)) + " END"
 
 
-@query(f"SELECT event_id, x.m AS mode, x.p AS prefix, x.t AS text FROM (SELECT event_id, {_TYPED_SQL}[event_id % {len(TYPED)} + 1] AS x FROM events)")
+@query(f"SELECT p_partkey, x.mode, x.prefix, x.text FROM (SELECT p_partkey, {_TYPED_SQL} AS x FROM part)")
 def request_modes(spark, sf):
-    typed = entries.picked(F.col("event_id"), tuple(t for t, *_ in TYPED))
-    return table(spark, sf, "events").select("event_id", requests.request(typed).alias("r")).select("event_id", "r.*")
+    typed = F.concat(entries.picked(F.col("p_partkey"), tuple(a for a, *_ in TYPED)), "p_name", entries.picked(F.col("p_partkey"), tuple(b for _, b, *_ in TYPED)))
+    return table(spark, sf, "part").select("p_partkey", requests.request(typed).alias("r")).select("p_partkey", "r.*")
 
 
 @query(
@@ -90,7 +87,7 @@ def content_delta(spark, sf):
 
 _JOURNAL = """b AS (SELECT o_orderkey AS id, o_orderkey AS generation, CASE o_orderstatus WHEN 'O' THEN 'building' ELSE 'committed' END AS status, md5(o_totalprice::DECIMAL(12, 2)::VARCHAR) AS digest FROM orders),
 ch AS (SELECT l_orderkey AS batch_id, (l_linenumber - 1 + CASE WHEN l_orderkey % 10 = 3 THEN 1 ELSE 0 END)::BIGINT AS ordinal, CASE WHEN l_suppkey % 50 = 0 THEN 'move' WHEN l_returnflag = 'A' THEN 'remove' ELSE 'upsert' END AS op,
-  CASE WHEN l_partkey % 40 = 0 THEN '' ELSE '/orders/s' || (l_suppkey % 20) || CASE WHEN l_returnflag = 'A' THEN '' ELSE '/p' || (l_partkey % 100) END END AS path_key, l_quantity::BIGINT AS size_bytes FROM lineitem WHERE l_quantity > 10)"""
+  CASE WHEN l_partkey % 40 = 0 THEN '' ELSE '/orders/s' || (l_suppkey % 20) || CASE WHEN l_returnflag = 'A' THEN '' ELSE '/p' || (l_partkey % 100) END END AS path_key, l_quantity::BIGINT AS size_bytes FROM lineitem)"""
 
 
 def order_batches(spark, sf):
@@ -99,7 +96,7 @@ def order_batches(spark, sf):
 
 
 def order_changes(spark, sf):
-    item = table(spark, sf, "lineitem").where("l_quantity > 10")
+    item = table(spark, sf, "lineitem")
     gone = F.col("l_returnflag") == "A"
     ordinal = F.col("l_linenumber") - 1 + F.when(F.col("l_orderkey") % 10 == 3, 1).otherwise(0)
     op = F.when(F.col("l_suppkey") % 50 == 0, "move").when(gone, "remove").otherwise("upsert")
@@ -287,9 +284,9 @@ def restore_version(spark, sf):
     return versions.restored(g, failed).select("id", "root", "state")
 
 
-@query(f"WITH {_GEN}, c AS (SELECT root, count(*) FILTER (state = 'active') AS a, count(*) FILTER (state IN ('building', 'prepared')) AS p FROM g WHERE updated_at_ms > epoch_ms(DATE '1998-01-01') GROUP BY 1) SELECT root, 'several_active' AS fault FROM c WHERE a > 1 UNION ALL SELECT root, 'several_pending' FROM c WHERE p > 1")
+@query(f"WITH {_GEN}, c AS (SELECT root, count(*) FILTER (state = 'active') AS a, count(*) FILTER (state IN ('building', 'prepared')) AS p FROM g GROUP BY 1) SELECT root, 'several_active' AS fault FROM c WHERE a > 1 UNION ALL SELECT root, 'several_pending' FROM c WHERE p > 1")
 def version_faults(spark, sf):
-    return versions.state_faults(generations(spark, sf).where("updated_at_ms > unix_millis(timestamp '1998-01-01')"))
+    return versions.state_faults(generations(spark, sf))
 
 
 @query("SELECT o_orderkey AS id FROM orders WHERE o_custkey > o_orderkey")
@@ -414,8 +411,8 @@ def changed_children(spark, sf):
     return calibration.changed_children(e, later_scan(e), calibration.calibrated(*probe(spark, sf)))
 
 
-_SCANS = """s1 AS (SELECT '/w/a' || (user_id % 9) || CASE WHEN event_type = 'error' THEN '' ELSE '/b' || (event_id % 20) END AS path_key, CASE WHEN event_type IN ('error', 'signup') THEN 'remove' ELSE 'upsert' END AS op FROM events WHERE event_id % 2 = 0 AND event_id % 31 != 0),
-s2 AS (SELECT '/w/a' || (user_id % 9) || '/b' || (event_id % 23) || CASE WHEN event_id % 3 = 0 THEN '/c' ELSE '' END AS path_key, CASE WHEN event_id % 41 = 1 THEN 'upsert' ELSE 'remove' END AS op FROM events WHERE event_id % 2 = 1 AND user_id % 9 > 5)"""
+_SCANS = """s1 AS (SELECT '/w/a' || user_id || CASE WHEN event_type = 'error' THEN '' ELSE '/b' || (event_id % 20) END AS path_key, CASE WHEN event_type IN ('error', 'signup') THEN 'remove' ELSE 'upsert' END AS op FROM events WHERE event_id % 2 = 0),
+s2 AS (SELECT '/w/a' || user_id || '/b' || (event_id % 23) || CASE WHEN event_id % 3 = 0 THEN '/c' ELSE '' END AS path_key, CASE WHEN event_id % 41 = 1 THEN 'upsert' ELSE 'remove' END AS op FROM events WHERE event_id % 2 = 1)"""
 
 
 @query(
@@ -427,9 +424,9 @@ SELECT path_key, 'upsert' AS op FROM u UNION ALL SELECT path_key, 'remove' FROM
 def merge_scans(spark, sf):
     """Two results over events' paths: the first from the even, the second from the odd ones."""
     e = table(spark, sf, "events")
-    top = F.concat(F.lit("/w/a"), (F.col("user_id") % 9).cast("string"))
-    one = e.where("event_id % 2 = 0 and event_id % 31 != 0").select(F.when(F.col("event_type") == "error", top).otherwise(F.concat(top, F.lit("/b"), (F.col("event_id") % 20).cast("string"))).alias("path_key"), F.when(F.col("event_type").isin("error", "signup"), "remove").otherwise("upsert").alias("op"))
-    two = e.where("event_id % 2 = 1 and user_id % 9 > 5").select(F.concat(top, F.lit("/b"), (F.col("event_id") % 23).cast("string"), F.when(F.col("event_id") % 3 == 0, "/c").otherwise("")).alias("path_key"), F.when(F.col("event_id") % 41 == 1, "upsert").otherwise("remove").alias("op"))
+    top = F.concat(F.lit("/w/a"), F.col("user_id").cast("string"))
+    one = e.where("event_id % 2 = 0").select(F.when(F.col("event_type") == "error", top).otherwise(F.concat(top, F.lit("/b"), (F.col("event_id") % 20).cast("string"))).alias("path_key"), F.when(F.col("event_type").isin("error", "signup"), "remove").otherwise("upsert").alias("op"))
+    two = e.where("event_id % 2 = 1").select(F.concat(top, F.lit("/b"), (F.col("event_id") % 23).cast("string"), F.when(F.col("event_id") % 3 == 0, "/c").otherwise("")).alias("path_key"), F.when(F.col("event_id") % 41 == 1, "upsert").otherwise("remove").alias("op"))
     return calibration.merged(one, two)
 
 
@@ -528,6 +525,6 @@ def layered_search(spark, sf):
     return search.layered_results(base, over.select(*e.columns), FileQuery(types=("md",)), 30).select("id")
 
 
-@query(f"{entries.PARTS_SQL}, {_DELTA} SELECT count(*)::BIGINT AS n FROM (SELECT path_key FROM entries WHERE NOT EXISTS (SELECT 1 FROM d1 WHERE op = 'remove' AND (entries.path_key = d1.path_key OR starts_with(entries.path_key, d1.path_key || '/'))))")
+@query(f"{entries.PARTS_SQL}, {_DELTA}, {_LAYERED} SELECT count(*)::BIGINT AS n FROM alive WHERE generation > 0 OR path_key NOT IN (SELECT path_key FROM ups)")
 def visible_rows(spark, sf):
-    return changes.layered(parts(spark, sf).select("path_key", "kind"), deltas(spark, sf).where("op = 'remove'")).agg(F.count("*").alias("n"))
+    return changes.layered(parts(spark, sf).select("path_key", "kind", "size_bytes"), last_deltas(spark, sf)).agg(F.count("*").alias("n"))

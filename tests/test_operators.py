@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata.functions.text import command_safety
 from lodestrata.operators import changes, fulltext, requests, search, versions
 from lodestrata.operators.search import FileQuery
 from lodestrata.registry import parts
@@ -230,3 +231,18 @@ def test_unfinished_batches_do_not_count(spark, tmp_path):
 
 def test_highlights_of_every_term():
     assert fulltext.highlight_terms('Foo:"bar_x" (+baz) -«q» ...') == ["foo", "bar_x", "baz", "q"]
+
+
+def test_request_modes_on_their_borders(spark):
+    typed = [
+        ("re: a.*b ", "regex", None, "a.*b"), ("> ls -l", "command", None, "ls -l"), ("g spark  sql", "web", "g", "spark  sql"), ("ddg:privacy", "web", "ddg", "privacy"), (" g ", "normal", None, "g"),
+        ("plain words", "normal", None, "plain words"), (" bd  x y ", "web", "bd", "x y"), ("gone with", "normal", None, "gone with"), ("re:", "regex", None, ""), ("g:", "web", "g", ""), ("", "normal", None, ""),
+    ]
+    rows = spark.createDataFrame([(t,) for t, *_ in typed], "t string").select("t", requests.request(F.col("t")).alias("r")).select("t", "r.*")
+    assert sorted(map(str, (tuple(r) for r in rows.collect()))) == sorted(map(str, typed))
+
+
+def test_command_safety_on_its_borders(spark):
+    commands = [("rm -rf /", "blocked"), (" RM -rf / ", "blocked"), ("rm -rf /*", "blocked"), ("rm -rf / tmp", "blocked"), ("rm -rf /home/x", "allow"), ("farm x", "allow"), ("shutdown now", "allow"), ("sudo ls", "strong"), ("sudo", "allow"), ("mkfs.ext4 /dev/sda", "strong"), ("echo mkfs", "strong"), ("xmkfs", "allow"), ("DiskPart /s", "strong"), ("cd && diskpart", "strong"), ("ls -l", "allow")]
+    rows = spark.createDataFrame(commands, "c string, want string").select("c", "want", command_safety(F.col("c")).alias("got")).collect()
+    assert all(r.got == r.want for r in rows), rows
