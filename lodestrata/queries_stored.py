@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import changes, entries, fulltext, journal_store
+from .operators import batch_search, changes, entries, fulltext, journal_store, requests
 from .operators.catalog_state import CatalogState
 from .operators.content_index import Index
 from .operators.name_index import NameIndex
@@ -12,7 +12,7 @@ from .operators.rows import first_of
 from .operators.search import FileQuery
 from .operators.store import kept
 from .operators.versions import new_place
-from .queries import _DELTA, _LAYERED, candidate_sql, deltas, dir_sql, found_sql, shown, term_sql
+from .queries import ALNUM, _DELTA, _LAYERED, candidate_sql, deltas, dir_sql, found_sql, shown, term_sql
 from .registry import docs, lines, parts, query, table
 
 # ---------------------------------------------------------------- stored content index
@@ -231,3 +231,32 @@ def content_attached(spark, sf):
     states = e.where("kind = 'file'").select("path_key", F.when(F.col("extension").isin("md", "txt"), "indexed").otherwise("unsupported").alias("state"))
     state.attach(corpus_index(spark, sf).place, states)
     return state.content_search(e, fulltext.content_query(SOUGHT), 50)
+
+
+# ---------------------------------------------------------------- many requests
+
+_ASKED = f"""asked AS (SELECT DISTINCT w || ' type:.' || x AS key, w, x FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part), (VALUES ('md'), ('pdf'), ('json')) t(x)),
+words AS (SELECT DISTINCT w, '^' || w[1] || array_to_string(list_transform(string_split(w[2:], ''), lambda c: '[^' || c || ']*' || c), '') AS pat FROM asked),
+segs AS (SELECT lower(d) AS segment, arg_min(d, path_key) AS written FROM (SELECT path_key, unnest(dseg) AS d FROM entries) GROUP BY 1),
+qual AS (SELECT w, list(segment) AS segs_of FROM words JOIN segs ON CASE WHEN w IN (SELECT segment FROM segs) THEN segment = w ELSE starts_with(segment, w) END OR (starts_with(written, w[1]) AND len(list_filter(string_split(w, ''), lambda c: NOT contains(segment, c))) = 0) GROUP BY w),
+pairs AS (
+  SELECT words.w, e.*, contains(lower(name), words.w[1:3]) AS named FROM words LEFT JOIN qual USING (w), entries e
+  WHERE (contains(lower(name), words.w[1:3]) OR list_has_any(list_transform(dseg, lambda d: lower(d)), coalesce(segs_of, [])))
+    AND (contains(lower(name), words.w) OR len(list_filter(list_concat(string_split_regex(lower(name), '{ALNUM}'), list_transform(seg, lambda d: lower(d))), lambda s: starts_with(s, words.w) OR length(regexp_extract(s, pat, 0)) BETWEEN 1 AND greatest(2 * length(words.w), 8))) > 0))"""
+
+
+@query(
+    f"""{entries.PARTS_SQL}, {_ASKED},
+f AS (SELECT key, path, name, kind, row_number() OVER (PARTITION BY key ORDER BY NOT named, path_key, path) AS place FROM asked JOIN pairs ON asked.w = pairs.w AND pairs.extension = asked.x QUALIFY place <= 20)
+SELECT key, 'path:' || path AS id, name AS title, path AS detail, kind, 'files' AS provider, 'open' AS action, place FROM f
+UNION ALL SELECT DISTINCT 'g ' || p_name, 'web:g:' || p_name, 'Google: ' || p_name, 'https://www.google.com/search?q={{query}}', 'web_search', 'web-search', 'open_url:https://www.google.com/search?q=' || replace(p_name, ' ', '%20'), 1 FROM part"""
+)
+def requests_many(spark, sf):
+    """All providers' rows for a table of requests: a word of a part's name and a type each, and a web search for each name."""
+    part = table(spark, sf, "part")
+    word = part.select(F.explode(F.split("p_name", " ")).alias("w")).distinct().select("w", F.explode(F.array(F.lit("md"), F.lit("pdf"), F.lit("json"))).alias("x"))
+    typed = word.select(F.concat("w", F.lit(" type:."), "x").alias("key")).unionByName(part.select(F.concat(F.lit("g "), "p_name").alias("key")).distinct())
+    asked = typed.select("key", requests.request(F.col("key")).alias("r")).select("key", "r.*")
+    files = batch_search.search_many(name_index(spark, sf, parts, "parts"), asked.where("mode = 'normal'").select("key", batch_search.fields("text").alias("asked")))
+    other = requests.answers(asked.where("mode != 'normal'")).select("key", "id", "title", "detail", "kind", "provider", "action", F.lit(1).cast("long").alias("place"))
+    return batch_search.file_rows(files).unionByName(other)

@@ -6,7 +6,8 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.operators import content_index, changes, entries, fulltext, journal_store, name_index, search, store, versions
+from lodestrata.operators import batch_search, catalog_state, changes, content_index, entries, fulltext, journal_store, name_index, search, store, versions
+from lodestrata.operators.requests import file_query
 from lodestrata.operators.search import FileQuery
 
 WORDS = ["alpha", "beta", "gamma", "delta", "Ünï", "日本", "x1", "rare"]
@@ -320,3 +321,22 @@ def test_attached_index(spark, catalog):
         assert sorted(hits) == sorted(r.path_key for r in states.collect())
     assert state.detach() == places[1]
     assert state.entries(catalog).where("content_index_state = 'indexed'").count() == 0
+
+
+# ---------------------------------------------------------------- many requests
+
+
+def test_many_requests_are_each_as_alone(spark, catalog):
+    index = name_index.NameIndex(spark, versions.new_place(spark, "names"), 32)
+    index.build(catalog)
+    typed = ["ring", "red", "pro", "r", "rg", "zzz", "brand-1", "small ring", "ring red dir:pro", "type:.MD", "name:ring", "name:x type:pdf", "dir:brand-1", "dir:deep name:report", "ring type:json dir:economy", "ring ring", "RING", "straße", "a.b", "small type:md type:pdf", "dir:*red* ring", "/red/", "", "content:x ring", "dir:bnd"]
+    asked = spark.createDataFrame([(t,) for t in typed], "key string").withColumn("asked", batch_search.fields("key"))
+    answered = {r.key for r in asked.where(batch_search.plain(F.col("asked"))).collect()}
+    assert set(typed) - answered == {"dir:*red* ring", "/red/", "", "content:x ring"}
+    for limit in (3, 1000):
+        got = {}
+        for r in batch_search.search_many(index, asked, limit).orderBy("key", "place").collect():
+            got.setdefault(r.key, []).append(r.path)
+        for t in answered:
+            assert got.get(t, []) == [r.path for r in search.search(catalog, file_query(t), limit).collect()], (t, limit)
+    assert batch_search.search_many(index, asked.limit(0)).count() == 0
