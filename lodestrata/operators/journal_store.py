@@ -136,7 +136,11 @@ def bearing(journal: DataFrame, delta: DataFrame) -> DataFrame:
 
 def count_change(baseline: DataFrame, journal: DataFrame, delta: DataFrame) -> int:
     """By how much the visible rows of baseline and journal change with one more generation, from what it touches alone."""
-    rows, known = touched(baseline, delta), bearing(journal, delta)
-    before = touched(C.layered(rows, known), delta).select(F.lit(-1).alias("n"))
-    after = touched(C.layered(rows, known.unionByName(delta.select(*journal.columns))), delta).select(F.lit(1).alias("n"))
+    keys = delta.select("path_key").distinct()
+    few = keys.limit(C.TOLD_ROOTS + 1).collect()
+    if len(few) <= C.TOLD_ROOTS:
+        keys = delta.sparkSession.createDataFrame(few, keys.schema)
+    rows, known = touched(baseline, keys), bearing(journal, keys)
+    before = touched(C.layered(rows, known), keys).select(F.lit(-1).alias("n"))
+    after = touched(C.layered(rows, known.unionByName(delta.select(*journal.columns))), keys).select(F.lit(1).alias("n"))
     return before.unionByName(after).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -140,7 +140,7 @@ def name_index_scope(spark, sf):
 # ---------------------------------------------------------------- stored journal
 
 #: Generations of the events' changes.
-GENERATIONS = 6
+GENERATIONS = 4
 _FEW = _DELTA.replace("floor(event_id / 100)::BIGINT + 1 AS generation", f"floor(event_id * {GENERATIONS} / (SELECT max(event_id) + 1 FROM events))::BIGINT + 1 AS generation")
 _ENTRY = "path_key string, kind string, size_bytes long"
 
