@@ -46,6 +46,19 @@ def test_audio_round_trip(request, which):
     assert out == sorted(expected)
 
 
+def test_audio_query_stores_the_pcm_and_reads_it(edges, monkeypatch):
+    kept, written = [], media.written
+    monkeypatch.setattr(media, "written", lambda *a: kept.append(written(*a)) or kept[-1])
+    out = {r["doc_id"]: r["feature"] for r in media.telephony_digests(edges).collect()}
+    stored = kept[0].collect()
+    assert len(stored) == len(out)
+    for r in stored:
+        assert bytes(r["pcm"]) == media.resample_double(media.MU_TABLE[np.frombuffer(media.read_wave(bytes(r["media"]))[1], np.uint8)]).tobytes()
+        assert out[r["doc_id"]].endswith(f"pcm16k={zlib.crc32(r['pcm']):08x}")
+    other = media.digests(kept[0].withColumn("pcm", F.lit(b"ab"))).first()["feature"]
+    assert other.endswith(f"pcm16k={zlib.crc32(b'ab'):08x}")  # of what is stored
+
+
 def plain_features(payload):
     """Sample by sample: what the features, the file and the PCM of a payload are."""
 
