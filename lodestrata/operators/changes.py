@@ -211,8 +211,11 @@ def ignore_decisions(rows: DataFrame, rules: DataFrame) -> DataFrame:
 
     A row and its ancestors meet the rules of the directories above them; for each the
     strongest source, then the deepest directory, then the last line decides; a path is
-    ignored if it or any ancestor is.
+    ignored if it or any ancestor is. The rules go to the rows, not the rows to the rules;
+    rules too many for that meet them in a shuffle.
     """
+    few = rules.limit(TOLD_ROOTS + 1).count() <= TOLD_ROOTS
+    rules = F.broadcast(rules) if few else rules.hint("merge")
     each = with_ancestors(rows.select("path_key", "kind").distinct())
     is_dir = (F.col("kind") == "directory") | (F.col("above") != F.col("path_key"))
     each = each.select("path_key", F.col("above").alias("item"), is_dir.alias("is_dir"), F.explode(P.ancestors(F.col("above"))).alias("dir_key"))

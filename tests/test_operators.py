@@ -167,6 +167,20 @@ def test_ignore_files_of_a_tree(spark, folder):
     assert gone == want
 
 
+def test_ignore_rules_go_to_the_rows(spark, tmp_path, monkeypatch):
+    spark.range(2000).select(F.concat(F.lit("/top/d"), F.col("id") % 7, F.lit("/f"), "id").alias("path_key"), F.lit("file").alias("kind")).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")  # a small file, whose exploded rows Spark would take for small too
+    rules = changes.ignore_rules(spark.createDataFrame([("/top", "gitignore", 1, "d3/"), ("/top/d3", "ignore", 1, "!f3"), ("/top", "gitignore", 2, "*9")], "dir_key string, source string, line int, text string"))
+    few = changes.ignore_decisions(rows, rules)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+    monkeypatch.setattr(changes, "TOLD_ROOTS", 1)
+    many = changes.ignore_decisions(rows, rules)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == sorted((f"/top/d{k % 7}/f{k}", k % 7 == 3 or k % 10 == 9) for k in range(2000))
+
+
 def test_contents(spark, tmp_path):
     (tmp_path / "a.txt").write_text("héllo")
     (tmp_path / "b.bin").write_bytes(b"a\0b")
