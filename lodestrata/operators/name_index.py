@@ -5,8 +5,9 @@ dense ``id``; so those below a directory are neighbours, and a scope is a range
 that Parquet's statistics find. Beside them stand:
 
 * postings: of each gram of a name (one to three characters) and of each extension the ids,
-  in blocks of BLOCK, as offsets inside the block; sorted by value, so that a search reads
-  its values' row groups only;
+  in blocks of BLOCK, as offsets inside the block. A block's postings are made together and
+  don't move afterwards; each file is sorted by value, so that a search reads its values'
+  row groups only;
 * directories: the first and last id below each, its own id, and its name.
 
 A search intersects the rarest of its constraints' blocks first, then reads the entries of
@@ -17,14 +18,17 @@ equals ``search.search`` over the entries.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from . import search as S
-from .postings import extensions, name_grams
 from .search import FileQuery
 from .store import numbered
 
@@ -36,6 +40,47 @@ FIRST_BLOCKS, MORE = 4, 16
 TOLD_BLOCKS = 4096
 
 
+#: What ``block_postings`` gives.
+POSTINGS = "kind string, value string, block long, n int, offsets array<int>"
+
+
+def block_postings(rows: pa.Table) -> pa.Table:
+    """kind, value, block, n, offsets (rising) of the grams and extensions of a block's names (block, offset, name, extension)."""
+    parts = []
+    offset = rows.column("offset").to_numpy().astype(np.int64)
+    names = rows.column("name").combine_chunks()
+    known = np.asarray(pc.is_valid(names))
+    texts = pc.fill_null(names, "")
+    code = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+    length = np.asarray(pc.utf8_length(texts)).astype(np.int64)
+    owner = np.repeat(np.arange(len(length)), length)
+    left = np.cumsum(length)[owner] - np.arange(len(code))  # characters of the name from here on
+    for n in (1, 2, 3):
+        at = np.flatnonzero((left >= n) & known[owner])
+        gram = sum((code[at + k] + 1) << 21 * k for k in range(n))  # 21 bits hold a code point
+        parts.append(_posted(gram, offset[owner[at]], lambda found, n=n: ["".join(chr((g >> 21 * k & 0x1FFFFF) - 1) for k in range(n)) for g in found.tolist()], "gram"))
+    extension = rows.column("extension").combine_chunks().dictionary_encode()
+    has = np.flatnonzero(np.asarray(pc.is_valid(extension)))
+    value = extension.dictionary.to_pylist()
+    index = np.asarray(pc.fill_null(extension.indices, 0)).astype(np.int64)
+    parts.append(_posted(index[has], offset[has], lambda found: [value[k] for k in found.tolist()], "extension"))
+    out = pa.concat_tables([p for p in parts if p.num_rows] or parts[:1])
+    return out.add_column(2, "block", pa.array(np.full(out.num_rows, rows.column("block")[0].as_py()), pa.int64()))
+
+
+def _posted(value: np.ndarray, offset: np.ndarray, texts: Callable[[np.ndarray], list[str]], kind: str) -> pa.Table:
+    """kind, value, n, offsets: the distinct offsets of each value, as text."""
+    order = np.lexsort((offset, value))
+    value, offset = value[order], offset[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (offset[1:] != offset[:-1])
+    value, offset = value[new], offset[new]
+    first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else np.zeros(0, np.int64)
+    ends = np.r_[first, len(value)].astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(offset.astype(np.int32)))
+    return pa.table({"kind": pa.array([kind] * len(first), pa.string()), "value": pa.array(texts(value[first]), pa.string()), "n": pa.array(np.diff(ends), pa.int32()), "offsets": lists})
+
+
 class NameIndex:
     """A stored index below ``place``."""
 
@@ -49,12 +94,10 @@ class NameIndex:
         rows = ids.withColumn("block", F.floor(F.col("id") / self.block))
         rows.sortWithinPartitions("id").write.parquet(f"{self.place}/entries")
         rows = self.spark.read.schema(rows.schema).parquet(f"{self.place}/entries")
-        keyed = rows.withColumn("path_key", F.col("id"))  # postings of ids
-        grams = name_grams(keyed).select(F.lit("gram").alias("kind"), F.col("gram").alias("value"), F.col("path_key").alias("id"))
-        kinds = grams.unionByName(extensions(keyed).select(F.lit("extension").alias("kind"), F.col("extension").alias("value"), F.col("path_key").alias("id")))
-        blocks = kinds.groupBy("kind", "value", F.floor(F.col("id") / self.block).alias("block")).agg(F.sort_array(F.collect_list((F.col("id") % self.block).cast("int"))).alias("offsets"))
-        blocks = blocks.select("kind", "value", "block", F.size("offsets").alias("n"), "offsets")
-        blocks.repartitionByRange("kind", "value", "block").sortWithinPartitions("kind", "value", "block").write.parquet(f"{self.place}/postings")
+        extension = P.ascii_lower(P.effective_extension(F.col("name"), F.col("extension")))
+        named = rows.select("block", (F.col("id") % self.block).cast("int").alias("offset"), P.ascii_lower(F.col("name")).alias("name"), extension.alias("extension"))
+        blocks = named.groupBy("block").applyInArrow(block_postings, POSTINGS)
+        blocks.sortWithinPartitions("kind", "value", "block").write.parquet(f"{self.place}/postings")
         self._directories(rows).write.parquet(f"{self.place}/directories")
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.place}/placed")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -62,11 +105,12 @@ class NameIndex:
     @staticmethod
     def _directories(rows: DataFrame) -> DataFrame:
         """segment, written, dir, first and last id below, own id (of a directory's entry) of every directory."""
-        above = P.ancestors(F.col("path_key"))
-        steps = F.transform(above, lambda d, k: F.struct(d.alias("dir"), (k == F.size(above) - 1).alias("own")))
-        filed = rows.select("id", "kind", F.explode(steps).alias("s")).where(~F.col("s.own") | (F.col("kind") == "directory"))
-        below, own = F.when(~F.col("s.own"), F.col("id")), F.when(F.col("s.own"), F.col("id"))
-        dirs = filed.groupBy(F.col("s.dir").alias("dir")).agg(F.min(below).alias("first"), F.max(below).alias("last"), F.min(own).alias("own"), F.min("id").alias("seen"))
+        ids, none = F.col("id"), F.lit(None).cast("long")
+        # entries of one directory have the same ancestors
+        filed = rows.groupBy(F.regexp_replace("path_key", r"[^/\\]+[/\\]*$", "").alias("up")).agg(F.min(ids).alias("first"), F.max(ids).alias("last"))
+        below = filed.select(F.explode(P.ancestors(F.col("up"))).alias("dir"), "first", "last", none.alias("own"))
+        owned = rows.where("kind = 'directory'").select(F.element_at(P.ancestors(F.col("path_key")), -1).alias("dir"), none.alias("first"), none.alias("last"), ids.alias("own"))
+        dirs = below.unionByName(owned).groupBy("dir").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("own").alias("own")).withColumn("seen", F.least("first", "own"))
         written = F.regexp_replace(F.try_element_at(P.segments(F.col("dir")), F.lit(-1)), ":+$", "")  # null for a root without a name
         return dirs.withColumn("written", written).withColumn("segment", P.ascii_lower(F.col("written"))).where("segment is not null")
 

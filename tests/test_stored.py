@@ -6,7 +6,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.operators import batch_search, catalog_state, changes, content_index, entries, fulltext, journal_store, name_index, search, store, versions
+from lodestrata.operators import batch_search, catalog_state, changes, content_index, entries, fulltext, journal_store, name_index, postings, search, store, versions
 from lodestrata.operators.requests import file_query
 from lodestrata.operators.search import FileQuery
 
@@ -154,6 +154,19 @@ def test_name_index_equals_scan(spark, catalog, block):
     assert "GreaterThanOrEqual(path_key,/pro/)" in plan and "Exchange" not in plan
 
 
+def test_postings_of_a_block_are_made_together(spark, catalog, tmp_path):
+    odd = catalog.limit(40).withColumn("name", F.concat(F.lit("Ä\U0001F600"), "name")).withColumn("path_key", F.concat(F.lit("/odd"), "path_key")).withColumn("path", F.col("path_key"))
+    index = name_index.NameIndex(spark, str(tmp_path / "names"), 16)
+    index.build(catalog.unionByName(odd))
+    keyed = index.entries().withColumn("path_key", F.col("id"))
+    want = {("gram", r.gram, r.path_key) for r in postings.name_grams(keyed).collect()} | {("extension", r.extension, r.path_key) for r in postings.extensions(keyed).collect()}
+    got = index.postings().collect()
+    assert len({(r.kind, r.value, r.block) for r in got}) == len(got) and all(r.n == len(r.offsets) and r.offsets == sorted(set(r.offsets)) for r in got)
+    assert {(r.kind, r.value, r.block * 16 + o) for r in got for o in r.offsets} == want
+    plan = index.postings().where("kind = 'gram' and value = 'rin'")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(value,rin)" in plan
+
+
 # ---------------------------------------------------------------- journal
 
 ENTRY = "path_key string, kind string, size_bytes long"
