@@ -78,10 +78,20 @@ class CatalogState:
 
     def set_manifest(self, batch_id: int, manifest: DataFrame, at_ms: int) -> bool:
         """Replaces the manifest of a prepared generation; faulty rows, and generations that aren't prepared (any more), are refused."""
-        if not C.manifest_faults(manifest).isEmpty():
+        known = self.record()["generations"].get(str(batch_id))
+        if known is None or known["state"] != "prepared":
             return False
         name = uuid.uuid4().hex
-        manifest.select("path_key", "parent_key", "root", F.col("modified_ms").cast("long")).repartitionByRange("path_key").sortWithinPartitions("path_key").write.parquet(f"{self.place}/manifests/{name}")
+        raw = f"{self.place}/manifests/{name}-raw"
+        manifest.select("path_key", "parent_key", "root", F.col("modified_ms").cast("long")).write.parquet(raw)  # made once, then checked and sorted
+        rows = self.spark.read.schema(MANIFEST).parquet(raw)
+        try:
+            if not C.manifest_faults(rows).isEmpty():
+                return False
+            rows.repartitionByRange("path_key").sortWithinPartitions("path_key").write.parquet(f"{self.place}/manifests/{name}")
+        finally:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(raw)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
         def change(r: dict) -> dict | None:
             known = r["generations"].get(str(batch_id))

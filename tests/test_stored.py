@@ -318,6 +318,15 @@ def test_prepared_at_the_time_of_the_change(spark, monkeypatch):
     assert not state.set_manifest(1, rows, 3) and state.manifest(1).count() == 0
 
 
+def test_manifest_of_another_state_is_not_evaluated(spark):
+    state = catalog_state.CatalogState(spark, versions.new_place(spark, "state"))
+    rows = spark.createDataFrame([("/r", None, "/r", 1)], catalog_state.MANIFEST)
+    failing = rows.withColumn("modified_ms", F.raise_error(F.lit("evaluated")).cast("long"))
+    assert state.set_state(1, "building", 1, "/r") and not state.set_manifest(1, failing, 2)
+    assert state.set_state(1, "prepared", 3) and not state.set_manifest(1, rows.withColumn("path_key", F.lit("/q")), 4) and state.set_manifest(1, rows, 5)
+    assert [tuple(r) for r in state.manifest(1).collect()] == [("/r", None, "/r", 1)]
+
+
 def test_attached_index(spark, catalog):
     state = catalog_state.CatalogState(spark, versions.new_place(spark, "state"))
     q = fulltext.content_query("alpha")
