@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import command_safety
-from lodestrata.operators import changes, fulltext, requests, search, versions
+from lodestrata.operators import changes, fulltext, postings, requests, search, versions
 from lodestrata.operators.search import FileQuery
 from lodestrata.registry import parts
 from lodestrata.sources import tree
@@ -181,6 +181,18 @@ def test_ignore_rules_go_to_the_rows(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == sorted((f"/top/d{k % 7}/f{k}", k % 7 == 3 or k % 10 == 9) for k in range(2000))
 
 
+def test_grams_are_counted_and_found_without_all_of_them(spark):
+    names = ["aaa", "abAB", "", "x", None, "Ä\U0001F600Ä\U0001F600", "straße.md"]
+    rows = spark.createDataFrame([(f"/Top/d{k % 2}/{n}", f"/Top/d{k % 2}/{n}", n, "file") for k, n in enumerate(names)], "path_key string, path string, name string, kind string")
+    grams, segments = postings.name_grams(rows), postings.path_segments(rows)
+    assert sorted(map(tuple, postings.gram_counts(rows).collect())) == sorted(map(tuple, grams.groupBy("gram").count().collect()))
+    of = lambda df: sorted(r.path_key for r in df.collect())
+    for gram in ("a", "ab", "aaa", "\U0001F600Ä", "", "strá", "stra"):
+        assert of(postings.with_gram(rows, gram)) == of(postings.holding(grams, "gram", gram)), gram
+    for segment in ("top", "d1", "Top", "x"):
+        assert of(postings.with_segment(rows, segment)) == of(postings.holding(segments, "segment", segment)), segment
+
+
 def test_contents(spark, tmp_path):
     (tmp_path / "a.txt").write_text("héllo")
     (tmp_path / "b.bin").write_bytes(b"a\0b")
