@@ -34,8 +34,15 @@ def segments(path: Column) -> Column:
 
 def ancestors(key: Column) -> Column:
     """The key and all directories above it, the topmost first; joins on it replace prefix comparisons."""
-    parts = segments(key)
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))
+    each = lambda parts: F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))
+    return F.transform(F.array(segments(key)), each)[0]  # so that the key is cut once, not once for each ancestor
+
+
+def directory(key: Column) -> Column:
+    """The directory whose ancestors, itself among them, are those of ``ancestors`` but the key itself; null where there are none."""
+    above = F.left(key, F.length(key) - F.length(F.substring_index(key, "/", -1)) - 1)
+    whole = F.concat(F.lit("/"), F.array_join(segments(key), "/"))  # of a key with empty segments, which is none of its ancestors
+    return F.when(~key.rlike(r"\\|//|/$|^$|^[^/]"), F.nullif(above, F.lit(""))).otherwise(F.nullif(whole, key))
 
 
 def parent_key(key: Column) -> Column:

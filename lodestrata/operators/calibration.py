@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from .changes import collapsed, excluded, longest_roots, under, with_ancestors
+from .changes import collapsed, excluded, longest_roots, under, with_ancestors, without_hidden
 
 
 def calibrated(manifest: DataFrame, probed: DataFrame) -> DataFrame:
@@ -76,8 +76,7 @@ def manifest_with_tail(manifest: DataFrame, journal: DataFrame, committed: DataF
     put = last.join(known, "path_key", "left").where("c is not null or e.kind = 'directory'").select("path_key", "generation", F.coalesce("c", F.struct("e.parent_key", "e.root", "e.modified_ms")).alias("row"))
     base = manifest.select("path_key", F.lit(0).cast("long").alias("generation"), F.struct(*columns[1:]).alias("row")).join(put, "path_key", "left_anti")
     rows = base.unionByName(put)
-    dead = with_ancestors(rows.select("path_key", "generation")).join(removals, "above").where("gone > generation").select("path_key").distinct()
-    rows = rows.join(dead, "path_key", "left_anti").select("path_key", "row.*")
+    rows = without_hidden(rows, removals.select("above", F.col("gone").alias("here"), F.col("gone").alias("below"))).select("path_key", "row.*")
     touched = with_ancestors(journal.select("path_key").distinct()).select(F.col("above").alias("path_key")).distinct()
     wins = committed.select(*columns).join(touched, "path_key", "left_semi")
     return rows.join(wins, "path_key", "left_anti").select(*columns).unionByName(wins)

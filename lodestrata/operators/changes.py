@@ -1,13 +1,15 @@
 """Change data: events to change sets, merge-on-read views, snapshot differences.
 
 Subtree rules never compare prefixes row by row: a key's ancestors are looked up among the
-roots, in the scan where these are few, else exploded and joined on equality, so the cost is
-a row's depth.
+roots, in the scan where these are few, else by distinct directory: the ancestors of each
+directory that holds rows are exploded once and joined on equality, and rows meet what was
+found for their own directory.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,6 +42,25 @@ def with_ancestors(rows: DataFrame, key: str = "path_key") -> DataFrame:
     return rows.select("*", F.explode(P.ancestors(F.col(key))).alias("above"))
 
 
+def by_directory(rows: DataFrame, found: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows (path_key) with ``__dir``, the directory of each, and what ``found`` makes of (__dir, above), by __dir.
+
+    Every row of a directory has the same ancestors: they are exploded once for each
+    distinct directory, so neither the topmost key nor a large directory gathers its rows.
+    """
+    placed = rows.withColumn("__dir", P.directory(F.col("path_key")))
+    held = with_ancestors(placed.select("__dir").where("__dir is not null").distinct(), "__dir")
+    return placed.join(found(held), "__dir", "left")
+
+
+def without_hidden(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows (path_key, generation) without those older than what hides them: ``here`` at their key, ``below`` at a directory above it (gone: above, here, below)."""
+    over = by_directory(rows, lambda held: held.join(gone.where("below is not null").select("above", "below"), "above").groupBy("__dir").agg(F.max("below").alias("__below")))
+    own = gone.where("here is not null").select(F.col("above").alias("path_key"), F.col("here").alias("__here"))
+    hidden = F.greatest("__below", "__here")
+    return over.join(own, "path_key", "left").where(hidden.isNull() | (F.col("generation") >= hidden)).select(*rows.columns)
+
+
 #: Roots that are told to the scan at most; more are joined.
 TOLD_ROOTS = 1024
 
@@ -56,11 +77,14 @@ def under(rows: DataFrame, roots: DataFrame, how: str, strictly: bool = False, t
         if strictly:
             above = F.filter(above, lambda a: a != F.col("path_key"))
         hit = F.exists(above, lambda a: a.isin(*few)) if few else F.lit(False)
+        if few and not strictly:
+            hit = hit | F.col("path_key").isin(*few)
         return rows.where(hit) if how == "left_semi" else rows.where(~F.coalesce(hit, F.lit(False)))
-    hit = with_ancestors(rows.select("path_key").distinct()).join(roots.select(F.col("path_key").alias("above")), "above")
-    if strictly:
-        hit = hit.where("above != path_key")
-    return rows.join(hit.select("path_key").distinct(), "path_key", how)
+    hit = by_directory(rows, lambda held: held.join(roots.select(F.col("path_key").alias("above")), "above").groupBy("__dir").agg(F.lit(True).alias("__covered")))
+    test = F.col("__covered").isNotNull()
+    if not strictly:
+        hit, test = hit.join(roots.withColumn("__named", F.lit(True)), "path_key", "left"), test | F.col("__named").isNotNull()
+    return hit.where(test if how == "left_semi" else ~test).select(*rows.columns)
 
 
 def collapsed(removals: DataFrame) -> DataFrame:
@@ -79,15 +103,9 @@ def layered(baseline: DataFrame, deltas: DataFrame) -> DataFrame:
     ups = first_of(deltas.where("op = 'upsert'"), ["path_key"], [F.desc("generation")])
     removed, hides = F.col("op") == "remove", (F.col("op") == "remove") | (F.col("kind") != "directory")
     gone = deltas.where(hides).groupBy(F.col("path_key").alias("above")).agg(F.max("generation").alias("below"), F.max(F.when(removed, F.col("generation"))).alias("here"))
-
-    def alive(rows: DataFrame) -> DataFrame:
-        held = with_ancestors(rows.select("path_key", "generation")).join(gone, "above")
-        dead = held.where("generation < if(above = path_key, here, below)").select("path_key").distinct()
-        return rows.join(dead, "path_key", "left_anti")
-
-    over = alive(ups)
-    base = alive(baseline.withColumn("generation", F.lit(0).cast("long"))).join(ups.select("path_key"), "path_key", "left_anti")
-    return base.select(*columns).unionByName(over.select(*columns))
+    base = baseline.join(ups.select("path_key"), "path_key", "left_anti").withColumn("generation", F.lit(0).cast("long"))
+    rows = base.select(*columns, "generation").unionByName(ups.select(*columns, "generation"))
+    return without_hidden(rows, gone).select(*columns)
 
 
 def applied(entries: DataFrame, deltas: DataFrame) -> DataFrame:
@@ -104,9 +122,7 @@ def applied(entries: DataFrame, deltas: DataFrame) -> DataFrame:
     gone = steps.where("op = 'remove'").groupBy(F.col("path_key").alias("above")).agg(F.max("generation").alias("here"), F.max(F.when((F.col("was.op") == "upsert") & (F.col("was.kind") == "directory"), F.col("generation"))).alias("below"))
     ups = first_of(deltas.where("op = 'upsert'"), ["path_key"], [F.desc("generation")])
     rows = entries.withColumn("generation", F.lit(0).cast("long")).join(ups.select("path_key"), "path_key", "left_anti").select(*columns, "generation").unionByName(ups.select(*columns, "generation"))
-    held = with_ancestors(rows.select("path_key", "generation")).join(gone, "above")
-    dead = held.where("generation < if(above = path_key, here, below)").select("path_key").distinct()
-    return rows.join(dead, "path_key", "left_anti").select(*columns)
+    return without_hidden(rows, gone).select(*columns)
 
 
 def snapshot_diff(known: DataFrame, current: DataFrame) -> DataFrame:
@@ -165,9 +181,9 @@ def covered_roots(roots: DataFrame) -> DataFrame:
 
 def longest_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """path_key, root: the deepest root that covers each row, null if none does."""
-    hit = with_ancestors(rows.select("path_key").distinct()).join(roots.select(F.col("path_key").alias("above")).distinct(), "above")
-    best = hit.groupBy("path_key").agg(F.max_by("above", F.length("above")).alias("root"))
-    return rows.select("path_key").join(best, "path_key", "left")
+    roots = roots.select("path_key").where("path_key is not null").distinct()
+    over = by_directory(rows.select("path_key"), lambda held: held.join(roots.select(F.col("path_key").alias("above")), "above").groupBy("__dir").agg(F.max_by("above", F.length("above")).alias("__over")))
+    return over.join(roots.withColumn("__own", F.col("path_key")), "path_key", "left").select("path_key", F.coalesce("__own", "__over").alias("root"))
 
 
 #: Directory names that are never scanned.

@@ -39,7 +39,10 @@ def finished(rows: DataFrame, root: str) -> DataFrame:
 
 def with_directories(files: DataFrame) -> DataFrame:
     """Files and the directories above them."""
-    above = files.select(F.explode(F.expr("slice(p, 1, size(p) - 1)")).alias("path")) if "p" in files.columns else files.select(F.explode(P.ancestors(P.parent_key(F.col("path")))).alias("path"))
+    if "p" in files.columns:
+        above = files.select(F.explode(F.expr("slice(p, 1, size(p) - 1)")).alias("path"))
+    else:  # the ancestors of each distinct directory, not of each file
+        above = files.select(P.parent_key(F.col("path")).alias("d")).distinct().select(F.explode(P.ancestors(F.col("d"))).alias("path"))
     above = above.distinct().select("path", F.lit("directory").alias("kind"), F.lit(None).cast("long").alias("modified_ms"), F.lit(None).cast("long").alias("size_bytes"))
     return files.withColumn("kind", F.lit(None).cast("string")).select("path", "kind", "modified_ms", "size_bytes").unionByName(above)
 

@@ -6,6 +6,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata.functions import paths
 from lodestrata.operators import batch_search, catalog_state, changes, content_index, entries, fulltext, journal_store, name_index, postings, search, store, versions
 from lodestrata.operators.requests import file_query
 from lodestrata.operators.search import FileQuery
@@ -247,6 +248,28 @@ def test_counts_of_touched_scopes(spark):
         assert visible == changes.layered(base, journal).count()
 
 
+def test_directories_of_odd_keys(spark):
+    keys = ["/a/b/c", "/a", "/", "", "/a//b", "/a/b/", "a/b", "\\\\a\\b", "//a", None]
+    rows = spark.createDataFrame([(k,) for k in keys], "path_key string")
+    d = spark.createDataFrame([("/a/b",)], "d string")
+    for r in rows.select("path_key", paths.ancestors(F.col("path_key")).alias("all"), paths.directory(F.col("path_key")).alias("d")).select("path_key", "all", "d", paths.ancestors(F.col("d")).alias("above")).collect():
+        assert set(r["above"] or []) == {a for a in r["all"] or [] if a != r["path_key"]}, r
+    assert d.select(paths.directory(F.col("d"))).first()[0] == "/a"
+
+
+def test_ancestors_are_exploded_by_directory(spark, tmp_path):
+    """A thousand files of a directory meet the removals once, not once each."""
+    entry = lambda n: spark.range(n).select(F.concat(F.lit("/a/b/"), F.col("id").cast("string")).alias("path_key"), F.lit("file").alias("kind"), F.col("id").alias("size_bytes"))
+    entry(1000).write.parquet(str(tmp_path / "base"))
+    base = spark.read.parquet(str(tmp_path / "base"))
+    delta = spark.createDataFrame([(1, "remove", "/a/b/7", "file", 0), (2, "remove", "/a/c", "file", 0)], f"generation long, op string, {ENTRY}")
+    for rows in (changes.layered(base, delta), changes.applied(base, delta), changes.under(base, delta.select("path_key"), "left_anti", told=0)):
+        assert rows.count() == 999
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        exploded = plan[plan.index("Generate explode") :].splitlines()
+        assert "Aggregate [__dir" in exploded[1]
+
+
 @pytest.mark.parametrize("strictly", [False, True])
 def test_roots_in_the_scan_and_in_a_join(spark, catalog, strictly):
     for roots in (["/pro", "/small/ring", None], [], ["/"], ["/nowhere", "/ECONOMY", "/ECONOMY"]):
