@@ -15,7 +15,7 @@ import json
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import changes as C
@@ -144,3 +144,23 @@ def count_change(baseline: DataFrame, journal: DataFrame, delta: DataFrame) -> i
     before = touched(C.layered(rows, known), keys).select(F.lit(-1).alias("n"))
     after = touched(C.layered(rows, known.unionByName(delta.select(*journal.columns))), keys).select(F.lit(1).alias("n"))
     return before.unionByName(after).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def counts(baseline: DataFrame, journal: DataFrame, generations: list[int]) -> dict[int, int]:
+    """The visible rows of baseline and journal after each of these generations, in one pass over both.
+
+    A row counts from its generation to the one that replaces or hides it, as in ``layered``.
+    """
+    change = F.col("generation")
+    ups = journal.where("op = 'upsert'").select("path_key", "generation").distinct()
+    rows = baseline.select("path_key", F.lit(0).cast("long").alias("generation")).unionByName(ups)
+    later = Window.partitionBy("path_key").orderBy("generation").rangeBetween(1, Window.unboundedFollowing)
+    rows = rows.withColumn("__next", F.min("generation").over(later))
+    hides = journal.where((F.col("op") == "remove") | (F.col("kind") != "directory")).select(F.col("path_key").alias("above"), change.alias("at")).distinct()
+    gone = journal.where("op = 'remove'").groupBy("path_key").agg(F.collect_set(change).alias("__here"))  # at most one for each generation
+    rows = C.by_directory(rows, lambda held: held.join(hides, "above").groupBy("__dir").agg(F.collect_set("at").alias("__below"))).join(gone, "path_key", "left")
+    first = lambda name: F.array_min(F.filter(name, lambda g: g > change))
+    rows = rows.select("generation", F.least("__next", first("__here"), first("__below")).alias("end"))
+    seen = lambda g: F.count(F.when((change <= g) & F.coalesce(F.col("end") > g, F.lit(True)), 1)).alias(f"g{g}")
+    found = rows.agg(*map(seen, generations)).first()
+    return {g: found[f"g{g}"] for g in generations}

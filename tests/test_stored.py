@@ -248,6 +248,17 @@ def test_counts_of_touched_scopes(spark):
         assert visible == changes.layered(base, journal).count()
 
 
+def test_counts_of_all_generations_in_one_pass(spark):
+    rng = random.Random(9)
+    keys = [f"/{a}/{b}" for a in "abc" for b in ("x", "x/1.md", "x/2.md", "y.md")] + ["/a", "/b", "/c"]
+    entry = lambda k: (k, "file" if "." in k else "directory", 1)
+    base = spark.createDataFrame([entry(k) for k in keys if rng.random() < 0.7], ENTRY)
+    rows = [(g, rng.choice(["upsert", "remove"]), k, rng.choice(["file", "directory"]), g) for g in (1, 2, 4, 5) for k in rng.sample([*keys, "/a/x.md", "/new/z.md"], 4)]
+    journal = spark.createDataFrame(rows, f"generation long, op string, {ENTRY}")
+    want = {g: changes.layered(base, journal.where(F.col("generation") <= g)).count() for g in range(1, 6)}
+    assert journal_store.counts(base, journal, list(range(1, 6))) == want and len(set(want.values())) > 2
+
+
 def test_directories_of_odd_keys(spark):
     keys = ["/a/b/c", "/a", "/", "", "/a//b", "/a/b/", "a/b", "\\\\a\\b", "//a", None]
     rows = spark.createDataFrame([(k,) for k in keys], "path_key string")
