@@ -1,10 +1,11 @@
-"""A stored full-text index: postings with positions, clustered by term, in segments that never change.
+"""A stored full-text index: postings with positions, by block of documents, in segments that never change.
 
-A segment has documents (id, path_key, dl) and postings: one row for a term in a block of
-documents, with their ids, frequencies, lengths, and the term's positions. Rows are sorted
-by term, so a query reads its terms' row groups only; a row's highest frequency and least
-length bound what its documents can score, so that the best ones are found without reading
-all blocks.
+A segment has one row for a term in a block of documents, with their ids, frequencies,
+lengths, and the term's positions; a block's row without a term has its documents. A block's
+rows are sorted by term and written where its texts were read, in one pass in which nothing
+moves, so a query reads of each file the pages that hold its terms; a row's highest
+frequency and least length bound what its documents can score, so that the best ones are
+found without reading all blocks.
 
 ``build`` writes one segment. ``change`` adds one with the new texts and a list of the
 documents that no longer count. The index's record names segments and lists; it changes by
@@ -20,6 +21,7 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,46 +37,61 @@ FILE_ROWS = 1 << 20
 #: Blocks of the best bounds that are scored first; the k-th score found there rules others out.
 SEEDS = 16
 
-POSTINGS = "term string, block long, n int, max_tf int, min_dl int, ids array<long>, tfs array<int>, dls array<int>, starts array<int>, positions array<int>"
-DOCUMENTS = "id long, path_key string, dl int"
-_WORDS = "id long, words array<string>"
+POSTINGS = "term string, block long, n int, max_tf int, min_dl int, ids array<long>, tfs array<int>, dls array<int>, starts array<int>, positions array<int>, paths array<string>"
+#: The term of the row that has a block's documents (ids, dls, paths); no word is empty.
+NO_TERM = ""
 
 
 def block_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """POSTINGS of (id, words) in order of ids, ``most`` documents a block: all the rows of a block come from one batch."""
+    """POSTINGS of (id, path_key, words) in order of ids, ``most`` documents a block: all the rows of a block come from one batch."""
     for batch in batches:
         sizes = np.asarray(batch.column("words").value_lengths())
         edge = np.maximum(np.cumsum(sizes) // BLOCK_WORDS, np.arange(len(sizes)) // most)
         cuts = [0, *(np.flatnonzero(np.diff(edge)) + 1).tolist(), len(sizes)]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
-                yield _block(batch.slice(a, b - a))
+                yield from _block(batch.slice(a, b - a))
 
 
-def _block(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _block(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The row of the block's documents, then a row for each term, in order."""
     ids, lists = np.asarray(batch.column("id")), batch.column("words")
-    dl = np.asarray(lists.value_lengths())
+    dl = np.asarray(lists.value_lengths()).astype(np.int32)
     found = lists.flatten().dictionary_encode()
-    code = np.asarray(found.indices)
-    doc = np.repeat(np.arange(len(dl)), dl)
-    place = np.arange(len(code)) - np.repeat(np.cumsum(dl) - dl, dl)
+    ranks = pc.sort_indices(found.dictionary)
+    rank = np.empty(len(ranks), np.int32)
+    rank[np.asarray(ranks)] = np.arange(len(ranks), dtype=np.int32)
+    code = rank[np.asarray(found.indices)]
+    terms = found.dictionary.take(ranks)
+    del found
     order = np.argsort(code, kind="stable")  # by term, then document, then place
-    code, doc, place = code[order], doc[order], place[order]
+    code = code[order]
+    doc = np.repeat(np.arange(len(dl), dtype=np.int32), dl)[order]
+    begins = (np.cumsum(dl, dtype=np.int64) - dl)[doc]
+    place = (order - begins).astype(np.int32)
+    del order, begins
     new = np.ones(len(code), bool)
     new[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(new)
-    tf = np.diff(np.append(at, len(code)))
-    term = code[at]
+    tf = np.diff(np.append(at, len(code))).astype(np.int32)
+    term, holder = code[at], doc[at]
+    del code, doc, new
     first = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(at) else at
     n = np.diff(np.append(first, len(at)))
-    lengths = dl[doc[at]]
+    lengths = dl[holder]
+    one = lambda kind: pa.array([None], pa.list_(kind))
+    whole = lambda values: pa.ListArray.from_arrays(pa.array([0, len(dl)], pa.int32()), values)
+    block, names = int(ids[0]), ["term", "block", "n", "max_tf", "min_dl", "ids", "tfs", "dls", "starts", "positions", "paths"]
+    number = lambda x: pa.array([x], pa.int32())
+    documents = [pa.array([NO_TERM]), pa.array([block]), number(len(dl)), number(0), number(0), whole(pa.array(ids)), one(pa.int32()), whole(pa.array(dl)), one(pa.int32()), one(pa.int32()), whole(batch.column("path_key").cast(pa.string()))]
+    yield pa.RecordBatch.from_arrays(documents, names=names)
     ends = np.append(first, len(at)).astype(np.int32)
     each = lambda values, kind: pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
     reduced = lambda f, x: f.reduceat(x, first) if len(first) else np.zeros(0, np.int64)
     starts = at - np.repeat(at[first], n)
-    places = pa.ListArray.from_arrays(pa.array(np.append(at[first], len(code)).astype(np.int32)), pa.array(place, pa.int32()))
-    columns = [found.dictionary.take(pa.array(term[first])), pa.array(np.full(len(first), ids[0] if len(ids) else 0)), pa.array(n, pa.int32()), pa.array(reduced(np.maximum, tf), pa.int32()), pa.array(reduced(np.minimum, lengths), pa.int32()), each(ids[doc[at]], pa.int64()), each(tf, pa.int32()), each(lengths, pa.int32()), each(starts, pa.int32()), places]
-    return pa.RecordBatch.from_arrays(columns, names=["term", "block", "n", "max_tf", "min_dl", "ids", "tfs", "dls", "starts", "positions"])
+    places = pa.ListArray.from_arrays(pa.array(np.append(at[first], len(place)).astype(np.int32)), pa.array(place))
+    columns = [terms.take(pa.array(term[first])).cast(pa.string()), pa.array(np.full(len(first), block)), pa.array(n, pa.int32()), pa.array(reduced(np.maximum, tf), pa.int32()), pa.array(reduced(np.minimum, lengths), pa.int32()), each(ids[holder], pa.int64()), each(tf, pa.int32()), each(lengths, pa.int32()), each(starts, pa.int32()), places, pa.nulls(len(first), pa.list_(pa.string()))]
+    yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 class Index:
@@ -90,16 +107,17 @@ class Index:
         """A new segment of (path_key, content), null contents left out; the part of the record that tells of it."""
         name = uuid.uuid4().hex
         path = f"{self.place}/segments/{name}"
-        # ids are numbered within a range of paths: neighbours in the tree share blocks
-        counted = texts.where("content is not null").select("path_key", words(F.col("content")).alias("words"))
-        numbered = counted.withColumn("id", F.monotonically_increasing_id()).select("id", "path_key", F.size("words").alias("dl"), "words")
-        numbered.write.parquet(f"{path}/words", compression="zstd")
-        rows = self.spark.read.schema(f"{DOCUMENTS}, words array<string>").parquet(f"{path}/words")
-        rows.select("id", "path_key", "dl").sortWithinPartitions("path_key").write.parquet(f"{path}/documents", compression="zstd")
-        blocks = rows.select("id", "words").mapInArrow(partial(block_rows, most=self.block_docs), POSTINGS)
-        blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{path}/postings", compression="zstd")
-        n, dl = rows.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        self.state.folder.fs.delete(self.state.folder.jvm.org.apache.hadoop.fs.Path(f"{path}/words"), True)
+        texts = texts.where("content is not null").select(F.monotonically_increasing_id().alias("id"), "path_key", words(F.col("content")).alias("words"))
+        conf, size = self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(size)
+        conf.set(size, min(int(before) if int(before) > 0 else self.block_docs, self.block_docs))  # a worker holds a block's texts, not several blocks'
+        try:
+            blocks = texts.mapInArrow(partial(block_rows, most=self.block_docs), POSTINGS)
+            blocks.write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{path}/postings", compression="zstd")
+        finally:
+            conf.set(size, before)
+        held = self.spark.read.schema(POSTINGS).parquet(f"{path}/postings").where(F.col("term") == NO_TERM)
+        n, dl = held.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.expr("aggregate(dls, 0L, (a, x) -> a + x)")), F.lit(0))).first()
         return {"name": name, "n": n, "dl": dl}
 
     def build(self, texts: DataFrame) -> None:
@@ -127,9 +145,11 @@ class Index:
     def _gone(self, names: list[str]) -> DataFrame:
         return union(self.spark, [f"{self.place}/gone/{n}" for n in names], "segment string, id long, dl int")
 
-    def _segments(self, record: dict, kind: str, schema: str) -> DataFrame:
-        parts = [self.spark.read.schema(schema).parquet(f"{self.place}/segments/{s['name']}/{kind}").withColumn("segment", F.lit(s["name"])) for s in record.get("segments", [])]
-        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], f"{schema}, segment string")
+    def postings(self, record: dict | None = None) -> DataFrame:
+        """segment and POSTINGS, the rows of blocks' documents among them."""
+        record = self.state.read()[1] if record is None else record
+        parts = [self.spark.read.schema(POSTINGS).parquet(f"{self.place}/segments/{s['name']}/postings").withColumn("segment", F.lit(s["name"])) for s in record.get("segments", [])]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], f"{POSTINGS}, segment string")
 
     def _alive(self, rows: DataFrame, record: dict) -> DataFrame:
         """rows (segment, id) without documents that no longer count."""
@@ -139,15 +159,13 @@ class Index:
     def documents(self, record: dict | None = None) -> DataFrame:
         """segment, id, path_key, dl of the documents that count."""
         record = self.state.read()[1] if record is None else record
-        return self._alive(self._segments(record, "documents", DOCUMENTS), record)
-
-    def postings(self, record: dict | None = None) -> DataFrame:
-        return self._segments(self.state.read()[1] if record is None else record, "postings", POSTINGS)
+        each = self.postings(record).where(F.col("term") == NO_TERM).select("segment", F.explode(F.arrays_zip("ids", "paths", "dls")).alias("d"))
+        return self._alive(each.select("segment", F.col("d.ids").alias("id"), F.col("d.paths").alias("path_key"), F.col("d.dls").alias("dl")), record)
 
     def frequencies(self) -> DataFrame:
         """term, df, n (occurrences) over the documents that count."""
         record = self.state.read()[1]
-        rows = self.postings(record)
+        rows = self.postings(record).where(F.col("term") != NO_TERM)
         if not any(g["n"] for g in record.get("gone", [])):
             return rows.select("term", "n", F.expr("aggregate(tfs, 0L, (a, x) -> a + x)").alias("m")).groupBy("term").agg(F.sum("n").alias("df"), F.sum("m").alias("n"))
         each = rows.select("segment", "term", F.explode(F.arrays_zip("ids", "tfs")).alias("p")).select("segment", F.col("p.ids").alias("id"), "term", F.col("p.tfs").alias("tf"))

@@ -65,6 +65,21 @@ def test_blocks_beyond_the_bound_are_not_read(spark):
     assert "PushedFilters: [In(term" in plan
 
 
+def test_index_is_built_without_a_shuffle(spark):
+    """Blocks are written where their texts are read, sorted by term, and nothing else stays beside them."""
+    index = content_index.Index(spark, versions.new_place(spark, "index"), 16)
+    index.build(texts_of(spark, 4, 100))
+    folder = store.Folder(spark, f"{index.place}/segments")
+    (segment,) = folder.names()
+    assert store.Folder(spark, f"{index.place}/segments/{segment}").names() == ["postings"]
+    blocks = {}
+    for r in index.postings().select("block", "term", F.input_file_name().alias("f")).collect():
+        blocks.setdefault(r["block"], []).append((r["f"], r["term"].encode()))
+    assert len(blocks) > 5
+    for rows in blocks.values():  # one file a block, its documents first, then terms in order
+        assert len({f for f, _ in rows}) == 1 and rows == sorted(rows) and rows[0][1] == b""
+
+
 def test_empty_index(spark):
     index = content_index.Index(spark, versions.new_place(spark, "index"))
     none = spark.createDataFrame([], "path_key string, content string")
