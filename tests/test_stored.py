@@ -80,6 +80,22 @@ def test_index_is_built_without_a_shuffle(spark):
         assert len({f for f, _ in rows}) == 1 and rows == sorted(rows) and rows[0][1] == b""
 
 
+def test_a_worker_gets_the_texts_of_one_block_at_a_time(spark, monkeypatch):
+    real = content_index.block_rows
+
+    def narrow(batches, most):
+        for batch in batches:
+            if batch.num_rows > most:
+                raise ValueError(f"{batch.num_rows} texts at once")
+            yield from real([batch], most)
+
+    monkeypatch.setattr(content_index, "block_rows", narrow)
+    index = content_index.Index(spark, versions.new_place(spark, "index"), 16)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    index.build(texts_of(spark, 4, 100).coalesce(1))
+    assert index.documents().count() == 102 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == size
+
+
 def test_empty_index(spark):
     index = content_index.Index(spark, versions.new_place(spark, "index"))
     none = spark.createDataFrame([], "path_key string, content string")
