@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -13,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..workers import lean
+
 #: Text bytes handled at once inside a task; bounds a Python worker's memory.
 PIECE_BYTES = 1 << 18
 #: Rows of an Arrow batch where the session doesn't say; Spark's own default is for narrow rows.
@@ -32,23 +33,6 @@ _MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_2 = np.uint64(0x94D049BB133111EB)
 
 
-#: Blocks of at least so many bytes go back to the system when they are freed, and don't stay with a Python worker.
-RETURNED_BYTES = 1 << 17
-
-
-def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The function in a worker that gives freed memory back (where the C library has mallopt)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.set_memory_pool(pa.system_memory_pool())
-        mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
-        if mallopt:
-            mallopt(-3, RETURNED_BYTES)  # M_MMAP_THRESHOLD
-        yield from function(batches)
-
-    return run
-
-
 def mapped(rows: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with batches that are small enough for rows of whole texts."""
     conf = rows.sparkSession.conf

@@ -26,12 +26,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..workers import lean
 from .changes import under
 from .fulltext import B, K1, ContentQuery, words
 from .store import State, union
 
 #: Documents, and words, of a block at most (a longer text is a block of its own).
 BLOCK_DOCS, BLOCK_WORDS = 2048, 1 << 20
+#: Bytes of the texts that a worker gets at once, about: fewer than BLOCK_DOCS of long texts.
+BATCH_BYTES = 16 << 20
 #: Postings rows of a file, about.
 FILE_ROWS = 1 << 20
 #: Blocks of the best bounds that are scored first; the k-th score found there rules others out.
@@ -108,14 +111,17 @@ class Index:
         name = uuid.uuid4().hex
         path = f"{self.place}/segments/{name}"
         texts = texts.where("content is not null").select(F.monotonically_increasing_id().alias("id"), "path_key", words(F.col("content")).alias("words"))
-        conf, size = self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = conf.get(size)
-        conf.set(size, min(int(before) if int(before) > 0 else self.block_docs, self.block_docs))  # a worker holds a block's texts, not several blocks'
+        conf, rows, size = self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+        before = {key: conf.get(key) for key in (rows, size)}
+        most = int(before[rows])
+        conf.set(rows, min(most if most > 0 else self.block_docs, self.block_docs))  # a worker holds a block's texts, not several blocks'
+        conf.set(size, BATCH_BYTES)
         try:
-            blocks = texts.mapInArrow(partial(block_rows, most=self.block_docs), POSTINGS)
+            blocks = texts.mapInArrow(lean(partial(block_rows, most=self.block_docs)), POSTINGS)
             blocks.write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{path}/postings", compression="zstd")
         finally:
-            conf.set(size, before)
+            for key, value in before.items():
+                conf.set(key, value)
         held = self.spark.read.schema(POSTINGS).parquet(f"{path}/postings").where(F.col("term") == NO_TERM)
         n, dl = held.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.expr("aggregate(dls, 0L, (a, x) -> a + x)")), F.lit(0))).first()
         return {"name": name, "n": n, "dl": dl}

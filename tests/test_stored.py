@@ -96,6 +96,29 @@ def test_a_worker_gets_the_texts_of_one_block_at_a_time(spark, monkeypatch):
     assert index.documents().count() == 102 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == size
 
 
+def test_a_worker_gets_few_long_texts_at_once_and_gives_memory_back(spark, monkeypatch):
+    real = content_index.block_rows
+
+    def narrow(batches, most):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.nbytes > 1 << 20:
+                raise ValueError(f"{batch.nbytes} bytes at once")
+            if pa.default_memory_pool().backend_name != "system":
+                raise ValueError("freed memory stays with the worker")
+            yield from real([batch], most)
+
+    monkeypatch.setattr(content_index, "block_rows", narrow)
+    monkeypatch.setattr(content_index, "BATCH_BYTES", 1 << 19)
+    index = content_index.Index(spark, versions.new_place(spark, "index"))
+    size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = [(f"/d/{k:02d}", "alpha beta " * 5000 + f"t{k}") for k in range(40)]
+    index.build(spark.createDataFrame(rows, "path_key string, content string").coalesce(1))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == size
+    assert index.documents().count() == 40 and {r["term"]: r["df"] for r in index.frequencies().collect()}["alpha"] == 40
+
+
 def test_empty_index(spark):
     index = content_index.Index(spark, versions.new_place(spark, "index"))
     none = spark.createDataFrame([], "path_key string, content string")
