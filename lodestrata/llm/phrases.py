@@ -13,7 +13,8 @@ tabs. A phrase is 2 to 4 words that follow each other in a piece.
    and whose inner phrases' bounds, reach ``least`` are the candidates; they are compiled
    into an Aho-Corasick automaton that counts all their matches in the shard, overlaps
    included. A shard holds all the candidates that can match in it, so counts summed
-   over shards are exact, whatever the number of candidates over all.
+   over shards, first over those of a task, are exact, whatever the number of candidates
+   over all.
 3. Sums at or above ``least`` are kept. A phrase's parts are at least as frequent as
    itself, so their counts are there: two joins give the scores of all cuts, a grouping
    the longer phrases that hold a phrase.
@@ -25,7 +26,7 @@ then by the phrase's UTF-8 bytes; other columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from operator import itemgetter
 
 import ahocorasick
@@ -55,6 +56,10 @@ CELLS, CELL_BYTES = 1 << 25, 16
 SHARD = 4 << 20
 #: Characters of a coded word.
 DIGITS = 3
+#: Rows of a task's shards that are summed before they leave it, about.
+SUMMED = 3 << 19
+#: Rows that a task passes on at once.
+SENT_ROWS = 1 << 16
 
 _CUT = np.zeros(256, bool)
 _CUT[list(CUTS)] = True
@@ -179,33 +184,56 @@ def candidates(shard: Shard, bits: np.ndarray, longest: int) -> Iterator[tuple[i
 COUNTS = "lang string, words int, phrase string, n long"
 
 
+def shard_counts(lang: str, data: np.ndarray, bits: np.ndarray, longest: int) -> pa.RecordBatch:
+    """COUNTS of a shard."""
+    shard = Shard(lang, data)
+    good = likely_words(shard, bits)
+    names = dict(zip(np.flatnonzero(good).tolist(), (w.decode() for w in shard.words.filter(pa.array(good)).to_pylist())))
+    text, place = _coded(shard, good)
+    sizes, phrases, totals = [0], [""], [len(shard.codes)]
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for n, starts, here in candidates(shard, bits, longest):
+        codes = shard.codes[starts[:, None] + np.arange(n)].tolist()
+        if n == 1:
+            totals += np.bincount(shard.codes[here], minlength=len(good))[shard.codes[starts]].tolist()
+        else:
+            for k, a in enumerate(place[starts].tolist(), len(sizes)):
+                automaton.add_word(text[a : a + DIGITS * n], k)
+        sizes += [n] * len(codes)
+        phrases += [" ".join([names[c] for c in row]) for row in codes]
+    matches = np.zeros(len(sizes), np.int64)
+    if len(automaton):
+        automaton.make_automaton()
+        matches += np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(text)), np.int64), minlength=len(sizes))
+    matches[: len(totals)] = totals
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(sizes), pa.string()), pa.array(sizes, pa.int32()), pa.array(phrases, pa.string()), pa.array(matches)], names=["lang", "words", "phrase", "n"])
+
+
+def summed(rows: Iterable[pa.RecordBatch], most: int = SUMMED) -> Iterator[pa.RecordBatch]:
+    """COUNTS with each phrase once, instead of once a shard; ``most`` rows or more are summed and passed on."""
+
+    def sums(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = ["lang", "words", "phrase"]
+        table = pa.Table.from_batches(held)
+        held.clear()
+        table = table.group_by(keys, use_threads=False).aggregate([("n", "sum")])
+        yield from table.select([*keys, "n_sum"]).rename_columns([*keys, "n"]).to_batches(SENT_ROWS)
+
+    held: list[pa.RecordBatch] = []
+    for batch in rows:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= most:
+            yield from sums(held)
+    if held:
+        yield from sums(held)
+
+
 def counted(docs: DataFrame, bits: np.ndarray, longest: int) -> DataFrame:
     """Counts of the candidates in each shard, of likely words (words = 1), and of all words (words = 0)."""
     shipped = docs.sparkSession.sparkContext.broadcast(bits)  # CELLS / 8 bytes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, data in shards(batches):
-            shard = Shard(lang, data)
-            good = likely_words(shard, shipped.value)
-            names = dict(zip(np.flatnonzero(good).tolist(), (w.decode() for w in shard.words.filter(pa.array(good)).to_pylist())))
-            text, place = _coded(shard, good)
-            sizes, phrases, totals = [0], [""], [len(shard.codes)]
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            for n, starts, here in candidates(shard, shipped.value, longest):
-                codes = shard.codes[starts[:, None] + np.arange(n)].tolist()
-                if n == 1:
-                    totals += np.bincount(shard.codes[here], minlength=len(good))[shard.codes[starts]].tolist()
-                else:
-                    for k, a in enumerate(place[starts].tolist(), len(sizes)):
-                        automaton.add_word(text[a : a + DIGITS * n], k)
-                sizes += [n] * len(codes)
-                phrases += [" ".join([names[c] for c in row]) for row in codes]
-            matches = np.zeros(len(sizes), np.int64)
-            if len(automaton):
-                automaton.make_automaton()
-                matches += np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(text)), np.int64), minlength=len(sizes))
-            matches[: len(totals)] = totals
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(sizes), pa.string()), pa.array(sizes, pa.int32()), pa.array(phrases, pa.string()), pa.array(matches)], names=["lang", "words", "phrase", "n"])
+        yield from summed(shard_counts(lang, data, shipped.value, longest) for lang, data in shards(batches))
 
     return docs.transform(arrays.mapped, run, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
 

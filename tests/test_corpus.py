@@ -1,11 +1,13 @@
 """Corpus operators: what is stored, sent and counted."""
 
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lodestrata.llm import media
+from lodestrata.llm import media, phrases
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 384, 1001])
@@ -30,3 +32,24 @@ def test_stored_pcm_is_coded_and_read_back(spark, monkeypatch):
         assert not any(r["pcm"][len(r["pcm"]) // 2 :])
     want = media.digests(media.store(docs))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() == 62
+
+
+@pytest.mark.parametrize("most", [1 << 20, 1])
+def test_a_task_tells_a_phrase_once(most):
+    """Of many shards of a language the counts are summed in their task; where few rows are held, by parts."""
+    rng = random.Random(5)
+    texts = [("de" if k % 3 else "en", " ".join(rng.choices(["a", "b", "c", "d,"], k=30))) for k in range(60)]
+    batches = [pa.RecordBatch.from_pydict({"lang": [x], "text": [t]}) for x, t in texts]
+    bits = np.full(1 << 12, 255, np.uint8)  # every phrase is likely
+    rows = [(r["lang"], r["words"], r["phrase"], r["n"]) for b in phrases.summed((phrases.shard_counts(x, data, bits, 3) for x, data in phrases.shards(iter(batches), 100)), most) for r in b.to_pylist()]
+    want = Counter()
+    for lang, text in texts:
+        for piece in text.split(","):
+            w = piece.split()
+            want[lang, 0, ""] += len(w)
+            want.update((lang, n, " ".join(w[k : k + n])) for n in (1, 2, 3) for k in range(len(w) - n + 1))
+    found = Counter()
+    for lang, words, phrase, n in rows:
+        found[lang, words, phrase] += n
+    assert found == want
+    assert (len(rows) == len(want)) == (most > 1)
