@@ -61,8 +61,8 @@ TASK_BYTES = 32 << 20
 SORT_BYTES = 1 << 18
 #: Segments whose bytes are gathered, or compared, at once.
 SENT_ROWS = 1 << 12
-#: Bytes whose anchors are found at once.
-BLOCK = 1 << 16
+#: Bytes whose anchors are found at once: an array of 8 bytes each stays below workers.RETURNED_BYTES, else every step maps its memory anew.
+BLOCK = 1 << 13
 NULL_ID = -(1 << 63)
 
 

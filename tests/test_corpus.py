@@ -7,7 +7,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lodestrata.llm import media, phrases
+from lodestrata import workers
+from lodestrata.llm import media, phrases, repeats
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 384, 1001])
@@ -53,3 +54,14 @@ def test_a_task_tells_a_phrase_once(most):
         found[lang, words, phrase] += n
     assert found == want
     assert (len(rows) == len(want)) == (most > 1)
+
+
+def test_anchors_are_found_in_memory_that_stays(monkeypatch):
+    """No array of a block is as large as what goes back to the system at once; blocks of any size find the same anchors."""
+    assert 8 * (repeats.BLOCK + repeats.LENGTH) < workers.RETURNED_BYTES
+    data = np.random.default_rng(3).integers(97, 100, 40_000).astype(np.uint8)
+    off = np.array([0, 50, 150, 9_000, 9_000, 30_000, 40_000])
+    found = repeats.anchors(data, off)
+    for size in (1 << 10, 1 << 16):
+        monkeypatch.setattr(repeats, "BLOCK", size)
+        assert all((a == b).all() for a, b in zip(found, repeats.anchors(data, off), strict=True))
