@@ -4,9 +4,10 @@ Texts are lower-cased (A-Z), split at CUTS into pieces and those into words at s
 tabs. A phrase is 2 to 4 words that follow each other in a piece.
 
 1. Sketch: every task adds its words and phrases, with their language, to a count-min
-   sketch of saturating bytes. Of the merged sketch one bit a cell remains: whether its
-   count reaches ``least``. It says "no" only for what is rarer. It has at most CELLS
-   cells; a fuller one only lets more phrases pass.
+   sketch of saturating bytes, raising a cell no further than a phrase's bound needs. Of
+   the merged sketch one bit a cell remains: whether its count reaches ``least``. It says
+   "no" only for what is rarer. It has at most CELLS cells; a fuller one only lets more
+   phrases pass.
 2. Automata: a shard is a few megabytes of one language's pieces. Its words are coded by
    a few characters each, its pieces delimited by one that no phrase holds, so that a match
    can't begin or end inside a word or run over a piece. Its phrases whose bounds,
@@ -14,7 +15,8 @@ tabs. A phrase is 2 to 4 words that follow each other in a piece.
    into an Aho-Corasick automaton that counts all their matches in the shard, overlaps
    included. A shard holds all the candidates that can match in it, so counts summed
    over shards, first over those of a task, are exact, whatever the number of candidates
-   over all.
+   over all. There is a task for each core, so that a phrase is told as often as there
+   are cores at most, and not once more for each further part of a larger table.
 3. Sums at or above ``least`` are kept. A phrase's parts are at least as frequent as
    itself, so their counts are there: two joins give the scores of all cuts, a grouping
    the longer phrases that hold a phrase.
@@ -51,12 +53,12 @@ TOP = 2000
 #: Parts of a language that are ranked by themselves first.
 PARTS = 64
 #: Cells of the sketch at most, and text bytes for which one is made.
-CELLS, CELL_BYTES = 1 << 25, 16
+CELLS, CELL_BYTES = 1 << 26, 16
 #: Bytes of a shard.
 SHARD = 4 << 20
 #: Characters of a coded word.
 DIGITS = 3
-#: Rows of a task's shards that are summed before they leave it, about.
+#: Rows of its shards that a task holds until it sums them, about.
 SUMMED = 3 << 19
 #: Rows that a task passes on at once.
 SENT_ROWS = 1 << 16
@@ -132,6 +134,11 @@ class Shard:
         return arrays.mix(found + np.uint64(n))
 
 
+def by_core(docs: DataFrame) -> DataFrame:
+    """docs in as many partitions as there are cores (or ``spark.default.parallelism``), if it has more."""
+    return docs.coalesce(docs.sparkSession.sparkContext.defaultParallelism)
+
+
 def likely(docs: DataFrame, longest: int, least: int, cells: int) -> np.ndarray:
     """The merged sketch's bits."""
     if not 0 < least < 256:
@@ -142,13 +149,11 @@ def likely(docs: DataFrame, longest: int, least: int, cells: int) -> np.ndarray:
         for lang, data in shards(batches):
             shard = Shard(lang, data)
             for n in range(1, longest + 1):
-                for at in sketches.places(shard.phrase_hashes(n)[shard.inside(n)], cells):
-                    found, times = np.unique(at, return_counts=True)
-                    counts[found] = np.minimum(counts[found] + times, 255)
+                sketches.add(counts, shard.phrase_hashes(n)[shard.inside(n)])
         blocks = counts.reshape(-1, sketches.BLOCK)
         yield from sketches.sent(enumerate(blocks))
 
-    parts = docs.transform(arrays.mapped, run, sketches.SENT)
+    parts = by_core(docs).transform(arrays.mapped, run, sketches.SENT)
     return sketches.bits(parts, cells, lambda a, b: np.minimum(a.astype(np.uint16) + b, 255).astype(np.uint8), lambda x: x >= least)
 
 
@@ -210,22 +215,34 @@ def shard_counts(lang: str, data: np.ndarray, bits: np.ndarray, longest: int) ->
 
 
 def summed(rows: Iterable[pa.RecordBatch], most: int = SUMMED) -> Iterator[pa.RecordBatch]:
-    """COUNTS with each phrase once, instead of once a shard; ``most`` rows or more are summed and passed on."""
+    """COUNTS with each phrase once, instead of once a shard.
+
+    At ``most`` rows they are summed. Sums that take more than half of that are passed on
+    early, but for the most frequent quarter of ``most``, whose phrases come again.
+    """
+    keys = ["lang", "words", "phrase"]
 
-    def sums(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = ["lang", "words", "phrase"]
+    def sums() -> pa.Table:
         table = pa.Table.from_batches(held)
         held.clear()
         table = table.group_by(keys, use_threads=False).aggregate([("n", "sum")])
-        yield from table.select([*keys, "n_sum"]).rename_columns([*keys, "n"]).to_batches(SENT_ROWS)
+        return table.select([*keys, "n_sum"]).rename_columns([*keys, "n"])
 
     held: list[pa.RecordBatch] = []
     for batch in rows:
         held.append(batch)
         if sum(b.num_rows for b in held) >= most:
-            yield from sums(held)
+            table = sums()
+            if 2 * len(table) > most:
+                n = np.asarray(table["n"])
+                kept = np.zeros(len(n), bool)
+                if most // 4:
+                    kept[np.argpartition(n, -(most // 4))[-(most // 4) :]] = True
+                yield from table.filter(pa.array(~kept)).to_batches(SENT_ROWS)
+                table = table.filter(pa.array(kept))
+            held += table.to_batches()
     if held:
-        yield from sums(held)
+        yield from sums().to_batches(SENT_ROWS)
 
 
 def counted(docs: DataFrame, bits: np.ndarray, longest: int) -> DataFrame:
@@ -235,7 +252,7 @@ def counted(docs: DataFrame, bits: np.ndarray, longest: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from summed(shard_counts(lang, data, shipped.value, longest) for lang, data in shards(batches))
 
-    return docs.transform(arrays.mapped, run, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    return by_core(docs).transform(arrays.mapped, run, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
 
 
 def _coded(shard: Shard, good: np.ndarray) -> tuple[str, np.ndarray]:

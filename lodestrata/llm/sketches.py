@@ -28,6 +28,20 @@ def places(hashes: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple((arrays.mix(x) & low).astype(np.int64) for x in (hashes, hashes ^ _SECOND))
 
 
+def add(counts: np.ndarray, hashes: np.ndarray) -> None:
+    """Adds each hash once to a count-min sketch of saturating bytes.
+
+    The lesser of a hash's two cells, and how often it comes now, bound its number; a cell
+    is raised to the highest bound of those that meet in it, not to their sum. Sketches of
+    several tasks, added up, bound the numbers over all of them.
+    """
+    found, times = np.unique(hashes, return_counts=True)
+    one, two = places(found, len(counts))
+    bound = np.minimum(np.minimum(counts[one], counts[two]) + times, 255).astype(np.uint8)
+    np.maximum.at(counts, one, bound)
+    np.maximum.at(counts, two, bound)
+
+
 def room(size: int, each: int, most: int) -> int:
     """A power of two of cells: about one for each ``each`` of size, from BLOCK to ``most``."""
     return max(BLOCK, min(most, 1 << max(int(size // each), 1).bit_length()))

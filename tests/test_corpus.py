@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from lodestrata import workers
-from lodestrata.llm import media, phrases, repeats
+from lodestrata.llm import arrays, media, phrases, repeats, sketches
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 384, 1001])
@@ -56,6 +56,44 @@ def test_a_task_tells_a_phrase_once(most):
     assert (len(rows) == len(want)) == (most > 1)
 
 
+def test_frequent_phrases_stay_in_a_task():
+    """Where more phrases are held than fit, the rare ones are passed on, the frequent ones once at the end."""
+    shard = lambda k: pa.RecordBatch.from_pydict({"lang": ["en"] * 6, "words": pa.array([1] * 6, pa.int32()), "phrase": ["often", *(f"rare {k} {j}" for j in range(5))], "n": [9, *[1] * 5]})
+    rows = [r for b in phrases.summed(map(shard, range(20)), 12) for r in b.to_pylist()]
+    assert [r["n"] for r in rows if r["phrase"] == "often"] == [180]
+    assert len(rows) == 101
+
+
+def test_a_phrase_is_told_once_a_core(spark, monkeypatch):
+    """The rows that tasks pass on don't grow with the number of the table's partitions."""
+    made = []
+    real = arrays.mapped
+    monkeypatch.setattr(arrays, "mapped", lambda *a: made.append(real(*a)) or made[-1])
+    cores = spark.sparkContext.defaultParallelism
+    docs = spark.range(0, 3 * cores, 1, 3 * cores).selectExpr("'en' lang", "'a b c d' text")
+    found = phrases.counted(docs, np.full(1 << 12, 255, np.uint8), 4)
+    assert made[0].count() <= 11 * cores  # 10 phrases and words, and the number of words
+    assert {r["n"] for r in found.where("words > 0").collect()} == {3 * cores} and found.count() == 11
+
+
+def test_sketch_cells_are_raised_to_bounds_only():
+    """Bounds hold over several tasks' sketches, and are below those of plain sums."""
+    rng, cells = np.random.default_rng(7), 1 << 13
+    tasks = [[arrays.mix(rng.zipf(1.3, 20_000).astype(np.uint64)) for _ in range(3)] for _ in range(4)]
+    merged, plain = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
+    for task in tasks:
+        counts = np.zeros(cells, np.uint8)
+        for hashes in task:
+            sketches.add(counts, hashes)
+            for at in sketches.places(hashes, cells):
+                plain += np.bincount(at, minlength=cells)
+        merged += counts
+    found, times = np.unique(np.concatenate(sum(tasks, [])), return_counts=True)
+    bound, loose = (np.minimum(*(np.minimum(x[at], 255) for at in sketches.places(found, cells))) for x in (merged, plain))
+    assert (bound >= np.minimum(times, 255)).all()
+    assert (bound <= loose).all() and bound.sum() < 0.9 * loose.sum()
+
+
 def test_anchors_are_found_in_memory_that_stays(monkeypatch):
     """No array of a block is as large as what goes back to the system at once; blocks of any size find the same anchors."""
     assert 8 * (repeats.BLOCK + repeats.LENGTH) < workers.RETURNED_BYTES
