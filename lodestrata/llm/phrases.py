@@ -15,8 +15,9 @@ tabs. A phrase is 2 to 4 words that follow each other in a piece.
    into an Aho-Corasick automaton that counts all their matches in the shard, overlaps
    included. A shard holds all the candidates that can match in it, so counts summed
    over shards, first over those of a task, are exact, whatever the number of candidates
-   over all. There is a task for each core, so that a phrase is told as often as there
-   are cores at most, and not once more for each further part of a larger table.
+   over all. There is a task for each core, so that a phrase is not told once more for
+   each further part of a larger table; beyond TASK bytes, where a task can't hold all its
+   phrases anyway, there are more.
 3. Sums at or above ``least`` are kept. A phrase's parts are at least as frequent as
    itself, so their counts are there: two joins give the scores of all cuts, a grouping
    the longer phrases that hold a phrase.
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrays, sketches, skew
-from .shared import Scratch, picked
+from .shared import Scratch, count_partitions, picked
 
 #: What ends a piece, and what stands between words.
 CUTS = b".,;:!?\n\v\f\r"
@@ -58,6 +59,8 @@ CELLS, CELL_BYTES = 1 << 26, 16
 SHARD = 4 << 20
 #: Characters of a coded word.
 DIGITS = 3
+#: Text bytes of a task at most, about.
+TASK = 1 << 30
 #: Rows of its shards that a task holds until it sums them, about.
 SUMMED = 3 << 19
 #: Rows that a task passes on at once.
@@ -134,9 +137,10 @@ class Shard:
         return arrays.mix(found + np.uint64(n))
 
 
-def by_core(docs: DataFrame) -> DataFrame:
-    """docs in as many partitions as there are cores (or ``spark.default.parallelism``), if it has more."""
-    return docs.coalesce(docs.sparkSession.sparkContext.defaultParallelism)
+def by_core(docs: DataFrame, size: int) -> DataFrame:
+    """docs, of ``size`` text bytes, in a partition for each core (or ``spark.default.parallelism``) and each TASK, if it has more."""
+    spark = docs.sparkSession
+    return docs.coalesce(count_partitions(spark, size, TASK, spark.sparkContext.defaultParallelism))
 
 
 def likely(docs: DataFrame, longest: int, least: int, cells: int) -> np.ndarray:
@@ -153,7 +157,7 @@ def likely(docs: DataFrame, longest: int, least: int, cells: int) -> np.ndarray:
         blocks = counts.reshape(-1, sketches.BLOCK)
         yield from sketches.sent(enumerate(blocks))
 
-    parts = by_core(docs).transform(arrays.mapped, run, sketches.SENT)
+    parts = docs.transform(arrays.mapped, run, sketches.SENT)
     return sketches.bits(parts, cells, lambda a, b: np.minimum(a.astype(np.uint16) + b, 255).astype(np.uint8), lambda x: x >= least)
 
 
@@ -252,7 +256,7 @@ def counted(docs: DataFrame, bits: np.ndarray, longest: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from summed(shard_counts(lang, data, shipped.value, longest) for lang, data in shards(batches))
 
-    return by_core(docs).transform(arrays.mapped, run, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    return docs.transform(arrays.mapped, run, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
 
 
 def _coded(shard: Shard, good: np.ndarray) -> tuple[str, np.ndarray]:
@@ -285,7 +289,9 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, co
     floor(SCALE * a / (l + r)); a phrase has its lowest cut's.
     """
     docs = picked(docs, "lang", "text").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    bits = likely(docs, longest, least, cells or sketches.room(sketches.text_bytes(docs), CELL_BYTES, CELLS))
+    size = sketches.text_bytes(docs)
+    docs = by_core(docs, size)
+    bits = likely(docs, longest, least, cells or sketches.room(size, CELL_BYTES, CELLS))
     scratch = Scratch(docs.sparkSession)
     found = scratch.written(counted(docs, bits, longest).where((F.col("n") >= least) | (F.col("words") == 0)), "phrases")
     words = found.where("words = 0").select("lang", F.col("n").alias("words_n"))

@@ -65,15 +65,16 @@ def test_frequent_phrases_stay_in_a_task():
 
 
 def test_a_phrase_is_told_once_a_core(spark, monkeypatch):
-    """The rows that tasks pass on don't grow with the number of the table's partitions."""
+    """The rows that tasks pass on don't grow with the number of the table's partitions, but where a task would read too much."""
     made = []
     real = arrays.mapped
     monkeypatch.setattr(arrays, "mapped", lambda *a: made.append(real(*a)) or made[-1])
     cores = spark.sparkContext.defaultParallelism
     docs = spark.range(0, 3 * cores, 1, 3 * cores).selectExpr("'en' lang", "'a b c d' text")
-    found = phrases.counted(docs, np.full(1 << 12, 255, np.uint8), 4)
-    assert made[0].count() <= 11 * cores  # 10 phrases and words, and the number of words
-    assert {r["n"] for r in found.where("words > 0").collect()} == {3 * cores} and found.count() == 11
+    phrases.collocations(docs, least=3)
+    assert made[-1].count() == 11 * cores  # 10 phrases and words, and the number of words
+    monkeypatch.setattr(phrases, "TASK", 7 * 3 * cores // (2 * cores))
+    assert phrases.by_core(docs, 7 * 3 * cores).rdd.getNumPartitions() > cores
 
 
 def test_sketch_cells_are_raised_to_bounds_only():
