@@ -19,13 +19,19 @@ from . import arrays
 #: Cells of a block: what is merged as one row.
 BLOCK = 1 << 16
 SENT = "block int, cells binary"
-_SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
 def places(hashes: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two cells of each hash; ``cells`` is a power of two."""
-    low = np.uint64(cells - 1)
-    return tuple((arrays.mix(x) & low).astype(np.int64) for x in (hashes, hashes ^ _SECOND))
+    """The two cells of each hash; ``cells`` is a power of two.
+
+    Both are in the block that the hash's highest bits name, so that sorted hashes meet one
+    block after the other, and not cells all over the sketch.
+    """
+    width = min(cells, BLOCK)
+    low, mixed = np.uint64(width - 1), arrays.mix(hashes)
+    block = hashes >> np.uint64(32) >> np.uint64(32 - (cells // width).bit_length() + 1)
+    block *= np.uint64(width)
+    return (block | mixed & low).view(np.int64), (block | mixed >> np.uint64(32) & low).view(np.int64)
 
 
 def add(counts: np.ndarray, hashes: np.ndarray) -> None:

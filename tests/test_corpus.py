@@ -95,6 +95,51 @@ def test_sketch_cells_are_raised_to_bounds_only():
     assert (bound <= loose).all() and bound.sum() < 0.9 * loose.sum()
 
 
+def test_phrases_with_rare_pairs_do_not_fill_the_sketch(spark):
+    """Longer phrases are only sketched where all their pairs are likely; those that are frequent are still told."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(300)]
+    docs = spark.createDataFrame([("en", " ".join(rng.choices(words, k=1000)) + ". often said by all.") for _ in range(60)], "lang string, text string").coalesce(2)
+    bits = phrases.likely(docs, 4, 5, sketches.BLOCK)
+    assert np.unpackbits(bits).mean() < 0.02
+    shard = phrases.shard_counts("en", np.frombuffer(b"often said by all.", np.uint8), bits, 4)
+    assert Counter(shard.column("words").to_pylist()) == {0: 1, 1: 4, 2: 3, 3: 2, 4: 1}
+
+
+def test_no_core_waits_for_a_few_last_tasks(spark, monkeypatch):
+    """Where there are more tasks than cores, each core has as many."""
+    cores = spark.sparkContext.defaultParallelism
+    docs = spark.range(0, 4 * cores, 1, 4 * cores).selectExpr("'en' lang", "'a b c d' text")
+    monkeypatch.setattr(phrases, "TASK", 10)
+    for size in (10 * cores + 1, 20 * cores - 5):
+        assert phrases.by_core(docs, size).rdd.getNumPartitions() == 2 * cores
+
+
+def test_words_of_any_length_have_their_own_hash():
+    """A word's hash depends on the word and the language alone; words of all lengths, and of bytes that are 0, differ."""
+    words = [b"x" * k for k in (*range(1, 40), 255, 256, 257, 1000)] + [b"x" * k + b"\0" for k in (1, 7, 8, 15)] + ["ä日😀".encode() * k for k in (1, 2, 40)]
+    seen = {}
+    for lang in ("en", "de"):
+        for before in (b"", b"a ", b"longer words. "):
+            shard = phrases.Coded(lang, np.frombuffer(before + b" ".join(words) + b"\n", np.uint8))
+            for word, x in zip(shard.words.to_pylist(), shard.hashes.tolist()):
+                assert seen.setdefault((lang, word), x) == x
+    assert len(set(seen.values())) == len(seen) == 2 * (len(words) + 3)
+
+
+def test_longer_phrases_of_several_languages_are_summed_apart():
+    """Sums of phrases of one to five words, with several parts of them passed on or not."""
+    texts = [(lang, b"a b c d e. e d c b a. ") for lang in ("en", "de")] * 3
+    bits = np.full(1 << 12, 255, np.uint8)
+    for most in (1, 40, 1 << 20):
+        found = Counter()
+        for b in phrases.summed((phrases.shard_counts(x, np.frombuffer(t, np.uint8), bits, 5) for x, t in texts), most):
+            found.update({(r["lang"], r["phrase"]): r["n"] for r in b.to_pylist() if r["words"] == len(r["phrase"].split()) > 1})
+            assert all(r["n"] == 30 for r in b.to_pylist() if not r["words"]) or most < 1 << 20
+        want = {(x, " ".join(w[k : k + n])): 3 for x in ("en", "de") for w in ("a b c d e".split(), "e d c b a".split()) for n in range(2, 6) for k in range(6 - n)}
+        assert found == want
+
+
 def test_anchors_are_found_in_memory_that_stays(monkeypatch):
     """No array of a block is as large as what goes back to the system at once; blocks of any size find the same anchors."""
     assert 8 * (repeats.BLOCK + repeats.LENGTH) < workers.RETURNED_BYTES
