@@ -16,9 +16,9 @@ tabs. A phrase is 2 to 4 words that follow each other in a piece.
    into an Aho-Corasick automaton that counts all their matches in the shard, overlaps
    included. A shard holds all the candidates that can match in it, so counts summed
    over shards, first over those of a task, by the numbers of their words, are exact,
-   whatever the number of candidates over all. There is a task for each core, so that a phrase is not told once more for
-   each further part of a larger table; beyond TASK bytes, where a task can't hold all its
-   phrases anyway, there are more.
+   whatever the number of candidates over all. There is a task for each core, so that a
+   phrase is not told once more for each further part of a larger table; beyond TASK bytes,
+   where a task can't hold all its phrases anyway, each core has more.
 3. Sums at or above ``least`` are kept. A phrase's parts are at least as frequent as
    itself, so their counts are there: two joins give the scores of all cuts, a grouping
    the longer phrases that hold a phrase.
@@ -262,12 +262,17 @@ def shard_counts(lang: str, data: np.ndarray, bits: np.ndarray, longest: int) ->
     """COUNTS of a shard, a phrase as the list of its words."""
     shard = Coded(lang, data)
     good = likely_words(shard, bits)
-    text, place = _coded(shard, good)
+    found = list(candidates(shard, bits, longest))
+    used = np.zeros(len(shard.codes), bool)
+    if len(found) > 1:
+        used |= found[1][2]
+        used[1:] |= found[1][2][:-1]
+    text, place = _coded(shard, used, good)
     number = (np.cumsum(good) - 1).astype(np.int32)
     sizes, words, totals = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)], [len(shard.codes)]
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     known = 1
-    for n, starts, here in candidates(shard, bits, longest):
+    for n, starts, here in found:
         if n == 1:
             totals += np.bincount(shard.codes[here], minlength=len(good))[shard.codes[starts]].tolist()
         else:
@@ -378,25 +383,25 @@ def counted(docs: DataFrame, bits: np.ndarray, longest: int) -> DataFrame:
     return docs.transform(arrays.mapped, run, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
 
 
-def _coded(shard: Coded, good: np.ndarray) -> tuple[str, np.ndarray]:
-    """The shard's text with DIGITS characters for each likely word, and where each word begins.
+def _coded(shard: Coded, used: np.ndarray, good: np.ndarray) -> tuple[str, np.ndarray]:
+    """The shard's text with DIGITS characters for each word that a candidate of several uses, and where each word begins.
 
     A delimiter stands between pieces and for any other word. Each digit has characters of
     its own, so that a match begins with a word's first and ends with a word's last one,
-    and no node of the automaton has many children.
+    and no node of the automaton has many children. Words that appear early, most of them
+    frequent, share their first digits and come first among a node's children.
     """
     base = 1
     while base**DIGITS < good.sum():
         base += 1
-    here = good[shard.codes]
-    before = np.zeros(len(here), np.int64)
+    before = np.zeros(len(used), np.int64)
     before[1:] = np.diff(shard.piece) > 0
-    width = before + np.where(here, DIGITS, 1)
+    width = before + np.where(used, DIGITS, 1)
     place = np.cumsum(width) - width + before
     text = np.zeros(int(width.sum()), np.uint32)  # 0 delimits
-    rest = (np.cumsum(good) - 1)[shard.codes[here]]
-    for digit in range(DIGITS):
-        text[place[here] + digit] = 1 + digit * base + rest % base
+    rest, at = (np.cumsum(good) - 1)[shard.codes[used]], place[used]
+    for digit in reversed(range(DIGITS)):
+        text[at + digit] = 1 + digit * base + rest % base
         rest = rest // base
     return text.astype("<u4").tobytes().decode("utf-32-le"), place
 
